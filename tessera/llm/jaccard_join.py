@@ -19,23 +19,24 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.filters import contains, member_filter, pack, unpack
 from tessera.llm.graph import components
 from tessera.llm.plan import bucket_count, join_blobs, keyed, materialise, record
 from tessera.llm.text import Words, chunks, column_bytes, mix, shingles
 
 #: Slots of the table that orders shingles by how common they are, and rows it travels in.
-SLOT_BITS, SLOT_ROWS = 21, 32
+SLOT_BITS, SLOT_ROWS = 22, 64
 #: Entries that a task gathers before it hands them to the buckets.
 FLUSH = 2_000_000
 #: A group's key holds its size above these bits.
 SIZE_SHIFT = 40
 #: Rounds in which every group meets one other of each list.
 STAR_ROUNDS = 2
-#: Bits of the filter that keeps sets of documents without any candidate out of the shuffle.
-FILTER_BITS = 23
+#: Lists up to this long drop members that no other member can match.
+SHORT_LIST = 32
 
 _SLOTS = "part int, counts binary"
-_MIXED = "kind int, bucket int, key long, doc_id long, n long, cid long, gkey long, vec binary, token long, tokens binary, gkeys binary"
+_MIXED = "kind int, bucket int, key long, doc_id long, n long, cid long, gkey long, vec binary, token long, place int, tokens binary, gkeys binary, places binary"
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -119,27 +120,28 @@ def overlap_bound(one: bytes, two: bytes) -> float:
 
 
 def _mixed(k: int, **columns) -> pa.RecordBatch:
-    names = [("kind", pa.int32()), ("bucket", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("gkey", pa.int64()), ("vec", pa.binary()), ("token", pa.int64()), ("tokens", pa.binary()), ("gkeys", pa.binary())]
+    names = [("kind", pa.int32()), ("bucket", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("gkey", pa.int64()), ("vec", pa.binary()), ("token", pa.int64()), ("place", pa.int32()), ("tokens", pa.binary()), ("gkeys", pa.binary()), ("places", pa.binary())]
     return record(pa.schema(names), [columns.get(name, pa.nulls(k, kind)) for name, kind in names])
 
 
 def _prefix_task(batches: Iterator[pa.RecordBatch], levels: Broadcast, width: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Documents (kind 0) and, by bucket, the prefix tokens of their groups (kind 1)."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
     level = levels.value
 
     def flush() -> Iterator[pa.RecordBatch]:
-        token, gkey = (np.concatenate(x) for x in zip(*held, strict=True))
+        token, gkey, place = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket = (token >> np.uint64(32)) % np.uint64(buckets)
         order = np.lexsort((gkey, token, bucket))
-        bucket, token, gkey = bucket[order], token[order], gkey[order]
+        bucket, token, gkey, place = bucket[order], token[order], gkey[order], place[order]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (gkey[1:] != gkey[:-1])
-        bucket, token, gkey = bucket[fresh], token[fresh].astype(np.uint32), gkey[fresh]
+        bucket, token, gkey, place = bucket[fresh], token[fresh].astype(np.uint32), gkey[fresh], place[fresh]
         cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         full = np.flatnonzero(np.diff(cut))
-        yield _mixed(len(full), kind=[1] * len(full), bucket=full.tolist(), tokens=[token[cut[b] : cut[b + 1]].tobytes() for b in full], gkeys=[gkey[cut[b] : cut[b + 1]].tobytes() for b in full])
+        cuts = [slice(cut[b], cut[b + 1]) for b in full]
+        yield _mixed(len(full), kind=[1] * len(full), bucket=full.tolist(), tokens=[token[c].tobytes() for c in cuts], gkeys=[gkey[c].tobytes() for c in cuts], places=[pack(place[c]) for c in cuts])
 
     for batch in batches:
         for part in chunks(batch):
@@ -157,7 +159,7 @@ def _prefix_task(batches: Iterator[pa.RecordBatch], levels: Broadcast, width: in
                 len(n), kind=[0] * len(n), bucket=(key.to_numpy(zero_copy_only=False).astype(np.uint64) % np.uint64(buckets)).astype(np.int32), key=key, doc_id=part.column(1),
                 n=n.astype(np.int64), cid=_class_ids(hashes, offsets).view(np.int64), gkey=gkey.view(np.int64), vec=_vectors(hashes, offsets),
             )
-            held.append((token, gkey[mine]))
+            held.append((token, gkey[mine], place[inside].astype(np.uint32)))
             size += len(token)
             if size > FLUSH:
                 yield from flush()
@@ -166,25 +168,41 @@ def _prefix_task(batches: Iterator[pa.RecordBatch], levels: Broadcast, width: in
         yield from flush()
 
 
-def _bucket_task(table: pa.Table) -> pa.Table:
+def _fits(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and the places of a shared token allow the threshold. If it is the first one they
+    share, nothing before it is shared, so the overlap is at most what is left of either; at a later
+    one the bound is lower, and the pair has been let through at the first."""
+    left = np.minimum(na - pa_, nb - pb)
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * left >= percent * (na + nb))
+
+
+def _bucket_task(table: pa.Table, percent: int) -> pa.Table:
     """Passes documents on; keeps the lists (kind 1) of tokens that two groups or more share."""
     kinds = table["kind"].to_numpy()
     docs = table.filter(pa.array(kinds == 0))
     lists = table.filter(pa.array(kinds == 1))
+    if not lists.num_rows:
+        return docs
     token = np.frombuffer(join_blobs(lists["tokens"]), np.uint32)
     gkey = np.frombuffer(join_blobs(lists["gkeys"]), np.uint64)
-    order = np.lexsort((gkey, token))
-    token, gkey = token[order], gkey[order]
+    place = np.concatenate([unpack(x, np.uint32) for x in lists["places"].to_pylist()])
+    order = np.lexsort((place, gkey, token))
+    token, gkey, place = token[order], gkey[order], place[order]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (gkey[1:] != gkey[:-1])
-    token, gkey = token[fresh], gkey[fresh]
-    shared = np.zeros(len(token), bool)
-    same = token[1:] == token[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
-    token, gkey = token[shared], gkey[shared]
+    token, gkey, place = token[fresh], gkey[fresh], place[fresh].astype(np.int64)
+    edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    length = np.diff(np.append(edge, len(token)))
+    shared = np.repeat(length > 1, length)
+    token, gkey, place, length = token[shared], gkey[shared], place[shared], np.repeat(length, length)[shared]
+    n, viable = (gkey >> np.uint64(SIZE_SHIFT)).astype(np.int64), length > SHORT_LIST
+    for step in range(1, min(SHORT_LIST, len(token))):
+        ok = (token[step:] == token[:-step]) & _fits(n[step:], n[:-step], place[step:], place[:-step], percent)
+        viable[step:] |= ok
+        viable[:-step] |= ok
+    token, gkey, place = token[viable], gkey[viable], place[viable]
     bucket = table["bucket"][0].as_py()
-    found = _mixed(len(token), kind=[1] * len(token), bucket=[bucket] * len(token), gkey=gkey.view(np.int64), token=(np.int64(bucket) << 32) | token.astype(np.int64))
+    found = _mixed(len(token), kind=[1] * len(token), bucket=[bucket] * len(token), gkey=gkey.view(np.int64), token=(np.int64(bucket) << 32) | token.astype(np.int64), place=place.astype(np.int32))
     return pa.concat_tables([docs, pa.Table.from_batches([found])])
 
 
@@ -214,33 +232,14 @@ def _verify_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield record(schema, [batch.column(0).filter(keep), batch.column(1).filter(keep)])
 
 
-def _probes(ids: np.ndarray) -> np.ndarray:
-    one, two = mix(ids.view(np.uint64) ^ _SALT), mix(ids.view(np.uint64) + _SALT)
-    return ((one[:, None] + two[:, None] * np.arange(3, dtype=np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _filter_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        bits[_probes(batch.column(0).to_numpy()).ravel()] = True
-    if bits.any():
-        rows = np.packbits(bits).reshape(8, -1)
-        yield record(pa.schema([("part", pa.int32()), ("counts", pa.binary())]), [list(range(8)), [x.tobytes() for x in rows]])
-
-
-def _or_filters(table: pa.Table) -> pa.Table:
-    out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()])
-    return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
-
-
 def _sets_task(batches: Iterator[pa.RecordBatch], wanted: Broadcast, width: int) -> Iterator[pa.RecordBatch]:
     """(cid, set) of the documents that may be candidates."""
-    bits, schema, seen = np.unpackbits(wanted.value).astype(bool), pa.schema([("cid", pa.int64()), ("members", pa.binary())]), set()
+    schema, seen = pa.schema([("cid", pa.int64()), ("members", pa.binary())]), set()
     for batch in batches:
         for part in chunks(batch):
             hashes, offsets = shingles(Words(*column_bytes(part.column(2))), width)
             cid = _class_ids(hashes, offsets).view(np.int64)
-            hit = np.flatnonzero(bits[_probes(cid)].all(1) & (np.diff(offsets) > 0))
+            hit = np.flatnonzero(contains(wanted, cid) & (np.diff(offsets) > 0))
             hit = [i for i in hit if cid[i] not in seen and not seen.add(cid[i])]
             yield record(schema, [cid[hit], [hashes[offsets[i] : offsets[i + 1]].tobytes() for i in hit]])
 
@@ -261,20 +260,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     buckets = bucket_count(docs)
     levels = spark.sparkContext.broadcast(slot_levels(rows, width))
     mixed = rows.mapInArrow(lambda it: _prefix_task(it, levels, width, percent, buckets), _MIXED)
-    mixed = materialise(mixed.groupBy("bucket").applyInArrow(_bucket_task, _MIXED), "prefixes")
+    mixed = materialise(mixed.groupBy("bucket").applyInArrow(lambda t: _bucket_task(t, percent), _MIXED), "prefixes")
 
     documents = mixed.filter("kind = 0").select("key", "doc_id", "n", "cid", "gkey", "vec")
-    lists = mixed.filter("kind = 1").select("token", "gkey")
+    lists = mixed.filter("kind = 1").select("token", "gkey", "place")
     classes = materialise(documents.filter("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.min("gkey").alias("gkey"), F.min("vec").alias("vec")), "classes")
     members = classes.select("gkey", "cid")
     groups = members.groupBy("gkey").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("size"))
     crowded = groups.filter("size > 1").select("gkey")
 
     wanted = members.join(lists.select("gkey").union(crowded).distinct(), "gkey", "left_semi").select("cid")
-    bits = np.zeros((8, (1 << FILTER_BITS) // 64), np.uint8)
-    for part, blob in wanted.mapInArrow(_filter_task, _SLOTS).groupBy("part").applyInArrow(_or_filters, _SLOTS).collect():
-        bits[part] = np.frombuffer(blob, np.uint8)
-    bits = spark.sparkContext.broadcast(bits.reshape(-1))
+    bits = member_filter(wanted)
     sets = materialise(rows.mapInArrow(lambda it: _sets_task(it, bits, width), "cid long, members binary"), "sets").dropDuplicates(["cid"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -295,25 +291,31 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
             return nodes.withColumn("root", F.col(node))
         return nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
 
+    # Sizes are in the group keys; places bound the overlap.
+    na, nb = (f"shiftright(gkey{x}, {SIZE_SHIFT})" for x in "ab")
+    fits = f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) AND {100 + percent} * least({na} - pa, {nb} - pb) >= {percent} * ({na} + {nb})"
+    side = lambda d, x: d.select("token", F.col("cid").alias(x), F.col("root").alias(f"r{x}"), F.col("gkey").alias(f"gkey{x}"), F.col("place").alias(f"p{x}"))
+
+    # First every group meets one of each list: the one with the fewest rarer shingles of its own, then any.
     heads = lists.join(groups.select("gkey", F.col("head").alias("cid")), "gkey")
     edges, roots = None, None
     for turn in range(STAR_ROUNDS):
         current = rooted(heads, roots)
-        center = current.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "root")).alias("c"), F.count_distinct("root").alias("roots"))
-        center = center.filter("roots > 1").select("token", F.col("c.cid").alias("b"), F.col("c.root").alias("broot"))
-        pairs = current.join(center, "token").filter("root <> broot").select(F.col("cid").alias("a"), "b")
+        rank = F.col("place").cast("long") if not turn else F.xxhash64("cid")
+        center = current.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "cid", "root", "gkey", "place")).alias("c"), F.max("root").alias("high"), F.min("root").alias("low"))
+        center = side(center.filter("low < high").select("token", "c.cid", "c.root", "c.gkey", "c.place"), "b")
+        pairs = side(current, "a").join(center, "token").filter(f"ra <> rb AND {fits}").select("a", "b")
         if not turn:
             pairs = pairs.union(members.join(groups.filter("size > 1"), "gkey").select(F.col("cid").alias("a"), F.col("head").alias("b")))
         found = verified(ordered(pairs))
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
-    # Whatever pairs still cross classes, in lists and within groups.
-    inner = members.join(crowded, "gkey", "left_semi").select((-F.col("gkey") - 1).alias("token"), "gkey", "cid")
-    current = rooted(lists.join(members, "gkey").select("token", "gkey", "cid").union(inner), roots)
-    open_lists = current.groupBy("token").agg(F.count_distinct("root").alias("roots")).filter("roots > 1").select("token")
-    current = current.join(open_lists, "token", "left_semi").select("token", "cid", "root", F.shiftright("gkey", SIZE_SHIFT).alias("n"))
-    one, two = (current.select("token", F.col("cid").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    cross = one.join(two, "token").filter(f"a < b AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    # Then whatever pairs still cross classes meet, in lists and within groups.
+    inner = members.join(crowded, "gkey", "left_semi").select((-F.col("gkey") - 1).alias("token"), "gkey", F.lit(0).alias("place"), "cid")
+    current = rooted(lists.join(members, "gkey").select("token", "gkey", "place", "cid").union(inner), roots)
+    open_lists = current.groupBy("token").agg(F.max("root").alias("high"), F.min("root").alias("low")).filter("low < high").select("token")
+    current = current.join(open_lists, "token", "left_semi")
+    cross = side(current, "a").join(side(current, "b"), "token").filter(f"a < b AND ra <> rb AND {fits}").select("a", "b").distinct()
     roots = components(edges.union(verified(cross)))
 
     placed = rooted(documents.select("key", "doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")), roots)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import decontaminate, sst, substring_dedup, suffix_tree
 from tessera.llm.jaccard_join import jaccard_components
 
 
@@ -11,9 +13,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sst.write_shards(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return sst.read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scored = suffix_tree.suffix_tree_scores(docs.withColumn("trained", ~held_out))
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op5_sorted_string_tables, op6_suffix_tree_scores, op7_seed_and_extend, op8_fm_index, op9_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -43,3 +47,67 @@ def jaccard(rows: list[tuple], percent: int = 80) -> list[tuple]:
         if d is not None:
             low[top(i)] = min(low.get(top(i), d), d)
     return sorted(((d, len(s), low.get(top(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=repr)
+
+
+def passages(rows: list[tuple], window: int = 35) -> list[tuple]:
+    """Sorted (doc_id, n_words, n_removed, kept_sha256)."""
+    texts = [WORD.findall(t or "") for _, t in rows]
+    seen: Counter = Counter(tuple(w[i : i + window]) for w in texts for i in range(len(w) - window + 1))
+    out = []
+    for (d, _), w in zip(rows, texts):
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def leaks(rows: list[tuple], items: list[tuple], window: int = 10) -> list[tuple]:
+    """Sorted (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+    windows: dict = {}
+    for i, t in items:
+        w = ALNUM.findall(fold(t or ""))
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + window]), set()).add(str(i))
+    sizes = {len(w) for w in windows}
+    out = []
+    for d, t in rows:
+        w = ALNUM.findall(fold(t or ""))
+        hit, found = [False] * len(w), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                names = windows.get(tuple(w[k : k + n]))
+                if names:
+                    found |= names
+                    hit[k : k + n] = [True] * n
+        out.append((d, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit)))
+    return sorted(out, key=repr)
+
+
+def unigrams(rows: list[tuple]) -> list[tuple]:
+    """Sorted (doc_id, held_out, n_tokens, n_known, train_tokens, base_score)."""
+    held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    tokens = [[*WORD.findall(fold(t or "")), None] for _, t in rows]
+    c = Counter(x for h, t in zip(held, tokens) if not h for x in t)
+    n, v = sum(c.values()), len(c)
+    return sorted(((d, h, len(t), sum(c[x] > 0 for x in t), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t)) for (d, _), h, t in zip(rows, held, tokens)), key=lambda r: repr(r[:5]))
+
+
+def shards(rows: list[tuple], path: str, end_id: int = 2) -> list[tuple]:
+    """(doc_id, start, n_tokens, ids_crc32) by the library over whole texts, in ascending doc_id order."""
+    import struct
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    out, start = [], 0
+    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, end_id]
+        out.append((d, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    return out
