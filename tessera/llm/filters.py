@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.plan import record
 from tessera.llm.text import mix
@@ -73,8 +72,3 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(blob: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def gathered(found: DataFrame, column: str) -> DataFrame:
-    """One row a key: the list of its packed values."""
-    return found.groupBy("key").agg(F.collect_list(column).alias(column))

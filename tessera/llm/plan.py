@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def per_process(name: str, shared: Broadcast, make: Callable) -> object:
+    """make(shared.value), once for each Python worker and broadcast rather than once a task."""
+    value = shared.value  # loaded once a worker
+    if name not in _kept or _kept[name][0] is not value:
+        _kept[name] = (value, make(value))
+    return _kept[name][1]
+
+
 def record(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     """A batch from arrays or lists, converted to the schema's types."""
     arrays = [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]

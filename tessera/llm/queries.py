@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, sst, substring_dedup, suffix_tree
+from tessera.llm import cotraining, decontaminate, pieces, pii, quality_rules, sst, substring_dedup, suffix_tree, whole_token
 from tessera.llm.jaccard_join import jaccard_components
 
 
@@ -19,6 +19,22 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op2_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_token.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
+
+
+def op3_log_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sst.write_shards(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
     return sst.read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -43,5 +59,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_sorted_string_tables, op6_suffix_tree_scores, op7_seed_and_extend, op8_fm_index, op9_ngram_jaccard_join)}
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
+
+
+_ALL = (op1_weak_supervision, op2_whole_token_counts, op3_log_ratio_rules, op4_piece_viterbi, op5_sorted_string_tables, op6_suffix_tree_scores, op7_seed_and_extend, op8_fm_index, op9_ngram_jaccard_join, op10_cotraining)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}

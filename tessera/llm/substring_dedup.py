@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.filters import gathered, pack, partners, unpack
+from tessera.llm.filters import pack, partners, unpack
 from tessera.llm.plan import bucket_count, keyed, materialise, record
 from tessera.llm.text import Words, chunks, column_bytes
 
@@ -87,23 +87,50 @@ def _entries(hash_: np.ndarray, key: np.ndarray, place: np.ndarray, buckets: int
         keys, runs = [], []
         for b in full:
             own = k[cut[b] : cut[b + 1]]
-            edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            edge, length = _runs(own)
             keys.append(own[edge].tobytes())
-            runs.append(pack(np.diff(np.append(edge, len(own))).astype(np.uint32)))
+            runs.append(pack(length.astype(np.uint32)))
         yield _mixed(len(full), kind=[1] * len(full), bucket=full.tolist(), hashes=[h[cut[b] : cut[b + 1]].tobytes() for b in full], places=[pack(p[cut[b] : cut[b + 1]]) for b in full], keys=keys, runs=runs)
 
 
-def _places(key: np.ndarray, place: np.ndarray, buckets: int, bucket: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Places of repeats by document (kind 2)."""
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and the runs' lengths."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return edge, np.diff(np.append(edge, len(key)))
+
+
+def _places(key: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Places of repeats (kind 2), by the bucket of their document."""
     if not len(key):
         return
+    home = key.view(np.uint64) % np.uint64(buckets)
+    order = np.lexsort((place, key, home))
+    key, place, home = key[order], place[order], home[order]
+    cut = np.searchsorted(home, np.arange(buckets + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(cut))
+    keys, runs = [], []
+    for b in full:
+        own = key[cut[b] : cut[b + 1]]
+        edge, length = _runs(own)
+        keys.append(own[edge].tobytes())
+        runs.append(pack(length.astype(np.uint32)))
+    yield _mixed(len(full), kind=[2] * len(full), bucket=full.tolist(), keys=keys, runs=runs, places=[pack(place[cut[b] : cut[b + 1]]) for b in full])
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Key and place of every packed entry."""
+    key = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
+    key = np.repeat(key, np.concatenate([unpack(x, np.uint32) for x in table["runs"].to_pylist()]))
+    return key, np.concatenate([unpack(x, np.uint32) for x in table["places"].to_pylist()])
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """(key, places) of a bucket's documents."""
+    key, place = _unpacked(table)
     order = np.lexsort((place, key))
     key, place = key[order], place[order]
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    ends = np.append(edge[1:], len(key))
-    own = key[edge]
-    at = (own.view(np.uint64) % np.uint64(buckets)).astype(np.int32) if bucket is None else np.full(len(own), bucket, np.int32)
-    yield _mixed(len(own), kind=np.full(len(own), 2, np.int32), bucket=at, key=own, places=[pack(place[a:b]) for a, b in zip(edge, ends, strict=True)])
+    edge, length = _runs(key)
+    return pa.table({"key": key[edge], "places": pa.array([pack(np.unique(place[a : a + n])) for a, n in zip(edge, length, strict=True)], pa.binary())})
 
 
 def _gather(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -147,7 +174,7 @@ def _extend_task(batches: Iterator[pa.RecordBatch], window: int, gram: int, buck
             for part in chunks(batch):
                 words = Words(*column_bytes(part.column(2)), fold=False)
                 key = part.column(0).to_numpy()
-                seeds = [np.concatenate([unpack(x, np.uint32) for x in blobs]) for blobs in part.column(3).to_pylist()]
+                seeds = [unpack(x, np.uint32) for x in part.column(3).to_pylist()]
                 seed = np.unique(np.concatenate([s + f for s, f in zip(seeds, words.first[:-1], strict=True)]))
                 start, place, _ = anchors(words, window, gram)
                 start = start[np.isin(place, seed)]
@@ -164,14 +191,12 @@ def _repeats(table: pa.Table, buckets: int) -> pa.Table:
     out = [passed]
     if asked.num_rows:
         hash_ = np.frombuffer(b"".join(asked["hashes"].to_pylist()), np.uint64)
-        place = np.concatenate([unpack(x, np.uint32) for x in asked["places"].to_pylist()])
-        key = np.frombuffer(b"".join(asked["keys"].to_pylist()), np.int64)
-        key = np.repeat(key, np.concatenate([unpack(x, np.uint32) for x in asked["runs"].to_pylist()]))
+        key, place = _unpacked(asked)
         known = np.unique(np.frombuffer(b"".join(loud["hashes"].to_pylist()), np.uint64))
         values, back, times = np.unique(hash_, return_inverse=True, return_counts=True)
         repeated = (times > 1) | np.isin(values, known, assume_unique=True)
         keep = repeated[back]
-        out += [pa.Table.from_batches([b]) for b in _places(key[keep], place[keep], buckets, table["bucket"][0].as_py())]
+        out += [pa.Table.from_batches([b]) for b in _places(key[keep], place[keep], buckets)]
     return pa.concat_tables(out)
 
 
@@ -184,9 +209,9 @@ def _remove_task(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
     schema = pa.schema([("key", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()), ("spans", span)])
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for key, text, blobs in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for key, text, places in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             words = (text or "").encode("utf-8", "surrogatepass").split()
-            starts = np.unique(np.concatenate([unpack(x, np.uint32) for x in blobs])).astype(np.int64)
+            starts = unpack(places, np.uint32).astype(np.int64)
             gone = np.zeros(len(words) + 1, np.int64)
             np.add.at(gone, starts, 1)
             np.add.at(gone, starts + window, -1)
@@ -212,10 +237,11 @@ def repeated_passages(docs: DataFrame, window: int = 35, gram: int = GRAM) -> Da
     rows, buckets = keyed(docs), bucket_count(docs)
     meet = lambda d, name: materialise(d.groupBy("bucket").applyInArrow(lambda t: _repeats(t, buckets), _MIXED), name)
     first = meet(rows.mapInArrow(lambda it: _seed_task(it, window, gram, buckets), _MIXED), "seeds")
+    gathered = lambda d: d.filter("kind = 2").select("bucket", "keys", "runs", "places").groupBy("bucket").applyInArrow(_by_document, "key long, places binary")
     documents = first.filter("kind = 0").select("key", "doc_id", "n_words", "sha")
-    seeds = gathered(first.filter("kind = 2"), "places")
+    seeds = gathered(first)
     second = meet(partners(rows, seeds).mapInArrow(lambda it: _extend_task(it, window, gram, buckets), _MIXED), "windows")
-    repeats = gathered(second.filter("kind = 2"), "places")
+    repeats = gathered(second)
     removed = partners(rows, repeats).mapInArrow(lambda it: _remove_task(it, window), _REMOVED).dropDuplicates(["key"])
     joined = documents.alias("d").join(removed.alias("r"), "key", "left")
     return joined.select("key", "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("r.sha", "d.sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")).alias("spans"))

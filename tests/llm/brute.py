@@ -111,3 +111,37 @@ def shards(rows: list[tuple], path: str, end_id: int = 2) -> list[tuple]:
         out.append((d, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)
     return out
+
+
+def base_pii(doc_id: int | None, text: str | None) -> tuple:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256) by the contract's patterns as they stand."""
+    text = text or ""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(s: str) -> bool:
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15),
+    }
+    found = [(k, m.start(), m.end()) for k, (p, ok) in rules.items() for m in re.finditer(p, text) if ok(m[0])]
+    joined = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+    return (doc_id, *[sum(f[0] == k for f in found) for k in rules], hashlib.sha256(joined.encode()).hexdigest())
+
+
+def rules(doc_id: int | None, text: str | None) -> tuple:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    text = text or ""
+    w = WORD.findall(text)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    seen = Counter(windows)
+    hit = {i + j for i, x in enumerate(windows) if seen[x] > 1 for j in range(3)}
+    lines, before, dup = text.split("\n"), set(), 0
+    for line in lines:
+        if WORD.search(line):
+            dup += line in before
+            before.add(line)
+    return (doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w))
