@@ -13,8 +13,12 @@ An id is found with the filter, a binary search of the sparse index, and one blo
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -26,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.plan import bucket_count, materialise, new_folder, record
-from tessera.llm.text import chunks
+from tessera.llm.text import column_bytes
+from tessera.llm.whole_token import byte_alphabet
 
 #: Bytes of a data block, and of a shard's data, before the next begins.
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 128 << 20
@@ -34,8 +39,8 @@ BLOCK_BYTES, SHARD_BYTES = 64 << 10, 128 << 20
 RESTART, BLOOM_BITS, BLOOM_PROBES = 16, 10, 7
 MAGIC = b"TSSTAB01"
 _FOOTER = struct.Struct("<QQQQQQQI8s")
-#: Words that a task remembers the ids of, before it forgets all.
-REMEMBERED = 300_000
+#: Words that a task remembers the ids of, before it forgets all, and a word's longest length in bytes.
+REMEMBERED, LONGEST = 500_000, 64
 
 
 def key_bytes(doc_id: int | None, ordinal: int) -> bytes:
@@ -81,17 +86,17 @@ class Writer:
         self.in_block = self.documents = self.tokens = 0
         self.last = b""
 
-    def add(self, key: bytes, ids: np.ndarray) -> None:
+    def add(self, key: bytes, value: bytes) -> None:
+        """A document's key and its packed ids, width bytes each, little-endian."""
         if self.documents and key <= self.last:
             raise ValueError("keys must ascend")
         shared = 0
         if self.in_block % RESTART:
             shared = next((i for i, (a, b) in enumerate(zip(key, self.last, strict=False)) if a != b), len(key))
-        value = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.in_block += 1
         self.documents += 1
-        self.tokens += len(ids)
+        self.tokens += len(value) // self.width
         self.ids.append(key[:9])
         self.last = key
         if len(self.block) >= BLOCK_BYTES:
@@ -198,32 +203,61 @@ def read_file(path: str) -> Reader:
         return Reader(f.read())
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizers file that drops white space, so that words can be encoded apart.
+#: Fixed value: the split pattern of tokenizers with word ends, by which words are letters, single digits, or other signs.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
-    Every word goes through the library; the ids of recent words are remembered.
-    """
 
-    def __init__(self, path: str):
-        import os
+class WordIds(dict):
+    """Packed ids of words by a tokenizers file that drops white space, so that words can be encoded apart.
+
+    Ids come from the library. A word of plain letters (already composed, with one lower
+    case) goes straight to its model, a sign after such a word is encoded by itself, and any
+    other word goes through the whole tokenizer. Recent words are remembered.
+    """
 
+    def __init__(self, path: str, width: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__()
+        self.tokenizer, self.kind = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split = [t.split() for t in texts]
-        fresh = list({w for words in split for w in words} - self.known.keys())
-        for word, got in zip(fresh, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, np.uint32)
-        at, empty = self.known.__getitem__, np.zeros(0, np.uint32)
-        return [np.concatenate(list(map(at, words))) if words else empty for words in split]
+        self.model = self.tokenizer.model
+        spec = json.load(open(path, encoding="utf-8"))
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": WORD_PATTERN} and [x["type"] for x in rest] == ["ByteLevel"]
+        if not self.plain and not steps:
+            raise ValueError(f"{path} is not a tokenizer of white-space separated words")
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        found = _LETTERS.fullmatch(text) if self.plain else None
+        if found is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        elif found[2]:
+            return self._keep(word, self[found[1].encode()] + self.sign(found[2]))
+        else:
+            ids = [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))]
+        return self._keep(word, array(self.kind, ids).tobytes())
+
+    def sign(self, text: str) -> bytes:
+        found = self.get(text.encode())
+        return self._keep(text.encode(), array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()) if found is None else found
+
+    def _keep(self, word: bytes, value: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(word) <= LONGEST:
+            self[word] = value
+        return value
+
+    def encode(self, text: bytes) -> bytes:
+        # Case is dropped anyway; special strings, which it would make or break, hold <|.
+        return b"".join(map(self.__getitem__, (text.lower() if self.plain and b"<|" not in text else text).split()))
 
 
 _MANIFEST_SCHEMA = pa.schema([("path", pa.string()), ("first_key", pa.binary()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
@@ -233,10 +267,10 @@ _MANIFEST = "path string, first_key binary, n_docs long, n_tokens long, n_bytes
 def _write_task(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_id: int | None, width: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encode, writer, rows = WordEncoder(tokenizer), Writer(width), []
+    words, writer, rows = WordIds(tokenizer, width), Writer(width), []
     attempt = f"attempt{TaskContext.get().taskAttemptId()}"
     first, previous, ordinal = b"", object(), 0
-    tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
+    tail = b"" if end_id is None else end_id.to_bytes(width, "little")
 
     def close() -> None:
         nonlocal writer
@@ -248,16 +282,15 @@ def _write_task(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str,
         writer = Writer(width)
 
     for batch in batches:
-        for part in chunks(batch, limit=4 << 20):
-            texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
-                ordinal = ordinal + 1 if doc_id == previous else 0
-                previous = doc_id
-                if writer.size() >= SHARD_BYTES:
-                    close()
-                key = key_bytes(doc_id, ordinal)
-                first = first if writer.documents else key
-                writer.add(key, np.concatenate((ids, tail)))
+        raw, at = column_bytes(batch.column(1))
+        for i, doc_id in enumerate(batch.column(0).to_pylist()):
+            ordinal = ordinal + 1 if doc_id == previous else 0
+            previous = doc_id
+            if writer.size() >= SHARD_BYTES:
+                close()
+            key = key_bytes(doc_id, ordinal)
+            first = first if writer.documents else key
+            writer.add(key, words.encode(raw[at[i] : at[i + 1]].tobytes()) + tail)
     close()
     if rows:
         yield record(_MANIFEST_SCHEMA, list(zip(*rows, strict=True)))
