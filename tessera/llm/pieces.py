@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from tessera.llm.plan import per_process, record
 #: Fixed value: the mark that stands for a space in pieces.
 MARK = "▁"
 #: Parts of texts, and pairs of pieces, that a task remembers, and a part's longest length.
-REMEMBERED, PAIRS, LONGEST = 200_000, 1_000_000, 64
+REMEMBERED, PAIRS, LONGEST = 500_000, 1_000_000, 64
 _NONE, _UNKNOWN = -1, -2
 
 
@@ -95,6 +96,22 @@ def load(path: str) -> Model:
     return model
 
 
+class _Known(dict):
+    """Ids of recent parts; a missing one is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: str) -> list[int]:
+        found = self.encode(part)
+        if len(part) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = found
+        return found
+
+
 class Encoder:
     def __init__(self, model: Model):
         import ahocorasick
@@ -103,7 +120,7 @@ class Encoder:
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == "normal"}
         self.letters = {p for p in self.ids if len(p) == 1}
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known = _Known(self.encode_part)
         self.lengths = [len(p) for p in model.pieces]
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
@@ -117,7 +134,19 @@ class Encoder:
         tied = {p for p, i in self.ids.items() if scores[model.scores[i]] > 1 and len(p) > 1}
         if model.merges and any(set(p) != {MARK} for p in tied):
             raise ValueError("pieces of equal score")
-        self.part = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.part = self._parts()
+
+    def _parts(self) -> re.Pattern:
+        """Cuts texts where no piece can span: before space marks, around characters that no longer piece
+        holds, and between a letter and a sign that follows a letter in no piece."""
+        longer = [p for p in self.ids if len(p) > 1]
+        joined = {c for p in longer for c in p}
+        after_letter = {b for p in longer for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        alone = re.escape("".join(c for c in map(chr, range(128)) if c not in joined and c != " "))
+        signs = re.escape("".join(c for c in map(chr, range(33, 127)) if c in joined and not c.isalnum() and c not in after_letter))
+        # A run without signs goes on over a sign only if it does not end in a letter.
+        plain, on = f"[^{MARK}{signs}{alone}]", f"(?:(?<![^\\W\\d_])[{signs}][^{MARK}{alone}]*)?"
+        return re.compile(f"{MARK}+{plain}*{on}|{plain}+{on}|[{alone}]+|[{signs}][^{MARK}{alone}]*")
 
     def merged(self, text: str) -> list[int]:
         """By the definition of BPE: the adjacent pair of the best score, the leftmost of equals, is merged until none is left."""
@@ -206,24 +235,13 @@ class Encoder:
         return out
 
     def encode_part(self, part: str) -> list[int]:
-        found = self.known.get(part)
-        if found is None:
-            found = self.merged(part) if self.model.merges and part.startswith(MARK * 2) else self.viterbi(part)
-            if len(part) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[part] = found
-        return found
+        return self.merged(part) if self.model.merges and part.startswith(MARK * 2) else self.viterbi(part)
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         text = (MARK if self.model.prefix else "") + text.replace(" ", MARK)
-        out: list[int] = []
-        get = self.known.get
-        for part in self.part.findall(text):
-            out += get(part) or self.encode_part(part)
-        return out
+        return list(chain.from_iterable(map(self.known.__getitem__, self.part.findall(text))))
 
     def decode(self, ids: list[int]) -> str:
         pieces, kinds = self.model.pieces, self.model.kinds

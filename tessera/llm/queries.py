@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import cotraining, decontaminate, pieces, pii, quality_rules, sst, substring_dedup, suffix_tree, whole_token
@@ -19,6 +19,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def trained() -> Column:
+    """Whether a row's text is learned from: the CRC-32 of its doc_id as text is not 2 modulo 7; rows without one are."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
+
+
 def op1_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -42,8 +47,7 @@ def op5_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    scored = suffix_tree.suffix_tree_scores(docs.withColumn("trained", ~held_out))
+    scored = suffix_tree.suffix_tree_scores(docs.withColumn("trained", trained()))
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
