@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from tessera.plans import evaluation, evidence, inference, screening, statistics  # noqa: F401  (they register their queries)
+from tessera.plans.registry import ORACLES, QUERIES
 
 
 def queries() -> dict[str, Callable]:
