@@ -27,7 +27,7 @@ from tessera.llm.text import Words, chunks, column_bytes, mix, shingles
 #: Slots of the table that orders shingles by how common they are, and rows it travels in.
 SLOT_BITS, SLOT_ROWS = 22, 64
 #: Entries that a task gathers before it hands them to the buckets.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: A group's key holds its size above these bits.
 SIZE_SHIFT = 40
 #: Rounds in which every group meets one other of each list.

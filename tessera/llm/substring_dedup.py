@@ -28,7 +28,7 @@ from tessera.llm.text import Words, chunks, column_bytes
 #: Words of a gram. A window of 35 words then holds 20 grams and picks one of them.
 GRAM = 16
 #: Entries that a task gathers before it hands them to the buckets.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 
 _FIELDS = [("kind", pa.int32()), ("bucket", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("places", pa.binary()), ("hashes", pa.binary()), ("keys", pa.binary()), ("runs", pa.binary())]
 _MIXED = "kind int, bucket int, key long, doc_id long, n_words long, sha string, places binary, hashes binary, keys binary, runs binary"
