@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.ngrams import BITS, slots, summed, text_means
-from tessera.llm.plan import record, row_key
+from tessera.llm.plan import record, release, row_key, small_batches
 from tessera.llm.text import chunks, column_bytes
 
 #: Labelled rows at most, of each class, that models start from and calibration uses, by a hash of their id.
@@ -121,6 +121,7 @@ def _count_task(batches: Iterator[pa.RecordBatch], labels: Broadcast, views: Bro
                 meta[k] += np.bincount(places[for_meta[k]].ravel(), minlength=1 << META_BITS)
     if total.any():
         yield total
+    release()
 
 
 def _ratios(counts: np.ndarray) -> np.ndarray:
@@ -183,6 +184,7 @@ def fit(rows: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Views:
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     given = {c.lower() for c in docs.columns}
     column = lambda name, kind: F.col(name).cast(kind).alias(name) if name in given else F.lit(None).cast(kind).alias(name)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", column("source", "string"), column("lang", "string"), column("n_chars", "long"), row_key("doc_id", "text").alias("key"))

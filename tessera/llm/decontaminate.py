@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.plan import keyed, record
+from tessera.llm.plan import keyed, record, release
 from tessera.llm.text import ALNUM, Words, chunks, column_bytes
 
 #: Words to a shard at most, but for a single longer document.
@@ -268,6 +268,7 @@ def _search_task(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterat
                 shard = Shard()
     if shard.columns[0]:
         yield from shard.search(wanted.value)
+    release()
 
 
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
@@ -348,10 +349,9 @@ def _clean_task(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterato
         yield record(schema, [*batch.columns[:-2], texts])
 
 
-def without_spans(rows: DataFrame) -> DataFrame:
-    """rows (…, text, spans): the same rows with the spans cut out of text, and no column spans."""
-    out = rows.drop("spans")
-    rows = rows.select(*[c for c in out.columns if c != "text"], "text", "spans")
-    kept = rows.drop("spans").schema
+def without_spans(rows: DataFrame, spans: str = "spans") -> DataFrame:
+    """rows (…, text, spans): the same rows with the spans cut out of text, and without that column."""
+    out = rows.drop(spans)
+    rows = rows.select(*[c for c in out.columns if c != "text"], "text", spans)
+    kept = rows.drop(spans).schema
     return rows.mapInArrow(lambda it: _clean_task(it, to_arrow_schema(kept)), kept).select(*out.columns)
-

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.filters import contains, member_filter, pack, unpack
 from tessera.llm.graph import components
-from tessera.llm.plan import bucket_count, join_blobs, keyed, materialise, record
+from tessera.llm.plan import bucket_count, join_blobs, keyed, materialise, record, release
 from tessera.llm.text import Words, chunks, column_bytes, mix, shingles
 
 #: Slots of the table that orders shingles by how common they are, and rows it travels in.
@@ -58,19 +58,14 @@ def _class_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _count_task(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    counts, held, size = np.zeros(1 << SLOT_BITS, np.int64), [], 0
+    counts = np.zeros(1 << SLOT_BITS, np.uint32)
     for batch in batches:
         for part in chunks(batch):
-            held.append(_slots(shingles(Words(*column_bytes(part.column(2))), width)[0]))
-            size += len(held[-1])
-            if size > 4_000_000:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                held, size = [], 0
-    if held:
-        counts += np.bincount(np.concatenate(held), minlength=len(counts))
+            np.add.at(counts, _slots(shingles(Words(*column_bytes(part.column(2))), width)[0]), 1)
     if counts.any():
         small = np.minimum(counts, 255).astype(np.uint8).reshape(SLOT_ROWS, -1)
         yield record(pa.schema([("part", pa.int32()), ("counts", pa.binary())]), [list(range(SLOT_ROWS)), [x.tobytes() for x in small]])
+    release()
 
 
 def _sum_slots(table: pa.Table) -> pa.Table:
@@ -166,6 +161,7 @@ def _prefix_task(batches: Iterator[pa.RecordBatch], levels: Broadcast, width: in
                 held, size = [], 0
     if size:
         yield from flush()
+    release()
 
 
 def _fits(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
@@ -242,6 +238,7 @@ def _sets_task(batches: Iterator[pa.RecordBatch], wanted: Broadcast, width: int)
             hit = np.flatnonzero(contains(wanted, cid) & (np.diff(offsets) > 0))
             hit = [i for i in hit if cid[i] not in seen and not seen.add(cid[i])]
             yield record(schema, [cid[hit], [hashes[offsets[i] : offsets[i + 1]].tobytes() for i in hit]])
+    release()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of input to a bucket of a packed exchange.
 BUCKET_BYTES = 16 << 20
+#: Catalyst's estimates from here on (multiplied up through joins, or the default of an unknown size) say nothing.
+UNKNOWN_BYTES = 1 << 58
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,7 +49,10 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def bucket_count(docs: DataFrame) -> int:
     """Buckets of a packed exchange: in proportion to the input, so that each stays of one size."""
-    by_size = math.ceil(min(estimated_bytes(docs), 1 << 50) / BUCKET_BYTES)
+    size = estimated_bytes(docs)
+    if size >= UNKNOWN_BYTES:  # not a plain scan: Catalyst can't tell
+        size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    by_size = math.ceil(size / BUCKET_BYTES)
     return max(by_size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -54,8 +61,23 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[c for name in columns for c in (F.col(name), F.col(name).isNull())])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts: Spark's default of 10,000 rows would hold tens of megabytes in every worker and again
+    in its executor. A session that sets its own size keeps it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def release() -> None:
+    """Gives the memory of a finished task back: workers stay for the next one."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(key, doc_id, text) of documents; other columns do not take part."""
+    small_batches(docs.sparkSession)
     return docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 

@@ -9,26 +9,31 @@ from tessera.llm.decontaminate import benchmark_hits, without_spans
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.plan import row_key
 
-_KEY, _SPANS = "__row_key", "spans"
+
+def _free(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """Of each class of near copies the row with the least doc_id; texts without words all stay."""
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    found = jaccard_components(docs)
-    stay = found.filter("n_shingles > 0 AND key = first_key").select(F.col("key").alias(_KEY)).distinct()
-    rest = docs.filter(~wordless).withColumn(_KEY, row_key("doc_id", "text")).join(stay, _KEY, "left_semi").dropDuplicates([_KEY]).drop(_KEY)
+    found, key = jaccard_components(docs), _free(docs, "row_key")
+    stay = found.filter("n_shingles > 0 AND key = first_key").select(F.col("key").alias(key)).distinct()
+    rest = docs.filter(~wordless).withColumn(key, row_key("doc_id", "text")).join(stay, key, "left_semi").dropDuplicates([key]).drop(key)
     return rest.unionByName(docs.filter(wordless))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows with benchmark passages cut out of their texts; n_chars follows a changed text."""
-    hits = benchmark_hits(docs, benchmark).filter(F.size(_SPANS) > 0).select(F.col("key").alias(_KEY), _SPANS).dropDuplicates([_KEY])
-    rows = docs.drop(_SPANS) if _SPANS in docs.columns else docs
-    joined = rows.withColumn(_KEY, row_key("doc_id", "text")).join(hits, _KEY, "left")
-    hit = joined.filter(F.col(_SPANS).isNotNull()).drop(_KEY)
-    cut = without_spans(hit)
+    key, spans = _free(docs, "row_key"), _free(docs, "row_spans")
+    hits = benchmark_hits(docs, benchmark).filter(F.size("spans") > 0).select(F.col("key").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
+    joined = docs.withColumn(key, row_key("doc_id", "text")).join(hits, key, "left")
+    cut = without_spans(joined.filter(F.col(spans).isNotNull()).drop(key), spans)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    clean = joined.filter(F.col(_SPANS).isNull()).drop(_KEY, _SPANS)
-    return clean.unionByName(cut).select(*rows.columns)
+    clean = joined.filter(F.col(spans).isNull()).drop(key, spans)
+    return clean.unionByName(cut).select(*docs.columns)

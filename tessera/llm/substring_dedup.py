@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.filters import pack, partners, unpack
-from tessera.llm.plan import bucket_count, keyed, materialise, record
+from tessera.llm.plan import bucket_count, keyed, materialise, record, release
 from tessera.llm.text import Words, chunks, column_bytes
 
 #: Words of a gram. A window of 35 words then holds 20 grams and picks one of them.
@@ -146,6 +146,7 @@ def _gather(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets:
             held, size = [], 0
     if size:
         yield from _entries(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+    release()
 
 
 def _seed_task(batches: Iterator[pa.RecordBatch], window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:

@@ -48,7 +48,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** n, kept and grown as needed."""
     have = _powers.get(int(base))
     if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 18)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
@@ -120,7 +120,7 @@ class Words:
         return mix((total[starts + width] - total[starts]) * powers(_ROLL_INV, m)[starts] + np.uint64(1) * np.asarray(width, np.uint64))
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18):
     """Row ranges of a batch with about limit bytes of text each, never less than a row."""
     _, at = column_bytes(batch.column(batch.schema.get_field_index(column)))
     low = 0
