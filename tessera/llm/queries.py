@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import cotraining, decontaminate, pieces, pii, quality_rules, sst, substring_dedup, suffix_tree, whole_token
 from tessera.llm.jaccard_join import jaccard_components
+from tessera.llm.oracles import ORACLE_SQL  # noqa: F401  (read by __spark_entry__)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +70,3 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_weak_supervision, op2_whole_token_counts, op3_log_ratio_rules, op4_piece_viterbi, op5_sorted_string_tables, op6_suffix_tree_scores, op7_seed_and_extend, op8_fm_index, op9_ngram_jaccard_join, op10_cotraining)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
