@@ -23,6 +23,18 @@ def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def priority_columns(df: DataFrame, first: list[str]) -> DataFrame:
+    """The named columns that there are first, the others after them in their order."""
+    known = [c for c in first if c in df.columns]
+    return df.select(*known, *[c for c in df.columns if c not in known])
+
+
+def predictors(df: DataFrame, excluded: list[str]) -> list[str]:
+    """Numeric columns that are not excluded by name, in any case."""
+    barred = {c.lower() for c in excluded}
+    return [c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") and c.lower() not in barred]
+
+
 def find_column(columns: list[str], candidates: list[str], required: bool = True) -> str | None:
     """The first candidate among the columns as it is, else in any case, else by containing its words."""
     for test in (lambda c, w: c == w, lambda c, w: c.lower() == w.lower(), lambda c, w: all(x in c.lower() for x in w.lower().replace("_", " ").split())):

@@ -36,7 +36,7 @@ def confusion_counts(t: Tables) -> DataFrame:
     return _with_metrics(t.predictions.agg(*_counts(F.col("p"), F.col("y"), 0.4)))
 
 
-@query(f"SELECT l_suppkey, {_METRICS} FROM (SELECT l_suppkey, {_AT.format(t='4e-1')} FROM {PREDICTIONS} p GROUP BY 1) c")
+@query(f"SELECT l_suppkey, {_METRICS} FROM (SELECT l_suppkey, {_AT.format(t='4e-1')} FROM {PREDICTIONS} p GROUP BY 1) c", name="confusion_metrics")
 def confusion_metrics_by_group(t: Tables) -> DataFrame:
     return _with_metrics(t.predictions.groupBy("l_suppkey").agg(*_counts(F.col("p"), F.col("y"), 0.4))).select("l_suppkey", *_SHOWN)
 
@@ -46,6 +46,14 @@ def published_confusion(t: Tables) -> DataFrame:
     return _with_metrics(t.spark.createDataFrame([(415, 2642, 181, 8800)], "tp long, fp long, fn long, tn long"))
 
 
+_H = "(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END + CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END)"
+
+
+@query(f"SELECT CASE WHEN 1 - {_H} < .4 THEN 'Low' WHEN 1 - {_H} < .7 THEN 'Medium' ELSE 'High' END AS confidence, CAST(count(*) AS BIGINT) AS n FROM {PREDICTIONS} q GROUP BY 1", name="confidence_level")
+def confidence_levels(t: Tables) -> DataFrame:
+    return t.predictions.groupBy(confidence_level(1.0 - entropy(F.col("p"))).alias("confidence")).agg(n_rows().alias("n"))
+
+
 _CURVE = f"""(SELECT p AS threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, CAST(sum(pos) OVER () - sum(pos) OVER w AS BIGINT) AS fn, CAST(sum(neg) OVER () - sum(neg) OVER w AS BIGINT) AS tn
   FROM (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM {PREDICTIONS} q GROUP BY 1) d WINDOW w AS (ORDER BY p DESC))"""
 
@@ -115,9 +123,6 @@ def ece(t: Tables) -> DataFrame:
     return _bins(t).agg(r6(F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), r6(F.max(gap)).alias("mce"))
 
 
-_H = "(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END + CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END)"
-
-
 @query(f"SELECT row_id, p, round({_H}, 6) AS entropy, round(1 - {_H}, 6) AS certainty, round(abs(2 * p - 1), 6) AS margin, CASE WHEN 1 - {_H} < .4 THEN 'Low' WHEN 1 - {_H} < .7 THEN 'Medium' ELSE 'High' END AS confidence, p BETWEEN .4 AND .6 AS borderline FROM {PREDICTIONS} q")
 def prediction_uncertainty(t: Tables) -> DataFrame:
     h = entropy(F.col("p"))

@@ -90,7 +90,7 @@ def file_provenance(t: Tables) -> DataFrame:
 
 @query("""SELECT p_type AS target_name, CASE WHEN p_type IS NULL OR trim(p_type) = '' THEN 'EMPTY' WHEN regexp_matches(trim(p_type), '^[0-9]+$') THEN 'DIGITS' WHEN regexp_matches(trim(p_type), '^[A-Za-z]+$') THEN 'LETTERS'
   WHEN regexp_matches(trim(p_type), '^[A-Za-z]+[0-9]+$') THEN 'LETTERS_DIGITS' WHEN regexp_matches(trim(p_type), '^[A-Za-z0-9]+([#_:./ -][A-Za-z0-9]+)+$') THEN 'WITH_SEPARATORS' ELSE 'OTHER' END AS pattern, CAST(count(*) AS BIGINT) AS n
-  FROM (SELECT p_type FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT CAST(p_size AS VARCHAR) FROM part) AS u GROUP BY 1, 2""")
+  FROM (SELECT p_type FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT CAST(p_size AS VARCHAR) FROM part) AS u GROUP BY 1, 2""", name="identifier_pattern")
 def identifier_patterns(t: Tables) -> DataFrame:
     names = t.read("part").select(F.explode(F.array("p_type", "p_brand", F.col("p_size").cast("string"))).alias("target_name"))
     return names.groupBy("target_name", identifier_pattern(F.col("target_name")).alias("pattern")).agg(n_rows().alias("n"))
@@ -240,7 +240,7 @@ def support_distribution_cum(t: Tables) -> DataFrame:
     return running_sums(histogram, [], "k", {"cum": "n"}).join(F.broadcast(total)).select("k", "n", "cum", F.round(F.lit(100.0) * F.col("cum") / F.col("total"), 6).alias("cum_pct"))
 
 
-@query(f"SELECT category, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN k <= 0 THEN 'NO_SUPPORT' WHEN k <= 3 THEN 'VERY_LOW_1_TO_3' WHEN k <= 9 THEN 'LOW_4_TO_9' WHEN k <= 19 THEN 'MODERATE_10_TO_19' ELSE 'HIGH_GE_20' END AS category FROM (SELECT t.target_id, count(DISTINCT a.np_id) AS k FROM {TARGETS} t LEFT JOIN {ASSOC} a ON a.target_id = t.target_id GROUP BY 1) s) c GROUP BY 1")
+@query(f"SELECT category, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN k <= 0 THEN 'NO_SUPPORT' WHEN k <= 3 THEN 'VERY_LOW_1_TO_3' WHEN k <= 9 THEN 'LOW_4_TO_9' WHEN k <= 19 THEN 'MODERATE_10_TO_19' ELSE 'HIGH_GE_20' END AS category FROM (SELECT t.target_id, count(DISTINCT a.np_id) AS k FROM {TARGETS} t LEFT JOIN {ASSOC} a ON a.target_id = t.target_id GROUP BY 1) s) c GROUP BY 1", name="support_category")
 def support_categories(t: Tables) -> DataFrame:
     n = t.targets.select("target_id").join(molecules_per_target(t), "target_id", "left")
     return n.groupBy(support_category(F.coalesce("n_molecules", F.lit(0))).alias("category")).agg(n_rows().alias("n"))

@@ -31,7 +31,7 @@ def _neighbours(t: Tables) -> DataFrame:
 
 
 def _known(t: Tables) -> DataFrame:
-    return t.vectors.select("vec_id", F.explode(F.array(F.col("label"), (F.col("label") + 1) % 10)).cast("long").alias("target_id"))
+    return t.vectors.select("vec_id", F.explode(F.array(F.col("label").cast("long"), ((F.col("label") + 1) % 10).cast("long"))).alias("target_id"))
 
 
 def _evidence(t: Tables) -> DataFrame:
@@ -40,11 +40,11 @@ def _evidence(t: Tables) -> DataFrame:
 
 
 _EVIDENCE = f"(SELECT n.query_id, n.neighbour_id, n.sim, n.rank, k.target_id FROM {NEIGHBOURS} n JOIN {KNOWN} k ON k.vec_id = n.neighbour_id)"
-_SCORED = f"(SELECT query_id, target_id, max(sim) AS max_sim, avg(sim) AS mean_sim, CAST(count(DISTINCT neighbour_id) AS BIGINT) AS support, sum(greatest(sim, 0e0)) AS weighted FROM {_EVIDENCE} e GROUP BY 1, 2)"
+_SCORED = f"(SELECT query_id, target_id, max(sim) AS max_sim, round(CAST(sum(CAST(round(sim * 1e6) AS BIGINT)) AS DOUBLE) / count(*)) / 1e6 AS mean_sim, CAST(count(DISTINCT neighbour_id) AS BIGINT) AS support, sum(greatest(sim, 0e0)) AS weighted FROM {_EVIDENCE} e GROUP BY 1, 2)"
 
 
 def _scored(t: Tables) -> DataFrame:
-    return _evidence(t).groupBy("query_id", "target_id").agg(F.max("sim").alias("max_sim"), F.avg("sim").alias("mean_sim"), F.count_distinct("neighbour_id").alias("support"), F.sum(F.greatest("sim", F.lit(0.0))).alias("weighted"))
+    return _evidence(t).groupBy("query_id", "target_id").agg(F.max("sim").alias("max_sim"), (F.round(F.sum(F.round(F.col("sim") * 1e6).cast("long")).cast("double") / n_rows()) / 1e6).alias("mean_sim"), F.count_distinct("neighbour_id").alias("support"), F.sum(F.greatest("sim", F.lit(0.0))).alias("weighted"))
 
 
 @query(f"SELECT query_id, neighbour_id, sim, rank FROM {NEIGHBOURS} n")
@@ -86,7 +86,7 @@ def tanimoto_bits(t: Tables) -> DataFrame:
     return one.join(two, ["a", "p_brand"]).select("a", "b", r6(tanimoto(F.col("wa"), F.col("wb"))).alias("tanimoto"))
 
 
-@query(f"SELECT CASE WHEN sim >= .9 THEN 'HIGH' WHEN sim >= .7 THEN 'MODERATE' ELSE 'LOW' END AS band, CAST(count(*) AS BIGINT) AS n FROM {NEIGHBOURS} n GROUP BY 1")
+@query(f"SELECT CASE WHEN sim >= .9 THEN 'HIGH' WHEN sim >= .7 THEN 'MODERATE' ELSE 'LOW' END AS band, CAST(count(*) AS BIGINT) AS n FROM {NEIGHBOURS} n GROUP BY 1", name="similarity_band")
 def similarity_bands(t: Tables) -> DataFrame:
     return _neighbours(t).groupBy(similarity_band(F.col("sim")).alias("band")).agg(n_rows().alias("n"))
 

@@ -12,11 +12,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None) -> Callable:
+def query(oracle: str | None = None, name: str | None = None) -> Callable:
     def add(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[name or f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if oracle:
-            ORACLES[f.__name__] = oracle
+            ORACLES[name or f.__name__] = oracle
         return f
 
     return add

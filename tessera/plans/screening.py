@@ -122,3 +122,18 @@ def fold_assignment(t: Tables) -> DataFrame:
 @query("SELECT doc_id AS id, CAST(length(text) AS BIGINT) AS length, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits, length(text) > 0 AS valid FROM documents")
 def descriptors(t: Tables) -> DataFrame:
     return stats.featurise(t.read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("structure")))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(coalesce(w.e, m.e), 6) AS e, round(coalesce(w.f, m.f), 4) AS f, CASE WHEN w.e IS NULL AND w.f IS NULL THEN 'e;f' WHEN w.e IS NULL THEN 'e' WHEN w.f IS NULL THEN 'f' ELSE '' END AS imputed FROM {_FINITE} w, (SELECT median(e) AS e, median(f) AS f FROM {_FINITE} v WHERE train) m")
+def median_fallback(t: Tables) -> DataFrame:
+    """Query rows with the train medians where a feature is missing, and the names of those."""
+    gone = F.array_join(F.filter(F.array(*[F.when(finite(F.col(c)).isNull(), F.lit(c)) for c in "ef"]), lambda x: x.isNotNull()), ";")
+    filled = features.impute(_wide(t).withColumn("imputed", gone), F.col("train"), ["e", "f"])
+    return filled.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(F.col("e")).alias("e"), F.round("f", 4).alias("f"), "imputed")
+
+
+@query("SELECT md5(text) AS structure FROM documents WHERE doc_id % 5 <> 0 INTERSECT SELECT md5(text) FROM documents WHERE doc_id % 5 = 0")
+def structure_overlap(t: Tables) -> DataFrame:
+    """Structures on both sides of a split by row: a warning, not an error."""
+    rows = t.read("documents").select("doc_id", F.md5("text").alias("structure"))
+    return rows.filter("doc_id % 5 <> 0").select("structure").intersect(rows.filter("doc_id % 5 = 0").select("structure"))
