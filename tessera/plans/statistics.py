@@ -58,9 +58,9 @@ def average_precision(t: Tables) -> DataFrame:
     return stats.average_precision(t.features, ["feature", "train"]).select("feature", "train", r6(F.col("average_precision")).alias("average_precision"), r6(F.col("prevalence")).alias("prevalence"))
 
 
-@query("""SELECT p, n, round(least(1e0, min(raw) OVER (ORDER BY p DESC)), 9) AS q FROM (SELECT p, n, p * sum(n) OVER () / sum(n) OVER (ORDER BY p) AS raw FROM (SELECT round(c_acctbal / 20000 + 0.06, 4) AS p, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_acctbal > -1000 GROUP BY 1) c) r""")
+@query("""SELECT p, n, round(least(1e0, min(raw) OVER (ORDER BY p DESC)), 9) AS q FROM (SELECT p, n, p * sum(n) OVER () / sum(n) OVER (ORDER BY p) AS raw FROM (SELECT (CAST(round(c_acctbal * 100) AS BIGINT) + 200000) // 200 / 1e4 AS p, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_acctbal > -1000 GROUP BY 1) c) r""")
 def bh_fdr(t: Tables) -> DataFrame:
-    tests = t.read("customer").filter("c_acctbal > -1000").select(F.round(F.col("c_acctbal") / 20000 + F.lit(0.06), 4).alias("p"))
+    tests = t.read("customer").filter("c_acctbal > -1000").select(F.expr("(CAST(round(c_acctbal * 100) AS BIGINT) + 200000) div 200 / 1e4").alias("p"))
     return benjamini_hochberg(tests, "p", "q").groupBy("p").agg(n_rows().alias("n"), F.round(F.first("q"), 9).alias("q"))
 
 

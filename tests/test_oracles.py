@@ -1,6 +1,7 @@
 """Every query against its SQL counterpart in DuckDB, over whole tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from tessera.plans import catalog
 
-DATA = Path("/root/testdata/sf0.001")
+DATA = Path(os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables here")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
