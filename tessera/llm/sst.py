@@ -260,6 +260,16 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, (text.lower() if self.plain and b"<|" not in text else text).split()))
 
 
+_encoders: dict[tuple[str, int], WordIds] = {}
+
+
+def word_ids(path: str, width: int) -> WordIds:
+    """One encoder a Python worker: later tasks find the words of earlier ones."""
+    if (path, width) not in _encoders:
+        _encoders[path, width] = WordIds(path, width)
+    return _encoders[path, width]
+
+
 _MANIFEST_SCHEMA = pa.schema([("path", pa.string()), ("first_key", pa.binary()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 _MANIFEST = "path string, first_key binary, n_docs long, n_tokens long, n_bytes long"
 
@@ -267,7 +277,7 @@ _MANIFEST = "path string, first_key binary, n_docs long, n_tokens long, n_bytes
 def _write_task(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_id: int | None, width: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    words, writer, rows = WordIds(tokenizer, width), Writer(width), []
+    words, writer, rows = word_ids(tokenizer, width), Writer(width), []
     attempt = f"attempt{TaskContext.get().taskAttemptId()}"
     first, previous, ordinal = b"", object(), 0
     tail = b"" if end_id is None else end_id.to_bytes(width, "little")
