@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tessera.llm.plan import per_process, record
+from tessera.llm.plan import per_process, record, release, small_batches
 
 #: Fixed value: the mark that stands for a space in pieces.
 MARK = "▁"
 #: Parts of texts, and pairs of pieces, that a task remembers, and a part's longest length.
-REMEMBERED, PAIRS, LONGEST = 500_000, 1_000_000, 64
+REMEMBERED, PAIRS, LONGEST = 250_000, 500_000, 64
 _NONE, _UNKNOWN = -1, -2
 
 
@@ -145,8 +145,9 @@ class Encoder:
         alone = re.escape("".join(c for c in map(chr, range(128)) if c not in joined and c != " "))
         signs = re.escape("".join(c for c in map(chr, range(33, 127)) if c in joined and not c.isalnum() and c not in after_letter))
         # A run without signs goes on over a sign only if it does not end in a letter.
-        plain, on = f"[^{MARK}{signs}{alone}]", f"(?:(?<![^\\W\\d_])[{signs}][^{MARK}{alone}]*)?"
-        return re.compile(f"{MARK}+{plain}*{on}|{plain}+{on}|[{alone}]+|[{signs}][^{MARK}{alone}]*")
+        sign, lone = f"[{signs}]" if signs else "(?!)", f"[{alone}]" if alone else "(?!)"
+        plain, on = f"[^{MARK}{signs}{alone}]", f"(?:(?<![^\\W\\d_]){sign}[^{MARK}{alone}]*)?"
+        return re.compile(f"{MARK}+{plain}*{on}|{plain}+{on}|(?:{lone})+|{sign}[^{MARK}{alone}]*")
 
     def merged(self, text: str) -> list[int]:
         """By the definition of BPE: the adjacent pair of the best score, the leftmost of equals, is merged until none is left."""
@@ -284,6 +285,7 @@ def _digest_task(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterato
             array = np.array(ids, "<u4")
             rows.append((doc_id, len(ids), int(((array >= low) & (array <= high)).sum()), zlib.crc32(array.tobytes()), encoder.decode(ids) == (text or "").replace(MARK, " ")))
         yield record(_SCHEMA, list(zip(*rows, strict=True)) if rows else [[]] * 5)
+    release()
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -296,6 +298,7 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     empty table gives no rows. Other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(load(path))
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(lambda it: _digest_task(it, model), "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
 
@@ -305,11 +308,13 @@ def _encode_task(batches: Iterator[pa.RecordBatch], model: Broadcast, schema: pa
     for batch in batches:
         at = batch.schema.get_field_index("text") if at is None else at
         yield record(schema, [*batch.columns, [encoder.encode(t or "") for t in batch.column(at).to_pylist()]])
+    release()
 
 
 def encoded(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """docs with one more column: the piece ids of text, an empty list where it is null."""
     model = docs.sparkSession.sparkContext.broadcast(load(path))
+    small_batches(docs.sparkSession)
     docs = docs.drop(column)
     out = StructType([*docs.schema.fields, StructField(column, ArrayType(IntegerType(), False))])
     return docs.mapInArrow(lambda it: _encode_task(it, model, to_arrow_schema(out)), out)
