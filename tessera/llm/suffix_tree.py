@@ -1,17 +1,17 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Word counts cover the whole training corpus and are kept in buckets; a document's part
-that depends on them is summed where they are, so they never meet in one place. Words
-that are common enough are symbols of the tree, all others share the symbol OTHER, whose
-words are told apart by their own counts. The tree's contexts are runs of symbols. A
-context stays if it is common enough and its next-symbol distribution diverges from that
-of the context without its first symbol; next-symbol distributions are smoothed with
-those of the shorter context; a symbol is scored in the state of the longest suffix of
-its past that the tree holds.
-
-    log P(text) = sum over tokens of log P(symbol | state) + log P(word | symbol)
-
-and P(word | symbol) = P0(word) / P0(symbol) with add-one word probabilities P0.
+Every word of the training corpus is a symbol and has its count. The tree's contexts are
+runs of words. A context stays if it was seen often enough, a fixed number of times at any
+size of the corpus, and its next-word distribution diverges from that of the context without
+its first word; next-word distributions are smoothed with those of the shorter context; a
+word is scored in the state of the longest suffix of its past that the tree holds.
+
+    log P(text) = sum over tokens of log P(word | state)
+
+where the state without context has the add-one word probabilities P0. Nothing of this is held
+in one place: word counts are kept in buckets of the word's hash, and the tree in buckets of
+the hash of the word before, where all contexts that end in that word meet. Texts go there
+token by token as numbers of the part's words, and come back as sums.
 """
 
 from __future__ import annotations
@@ -22,29 +22,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.filters import pack, unpack
 from tessera.llm.plan import bucket_count, materialise, record, release, row_key, small_batches
-from tessera.llm.text import Words, chunks, column_bytes
+from tessera.llm.text import Words, chunks, column_bytes, mix
 
-#: The end of a text, as a token's hash and as a symbol; texts start after it.
+#: The end of a text, as a token's hash; texts start after it.
 END_HASH = np.uint64(0x1F83D9ABFB41BD6B)
-END, OTHER, FIRST = 0, 1, 2
 #: Tokens of a part that goes to the buckets as one.
 PART_TOKENS = 2_500_000
 
 
 @dataclass
 class Settings:
-    """symbol_share, context_share: least share of all tokens of a symbol and of a context, which bounds
-    their number by its inverse; depth: longest context; divergence: least Kullback-Leibler divergence
-    (nats) from the shorter context; prior: weight of the shorter context in smoothing."""
+    """least: times that a context was seen at least; depth: longest context; divergence: least Kullback-Leibler
+    divergence (nats) from the shorter context; prior: weight of the shorter context in smoothing."""
 
-    symbol_share: float = 5e-4
-    context_share: float = 5e-4
+    least: int = 10
     depth: int = 3
     divergence: float = 0.02
     prior: float = 20.0
@@ -58,6 +54,16 @@ def _mixed(k: int, **columns) -> pa.RecordBatch:
     return record(pa.schema(_FIELDS), [columns.get(name, pa.nulls(k, kind)) for name, kind in _FIELDS])
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Packed and compressed: the numbers of common words are small, which a shuffle's own codec makes little of."""
+    raw = pack(values)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(blob: bytes, kind: type) -> np.ndarray:
+    return unpack(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, an end after each text's words, and n + 1 offsets."""
     words = Words(*column_bytes(part.column(1)))
@@ -71,7 +77,8 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_task(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """By bucket: distinct words, their counts in training texts, and in which documents of the part they are how often."""
+    """By bucket: distinct words, their counts in training texts, and in which documents of the part they are how often (kind 1).
+    For the part (kind 0): its tokens as numbers of its words, which count bucket by bucket, the end's number, and which documents are learned from."""
     held: list[tuple] = []
     size = 0
 
@@ -99,14 +106,19 @@ def _count_task(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         spread = np.repeat(head[turn] - np.concatenate(([0], np.cumsum(each[turn], dtype=np.int64)[:-1])), each[turn]) + np.arange(len(entry))
         doc, times, word_of = doc[spread].astype(np.uint32), times[spread], hashes[head][turn]
         ends = np.concatenate(([0], np.cumsum(each[turn], dtype=np.int64)))
-        name = int(np.bitwise_xor.reduce(key.view(np.uint64) * np.arange(1, 2 * len(key), 2, dtype=np.uint64)).view(np.int64))
+        place = np.empty(len(turn), np.uint32)
+        place[turn] = np.arange(len(turn))
+        number = np.empty(len(order), np.uint32)
+        number[order] = place[np.cumsum(word) - 1]
+        # Rows of one key that are learned from differ from those that are not.
+        name = int(np.bitwise_xor.reduce((key.view(np.uint64) + trained) * np.arange(1, 2 * len(key), 2, dtype=np.uint64)).view(np.int64))
         full = np.flatnonzero(np.diff(cut))
         piece = lambda values, b: pack(values[ends[cut[b]] : ends[cut[b + 1]]])
         yield _mixed(
             len(full), kind=[1] * len(full), bucket=full.tolist(), part=[name] * len(full), words=[word_of[cut[b] : cut[b + 1]].tobytes() for b in full], trained=[pack(count[turn][cut[b] : cut[b + 1]]) for b in full],
             each=[pack(each[turn][cut[b] : cut[b + 1]]) for b in full], docs=[piece(doc, b) for b in full], times=[piece(times, b) for b in full], tokens=[np.int64(len(key)).tobytes()] * len(full),
         )
-        yield _mixed(1, kind=[0], bucket=[name % buckets], part=[name], keys=[key.tobytes()], tokens=[n.astype(np.int64).tobytes()])
+        yield _mixed(1, kind=[0], bucket=[name % buckets], part=[name], keys=[key.tobytes()], tokens=[n.astype(np.int64).tobytes()], times=[np.int64(place[np.searchsorted(hashes[head], END_HASH)]).tobytes()], docs=[_squeezed(number)], trained=[_squeezed(trained.astype(np.uint8))])
 
     for batch in batches:
         for part in chunks(batch):
@@ -121,9 +133,9 @@ def _count_task(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
     release()
 
 
-def _bucket_task(table: pa.Table, most: int) -> pa.Table:
-    """Sums of each part's documents over the words of this bucket (kind 2), the bucket's totals
-    and its most common words (kind 3); document lists (kind 0) pass."""
+def _bucket_task(table: pa.Table, buckets: int) -> pa.Table:
+    """Sums of each part's documents over the words of this bucket, these words' counts and their ids in the
+    corpus, lower for common ones (kind 2), and the bucket's totals (kind 3); the parts' own rows (kind 0) pass."""
     kinds = table["kind"].to_numpy()
     asked = table.filter(pa.array(kinds == 1))
     out = [table.filter(pa.array(kinds == 0))]
@@ -133,44 +145,79 @@ def _bucket_task(table: pa.Table, most: int) -> pa.Table:
         distinct, back = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(back, np.concatenate(counts), len(distinct)).astype(np.int64)
         log, known = np.log10(total + 1), total > 0
-        at, keys, tokens = 0, [], []
+        bucket, name = table["bucket"][0].as_py(), np.empty(len(total), np.int64)
+        name[np.argsort(-total, kind="stable")] = np.arange(len(total)) * buckets + bucket
+        at, keys, tokens, trained, ids = 0, [], [], [], []
         for own, each, docs, times, n in zip(words, asked["each"].to_pylist(), asked["docs"].to_pylist(), asked["times"].to_pylist(), asked["tokens"].to_pylist(), strict=True):
             word = np.repeat(back[at : at + len(own)], unpack(each, np.uint32))
+            trained.append(_squeezed(total[back[at : at + len(own)]]))
+            ids.append(_squeezed(name[back[at : at + len(own)]]))
             at += len(own)
             docs, times, n = unpack(docs, np.uint32), unpack(times, np.uint32), int(np.frombuffer(n, np.int64)[0])
             keys.append(np.bincount(docs, log[word] * times, n).tobytes())
             tokens.append(pack(np.bincount(docs, known[word] * times, n).astype(np.uint32)))
-        bucket = table["bucket"][0].as_py()
         k = asked.num_rows
-        out.append(pa.Table.from_batches([_mixed(k, kind=[2] * k, bucket=[bucket] * k, part=asked["part"].combine_chunks(), keys=keys, tokens=tokens)]))
-        top = np.argsort(-total, kind="stable")[:most]
-        out.append(pa.Table.from_batches([_mixed(1, kind=[3], bucket=[bucket], words=[distinct[top].tobytes()], trained=[total[top].tobytes()], tokens=[np.array([total.sum(), known.sum()]).tobytes()])]))
+        out.append(pa.Table.from_batches([_mixed(k, kind=[2] * k, bucket=[bucket] * k, part=asked["part"].combine_chunks(), keys=keys, tokens=tokens, trained=trained, words=ids)]))
+        out.append(pa.Table.from_batches([_mixed(1, kind=[3], bucket=[bucket], tokens=[np.array([total.sum(), known.sum()]).tobytes()])]))
     return pa.concat_tables(out)
 
 
 def _totals_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens and distinct words of the training texts, by bucket."""
     for batch in batches:
-        both = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        both = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
         yield record(pa.schema([("n", pa.int64()), ("v", pa.int64())]), [[int(x[0]) for x in both], [int(x[1]) for x in both]])
 
 
-def _common_task(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        word = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
-        count = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        yield record(pa.schema([("word", pa.int64()), ("count", pa.int64())]), [word[count >= least], count[count >= least]])
-
-
-def _part_task(table: pa.Table) -> pa.Table:
-    """Documents of a part with their sums over all buckets."""
+def _part_task(table: pa.Table, settings: Settings, buckets: int) -> pa.Table:
+    """A part's documents with their sums over all buckets (kind 5), and its tokens by the bucket of the word before them
+    (kind 4): the ids and counts of the words they name, and for each token its document, how often it is learned, and
+    the words at and before it. No context can be a state that holds a word of fewer than least occurrences: 0 stands
+    for such words in it, and tokens right after one, which the root scores, are left out."""
     kinds = table["kind"].to_numpy()
     # A part occurs twice if its documents do.
     own, sums = table.filter(pa.array(kinds == 0)), table.filter(pa.array(kinds == 2))
     key, n = np.frombuffer(own["keys"][0].as_py(), np.int64), np.frombuffer(own["tokens"][0].as_py(), np.int64)
     logs = sum((np.frombuffer(x, np.float64) for x in sums["keys"].to_pylist()), np.zeros(len(key))) / own.num_rows
     known = sum((unpack(x, np.uint32).astype(np.int64) for x in sums["tokens"].to_pylist()), np.zeros(len(key), np.int64)) // own.num_rows
-    return pa.table({"key": key, "n_tokens": n, "n_known": known, "logs": logs})
+    by_bucket = sorted(dict(zip(sums["bucket"].to_pylist(), zip(sums["words"].to_pylist(), sums["trained"].to_pylist()), strict=True)).items())
+    words, count = (np.concatenate([_unsqueezed(x[i], np.int64) for _, x in by_bucket]) for i in (0, 1))
+    turn = np.argsort(words)
+    words, count, place = words[turn], count[turn], np.empty(len(turn), np.uint32)
+    place[turn] = np.arange(1, len(turn) + 1)
+    end = place[np.frombuffer(own["times"][0].as_py(), np.int64)[0]]
+    number, learned = place[_unsqueezed(own["docs"][0].as_py(), np.uint32)], _unsqueezed(own["trained"][0].as_py(), np.uint8)
+    doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+    place = np.arange(len(number)) - np.repeat(np.cumsum(n) - n, n)
+    past, rare = np.full((settings.depth + 1, len(number)), end, np.uint32), np.concatenate(([True], count < settings.least))
+    for back in range(settings.depth + 1):
+        inside = np.flatnonzero(place >= back)
+        past[back, inside] = number[inside - back]
+        if back:
+            past[back, rare[past[back]]] = 0
+    follows = past[1] > 0
+    past, doc = past[:, follows], doc[follows]
+    bucket = (mix(words.view(np.uint64)) % np.uint64(buckets))[past[1] - 1]
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(cut))
+    small, named = np.zeros(len(words) + 1, np.uint32), np.zeros(len(words) + 1, bool)
+    columns = {name: [] for name in ("words", "trained", "docs", "times", "each")}
+    for b in full:
+        at = order[cut[b] : cut[b + 1]]
+        mine = past[:, at]
+        named[:] = False
+        named[mine.ravel()] = True
+        named[0] = False
+        used = np.flatnonzero(named)
+        small[used] = np.arange(1, len(used) + 1)
+        used -= 1
+        for name, value in zip(columns, (_squeezed(np.diff(words[used], prepend=0)), _squeezed(count[used]), _squeezed(np.diff(doc[at], prepend=np.uint32(0))), _squeezed(learned[doc[at]] * np.uint32(own.num_rows)), _squeezed(small[mine].ravel())), strict=True):
+            columns[name].append(value)
+    part, k = own["part"][0].as_py(), len(full)
+    rows = _mixed(k, kind=[4] * k, bucket=full.tolist(), part=[part] * k, **columns)
+    sums = _mixed(1, kind=[5], bucket=[part % buckets], part=[part], keys=[key.tobytes()], tokens=[n.tobytes()], times=[known.tobytes()], each=[logs.tobytes()])
+    return pa.Table.from_batches([rows, sums])
 
 
 # The tree ---------------------------------------------------------------------------
@@ -178,9 +225,9 @@ def _part_task(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Tree:
-    """vocabulary: sorted hashes of the symbols from FIRST on (END among them keeps its own number).
-    levels: for each depth from 1 the retained contexts as codes, their entries, and the states'
-    log10 probabilities; bits: of a symbol in a code."""
+    """The part of the tree whose contexts end in some words. vocabulary: ids of words, symbol_of: their symbols,
+    root: P0 by symbol, bits: of a symbol in a code. For each depth from 1: the retained contexts as codes, the
+    weight of the shorter context in them, and their entries with their probabilities."""
 
     vocabulary: np.ndarray
     symbol_of: np.ndarray
@@ -192,20 +239,6 @@ class Tree:
     entries: list[np.ndarray] = field(default_factory=list)  # context code << bits | symbol
     shares: list[np.ndarray] = field(default_factory=list)  # probability without the shorter context's part
 
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, self.symbol_of[at], OTHER)
-
-    def codes(self, symbols: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-        """For each token the code of the depth symbols before it (nearest in the lowest bits); END fills the start of a text."""
-        code = np.zeros(len(symbols), np.int64)
-        place = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
-        for back in range(1, depth + 1):
-            before = np.zeros(len(symbols), np.int64)
-            before[back:] = symbols[:-back]
-            code |= np.where(place >= back, before, END) << (self.bits * (back - 1))
-        return code
-
     def probabilities(self, symbols: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
         """P(symbol | state); codes: of depths 1, 2, ... Retained contexts are closed under suffixes,
         so each step either goes one symbol further back or stays in its state."""
@@ -222,86 +255,89 @@ class Tree:
             p = np.where(inside, share + self.mass[depth][at] * p, p)
         return p
 
-    def grow(self, context: np.ndarray, symbol: np.ndarray, count: np.ndarray, shorter: list[np.ndarray]) -> None:
-        """Adds the contexts of one more symbol that diverge from their suffix. Sorted (context, symbol) with counts."""
-        head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
-        total = np.add.reduceat(count, head) if len(head) else count
+    def grow(self, context: np.ndarray, symbol: np.ndarray, count: np.ndarray, shorter: np.ndarray | list) -> None:
+        """Adds the contexts of one more symbol that are common enough and diverge from their suffix, which is a state.
+        Sorted (context, symbol) with counts; shorter: the pairs' probabilities in the suffix (empty: in the root)."""
+        settings = self.settings
+        q = shorter if len(shorter) else self.root[symbol]
+        head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        total = np.add.reduceat(count, head)
         owner = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(context))))
-        q = self.probabilities(symbol, shorter)
-        share = count / total[owner] if len(head) else count
-        gap = np.add.reduceat(share * np.log(share / q), head) if len(head) else share
-        stays = gap >= self.settings.divergence
-        if len(self.contexts):  # its suffix is a state itself
-            suffix = context[head] & ((1 << (self.bits * len(self.contexts))) - 1)
-            last = self.contexts[-1]
-            at = np.minimum(np.searchsorted(last, suffix), max(len(last) - 1, 0))
-            stays &= (last[at] == suffix) if len(last) else False
-        kept = stays[owner] if len(head) else np.zeros(0, bool)
-        prior = self.settings.prior
+        share = count / total[owner]
+        gap = np.add.reduceat(share * np.log(share / q), head)
+        stays = (total >= settings.least) & (gap >= settings.divergence)
+        kept = stays[owner]
         self.contexts.append(context[head][stays])
-        self.mass.append(prior / (total[stays] + prior))
+        self.mass.append(settings.prior / (total[stays] + settings.prior))
         self.entries.append(((context << self.bits) | symbol)[kept])
-        self.shares.append((count / (total[owner] + prior))[kept] if len(head) else np.zeros(0))
-
-
-def _ngram_task(batches: Iterator[pa.RecordBatch], tree: Broadcast, depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Counts of (context, symbol) in the training texts, by bucket of the context."""
-    model, held, size = tree.value, [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        value, times = np.unique(np.concatenate(held), return_counts=True)
-        bucket = ((value >> model.bits) * np.int64(0x9E3779B97F4A7C1) >> np.int64(20)) % buckets
-        order = np.argsort(bucket, kind="stable")
-        value, times, bucket = value[order], times[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cut))
-        yield record(_PAIR_SCHEMA, [full.astype(np.int32), [pack(value[cut[b] : cut[b + 1]]) for b in full], [pack(times[cut[b] : cut[b + 1]].astype(np.int64)) for b in full]])
-
-    for batch in batches:
-        for part in chunks(batch.filter(batch.column(2))):
-            hashes, first = _tokens(part)
-            symbols = model.symbols(hashes)
-            code = model.codes(symbols, first, depth)
-            if depth > 1:  # only contexts whose suffix is a state
-                last = model.contexts[depth - 2]
-                suffix = code & ((1 << (model.bits * (depth - 1))) - 1)
-                at = np.minimum(np.searchsorted(last, suffix), max(len(last) - 1, 0))
-                keep = last[at] == suffix if len(last) else np.zeros(len(code), bool)
-                code, symbols = code[keep], symbols[keep]
-            held.append((code << model.bits) | symbols)
-            size += len(code)
-            if size > PART_TOKENS:
-                yield from flush()
-                held, size = [], 0
-    if size:
-        yield from flush()
-
-
-_PAIR_SCHEMA = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary()), ("times", pa.binary())])
-_PAIRS = "bucket int, pairs binary, times binary"
+        self.shares.append((count / (total[owner] + settings.prior))[kept])
+
+    def learn(self, past: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Grows all depths and gives P(symbol | state) of each token: past[0] are the symbols, past[d] those d
+        tokens before, times how often each token is learned; a word below 0 is in no context. A context's code is its number among those met."""
+        symbol, p = past[0], self.root[past[0]]
+        live, code, low = np.arange(past.shape[1]), np.zeros(past.shape[1], np.int64), (1 << self.bits) - 1
+        for before in past[1:]:
+            there = before[live] >= 0
+            live, code = live[there], code[there]
+            _, code = np.unique((code << self.bits) | before[live], return_inverse=True)
+            pair, first, back = np.unique((code << self.bits) | symbol[live], return_index=True, return_inverse=True)
+            count = np.bincount(back, times[live]).astype(np.int64)
+            seen = np.flatnonzero(count)
+            if not len(seen):
+                break
+            self.grow(pair[seen] >> self.bits, pair[seen] & low, count[seen], p[live[first[seen]]])
+            mass = np.zeros(int(code.max()) + 1)
+            mass[self.contexts[-1]] = self.mass[-1]
+            share = np.zeros(len(pair))
+            share[seen[mass[pair[seen] >> self.bits] > 0]] = self.shares[-1]
+            stays = mass[code] > 0
+            live, code, back = live[stays], code[stays], back[stays]
+            if not len(live):
+                break
+            p[live] = share[back] + mass[code] * p[live]
+        return p
 
 
-def _context_task(table: pa.Table, bits: int, least: float) -> pa.Table:
-    """The pairs of the contexts that are common enough: at most 1 / context_share contexts in all."""
-    value = np.concatenate([unpack(x, np.int64) for x in table["pairs"].to_pylist()])
-    times = np.concatenate([unpack(x, np.int64) for x in table["times"].to_pylist()])
-    value, back = np.unique(value, return_inverse=True)
-    times = np.bincount(back, times, len(value)).astype(np.int64)
-    _, owner = np.unique(value >> bits, return_inverse=True)
-    keep = np.bincount(owner, times)[owner] >= least
-    return pa.Table.from_batches([record(_PAIR_SCHEMA, [[table["bucket"][0].as_py()], [pack(value[keep])], [pack(times[keep])]])])
+def _tree_task(table: pa.Table, settings: Settings, size: int) -> pa.Table:
+    """What this bucket's contexts add to the score of each part's documents (kind 6): sum of log10 P(word | state) / P0(word);
+    documents (kind 5) pass. size: tokens and distinct words of the training texts, and one."""
+    kinds = table["kind"].to_numpy()
+    asked = table.filter(pa.array(kinds == 4))
+    out = [table.filter(pa.array(kinds == 5))]
+    if asked.num_rows:
+        words = [np.cumsum(_unsqueezed(x, np.int64)) for x in asked["words"].to_pylist()]
+        counts = np.concatenate([_unsqueezed(x, np.int64) for x in asked["trained"].to_pylist()])
+        distinct, first, back = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+        back = back.astype(np.int32)
+        start = np.cumsum([0, *map(len, words)])
+        past = np.concatenate([np.append(np.int32(-1), back[a:b])[_unsqueezed(x, np.uint32)].reshape(settings.depth + 1, -1) for a, b, x in zip(start, start[1:], asked["each"].to_pylist(), strict=False)], 1)
+        times = np.concatenate([_unsqueezed(x, np.uint32) for x in asked["times"].to_pylist()])
+        root = (counts[first] + 1) / size
+        tree = Tree(distinct, np.arange(len(distinct)), root, len(distinct).bit_length(), settings)
+        gain = np.log10(tree.learn(past, times) / root[past[0]])
+        at, docs, keys = 0, [], []
+        for x in asked["docs"].to_pylist():
+            doc = np.cumsum(_unsqueezed(x, np.uint32), dtype=np.uint32)
+            head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            docs.append(_squeezed(doc[head]))
+            keys.append(np.add.reduceat(gain[at : at + len(doc)], head).tobytes())
+            at += len(doc)
+        k = asked.num_rows
+        out.append(pa.Table.from_batches([_mixed(k, kind=[6] * k, bucket=asked["bucket"].combine_chunks(), part=asked["part"].combine_chunks(), docs=docs, keys=keys)]))
+        release()
+    return pa.concat_tables(out)
 
 
-def _score_task(batches: Iterator[pa.RecordBatch], tree: Broadcast) -> Iterator[pa.RecordBatch]:
-    """What the tree adds to each text's score: sum of log10 P(symbol | state) / P0(symbol)."""
-    model, schema = tree.value, pa.schema([("key", pa.int64()), ("gain", pa.float64())])
-    for batch in batches:
-        for part in chunks(batch):
-            hashes, first = _tokens(part)
-            symbols = model.symbols(hashes)
-            p = model.probabilities(symbols, [model.codes(symbols, first, d) for d in range(1, len(model.contexts) + 1)])
-            total = np.concatenate(([0.0], np.cumsum(np.log10(p / model.root[symbols]))))
-            yield record(schema, [part.column(0), total[first[1:]] - total[first[:-1]]])
+def _sum_task(table: pa.Table) -> pa.Table:
+    """Documents of a part with their sums over words and what the tree adds."""
+    kinds = table["kind"].to_numpy()
+    own, gains = table.filter(pa.array(kinds == 5)), table.filter(pa.array(kinds == 6))
+    key, n, known = (np.frombuffer(own[c][0].as_py(), np.int64) for c in ("keys", "tokens", "times"))
+    gain = np.zeros(len(key))
+    for doc, value in zip(gains["docs"].to_pylist(), gains["keys"].to_pylist(), strict=True):
+        gain[_unsqueezed(doc, np.uint32)] += np.frombuffer(value, np.float64)
+    return pa.table({"key": key, "n_tokens": n, "n_known": known, "logs": np.frombuffer(own["each"][0].as_py(), np.float64), "gain": gain})
 
 
 def suffix_tree_scores(docs: DataFrame, trained: str = "trained", settings: Settings | None = None) -> DataFrame:
@@ -314,53 +350,22 @@ def suffix_tree_scores(docs: DataFrame, trained: str = "trained", settings: Sett
     count and are scored each; with no training text every token is unseen; an empty table
     gives no rows. Words are held as 64-bit hashes. Other columns are not read.
 
-    The tree is bounded by its settings, not by the corpus: it has at most depth /
-    context_share states over 1 / symbol_share symbols, so it may be broadcast.
+    Words and contexts are as many as the corpus has: a context stays by a fixed count, and
+    the tree is never in one place. All contexts that end in one word share a bucket.
     """
     settings, spark = settings or Settings(), docs.sparkSession
     small_batches(spark)
     rows = docs.select(row_key("doc_id", "text").alias("key"), "text", F.coalesce(F.col(trained), F.lit(False)).alias("learn"))
-    buckets, most = bucket_count(docs), math.ceil(1 / settings.symbol_share)
+    buckets = bucket_count(docs)
     mixed = rows.mapInArrow(lambda it: _count_task(it, buckets), _MIXED)
-    mixed = materialise(mixed.groupBy("bucket").applyInArrow(lambda t: _bucket_task(t, most), _MIXED), "words")
-
-    # Totals, and words of at least symbol_share of all tokens: no more than 1 / symbol_share of them.
-    tops = mixed.filter("kind = 3").select("words", "trained", "tokens")
-    total = tops.mapInArrow(_totals_task, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    mixed = materialise(mixed.groupBy("bucket").applyInArrow(lambda t: _bucket_task(t, buckets), _MIXED), "words")
+    total = mixed.filter("kind = 3").select("tokens").mapInArrow(_totals_task, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
-    common = tops.mapInArrow(lambda it: _common_task(it, max(settings.symbol_share * n, 1)), "word long, count long").collect()
-    words = np.array([w for w, _ in common], np.int64).view(np.uint64)
-    counts = np.array([c for _, c in common], np.int64)
-    plain = words != END_HASH
-    symbol = np.full(len(words), END, np.int64)
-    symbol[plain] = FIRST + np.arange(int(plain.sum()))
-    if plain.all():
-        words, counts, symbol = np.append(words, END_HASH), np.append(counts, 0), np.append(symbol, END)
-    root = np.zeros(len(words) + 1)
-    root[symbol] = (counts + 1) / (n + v + 1)
-    root[OTHER] = max(1 - root.sum(), 1 / (n + v + 1))
-    order = np.argsort(words)
-    tree = Tree(words[order], symbol[order], root, int(len(root)).bit_length(), settings)
-
-    bits = tree.bits
-    if n:
-        for depth in range(1, settings.depth + 1):
-            shared = spark.sparkContext.broadcast(tree)
-            pairs = rows.mapInArrow(lambda it, shared=shared, depth=depth: _ngram_task(it, shared, depth, buckets), _PAIRS)
-            pairs = pairs.groupBy("bucket").applyInArrow(lambda t: _context_task(t, bits, settings.context_share * n), _PAIRS)
-            found = [(unpack(x, np.int64), unpack(y, np.int64)) for _, x, y in pairs.toLocalIterator()]
-            value = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-            times = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-            turn = np.argsort(value)
-            value, times = value[turn], times[turn]
-            context = value >> tree.bits
-            tree.grow(context, value & ((1 << tree.bits) - 1), times, [context & ((1 << (tree.bits * d)) - 1) for d in range(1, depth)])
-            if not len(tree.contexts[-1]):
-                break
-    shared = spark.sparkContext.broadcast(tree)
-    gains = rows.mapInArrow(lambda it: _score_task(it, shared), "key long, gain double").dropDuplicates(["key"])
-    sums = mixed.filter("kind IN (0, 2)").groupBy("part").applyInArrow(_part_task, "key long, n_tokens long, n_known long, logs double").dropDuplicates(["key"])
+
+    parts = mixed.filter("kind IN (0, 2)").groupBy("part").applyInArrow(lambda t: _part_task(t, settings, buckets), _MIXED)
+    gains = parts.groupBy("bucket").applyInArrow(lambda t: _tree_task(t, settings, n + v + 1), _MIXED)
+    sums = gains.groupBy("part").applyInArrow(_sum_task, "key long, n_tokens long, n_known long, logs double, gain double").dropDuplicates(["key"])
     own = docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(trained), F.lit(False)).alias("trained"))
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    joined = own.join(sums, "key").join(gains, "key")
+    joined = own.join(sums, "key")
     return joined.select("key", "doc_id", "trained", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))

@@ -303,3 +303,13 @@ def test_stages_keep_columns(docs):
     assert decontaminate.benchmark_hits(clean, bench.filter("item_id = 1")).filter(F.size("spans") > 0).count() == 0
     masked = pii.masked_documents(docs)
     assert masked.columns == docs.columns and masked.filter("text LIKE '%<EMAIL>%'").count() == 1
+
+
+def test_suffix_tree_learns_rare_words_in_a_large_corpus(spark):
+    """A word far below any fixed share of the tokens is still a symbol, and a context if it was seen often enough."""
+    rng = random.Random(12)
+    rows = [(i, data.prose(rng, 2000) + (" rareword partner rest" if i % 2 else " rest stranger word"), True) for i in range(40)]
+    rows += [(100, "rareword partner", False), (101, "rareword stranger", False)]
+    got = {r["doc_id"]: r for r in suffix_tree.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string, trained boolean")).collect()}
+    assert got[100]["base_score"] == got[101]["base_score"] and got[100]["train_tokens"] > 80_000
+    assert got[100]["score"] > got[101]["score"] + 1
