@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,7 @@ _CANDIDATES = {
     "bank_account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "local_phone": re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
     "national_id": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    "person": re.compile(r"(?:(?<=[\x20\x09-\x0D])|\A)[A-Z][a-z]+\x20[A-Z][a-z]+(?![A-Za-z])"),
+    "person": re.compile(r"(?:(?<=[\x20\x09-\x0D])|\A)(?=([A-Z][a-z]+\x20[A-Z][a-z]+)(?![A-Za-z]))"),
     "secret": re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+"),
 }
 _CONTEXT = {
@@ -163,13 +164,15 @@ def features(kind: str, text: str, start: int, end: int) -> int:
 
 
 def candidates(text: str, taken: list[Span]) -> list[Span]:
-    """Spans of added kinds that meet no base span, leftmost first within a kind."""
+    """Spans of added kinds that meet no base span, leftmost first within a kind. Those of persons may overlap:
+    of three capitalised words both pairs are candidates."""
     out = []
     busy = sorted((s, e) for _, s, e in taken)
     for kind, pattern in _CANDIDATES.items():
         for m in pattern.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in busy) and (kind != "person" or m[0].split(" ")[0] in GIVEN_NAMES):
-                out.append((kind, *m.span()))
+            start, end = m.span(pattern.groups)
+            if not any(s < end and start < e for s, e in busy):
+                out.append((kind, start, end))
     return out
 
 
@@ -185,19 +188,15 @@ def _code(kind: str, text: str, start: int, end: int) -> tuple[int, int, int]:
 
 # Documents worth a closer look --------------------------------------------------------
 
-_NAMES_TEXT = " ".join(sorted(GIVEN_NAMES)).encode()
-_NAME_HASHES = np.sort(Words(np.frombuffer(_NAMES_TEXT, np.uint8), np.array([0, len(_NAMES_TEXT)]), fold=False).hashes)
-
-
 def suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts that can hold any span: with a digit, an @, a long word or a given name."""
-    marked = np.concatenate(([0], np.cumsum(((raw >= 48) & (raw <= 57)) | (raw == 64))))
+    """Texts that can hold any span: with a digit, an @, a long word or a capital letter after a small one and a space."""
+    signs = ((raw >= 48) & (raw <= 57)) | (raw == 64)
+    signs[2:] |= (raw[2:] >= 65) & (raw[2:] <= 90) & (raw[1:-1] == 32) & (raw[:-2] >= 97) & (raw[:-2] <= 122)
+    marked = np.concatenate(([0], np.cumsum(signs)))
     found = marked[offsets[1:]] > marked[offsets[:-1]]
     words = Words(raw, offsets, separators=WHITE, fold=False)
     owner = words.owner()
     found[owner[words.end - words.start >= 20]] = True
-    at = np.minimum(np.searchsorted(_NAME_HASHES, words.hashes), len(_NAME_HASHES) - 1)
-    found[owner[_NAME_HASHES[at] == words.hashes]] = True
     return found
 
 
@@ -264,6 +263,12 @@ class SpanModel:
 
     weights: np.ndarray
     reliabilities: dict[str, np.ndarray]
+    known: dict[tuple[int, int, int], float] = field(default_factory=dict)  # probabilities by code, whose number is bounded
+
+    def of(self, code: tuple[int, int, int]) -> float:
+        if code not in self.known:
+            self.known[code] = float(self.probability(code[0], np.array([code[1]]), np.array([code[2]]))[0])
+        return self.known[code]
 
     def probability(self, kind: int, patterns: np.ndarray, feature: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_design(patterns, feature) @ self.weights[kind], -30, 30)))
@@ -304,14 +309,20 @@ def fit_spans(counts: list[tuple[int, int, int, int]]) -> SpanModel:
 
 
 def find_spans(text: str, model: SpanModel, least: float = 0.5) -> list[Span]:
-    """All spans of a text by kind as listed, then start: base ones and those the classifier adds."""
+    """All spans of a text by kind as listed, then start: base ones and those the classifier adds, of overlapping
+    ones of a kind the likeliest."""
     base = base_spans(text)
-    out, ends = list(base), dict.fromkeys(ADDED, 0)
-    for kind, start, end in candidates(text, base):
-        code = _code(kind, text, start, end)
-        if start >= ends[kind] and model.probability(code[0], np.array([code[1]]), np.array([code[2]]))[0] > least:
+    out, added = list(base), []
+    for span in candidates(text, base):
+        p = model.of(_code(span[0], text, *span[1:]))
+        if p > least:
+            added.append((-p, span))
+    taken: dict[str, list[tuple[int, int]]] = {k: [] for k in ADDED}
+    for _, (kind, start, end) in sorted(added, key=lambda a: (a[0], a[1][1])):
+        at = bisect_left(taken[kind], (start, end))
+        if (at == 0 or taken[kind][at - 1][1] <= start) and (at == len(taken[kind]) or end <= taken[kind][at][0]):
+            taken[kind].insert(at, (start, end))
             out.append((kind, start, end))
-            ends[kind] = end
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -313,3 +313,14 @@ def test_suffix_tree_learns_rare_words_in_a_large_corpus(spark):
     got = {r["doc_id"]: r for r in suffix_tree.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string, trained boolean")).collect()}
     assert got[100]["base_score"] == got[101]["base_score"] and got[100]["train_tokens"] > 80_000
     assert got[100]["score"] > got[101]["score"] + 1
+
+
+def test_persons_are_candidates_whatever_their_name():
+    import numpy as np
+
+    for text, name in (("Dear Maria Lopez", "Maria Lopez"), ("then Mr. Rajesh Kumar came", "Rajesh Kumar"), ("signed Olga Petrova", "Olga Petrova")):
+        start = text.index(name)
+        assert ("person", start, start + len(name)) in pii.candidates(text, [])
+        raw = text.encode()
+        assert pii.suspects(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).all()
+    assert pii.votes("person", "signed Olga Petrova", 7, 19)[2:4] == (pii.NO, pii.YES)
