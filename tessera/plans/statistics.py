@@ -46,7 +46,17 @@ def ks_statistic(t: Tables) -> DataFrame:
 
 @query(f"SELECT feature, v, round(sum(n) OVER (PARTITION BY feature ORDER BY v) * 1e0 / sum(n) OVER (PARTITION BY feature), 6) AS share FROM (SELECT feature, v, count(*) AS n FROM {LONG} l WHERE feature <> 'price' GROUP BY 1, 2) c")
 def ecdf(t: Tables) -> DataFrame:
-    counts = t.features.filter("feature <> 'price'").groupBy("feature", "v").agg(n_rows().alias("n")).withColumn("at", F.col("v"))
+    return _ecdf(t.features.filter("feature <> 'price'"))
+
+
+@query()
+def ecdf_all_features(t: Tables) -> DataFrame:
+    """As ecdf, whose SQL leaves price out, over every feature."""
+    return _ecdf(t.features)
+
+
+def _ecdf(features: DataFrame) -> DataFrame:
+    counts = features.groupBy("feature", "v").agg(n_rows().alias("n")).withColumn("at", F.col("v"))
     run = running_sums(counts, ["feature"], "at", {"c": "n"})
     total = counts.groupBy("feature").agg(F.sum("n").alias("total"))
     return run.join(F.broadcast(total), "feature").select("feature", "v", r6(F.col("c").cast("double") / F.col("total")).alias("share"))
@@ -64,6 +74,13 @@ def bh_fdr(t: Tables) -> DataFrame:
     return benjamini_hochberg(tests, "p", "q").groupBy("p").agg(n_rows().alias("n"), F.round(F.first("q"), 9).alias("q"))
 
 
+@query()
+def bh_fdr_all_tests(t: Tables) -> DataFrame:
+    """As bh_fdr, whose SQL rounds and groups, with p-values as they are and a row a test."""
+    tests = t.read("customer").filter("c_acctbal > -1000").select("c_custkey", ((F.col("c_acctbal") + 2000) / 20000).alias("p"))
+    return benjamini_hochberg(tests, "p", "q").select("c_custkey", "p", "q")
+
+
 @query()
 def mann_whitney_p(t: Tables) -> DataFrame:
     """p-values (by erfc in a vectorised function) and their adjustment; features with a small class are not tested."""
@@ -122,7 +139,7 @@ def class_quantiles(t: Tables) -> DataFrame:
 
 @query()
 def bootstrap_permutation(t: Tables) -> DataFrame:
-    return stats.resampled(t.features.filter("train AND feature <> 'price'"), "feature", replicates=200)
+    return stats.resampled(t.features.filter("train"), "feature")
 
 
 @query("""SELECT p_brand, p_partkey, rank FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) r WHERE rank <= 25""")

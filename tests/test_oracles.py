@@ -46,3 +46,10 @@ def test_query_equals_its_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, str(DATA)).count() > 0
+
+
+def test_statistics_cover_every_feature_and_test(spark):
+    run = lambda name: catalog.queries()[name](spark, str(DATA))
+    for name in ("ecdf_all_features", "bootstrap_permutation"):
+        assert {r[0] for r in run(name).select("feature").distinct().collect()} == {"quantity", "price", "discount", "tax"}
+    assert run("bh_fdr_all_tests").count() == spark.read.parquet(f"{DATA}/customer.parquet").filter("c_acctbal > -1000").count()
