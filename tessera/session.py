@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -10,7 +13,9 @@ def session(name: str = "tessera", master: str | None = None, **settings: str) -
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
+    # Arrow batches of 1,000 rows: with Spark's 10,000 a worker would hold tens of megabytes of texts.
     defaults = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
@@ -19,3 +24,18 @@ def session(name: str = "tessera", master: str | None = None, **settings: str) -
     for key, value in (defaults | {k.replace("_", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only in local mode and if the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
