@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from tessera.llm.plan import record
+from tessera.llm.plan import key_arrays, record
 from tessera.llm.text import mix
 
 #: Bits of a filter: 1 MB, whatever the input. A fuller filter passes more rows, never fewer.
@@ -55,12 +55,12 @@ def contains(wanted: Broadcast, ids: np.ndarray) -> np.ndarray:
 
 def _keep_task(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.filter(pa.array(contains(wanted, batch.column(0).to_numpy())))
+        yield batch.filter(pa.array(contains(wanted, key_arrays(batch.column(0))[0])))
 
 
 def partners(rows: DataFrame, others: DataFrame, key: str = "key") -> DataFrame:
-    """rows (key first, a long) joined to others on key; rows without a partner mostly don't travel."""
-    wanted = member_filter(others.select(key))
+    """rows (a row key first) joined to others on key; rows without a partner mostly don't travel."""
+    wanted = member_filter(others.select(f"{key}.a"))
     return rows.mapInArrow(lambda it: _keep_task(it, wanted), rows.schema).join(others, key)
 
 

@@ -5,35 +5,22 @@ from __future__ import annotations
 import ctypes
 import math
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import new_folder
+
 #: Bytes of input to a bucket of a packed exchange.
 BUCKET_BYTES = 16 << 20
 #: Catalyst's estimates from here on (multiplied up through joins, or the default of an unknown size) say nothing.
 UNKNOWN_BYTES = 1 << 58
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir() or folder
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: the lineage ends there."""
     path = new_folder(df.sparkSession, name)
@@ -56,9 +43,25 @@ def bucket_count(docs: DataFrame) -> int:
     return max(by_size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Fixed value: what the second half of a key hashes first.
+_SALT = 0x51ED270B
+KEY = "struct<a:bigint,b:bigint>"
+KEY_TYPE = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+
 def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's content, null-safe; rows that share it are equal in these columns."""
-    return F.xxhash64(*[c for name in columns for c in (F.col(name), F.col(name).isNull())])
+    """A 128-bit key of a row's content, null-safe; rows that share it are equal in these columns."""
+    given = [c for name in columns for c in (F.col(name), F.col(name).isNull())]
+    return F.struct(F.xxhash64(*given).alias("a"), F.xxhash64(F.lit(_SALT), *given).alias("b"))
+
+
+def key_arrays(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of keys."""
+    return column.field(0).to_numpy(), column.field(1).to_numpy()
+
+
+def key_column(a: np.ndarray, b: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], fields=list(KEY_TYPE))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -7,6 +7,8 @@ buffer, so no Python object is made per word.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,10 +19,8 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 ALNUM = np.ones(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = False
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_ROLL = np.uint64(0xD6E8FEB86659FD93)
-_ROLL_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+#: Bases of the two hashes of a run of words, with their inverses.
+_ROLLS = tuple((np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,14 +33,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _letters(fold: bool) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    if fold:
-        table[65:91] = table[97:123]
-    return table
+#: Letters of a word whose numbers come from a table; those of later ones are worked out.
+PLACES = 128
+_SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0x8EBC6AF09C88C6E3))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _number(code: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A random number of each (place in the word, letter), as place * 256 + letter."""
+    return mix(mix((code.astype(np.uint64) + np.uint64(1)) * seed) ^ seed)
 
 
-_PLAIN, _FOLDED = _letters(False), _letters(True)
+_NUMBERS = tuple(_number(np.arange(PLACES << 8), seed) for seed in _SEEDS)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -75,27 +80,51 @@ class Words:
 
     hashes: a 64-bit hash of each word; start, end: its byte offsets in raw;
     first: for each text the index of its first word, one more at the end.
+
+    A word's hash is the sum of a random number for each letter at its place, so that two
+    different words of any length and make-up share it with a chance of 2 ** -64.
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE, fold: bool = True):
-        self.raw, self.offsets = raw, offsets
+        self.raw, self.offsets, self.fold = raw, offsets, fold
         inside = ~separators[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
         begins = inside.copy()
         begins[1:] &= ~inside[:-1] | edge[1:-1]
-        ends = inside
         ends = inside.copy()
         ends[:-1] &= ~inside[1:] | edge[1:-1]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        letters = _FOLDED if fold else _PLAIN
-        total = np.empty(len(raw) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(letters[raw] * powers(_MULT, len(raw))[: len(raw)], out=total[1:])
-        spread = (total[self.end] - total[self.start]) * powers(_MULT_INV, len(raw))[self.start]
-        self.hashes = mix(spread + (self.end - self.start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+        self.hashes = self._hashes(0, inside)
+
+    def _hashes(self, which: int, inside: np.ndarray) -> np.ndarray:
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        letters = self.raw[inside]
+        if self.fold:
+            letters = np.take(_LOWER, letters)
+        head = np.cumsum(size) - size
+        code = np.arange(len(letters)) - np.repeat(head, size)
+        code <<= 8
+        code |= letters
+        if size.max() <= PLACES:
+            number = np.take(_NUMBERS[which], code)
+        else:
+            number, late = np.empty(len(code), np.uint64), code >= PLACES << 8
+            number[~late] = _NUMBERS[which][code[~late]]
+            number[late] = _number(code[late], _SEEDS[which])
+        return mix(np.add.reduceat(number, head) + size.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+
+    @cached_property
+    def second(self) -> np.ndarray:
+        """Another hash of each word, independent of the first."""
+        inside = np.zeros(len(self.raw) + 1, np.int8)
+        inside[self.start] = 1
+        inside[self.end] -= 1
+        return self._hashes(1, np.cumsum(inside[:-1], dtype=np.int8).view(bool))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -111,13 +140,14 @@ class Words:
         starts = np.arange(int(number.sum())) + np.repeat(self.first[:-1] - np.concatenate(([0], np.cumsum(number)[:-1])), number)
         return starts, self.runs(starts, width)
 
-    def runs(self, starts: np.ndarray, width: int | np.ndarray) -> np.ndarray:
-        """Hashes of the runs of width words that begin at starts."""
-        m = len(self.hashes)
+    def runs(self, starts: np.ndarray, width: int | np.ndarray, second: bool = False) -> np.ndarray:
+        """Hashes of the runs of width words that begin at starts; second: another one, independent of the first."""
+        hashes, (roll, back) = self.second if second else self.hashes, _ROLLS[second]
+        m = len(hashes)
         total = np.empty(m + 1, np.uint64)
         total[0] = 0
-        np.cumsum(self.hashes * powers(_ROLL, m)[:m], out=total[1:])
-        return mix((total[starts + width] - total[starts]) * powers(_ROLL_INV, m)[starts] + np.uint64(1) * np.asarray(width, np.uint64))
+        np.cumsum(hashes * powers(roll, m)[:m], out=total[1:])
+        return mix((total[starts + width] - total[starts]) * powers(back, m)[starts] + np.asarray(width, np.uint64))
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18):
