@@ -1,17 +1,17 @@
 """Benchmark decontamination with an FM-index of every training shard.
 
-A shard is a run of documents that one task holds. Its words become symbols (benchmark
-words their number, a run of other words one symbol, a document's end another), and an
-FM-index is built over them: suffix array, Burrows-Wheeler transform, wavelet matrix for
-ranks, and every eighth suffix position. All benchmark windows are then searched
-backwards at once, their occurrences located by walking to sampled positions, and the
-covered words merged into removal spans.
+A shard is a run of documents that one task holds. Its words become symbols (those that
+the benchmark has too their number, a run of other words one symbol, a document's end
+another), and an FM-index is built over them: suffix array, Burrows-Wheeler transform,
+wavelet matrix for ranks, and every eighth suffix position. The benchmark's windows are
+then searched backwards, a block at a time against the same index, their occurrences
+located by walking to sampled positions, and the covered words merged into removal spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.plan import keyed, record, release
+from tessera.llm.plan import KEY, KEY_TYPE, keyed, record, release
 from tessera.llm.text import ALNUM, Words, chunks, column_bytes
 
 #: Words to a shard at most, but for a single longer document.
 SHARD_WORDS = 1_000_000
 #: Every so many positions of a shard keep their suffix position.
 SAMPLE = 8
-#: Bytes of benchmark text that are broadcast at a time; a larger benchmark goes in blocks.
+#: Bytes of benchmark text that are broadcast at a time; a larger benchmark goes in blocks, of which a task holds one.
 BLOCK_BYTES = 4 << 20
 #: Symbols that are no benchmark word: end of shard, end of document, run of other words.
 _END, _DOCUMENT, _OTHER, _FIRST = 0, 1, 2, 3
@@ -159,7 +159,8 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Distinct benchmark windows: vocabulary (sorted word hashes), windows as symbols, and their items."""
+    """Distinct benchmark windows of a block: vocabulary (sorted word hashes), windows as places in it (from 1, padded
+    with 0), and for each window the names (sorted, distinct) of its items."""
 
     vocabulary: np.ndarray
     windows: np.ndarray
@@ -168,106 +169,128 @@ class Phrases:
     items: np.ndarray
     names: list[str]
 
-    @property
-    def bits(self) -> int:
-        return int(len(self.vocabulary) + _FIRST).bit_length()
-
 
 def phrases(items: list[tuple], window: int) -> Phrases:
-    """Windows of (item_id, text): every so many consecutive words, or all of a shorter item."""
-    names = [str(i) for i, _ in items]
+    """Windows of (item_id, text): every so many consecutive words, or all of a shorter item. Items without an id have windows but no name."""
+    names = sorted({str(i) for i, _ in items if i is not None})
+    number_of = {name: i for i, name in enumerate(names)}
     words = Words(*column_bytes(pa.array([t for _, t in items], pa.string())), separators=ALNUM)
-    vocabulary = np.unique(words.hashes)
-    symbol = np.searchsorted(vocabulary, words.hashes) + _FIRST
+    vocabulary, place = np.unique(words.hashes, return_inverse=True)
     n = words.counts()
     length = np.minimum(n, window)
     number = np.where(n > 0, n - length + 1, 0)
     owner = np.repeat(np.arange(len(items)), number)
     start = np.repeat(words.first[:-1], number) + np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
-    rows = np.zeros((len(start), window), np.int64)
+    rows = np.zeros((len(start), window), np.int32)
     for j in range(window):
         inside = j < length[owner]
-        rows[inside, j] = symbol[start[inside] + j]
+        rows[inside, j] = place[start[inside] + j] + 1
     distinct, back = np.unique(rows, axis=0, return_inverse=True)
-    pair = np.unique(np.stack((back.ravel(), owner), 1), axis=0)
+    named = np.array([-1 if i is None else number_of[str(i)] for i, _ in items], np.int64)[owner]
+    pair = np.unique(np.stack((back.ravel()[named >= 0], named[named >= 0]), 1), axis=0)
     return Phrases(vocabulary, distinct, (distinct > 0).sum(1), np.searchsorted(pair[:, 0], np.arange(len(distinct) + 1)), pair[:, 1], names)
 
 
+def _within(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value its place in the sorted wanted, and whether it is there."""
+    if not len(wanted):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+    return at, wanted[at] == values
+
+
+@dataclass
 class Shard:
     """Documents of one index, as they come in."""
 
-    def __init__(self):
-        self.symbols: list[np.ndarray] = []
-        self.origin: list[np.ndarray] = []  # for each symbol the shard's word that it (first) stands for
-        self.columns: list[list] = [[], [], [], [], []]  # key, doc_id, words, then byte starts and ends of words
-        self.words = 0
+    columns: list[list] = field(default_factory=lambda: [[] for _ in range(6)])  # key, doc_id, words, then hashes, byte starts and ends of words
+    words: int = 0
 
-    def add(self, part: pa.RecordBatch, vocabulary: np.ndarray) -> None:
+    def add(self, part: pa.RecordBatch) -> None:
         words = Words(*column_bytes(part.column(2)), separators=ALNUM)
-        n, m = words.counts(), len(words.hashes)
-        at = np.minimum(np.searchsorted(vocabulary, words.hashes), max(len(vocabulary) - 1, 0))
-        symbol = np.where(vocabulary[at] == words.hashes, at + _FIRST, _OTHER) if len(vocabulary) else np.full(m, _OTHER)
-        fresh = np.ones(m, bool)
+        n = words.counts()
+        before = np.repeat(words.offsets[:-1], n)
+        for column, values in zip(self.columns, (part.column(0), part.column(1), n, words.hashes, words.start - before, words.end - before), strict=True):
+            column.append(values)
+        self.words += len(words.hashes)
+
+    def index(self, n: np.ndarray, hashes: np.ndarray, blocks: list[Broadcast]) -> tuple[FMIndex, np.ndarray, np.ndarray]:
+        """The index over the shard's symbols, for each symbol the word that it (first) stands for, and the sorted hashes of the words with a symbol of their own."""
+        shared = np.zeros(len(hashes), bool)
+        for block in _each(blocks):
+            shared |= _within(hashes, block.vocabulary)[1]
+        alphabet = np.unique(hashes[shared])
+        symbol = np.full(len(hashes), _OTHER)
+        symbol[shared] = np.searchsorted(alphabet, hashes[shared]) + _FIRST
+        first = np.concatenate(([0], np.cumsum(n)))
+        fresh = np.ones(len(hashes), bool)
         fresh[1:] = (symbol[1:] != _OTHER) | (symbol[:-1] != _OTHER)
-        fresh[words.first[:-1][n > 0]] = True
-        # A document's end follows its last word.
-        place = np.concatenate((np.arange(m)[fresh] * 2, words.first[1:] * 2 - 1))
-        both = np.concatenate((symbol[fresh], np.full(len(n), _DOCUMENT)))
+        fresh[first[:-1][n > 0]] = True
+        # A document's end follows its last word, the shard's end all of them.
+        place = np.concatenate((np.flatnonzero(fresh) * 2, first[1:] * 2 - 1))
         order = np.argsort(place, kind="stable")
-        self.symbols.append(both[order])
-        self.origin.append(self.words + place[order] // 2)
-        owner = np.repeat(np.arange(len(n)), n)
-        for column, values in zip(self.columns, (part.column(0).to_numpy(), part.column(1), n, words.start - words.offsets[owner], words.end - words.offsets[owner]), strict=True):
-            column.append(values)
-        self.words += m
+        both = np.concatenate((symbol[fresh], np.full(len(n), _DOCUMENT)))[order]
+        return FMIndex(np.append(both, _END), int(len(alphabet) + _FIRST).bit_length()), place[order] // 2, alphabet
 
-    def search(self, wanted: Phrases) -> Iterator[pa.RecordBatch]:
-        key, n = np.concatenate(self.columns[0]), np.concatenate(self.columns[2])
-        start, end = np.concatenate(self.columns[3]), np.concatenate(self.columns[4])
-        doc_id = pa.concat_arrays(self.columns[1])
+    def search(self, blocks: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+        n, hashes, start, end = (np.concatenate(c) for c in self.columns[2:])
         first = np.concatenate(([0], np.cumsum(n)))
-        index = FMIndex(np.concatenate((*self.symbols, [_END])), wanted.bits)
-        origin = np.concatenate(self.origin)
-        low, high = index.search(wanted.windows, wanted.lengths)
-        times = high - low
-        which = np.repeat(np.arange(len(low)), times)
-        rows = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + low[which]
-        place = origin[index.locate(rows)] if len(rows) else rows
+        index, origin, alphabet = self.index(n, hashes, blocks)
         cover = np.zeros(self.words + 1, np.int64)
-        np.add.at(cover, place, 1)
-        np.add.at(cover, place + wanted.lengths[which], -1)
+        items: dict[int, set] = {}
+        for block in _each(blocks):
+            at, there = _within(block.vocabulary, alphabet)
+            symbol = np.concatenate(([0], np.where(there, at + _FIRST, 0)))
+            windows = symbol[block.windows]
+            whole = np.flatnonzero((windows > 0).sum(1) == block.lengths)
+            low, high = index.search(windows[whole], block.lengths[whole])
+            times = high - low
+            which = np.repeat(np.arange(len(low)), times)
+            rows = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + low[which]
+            place = origin[index.locate(rows)] if len(rows) else rows
+            which = whole[which]
+            np.add.at(cover, place, 1)
+            np.add.at(cover, place + block.lengths[which], -1)
+            owner = np.searchsorted(first, place, "right") - 1
+            pair = np.unique(np.stack((owner, which), 1), axis=0)
+            many = block.item_first[pair[:, 1] + 1] - block.item_first[pair[:, 1]]
+            at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(block.item_first[pair[:, 1]], many)
+            for doc, item in np.unique(np.stack((np.repeat(pair[:, 0], many), block.items[at]), 1), axis=0).tolist():
+                items.setdefault(doc, set()).add(block.names[item])
         hit = np.cumsum(cover)[:-1] > 0
         total = np.concatenate(([0], np.cumsum(hit)))
-        n_hit = total[first[1:]] - total[first[:-1]]
-        owner = np.searchsorted(first, place, "right") - 1
-        pair = np.unique(np.stack((owner, which), 1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
-        items: dict[int, set] = {}
-        for doc, window in pair.tolist():
-            items.setdefault(doc, set()).update(wanted.items[wanted.item_first[window] : wanted.item_first[window + 1]].tolist())
-        names = [sorted(wanted.names[i] for i in items.get(d, ())) for d in range(len(n))]
         spans: list[list] = [[] for _ in n]
-        for d in np.flatnonzero(n_hit):
+        for d in np.flatnonzero(total[first[1:]] > total[first[:-1]]):
             own = hit[first[d] : first[d + 1]]
             for a, b in np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0])))).reshape(-1, 2).tolist():
                 spans[d].append({"first": a, "last": b, "start": int(start[first[d] + a]), "end": int(end[first[d] + b - 1])})
-        yield record(_SCHEMA, [key, doc_id, n.astype(np.int64), spans, names])
+        names = [sorted(items.get(d, ())) for d in range(len(n))]
+        yield record(_SCHEMA, [pa.concat_arrays(self.columns[0]), pa.concat_arrays(self.columns[1]), n.astype(np.int64), spans, names])
 
 
 _SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_SCHEMA = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
-_FOUND = "key long, doc_id long, n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
+_SCHEMA = pa.schema([("key", KEY_TYPE), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
+_FOUND = f"key {KEY}, doc_id long, n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
 
 
-def _search_task(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+def _each(blocks: list[Broadcast]) -> Iterator[Phrases]:
+    """The blocks one after another; of several only the current one is held."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)  # it is read from its file again
+
+
+def _search_task(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast]) -> Iterator[pa.RecordBatch]:
     shard = Shard()
     for batch in batches:
         for part in chunks(batch):
-            shard.add(part, wanted.value.vocabulary)
+            shard.add(part)
             if shard.words >= SHARD_WORDS:
-                yield from shard.search(wanted.value)
+                yield from shard.search(blocks)
                 shard = Shard()
     if shard.columns[0]:
-        yield from shard.search(wanted.value)
+        yield from shard.search(blocks)
     release()
 
 
@@ -281,7 +304,8 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
         if size > BLOCK_BYTES:
             yield phrases(held, window)
             held, size = [], 0
-    yield phrases(held, window)
+    if held:
+        yield phrases(held, window)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -291,41 +315,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
     beyond ASCII. A window is so many consecutive words of a benchmark item, or all words
     of a shorter item with some. spans are the merged runs of document words inside
     occurrences: first and last word (exclusive), and byte offsets in the UTF-8 text; items
-    are the sorted item_ids, as strings, whose windows occur. Null and empty texts have no
-    words and no hits; items without words, and an empty benchmark, hit nothing; repeated
-    rows are each answered; an empty table gives no rows. A benchmark beyond BLOCK_BYTES is
-    searched in blocks, and spans and items are merged. Other columns are not read.
+    are the sorted distinct item_ids, as strings, whose windows occur. Null and empty texts
+    have no words and no hits; items without words, and an empty benchmark, hit nothing;
+    an item without id hits but is not named; repeated rows are each answered, those of the
+    benchmark count once; an empty table gives no rows. A benchmark of any size is one pass
+    over documents: blocks of BLOCK_BYTES are searched in each shard's index in turn. Words
+    are held as 64-bit hashes; only corpus words that meet one of the benchmark's count.
+    Other columns are not read.
     """
-    rows = keyed(docs)
-    found = []
-    for wanted in _blocks(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(wanted)
-        found.append(rows.mapInArrow(lambda it, shared=shared: _search_task(it, shared), _FOUND))
-    if len(found) == 1:
-        return found[0]
-    both = found[0]
-    for other in found[1:]:
-        both = both.union(other)
-    merged = both.groupBy("key", "doc_id", "n_words").agg(F.count(F.lit(1)).alias("times"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    copies = F.explode(F.array_repeat(F.lit(0), (F.col("times") / len(found)).cast("int")))
-    return merged.mapInArrow(_merge_task, f"{_FOUND}, times long").withColumn("copy", copies).drop("copy", "times")
-
-
-def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins overlapping spans of several blocks; adjacent hit words stay one run."""
-    schema = pa.schema([*_SCHEMA, ("times", pa.int64())])
-    for batch in batches:
-        spans = []
-        for lists in batch.column(4).to_pylist():
-            out: list[dict] = []
-            for s in sorted((s for x in lists for s in x), key=lambda s: (s["first"], s["last"])):
-                if out and s["first"] <= out[-1]["last"]:
-                    if s["last"] > out[-1]["last"]:
-                        out[-1] = out[-1] | {"last": s["last"], "end": s["end"]}
-                else:
-                    out.append(s)
-            spans.append(out)
-        yield record(schema, [batch.column(0), batch.column(1), batch.column(2), spans, batch.column(5), batch.column(3)])
+    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark, window)]
+    return keyed(docs).mapInArrow(lambda it: _search_task(it, shared), _FOUND)
 
 
 def digest(found: DataFrame) -> DataFrame:
