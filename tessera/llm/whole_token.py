@@ -8,6 +8,7 @@ through the merges.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,12 +19,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.plan import per_process, record
+from tessera.llm.plan import per_process, record, small_batches
 
 #: Fixed value: the split pattern of byte-level BPE tokenizers with use_regex, by which texts become pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens beyond the proved ones whose counts a task remembers, and their longest length.
 REMEMBERED, LONGEST = 200_000, 64
+#: Bytes of a pre-token from which the merges go by a heap, in time n log n; the library's time is quadratic.
+LONG_PIECE = 1024
 
 
 @dataclass
@@ -76,6 +79,28 @@ def _is_utf8(raw: bytes) -> bool:
     return True
 
 
+def merged_length(piece: bytes, ranks: dict[bytes, int]) -> int:
+    """Tokens of a byte string: the adjacent pair of least rank, the first of equals, is merged until none has one."""
+    n = len(piece)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    tokens = n
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i] if end[i] else n
+        if j >= n or end[j] != stop:  # one of both has been merged since
+            continue
+        end[i], end[j], after[i] = stop, 0, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        tokens -= 1
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < n and (r := ranks.get(piece[left : end[right]])) is not None:
+                heapq.heappush(heap, (r, left, end[right]))
+    return tokens
+
+
 class Pieces(dict):
     """Tokens of each pre-token: one for the proved ones, the merges' result for the others."""
 
@@ -83,11 +108,13 @@ class Pieces(dict):
         import tiktoken
 
         super().__init__(dict.fromkeys(proof.whole, 1))
-        self.fixed = len(self)
-        self.merge = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=proof.ranks, special_tokens={}).encode_ordinary
+        self.fixed, self.ranks = len(self), proof.ranks
+        # By itself: the encoding would split the piece again, by recursion that very long white space exhausts.
+        self.merge = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=proof.ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.merge(piece))
+        raw = piece.encode("utf-8", "surrogatepass")
+        n = len(self.merge(raw)) if len(raw) < LONG_PIECE else merged_length(raw, self.ranks)
         if len(self) - self.fixed < REMEMBERED and len(piece) <= LONGEST:
             self[piece] = n
         return n
@@ -126,5 +153,6 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     broadcast has the size of the vocabulary.
     """
     proof = docs.sparkSession.sparkContext.broadcast(prove(tokenizer))
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(lambda it: _count_task(it, proof, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
