@@ -8,13 +8,15 @@ windows of the other occurrences, and the maximal runs of repeated windows are r
 
 Neither step makes pairs. Occurrences meet in buckets of their hash; what a task has
 seen twice itself sends one entry on, so a passage in a third of all documents costs an
-entry a task.
+entry a task. Anchors are told by 64 bits, as a false one only costs the extension;
+windows, which decide, by 128.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.filters import pack, partners, unpack
-from tessera.llm.plan import bucket_count, keyed, materialise, record, release
+from tessera.llm.plan import KEY, KEY_TYPE, bucket_count, key_arrays, key_column, keyed, materialise, record, release
 from tessera.llm.text import Words, chunks, column_bytes
 
 #: Words of a gram. A window of 35 words then holds 20 grams and picks one of them.
@@ -30,8 +32,8 @@ GRAM = 16
 #: Entries that a task gathers before it hands them to the buckets.
 FLUSH = 1_500_000
 
-_FIELDS = [("kind", pa.int32()), ("bucket", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("places", pa.binary()), ("hashes", pa.binary()), ("keys", pa.binary()), ("runs", pa.binary())]
-_MIXED = "kind int, bucket int, key long, doc_id long, n_words long, sha string, places binary, hashes binary, keys binary, runs binary"
+_FIELDS = [("kind", pa.int32()), ("bucket", pa.int32()), ("key", KEY_TYPE), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("places", pa.binary()), ("hashes", pa.binary()), ("keys", pa.binary()), ("runs", pa.binary())]
+_MIXED = f"kind int, bucket int, key {KEY}, doc_id long, n_words long, sha string, places binary, hashes binary, keys binary, runs binary"
 
 
 def _mixed(k: int, **columns) -> pa.RecordBatch:
@@ -63,89 +65,115 @@ def anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return np.repeat(words.first[:-1], number) + place, starts[pick], hashes[pick]
 
 
-def _entries(hash_: np.ndarray, key: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Entries by bucket. What occurs twice here is repeated: its places are known (kind 2), and one entry tells the bucket."""
-    order = np.argsort(hash_, kind="stable")
-    hash_, key, place = hash_[order], key[order], place[order]
-    same = np.zeros(len(hash_), bool)
-    again = hash_[1:] == hash_[:-1]
-    same[1:] |= again
-    head = ~same
-    same[:-1] |= again
-    yield from _places(key[same], place[same], buckets)
-    lone, loud = ~same, same & head
-    for chosen, flag in ((lone, 0), (loud, 1)):
-        h, k, p = hash_[chosen], key[chosen], place[chosen]
-        bucket = h % np.uint64(buckets)
-        order = np.lexsort((p, k, bucket))
-        h, k, p, bucket = h[order], k[order], p[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        full = np.flatnonzero(np.diff(cut))
-        if flag:
-            yield _mixed(len(full), kind=[3] * len(full), bucket=full.tolist(), hashes=[h[cut[b] : cut[b + 1]].tobytes() for b in full])
-            continue
-        keys, runs = [], []
-        for b in full:
-            own = k[cut[b] : cut[b + 1]]
-            edge, length = _runs(own)
-            keys.append(own[edge].tobytes())
-            runs.append(pack(length.astype(np.uint32)))
-        yield _mixed(len(full), kind=[1] * len(full), bucket=full.tolist(), hashes=[h[cut[b] : cut[b + 1]].tobytes() for b in full], places=[pack(p[cut[b] : cut[b + 1]]) for b in full], keys=keys, runs=runs)
+@dataclass
+class Entries:
+    """Occurrences: hash (one or two words of 64 bits each), document (a row of keys) and place; keys are both halves of the documents' keys."""
 
+    hash: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+    keys: np.ndarray
 
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each run of equal keys begins, and the runs' lengths."""
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return edge, np.diff(np.append(edge, len(key)))
+    def taken(self, rows: np.ndarray) -> Entries:
+        return Entries(self.hash[rows], self.doc[rows], self.place[rows], self.keys)
 
 
-def _places(key: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Places of repeats (kind 2), by the bucket of their document."""
-    if not len(key):
-        return
-    home = key.view(np.uint64) % np.uint64(buckets)
-    order = np.lexsort((place, key, home))
-    key, place, home = key[order], place[order], home[order]
-    cut = np.searchsorted(home, np.arange(buckets + 1, dtype=np.uint64))
+def _joined(parts: list[Entries]) -> Entries:
+    before = np.cumsum([0, *(len(p.keys) for p in parts[:-1])])
+    return Entries(np.concatenate([p.hash for p in parts]), np.concatenate([p.doc + n for p, n in zip(parts, before, strict=True)]), np.concatenate([p.place for p in parts]), np.concatenate([p.keys for p in parts]))
+
+
+def _again(hash_: np.ndarray) -> np.ndarray:
+    """Of sorted hashes those that equal the one before."""
+    out = np.zeros(len(hash_), bool)
+    out[1:] = (hash_[1:] == hash_[:-1]).all(1)
+    return out
+
+
+def _sorted(hash_: np.ndarray) -> np.ndarray:
+    return np.argsort(hash_[:, 0], kind="stable") if hash_.shape[1] == 1 else np.lexsort((hash_[:, 1], hash_[:, 0]))
+
+
+def _packed(entries: Entries, bucket: np.ndarray, buckets: int, kind: int, hashes: bool) -> pa.RecordBatch:
+    """Entries as a row a bucket: keys of the documents, how many places follow each, the places, and their hashes."""
+    order = np.lexsort((entries.place, entries.doc, bucket))
+    entries, bucket = entries.taken(order), bucket[order]
+    cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=bucket.dtype))
     full = np.flatnonzero(np.diff(cut))
+    own = [slice(cut[b], cut[b + 1]) for b in full]
     keys, runs = [], []
-    for b in full:
-        own = key[cut[b] : cut[b + 1]]
-        edge, length = _runs(own)
-        keys.append(own[edge].tobytes())
+    for c in own:
+        edge, length = _runs(entries.doc[c])
+        keys.append(entries.keys[entries.doc[c][edge]].tobytes())
         runs.append(pack(length.astype(np.uint32)))
-    yield _mixed(len(full), kind=[2] * len(full), bucket=full.tolist(), keys=keys, runs=runs, places=[pack(place[cut[b] : cut[b + 1]]) for b in full])
+    more = {"hashes": [entries.hash[c].tobytes() for c in own]} if hashes else {}
+    return _mixed(len(full), kind=[kind] * len(full), bucket=full.tolist(), keys=keys, runs=runs, places=[pack(entries.place[c]) for c in own], **more)
+
+
+def _entries(entries: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries by bucket. What occurs twice here is repeated: its places are known (kind 2), and one entry tells the bucket (kind 3)."""
+    entries = entries.taken(_sorted(entries.hash))
+    same = _again(entries.hash)
+    head = ~same
+    same[:-1] |= same[1:]
+    yield from _places(entries.taken(same), buckets)
+    lone, loud = entries.taken(~same), entries.hash[same & head]
+    yield _packed(lone, lone.hash[:, 0] % np.uint64(buckets), buckets, 1, True)
+    bucket = loud[:, 0] % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    loud, cut = loud[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(cut))
+    yield _mixed(len(full), kind=[3] * len(full), bucket=full.tolist(), hashes=[loud[cut[b] : cut[b + 1]].tobytes() for b in full])
 
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Key and place of every packed entry."""
-    key = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
-    key = np.repeat(key, np.concatenate([unpack(x, np.uint32) for x in table["runs"].to_pylist()]))
-    return key, np.concatenate([unpack(x, np.uint32) for x in table["places"].to_pylist()])
+def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal documents begins, and the runs' lengths."""
+    edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    return edge, np.diff(np.append(edge, len(doc)))
 
 
-def _by_document(table: pa.Table) -> pa.Table:
-    """(key, places) of a bucket's documents."""
-    key, place = _unpacked(table)
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order]
-    edge, length = _runs(key)
-    return pa.table({"key": key[edge], "places": pa.array([pack(np.unique(place[a : a + n])) for a, n in zip(edge, length, strict=True)], pa.binary())})
+def _places(entries: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Places of repeats (kind 2), by the bucket of their document."""
+    if len(entries.doc):
+        yield _packed(entries, (entries.keys[:, 0].view(np.uint64) % np.uint64(buckets))[entries.doc], buckets, 2, False)
+
 
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of documents, and document and place of every packed entry."""
+    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64).reshape(-1, 2)
+    doc = np.repeat(np.arange(len(keys)), np.concatenate([unpack(x, np.uint32) for x in table["runs"].to_pylist()]))
+    return keys, doc, np.concatenate([unpack(x, np.uint32) for x in table["places"].to_pylist()])
 
-def _gather(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """(key, places) of a bucket's documents."""
+    keys, doc, place = _unpacked(table)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (keys[order[1:]] != keys[order[:-1]]).any(1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    keys, doc = keys[order[fresh]], number[doc]
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    edge, length = _runs(doc)
+    places = [pack(np.unique(place[a : a + n])) for a, n in zip(edge, length, strict=True)]
+    return pa.table({"key": key_column(keys[doc[edge], 0], keys[doc[edge], 1]), "places": pa.array(places, pa.binary())})
+
+
+def _gather(parts: Iterator[Entries | pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for part in parts:
         if isinstance(part, pa.RecordBatch):
             yield part
             continue
         held.append(part)
-        size += len(part[0])
+        size += len(part.doc)
         if size > FLUSH:
-            yield from _entries(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+            yield from _entries(_joined(held), buckets)
             held, size = [], 0
     if size:
-        yield from _entries(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+        yield from _entries(_joined(held), buckets)
     release()
 
 
@@ -155,14 +183,14 @@ def _seed_task(batches: Iterator[pa.RecordBatch], window: int, gram: int, bucket
             for part in chunks(batch):
                 raw, at = column_bytes(part.column(2))
                 words = Words(raw, at, fold=False)
-                key = part.column(0).to_numpy()
+                key = np.stack(key_arrays(part.column(0)), 1)
                 whole = raw.tobytes()
                 sha = [hashlib.sha256(b" ".join(whole[a:b].split())).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield _mixed(len(key), kind=np.zeros(len(key), np.int32), bucket=(key.view(np.uint64) % np.uint64(buckets)).astype(np.int32), key=key, doc_id=part.column(1), n_words=words.counts().astype(np.int64), sha=sha)
+                yield _mixed(len(key), kind=np.zeros(len(key), np.int32), bucket=(key[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int32), key=part.column(0), doc_id=part.column(1), n_words=words.counts().astype(np.int64), sha=sha)
                 _, place, hash_ = anchors(words, window, gram)
                 place, first = np.unique(place, return_index=True)
                 owner = np.searchsorted(words.first, place, "right") - 1
-                yield hash_[first], key[owner], (place - words.first[owner]).astype(np.uint32)
+                yield Entries(hash_[first][:, None], owner, (place - words.first[owner]).astype(np.uint32), key)
 
     return _gather(parts(), buckets)
 
@@ -174,43 +202,48 @@ def _extend_task(batches: Iterator[pa.RecordBatch], window: int, gram: int, buck
         for batch in batches:
             for part in chunks(batch):
                 words = Words(*column_bytes(part.column(2)), fold=False)
-                key = part.column(0).to_numpy()
+                key = np.stack(key_arrays(part.column(0)), 1)
                 seeds = [unpack(x, np.uint32) for x in part.column(3).to_pylist()]
                 seed = np.unique(np.concatenate([s + f for s, f in zip(seeds, words.first[:-1], strict=True)]))
                 start, place, _ = anchors(words, window, gram)
                 start = start[np.isin(place, seed)]
                 owner = np.searchsorted(words.first, start, "right") - 1
-                yield words.runs(start, window), key[owner], (start - words.first[owner]).astype(np.uint32)
+                hash_ = np.stack((words.runs(start, window), words.runs(start, window, second=True)), 1)
+                yield Entries(hash_, owner, (start - words.first[owner]).astype(np.uint32), key)
 
     return _gather(parts(), buckets)
 
 
-def _repeats(table: pa.Table, buckets: int) -> pa.Table:
-    """Of a bucket's entries the places of those whose hash occurs again; other rows pass."""
+def _repeats(table: pa.Table, buckets: int, halves: int) -> pa.Table:
+    """Of a bucket's entries, whose hashes have so many halves, the places of those whose hash occurs again; other rows pass."""
     kinds = table["kind"].to_numpy()
     passed, asked, loud = (table.filter(pa.array(x)) for x in ((kinds == 0) | (kinds == 2), kinds == 1, kinds == 3))
     out = [passed]
     if asked.num_rows:
-        hash_ = np.frombuffer(b"".join(asked["hashes"].to_pylist()), np.uint64)
-        key, place = _unpacked(asked)
-        known = np.unique(np.frombuffer(b"".join(loud["hashes"].to_pylist()), np.uint64))
-        values, back, times = np.unique(hash_, return_inverse=True, return_counts=True)
-        repeated = (times > 1) | np.isin(values, known, assume_unique=True)
-        keep = repeated[back]
-        out += [pa.Table.from_batches([b]) for b in _places(key[keep], place[keep], buckets)]
+        lone, known = (np.frombuffer(b"".join(t["hashes"].to_pylist()), np.uint64).reshape(-1, halves) for t in (asked, loud))
+        keys, doc, place = _unpacked(asked)
+        both = np.concatenate((lone, known))
+        order = _sorted(both)
+        same = _again(both[order])
+        same[:-1] |= same[1:]
+        keep = np.zeros(len(both), bool)
+        keep[order[same]] = True
+        keep = keep[: len(lone)]
+        entries = Entries(lone[keep], doc[keep], place[keep], keys)
+        out += [pa.Table.from_batches([b]) for b in _places(entries, buckets)]
     return pa.concat_tables(out)
 
 
-_REMOVED = "key long, n_removed long, sha string, spans array<struct<first:int,last:int>>"
+_REMOVED = f"key {KEY}, n_removed long, sha string, spans array<struct<first:int,last:int>>"
 
 
 def _remove_task(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Per document with repeats: words removed, digest of the rest, and the removed runs of words (last exclusive)."""
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    schema = pa.schema([("key", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()), ("spans", span)])
+    schema = pa.schema([("key", KEY_TYPE), ("n_removed", pa.int64()), ("sha", pa.string()), ("spans", span)])
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for key, text, places in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        out: list[list] = [[], [], []]
+        for text, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             words = (text or "").encode("utf-8", "surrogatepass").split()
             starts = unpack(places, np.uint32).astype(np.int64)
             gone = np.zeros(len(words) + 1, np.int64)
@@ -219,9 +252,9 @@ def _remove_task(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             gone = np.cumsum(gone)[:-1] > 0
             edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
             kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-            for column, value in zip(out, (key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"first": a, "last": b} for a, b in edge.reshape(-1, 2).tolist()]), strict=True):
+            for column, value in zip(out, (int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"first": a, "last": b} for a, b in edge.reshape(-1, 2).tolist()]), strict=True):
                 column.append(value)
-        yield record(schema, out)
+        yield record(schema, [batch.column(0), *out])
 
 
 def repeated_passages(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
@@ -232,16 +265,16 @@ def repeated_passages(docs: DataFrame, window: int = 35, gram: int = GRAM) -> Da
     in this document or another; repeated rows are other documents. spans are the removed
     runs of words, last exclusive; kept_sha256 digests the kept words joined by a space.
     Null and empty texts have no words; texts shorter than a window lose none; a null
-    doc_id is kept; an empty table gives no rows. Windows are held as 64-bit hashes.
+    doc_id is kept; an empty table gives no rows. Windows are held as 128-bit hashes.
     Other columns of docs are not read.
     """
     rows, buckets = keyed(docs), bucket_count(docs)
-    meet = lambda d, name: materialise(d.groupBy("bucket").applyInArrow(lambda t: _repeats(t, buckets), _MIXED), name)
-    first = meet(rows.mapInArrow(lambda it: _seed_task(it, window, gram, buckets), _MIXED), "seeds")
-    gathered = lambda d: d.filter("kind = 2").select("bucket", "keys", "runs", "places").groupBy("bucket").applyInArrow(_by_document, "key long, places binary")
+    meet = lambda d, name, halves: materialise(d.groupBy("bucket").applyInArrow(lambda t: _repeats(t, buckets, halves), _MIXED), name)
+    first = meet(rows.mapInArrow(lambda it: _seed_task(it, window, gram, buckets), _MIXED), "seeds", 1)
+    gathered = lambda d: d.filter("kind = 2").select("bucket", "keys", "runs", "places").groupBy("bucket").applyInArrow(_by_document, f"key {KEY}, places binary")
     documents = first.filter("kind = 0").select("key", "doc_id", "n_words", "sha")
     seeds = gathered(first)
-    second = meet(partners(rows, seeds).mapInArrow(lambda it: _extend_task(it, window, gram, buckets), _MIXED), "windows")
+    second = meet(partners(rows, seeds).mapInArrow(lambda it: _extend_task(it, window, gram, buckets), _MIXED), "windows", 2)
     repeats = gathered(second)
     removed = partners(rows, repeats).mapInArrow(lambda it: _remove_task(it, window), _REMOVED).dropDuplicates(["key"])
     joined = documents.alias("d").join(removed.alias("r"), "key", "left")
@@ -249,7 +282,7 @@ def repeated_passages(docs: DataFrame, window: int = 35, gram: int = GRAM) -> Da
 
 
 def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("kept", pa.string())])
+    schema = pa.schema([("key", KEY_TYPE), ("kept", pa.string())])
     for batch in batches:
         kept = []
         for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -264,6 +297,10 @@ def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kept_texts(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(key, kept): each document's text without the spans of repeated_passages(), words joined by a space."""
+    """(key, kept): each document's text without the spans of repeated_passages(), words joined by a space.
+
+    Null and empty texts are empty; repeated rows come as often as they are there; rows of docs
+    that passages does not have are left out. Other columns are not read.
+    """
     spans = passages.select("key", "spans").dropDuplicates(["key"])
-    return keyed(docs).join(spans, "key").mapInArrow(_cut_task, "key long, kept string")
+    return keyed(docs).join(spans, "key").mapInArrow(_cut_task, f"key {KEY}, kept string")
