@@ -1,9 +1,10 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Every word of the training corpus is a symbol and has its count. The tree's contexts are
-runs of words. A context stays if it was seen often enough, a fixed number of times at any
-size of the corpus, and its next-word distribution diverges from that of the context without
-its first word; next-word distributions are smoothed with those of the shorter context; a
+runs of words. A context stays if it was seen more than once, at any size of the corpus, and
+its next-word distribution diverges from that of the context without its first word by more
+than chance: the log-likelihood that it gains is tested, its count times the Kullback-Leibler
+divergence; next-word distributions are smoothed with those of the shorter context; a
 word is scored in the state of the longest suffix of its past that the tree holds.
 
     log P(text) = sum over tokens of log P(word | state)
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.filters import pack, unpack
-from tessera.llm.plan import bucket_count, materialise, record, release, row_key, small_batches
+from tessera.llm.plan import KEY, bucket_count, key_arrays, key_column, materialise, record, release, row_key, small_batches
 from tessera.llm.text import Words, chunks, column_bytes, mix
 
 #: The end of a text, as a token's hash; texts start after it.
@@ -37,12 +38,12 @@ PART_TOKENS = 2_500_000
 
 @dataclass
 class Settings:
-    """least: times that a context was seen at least; depth: longest context; divergence: least Kullback-Leibler
-    divergence (nats) from the shorter context; prior: weight of the shorter context in smoothing."""
+    """least: times that a context was seen at least; depth: longest context; divergence: least count times
+    Kullback-Leibler divergence (nats) from the shorter context; prior: weight of the shorter context in smoothing."""
 
-    least: int = 10
+    least: int = 2
     depth: int = 3
-    divergence: float = 0.02
+    divergence: float = 4.0
     prior: float = 20.0
 
 
@@ -83,7 +84,7 @@ def _count_task(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        key = np.concatenate([x[0] for x in held])
+        key, ids, given = (np.concatenate([x[k] for x in held]) for k in (0, 4, 5))
         trained = np.concatenate([x[1] for x in held])
         n = np.concatenate([np.diff(x[3]) for x in held])
         hashes = np.concatenate([x[2] for x in held])
@@ -111,19 +112,20 @@ def _count_task(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         number = np.empty(len(order), np.uint32)
         number[order] = place[np.cumsum(word) - 1]
         # Rows of one key that are learned from differ from those that are not.
-        name = int(np.bitwise_xor.reduce((key.view(np.uint64) + trained) * np.arange(1, 2 * len(key), 2, dtype=np.uint64)).view(np.int64))
+        name = int(np.bitwise_xor.reduce((key[:, 0].view(np.uint64) + trained) * np.arange(1, 2 * len(key), 2, dtype=np.uint64)).view(np.int64))
         full = np.flatnonzero(np.diff(cut))
         piece = lambda values, b: pack(values[ends[cut[b]] : ends[cut[b + 1]]])
         yield _mixed(
             len(full), kind=[1] * len(full), bucket=full.tolist(), part=[name] * len(full), words=[word_of[cut[b] : cut[b + 1]].tobytes() for b in full], trained=[pack(count[turn][cut[b] : cut[b + 1]]) for b in full],
             each=[pack(each[turn][cut[b] : cut[b + 1]]) for b in full], docs=[piece(doc, b) for b in full], times=[piece(times, b) for b in full], tokens=[np.int64(len(key)).tobytes()] * len(full),
         )
-        yield _mixed(1, kind=[0], bucket=[name % buckets], part=[name], keys=[key.tobytes()], tokens=[n.astype(np.int64).tobytes()], times=[np.int64(place[np.searchsorted(hashes[head], END_HASH)]).tobytes()], docs=[_squeezed(number)], trained=[_squeezed(trained.astype(np.uint8))])
+        yield _mixed(1, kind=[0], bucket=[name % buckets], part=[name], keys=[key.tobytes()], each=[ids.tobytes()], words=[given.tobytes()], tokens=[n.astype(np.int64).tobytes()], times=[np.int64(place[np.searchsorted(hashes[head], END_HASH)]).tobytes()], docs=[_squeezed(number)], trained=[_squeezed(trained.astype(np.uint8))])
 
     for batch in batches:
         for part in chunks(batch):
             hashes, first = _tokens(part)
-            held.append((part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False), hashes, first))
+            ids = part.column(3)
+            held.append((np.stack(key_arrays(part.column(0)), 1), part.column(2).to_numpy(zero_copy_only=False), hashes, first, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)))
             size += len(hashes)
             if size > PART_TOKENS:
                 yield from flush()
@@ -177,9 +179,9 @@ def _part_task(table: pa.Table, settings: Settings, buckets: int) -> pa.Table:
     kinds = table["kind"].to_numpy()
     # A part occurs twice if its documents do.
     own, sums = table.filter(pa.array(kinds == 0)), table.filter(pa.array(kinds == 2))
-    key, n = np.frombuffer(own["keys"][0].as_py(), np.int64), np.frombuffer(own["tokens"][0].as_py(), np.int64)
-    logs = sum((np.frombuffer(x, np.float64) for x in sums["keys"].to_pylist()), np.zeros(len(key))) / own.num_rows
-    known = sum((unpack(x, np.uint32).astype(np.int64) for x in sums["tokens"].to_pylist()), np.zeros(len(key), np.int64)) // own.num_rows
+    n = np.frombuffer(own["tokens"][0].as_py(), np.int64)
+    logs = sum((np.frombuffer(x, np.float64) for x in sums["keys"].to_pylist()), np.zeros(len(n))) / own.num_rows
+    known = sum((unpack(x, np.uint32).astype(np.int64) for x in sums["tokens"].to_pylist()), np.zeros(len(n), np.int64)) // own.num_rows
     by_bucket = sorted(dict(zip(sums["bucket"].to_pylist(), zip(sums["words"].to_pylist(), sums["trained"].to_pylist()), strict=True)).items())
     words, count = (np.concatenate([_unsqueezed(x[i], np.int64) for _, x in by_bucket]) for i in (0, 1))
     turn = np.argsort(words)
@@ -216,7 +218,8 @@ def _part_task(table: pa.Table, settings: Settings, buckets: int) -> pa.Table:
             columns[name].append(value)
     part, k = own["part"][0].as_py(), len(full)
     rows = _mixed(k, kind=[4] * k, bucket=full.tolist(), part=[part] * k, **columns)
-    sums = _mixed(1, kind=[5], bucket=[part % buckets], part=[part], keys=[key.tobytes()], tokens=[n.tobytes()], times=[known.tobytes()], each=[logs.tobytes()])
+    given = {name: [own[name][0].as_py()] for name in ("keys", "words", "trained")}
+    sums = _mixed(1, kind=[5], bucket=[part % buckets], part=[part], docs=[np.int64(own.num_rows).tobytes() + own["each"][0].as_py()], tokens=[n.tobytes()], times=[known.tobytes()], each=[logs.tobytes()], **given)
     return pa.Table.from_batches([rows, sums])
 
 
@@ -265,7 +268,7 @@ class Tree:
         owner = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(context))))
         share = count / total[owner]
         gap = np.add.reduceat(share * np.log(share / q), head)
-        stays = (total >= settings.least) & (gap >= settings.divergence)
+        stays = (total >= settings.least) & (total * gap >= settings.divergence)
         kept = stays[owner]
         self.contexts.append(context[head][stays])
         self.mass.append(settings.prior / (total[stays] + settings.prior))
@@ -330,14 +333,18 @@ def _tree_task(table: pa.Table, settings: Settings, size: int) -> pa.Table:
 
 
 def _sum_task(table: pa.Table) -> pa.Table:
-    """Documents of a part with their sums over words and what the tree adds."""
+    """Documents of a part with their sums over words and what the tree adds, as often as the part is there."""
     kinds = table["kind"].to_numpy()
     own, gains = table.filter(pa.array(kinds == 5)), table.filter(pa.array(kinds == 6))
-    key, n, known = (np.frombuffer(own[c][0].as_py(), np.int64) for c in ("keys", "tokens", "times"))
-    gain = np.zeros(len(key))
+    of = lambda name, kind: np.frombuffer(own[name][0].as_py(), kind)
+    key, n, known, ids, logs = of("keys", np.int64).reshape(-1, 2), of("tokens", np.int64), of("times", np.int64), of("docs", np.int64), of("each", np.float64)
+    trained, given = _unsqueezed(own["trained"][0].as_py(), np.uint8).astype(bool), of("words", bool)
+    times, ids = int(ids[0]), ids[1:]
+    gain = np.zeros(len(n))
     for doc, value in zip(gains["docs"].to_pylist(), gains["keys"].to_pylist(), strict=True):
         gain[_unsqueezed(doc, np.uint32)] += np.frombuffer(value, np.float64)
-    return pa.table({"key": key, "n_tokens": n, "n_known": known, "logs": np.frombuffer(own["each"][0].as_py(), np.float64), "gain": gain})
+    whole = pa.table({"key": key_column(key[:, 0], key[:, 1]), "doc_id": pa.array(ids, pa.int64(), mask=~given), "trained": trained, "n_tokens": n, "n_known": known, "logs": logs, "gain": gain})
+    return pa.concat_tables([whole] * times)
 
 
 def suffix_tree_scores(docs: DataFrame, trained: str = "trained", settings: Settings | None = None) -> DataFrame:
@@ -355,7 +362,7 @@ def suffix_tree_scores(docs: DataFrame, trained: str = "trained", settings: Sett
     """
     settings, spark = settings or Settings(), docs.sparkSession
     small_batches(spark)
-    rows = docs.select(row_key("doc_id", "text").alias("key"), "text", F.coalesce(F.col(trained), F.lit(False)).alias("learn"))
+    rows = docs.select(row_key("doc_id", "text").alias("key"), "text", F.coalesce(F.col(trained), F.lit(False)).alias("learn"), F.col("doc_id").cast("long").alias("doc_id"))
     buckets = bucket_count(docs)
     mixed = rows.mapInArrow(lambda it: _count_task(it, buckets), _MIXED)
     mixed = materialise(mixed.groupBy("bucket").applyInArrow(lambda t: _bucket_task(t, buckets), _MIXED), "words")
@@ -364,8 +371,6 @@ def suffix_tree_scores(docs: DataFrame, trained: str = "trained", settings: Sett
 
     parts = mixed.filter("kind IN (0, 2)").groupBy("part").applyInArrow(lambda t: _part_task(t, settings, buckets), _MIXED)
     gains = parts.groupBy("bucket").applyInArrow(lambda t: _tree_task(t, settings, n + v + 1), _MIXED)
-    sums = gains.groupBy("part").applyInArrow(_sum_task, "key long, n_tokens long, n_known long, logs double, gain double").dropDuplicates(["key"])
-    own = docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(trained), F.lit(False)).alias("trained"))
+    scored = gains.groupBy("part").applyInArrow(_sum_task, f"key {KEY}, doc_id long, trained boolean, n_tokens long, n_known long, logs double, gain double")
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    joined = own.join(sums, "key")
-    return joined.select("key", "doc_id", "trained", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    return scored.select("key", "doc_id", "trained", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
