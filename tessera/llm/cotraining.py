@@ -2,10 +2,11 @@
 
 One classifier sees the text (hashed byte n-grams), the other the metadata (source,
 language, size). Each round every document of the corpus is read: where one view is
-confident, its verdict counts as a label for the other view's next model. Both models
-are multinomials with additive counts, so a round is one pass that sums tables of fixed
-size. After the last round each view is calibrated on labelled rows, and the calibrated
-log-odds are combined into one probability for every document.
+confident, its verdict counts as a label for the other view's next model. How confident it
+has to be, held-out labels tell: the verdicts beyond the cut must be right often enough.
+Both models are multinomials with additive counts, so a round is one pass that sums tables
+of fixed size. Each view is calibrated on the held-out labels, and the calibrated log-odds
+are combined into one probability for every document.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.ngrams import BITS, slots, summed, text_means
-from tessera.llm.plan import record, release, row_key, small_batches
+from tessera.llm.plan import KEY, KEY_TYPE, record, release, row_key, small_batches
 from tessera.llm.text import chunks, column_bytes
 
 #: Labelled rows at most, of each class, that models start from and calibration uses, by a hash of their id.
 LABELLED_ROWS = 20_000
 #: Bits of a hashed metadata value.
 META_BITS = 12
-#: Rounds of exchange, and the calibrated probability from which a view's verdict counts (and 1 minus it).
-ROUNDS, CONFIDENT = 2, 0.98
+#: Of the labelled rows one in so many, by a hash of the id, is held out for calibration and cuts.
+HELD_OUT = 4
+#: Rounds of exchange, the largest share of a class that a view may label in one, how often its verdicts must be right, and on how many held-out rows that has to show.
+ROUNDS, EXCHANGED, TRUSTED, LEAST_ROWS = 2, 0.2, 0.9, 10
 #: Documents whose combined probability of good quality is below this are rejected.
 REJECT_BELOW = 0.1
 
@@ -52,11 +55,13 @@ def metadata_slots(part: pa.RecordBatch) -> np.ndarray:
 
 @dataclass
 class Views:
-    """Log ratios good / bad by slot, and the calibration (slope, offset) of each view's mean ratio."""
+    """Log ratios good / bad by slot, and for each view the calibration (slope, offset) of its mean ratio and the mean
+    ratios below and above which it labels for the other view."""
 
     text: np.ndarray
     meta: np.ndarray
     calibration: dict[str, tuple[float, float]] = field(default_factory=lambda: {"text": (1.0, 0.0), "meta": (1.0, 0.0)})
+    cuts: dict[str, tuple[float, float]] = field(default_factory=lambda: {"text": (-np.inf, np.inf), "meta": (-np.inf, np.inf)})
     prior: float = 0.0
 
     def scores(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,35 +79,63 @@ class Views:
         one, two = self.odds(text, meta)
         return 1 / (1 + np.exp(-np.clip(one + two - self.prior, -50, 50)))
 
+    def sure(self, view: str, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that a view labels good and bad."""
+        low, high = self.cuts[view]
+        return score > high, score < low
+
+
+def trusted_cut(score: np.ndarray, right: np.ndarray, weight: np.ndarray) -> float:
+    """The least score above which verdicts are right in at least TRUSTED of the weight and make up at most EXCHANGED of the
+    weight of the right rows; infinite if there is none with LEAST_ROWS rows above it. Equal scores stay together."""
+    order = np.argsort(-score, kind="stable")
+    score, right, weight = score[order], right[order], weight[order]
+    total, hits = np.cumsum(weight), np.cumsum(weight * right)
+    last = np.flatnonzero(np.append(score[1:] != score[:-1], True)) if len(score) else np.zeros(0, int)
+    last = last[(last + 1 >= LEAST_ROWS) & (last + 1 < len(score))]
+    fine = last[(hits[last] >= TRUSTED * total[last]) & (total[last] <= EXCHANGED * hits[-1])]
+    return float(score[fine[-1] + 1]) if len(fine) else np.inf
+
 
 @dataclass
 class Labels:
-    """Bounded samples of labelled ids, sorted, and the share of good rows among all labels."""
+    """Bounded samples of labelled ids, sorted: those that models start from, those held out, and the share of good rows among all labels."""
 
     good: np.ndarray
     bad: np.ndarray
+    held_good: np.ndarray
+    held_bad: np.ndarray
     share: float
 
     def of(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         ids = part.column(0).to_numpy(zero_copy_only=False)
         return np.isin(ids, self.good), np.isin(ids, self.bad)
 
+    def held(self, part: pa.RecordBatch) -> np.ndarray:
+        ids = part.column(0).to_numpy(zero_copy_only=False)
+        return np.isin(ids, self.held_good) | np.isin(ids, self.held_bad)
+
 
 def sample_labels(labels: DataFrame, most: int = LABELLED_ROWS) -> Labels:
     """At most so many ids of each class; an id with both labels is left out."""
     clear = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     sizes = {int(q): int(n) for q, n in clear.groupBy("low").count().collect()}
-    take = lambda q: np.array(sorted(d for (d,) in clear.filter(F.col("low") == q).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()), np.int64)
+
+    def take(quality: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = clear.filter(F.col("low") == quality).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HELD_OUT)) == 0).alias("held")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        return tuple(np.array(sorted(d for d, held in rows if held == wanted), np.int64) for wanted in (False, True))
+
     total = sum(sizes.values())
-    return Labels(take(1), take(0), sizes.get(1, 0) / total if total else 0.5)
+    (good, held_good), (bad, held_bad) = take(1), take(0)
+    return Labels(good, bad, held_good, held_bad, sizes.get(1, 0) / total if total else 0.5)
 
 
 _TEXT, _META = 2 << BITS, 2 << META_BITS
 
 
 def _count_task(batches: Iterator[pa.RecordBatch], labels: Broadcast, views: Broadcast | None) -> Iterator[np.ndarray]:
-    """Counts by class for both views: labelled rows, and from the second round rows of which the other view is sure."""
-    total, sure = np.zeros(_TEXT + _META, np.int64), np.log(CONFIDENT / (1 - CONFIDENT))
+    """Counts by class for both views: labelled rows, and from the second round rows of which the other view is sure; held-out ones never count."""
+    total = np.zeros(_TEXT + _META, np.int64)
     text, meta = total[:_TEXT].reshape(2, -1), total[_TEXT:].reshape(2, -1)
     for batch in batches:
         for part in chunks(batch, limit=4 << 20):
@@ -112,10 +145,9 @@ def _count_task(batches: Iterator[pa.RecordBatch], labels: Broadcast, views: Bro
                 for_text, for_meta = labelled, labelled
             else:
                 by_text, by_meta, slot, offsets, places = views.value.scores(part)
-                by_text, by_meta = views.value.odds(by_text, by_meta)
-                known = labelled[0] | labelled[1]
-                for_text = tuple(x | (~known & y) for x, y in zip(labelled, (by_meta > sure, by_meta < -sure), strict=True))
-                for_meta = tuple(x | (~known & y) for x, y in zip(labelled, (by_text > sure, by_text < -sure), strict=True))
+                open_ = ~(labelled[0] | labelled[1] | labels.value.held(part))
+                for_text = tuple(x | (open_ & y) for x, y in zip(labelled, views.value.sure("meta", by_meta), strict=True))
+                for_meta = tuple(x | (open_ & y) for x, y in zip(labelled, views.value.sure("text", by_text), strict=True))
             for k in range(2):
                 text[k] += np.bincount(slot[np.repeat(for_text[k], np.diff(offsets))], minlength=1 << BITS)
                 meta[k] += np.bincount(places[for_meta[k]].ravel(), minlength=1 << META_BITS)
@@ -133,10 +165,9 @@ _SCORES = "doc_id long, text_score double, meta_score double"
 _SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64())])
 
 
-def _labelled_task(batches: Iterator[pa.RecordBatch], labels: Broadcast, views: Broadcast) -> Iterator[pa.RecordBatch]:
+def _held_task(batches: Iterator[pa.RecordBatch], labels: Broadcast, views: Broadcast) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good, bad = labels.value.of(batch)
-        mine = batch.filter(pa.array(good | bad))
+        mine = batch.filter(pa.array(labels.value.held(batch)))
         for part in chunks(mine, limit=4 << 20):
             text, meta, *_ = views.value.scores(part)
             yield record(_SCORE_SCHEMA, [part.column(0), text, meta])
@@ -158,13 +189,15 @@ def platt(score: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[floa
 
 
 def _calibrate(views: Views, rows: DataFrame, labels: Labels, shared: Broadcast) -> Views:
-    """Fits both calibrations on the labelled sample (at most 2 * LABELLED_ROWS rows), weighted to the classes' true shares."""
+    """Fits both calibrations and cuts on the held-out sample (at most 2 * LABELLED_ROWS rows), weighted to the classes' true shares."""
     current = rows.sparkSession.sparkContext.broadcast(views)
-    found = np.array([tuple(r) for r in rows.mapInArrow(lambda it: _labelled_task(it, shared, current), _SCORES).dropDuplicates(["doc_id"]).collect()], np.float64).reshape(-1, 3)
-    good = np.isin(found[:, 0].astype(np.int64), labels.good).astype(float)
+    found = np.array([tuple(r) for r in rows.mapInArrow(lambda it: _held_task(it, shared, current), _SCORES).dropDuplicates(["doc_id"]).collect()], np.float64).reshape(-1, 3)
+    good = np.isin(found[:, 0].astype(np.int64), labels.held_good).astype(float)
     if 0 < good.sum() < len(good):
         weight = np.where(good > 0, labels.share / good.mean(), (1 - labels.share) / (1 - good.mean()))
-        views.calibration = {"text": platt(found[:, 1], good, weight), "meta": platt(found[:, 2], good, weight)}
+        for k, view in ((1, "text"), (2, "meta")):
+            views.calibration[view] = platt(found[:, k], good, weight)
+            views.cuts[view] = (-trusted_cut(-found[:, k], 1 - good, weight), trusted_cut(found[:, k], good, weight))
         views.prior = float(np.log(max(labels.share, 1e-6) / max(1 - labels.share, 1e-6)))
     return views
 
@@ -190,8 +223,8 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", column("source", "string"), column("lang", "string"), column("n_chars", "long"), row_key("doc_id", "text").alias("key"))
 
 
-_VERDICT = "key long, doc_id long, text_probability double, meta_probability double, probability double, kept boolean"
-_VERDICT_SCHEMA = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text_probability", pa.float64()), ("meta_probability", pa.float64()), ("probability", pa.float64()), ("kept", pa.bool_())])
+_VERDICT = f"key {KEY}, doc_id long, text_probability double, meta_probability double, probability double, kept boolean"
+_VERDICT_SCHEMA = pa.schema([("key", KEY_TYPE), ("doc_id", pa.int64()), ("text_probability", pa.float64()), ("meta_probability", pa.float64()), ("probability", pa.float64()), ("kept", pa.bool_())])
 
 
 def _verdict_task(batches: Iterator[pa.RecordBatch], views: Broadcast, least: float) -> Iterator[pa.RecordBatch]:
@@ -212,8 +245,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, r
     own; null and empty texts have no n-grams and stand at their view's offset; rows without
     doc_id are never labelled; without labels of both classes nothing is learned and every
     row is kept; repeated rows are each scored; an empty table gives no rows. Other columns
-    are not read. Models start from at most LABELLED_ROWS labelled rows of each class; the
-    exchange and the verdicts cover all rows.
+    are not read. At most LABELLED_ROWS labelled rows of each class take part, one in HELD_OUT
+    of them for calibration only; the exchange and the verdicts cover all rows.
     """
     rows = _inputs(docs)
     views = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, rounds))
@@ -221,7 +254,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, r
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents, in their columns, that the classifier keeps; texts don't travel."""
+    """The rows of documents, in their columns, that the classifier keeps; texts don't travel.
+
+    Nulls, repeated rows and missing labels count as in quality_verdicts(); an empty table
+    gives no rows; further columns, of any name, pass through.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     views = docs.sparkSession.sparkContext.broadcast(fit(_inputs(docs), labels))
