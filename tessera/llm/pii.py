@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -168,10 +169,12 @@ def candidates(text: str, taken: list[Span]) -> list[Span]:
     of three capitalised words both pairs are candidates."""
     out = []
     busy = sorted((s, e) for _, s, e in taken)
+    starts, reach = [s for s, _ in busy], list(accumulate((e for _, e in busy), max))
     for kind, pattern in _CANDIDATES.items():
         for m in pattern.finditer(text):
             start, end = m.span(pattern.groups)
-            if not any(s < end and start < e for s, e in busy):
+            before = bisect_left(starts, end)
+            if not before or reach[before - 1] <= start:
                 out.append((kind, start, end))
     return out
 
@@ -332,7 +335,7 @@ def span_model(docs: DataFrame) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(fit_spans([tuple(r) for r in counts.collect()]))
 
 
-_FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE], ("base_sha256", pa.string()), ("spans", pa.string())])
+_FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -344,18 +347,19 @@ def _find_task(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[
                 spans = find_spans(text, model.value) if text else []
                 base = [s for s in spans if s[0] in BASE]
                 joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
-                rows.append((*[sum(s[0] == k for s in base) for k in BASE], hashlib.sha256(joined.encode()).hexdigest() if base else _NOTHING, ",".join(f"{k}:{a}:{b}" for k, a, b in spans)))
+                rows.append((*[sum(s[0] == k for s in base) for k in BASE], hashlib.sha256(joined.encode()).hexdigest() if base else _NOTHING, ",".join(f"{k}:{a}:{b}" for k, a, b in spans), len(spans)))
             yield record(_FOUND_SCHEMA, [part.column(0), *zip(*rows, strict=True)])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for every row.
 
     spans lists kind:start:end (code points, end exclusive) of all spans, by kind as in KINDS
-    and then start; base_sha256 digests those of base kinds. Null and empty texts have none;
+    and then start, n_spans counts them; base_sha256 digests those of base kinds. Null and empty texts have none;
     repeated rows are each answered and each vote; without candidates nothing is added; an
     empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     model = span_model(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(lambda it: _find_task(it, model), ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in _FOUND_SCHEMA))
@@ -372,7 +376,11 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def masked_documents(docs: DataFrame) -> DataFrame:
-    """The rows of documents, in their columns, with personal data masked; a changed text's n_chars follows it."""
+    """The rows of documents, in their columns, with personal data masked; a changed text's n_chars follows it.
+
+    Null and empty texts stay as they are; repeated rows are each masked; an empty table gives
+    no rows; further columns, of any name, pass through.
+    """
     model, schema = span_model(docs), to_arrow_schema(docs.schema)
     names = [c.lower() for c in docs.columns]
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
