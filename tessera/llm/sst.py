@@ -20,7 +20,8 @@ import struct
 import zlib
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.plan import bucket_count, materialise, new_folder, record
+from tessera.llm.plan import bucket_count, materialise, record, small_batches
 from tessera.llm.text import column_bytes
 from tessera.llm.whole_token import byte_alphabet
+from tessera.session import new_folder
 
 #: Bytes of a data block, and of a shard's data, before the next begins.
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 128 << 20
@@ -126,17 +128,19 @@ class Writer:
 
 
 class Reader:
-    """Reads a shard from its bytes."""
+    """Reads a shard through read_at(offset, length), which fetches no more than is asked for."""
 
-    def __init__(self, data: bytes | memoryview):
-        self.data = memoryview(data)
-        if len(self.data) < _FOOTER.size:
+    def __init__(self, read_at: Callable[[int, int], bytes], size: int):
+        self.read_at = read_at
+        if size < _FOOTER.size:
             raise ValueError("not a shard: too short")
-        index_at, index_len, bloom_at, self.bits, self.documents, self.tokens, blocks, self.width, magic = _FOOTER.unpack(self.data[-_FOOTER.size :])
+        index_at, index_len, bloom_at, self.bits, self.documents, self.tokens, blocks, self.width, magic = _FOOTER.unpack(read_at(size - _FOOTER.size, _FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard: wrong magic")
-        self.bloom = np.frombuffer(self.data[bloom_at : bloom_at + (self.bits + 7) // 8], np.uint8)
-        raw, at, self.index = bytes(self.data[index_at : index_at + index_len]), 0, []
+        # The filter follows the index: both come at once.
+        raw = read_at(index_at, bloom_at - index_at + (self.bits + 7) // 8)
+        self.bloom = np.frombuffer(raw, np.uint8, (self.bits + 7) // 8, bloom_at - index_at)
+        at, self.index = 0, []
         for _ in range(blocks):
             n, at = _read_varint(raw, at)
             key, at = raw[at : at + n], at + n
@@ -144,9 +148,14 @@ class Reader:
             length, at = _read_varint(raw, at)
             self.index.append((key, offset, length))
 
+    @classmethod
+    def of(cls, data: bytes) -> Reader:
+        return cls(lambda offset, length: data[offset : offset + length], len(data))
+
     def _block(self, offset: int, length: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        block = bytes(self.data[offset : offset + length - 4])
-        if zlib.crc32(block) != struct.unpack("<I", self.data[offset + length - 4 : offset + length])[0]:
+        block = self.read_at(offset, length)
+        block, check = block[:-4], block[-4:]
+        if zlib.crc32(block) != struct.unpack("<I", check)[0]:
             raise ValueError(f"block at {offset} is damaged")
         at, key = 0, b""
         while at < len(block):
@@ -197,10 +206,17 @@ def write_file(path: str, data: bytes, attempt: str) -> None:
     files.move(f"{name}.{attempt}", name)
 
 
-def read_file(path: str) -> Reader:
+@contextmanager
+def open_shard(path: str) -> Iterator[Reader]:
+    """A shard in a file, of which footer, index and filter are read now and blocks when they are asked for."""
     files, name = _place(path)
     with files.open_input_file(name) as f:
-        return Reader(f.read())
+
+        def read_at(offset: int, length: int) -> bytes:
+            f.seek(offset)
+            return f.read(length)
+
+        yield Reader(read_at, f.size())
 
 
 #: Fixed value: the split pattern of tokenizers with word ends, by which words are letters, single digits, or other signs.
@@ -315,6 +331,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
     the order of their text; an empty table has no shard. width is the bytes an id takes, 2
     only if all ids are below 65536. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     folder = folder or new_folder(docs.sparkSession, "shards")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(bucket_count(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -329,12 +346,13 @@ def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows = []
-            for doc_id, ids in read_file(path):
-                rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), path))
-                start += len(ids)
-                if len(rows) >= 10_000:
-                    yield record(_DOCUMENT_SCHEMA, list(zip(*rows, strict=True)))
-                    rows = []
+            with open_shard(path) as shard:
+                for doc_id, ids in shard:
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), path))
+                    start += len(ids)
+                    if len(rows) >= 10_000:
+                        yield record(_DOCUMENT_SCHEMA, list(zip(*rows, strict=True)))
+                        rows = []
             if rows:
                 yield record(_DOCUMENT_SCHEMA, list(zip(*rows, strict=True)))
 
@@ -354,7 +372,13 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, tokens) for the wanted ids (doc_id long): every id goes to the shards whose range holds it."""
+    """(doc_id, tokens) for the wanted ids (doc_id long): every id goes to the shards whose range holds it.
+
+    A shard's footer, index and filter are read, and for an id that passes the filter the
+    blocks whose keys may be its: one, or more if many documents have it. An id without
+    documents gives no row, one of several documents a row each, a null id those without id;
+    repeated ids are asked once; empty tables give no rows.
+    """
     shards = sorted((bytes(k), p) for p, k in manifest.select("path", "first_key").toLocalIterator())  # a row a shard
     routed = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(lambda it: _route_task(it, shards), "path string, doc_id long")
     return routed.groupBy("path").applyInArrow(_lookup_shard, "doc_id long, tokens array<long>")
@@ -373,6 +397,6 @@ def _route_task(batches: Iterator[pa.RecordBatch], shards: list[tuple[bytes, str
 
 def _lookup_shard(table: pa.Table) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-    shard = read_file(table["path"][0].as_py())
-    found = [(d, ids.tolist()) for d in table["doc_id"].to_pylist() for ids in shard.get(d)]
+    with open_shard(table["path"][0].as_py()) as shard:
+        found = [(d, ids.tolist()) for d in table["doc_id"].to_pylist() for ids in shard.get(d)]
     return pa.Table.from_batches([record(schema, list(zip(*found, strict=True)) if found else [[], []])])

@@ -223,7 +223,7 @@ def test_shard_blocks_index_and_damage():
     for i in range(3000):
         writer.add(sst.key_bytes(i * 3, 0), bytes(2 * (i % 90)))
     raw = writer.close()
-    reader = sst.Reader(raw)
+    reader = sst.Reader.of(raw)
     assert len(reader.index) > 3 and [d for d, _ in reader] == [i * 3 for i in range(3000)]
     assert len(reader.get(2997)[0]) == 999 % 90 and reader.get(2998) == []
     assert sum(reader.may_hold(i * 3 + 1) for i in range(3000)) < 120
@@ -232,7 +232,7 @@ def test_shard_blocks_index_and_damage():
     broken = bytearray(raw)
     broken[10] ^= 1
     with pytest.raises(ValueError):
-        list(sst.Reader(bytes(broken)))
+        list(sst.Reader.of(bytes(broken)))
 
 
 def test_suffix_tree_base_scores(docs, empty):
