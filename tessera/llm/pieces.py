@@ -312,7 +312,11 @@ def _encode_task(batches: Iterator[pa.RecordBatch], model: Broadcast, schema: pa
 
 
 def encoded(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
-    """docs with one more column: the piece ids of text, an empty list where it is null."""
+    """docs with one more column: the piece ids of text, an empty list where it is null or empty.
+
+    A column of docs that has the new one's name is replaced, further columns pass through;
+    repeated rows are each encoded, whole; an empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(load(path))
     small_batches(docs.sparkSession)
     docs = docs.drop(column)
@@ -327,6 +331,10 @@ def _decode_task(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterato
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
-    """(key, text) from rows (key long, ids array<int>)."""
+    """(key, text) from rows (key long, ids array<int>).
+
+    A null or empty list gives an empty text; repeated rows are each decoded; an empty table
+    gives no rows; other columns are not read.
+    """
     model = rows.sparkSession.sparkContext.broadcast(load(path))
     return rows.select("key", "ids").mapInArrow(lambda it: _decode_task(it, model), "key long, text string")

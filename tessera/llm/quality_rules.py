@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.ngrams import BITS, counted, slots, summed, text_means
-from tessera.llm.plan import record
+from tessera.llm.plan import record, small_batches
 from tessera.llm.text import WHITE, Words, chunks, column_bytes
 
 #: Trusted labelled rows at most that the target multinomial is fitted on, by the order of a hash of their id.
@@ -131,6 +131,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     The corpus multinomial covers all texts; the target one the texts of at most
     TRUSTED_ROWS labelled rows of quality 1.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(rows, trusted_ids(labels)))
     return rows.mapInArrow(lambda it: _rules_task(it, ratios, threshold), _RULES)
