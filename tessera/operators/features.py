@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import finite, n_rows
+from tessera.operators.ordered import quantiles
+
 
 def column_summary(df: DataFrame, columns: list[str], **measures) -> DataFrame:
     """One pass over a wide table, then a row a column: measures are functions of a column."""
@@ -18,15 +20,25 @@ def missing_share(c: Column) -> Column:
     return F.count_if(finite(c).isNull()).cast("double") / n_rows()
 
 
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, median) of finite values, exact, without a buffer of all values."""
+    long = df.select(*[finite(F.col(c)).alias(c) for c in columns]).unpivot([], columns, "feature", "v")
+    return quantiles(long, ["feature"], "v", [0.5]).select("feature", F.col("q")[0].alias("median"))
+
+
 def impute(df: DataFrame, train: Column, columns: list[str]) -> DataFrame:
     """Missing and non-finite values become the train rows' median, in train and test."""
-    medians = df.filter(train).agg(*[F.median(finite(F.col(c))).alias(f"__m_{c}") for c in columns])
-    filled = df.join(F.broadcast(medians))  # one row
+    found = medians(df.filter(train), columns)
+    one = found.agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"__m_{c}") for c in columns])
+    filled = df.join(F.broadcast(one))  # one row
     return filled.withColumns({c: F.coalesce(finite(F.col(c)), F.col(f"__m_{c}")) for c in columns}).drop(*[f"__m_{c}" for c in columns])
 
 
 def identical_columns(df: DataFrame, key: str, columns: list[str]) -> list[tuple[str, str]]:
-    """Pairs (kept, dropped) of equal columns: by a fingerprint of key and value first, then exactly."""
+    """Pairs (kept, dropped) of equal columns: by a fingerprint of key and value first, then exactly.
+
+    The two aggregations run at once; what comes to the driver is a row with a value a column.
+    """
     prints = df.agg(*[F.sum(F.xxhash64(key, F.col(c).cast("double")).cast("decimal(38,0)")).alias(c) for c in columns]).first()
     groups: dict = {}
     for c in columns:
@@ -39,9 +51,15 @@ def identical_columns(df: DataFrame, key: str, columns: list[str]) -> list[tuple
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for a before b: pairwise complete Pearson correlations, all in one aggregation."""
+    """(a, b, r) for a before b: pairwise complete Pearson correlations, all in one aggregation; null where a side is constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*[F.corr(finite(F.col(a)), finite(F.col(b))).alias(f"{a}|{b}") for a, b in pairs])
+
+    def correlation(a: str, b: str) -> Column:
+        x, y = finite(F.col(a)), finite(F.col(b))
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    one = df.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]))
     return one.select(rows.alias("p")).select("p.*")
 
@@ -57,24 +75,38 @@ def correlation_screen(pairs: list[tuple[str, str, float]], columns: list[str],
 
 
 def dominance(long: DataFrame) -> DataFrame:
-    """Per feature of (feature, v): rows, distinct values, shares of the two most common values, and their ratio."""
+    """Per feature of (feature, v): rows, distinct values, the most common value and its share, and its ratio to the second."""
     counts = long.groupBy("feature", "v").agg(n_rows().alias("n"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), "v"))).filter("place <= 2")
-    first = top.groupBy("feature").agg(F.max(F.when(F.col("place") == 1, F.col("n"))).alias("n_first"), F.max(F.when(F.col("place") == 2, F.col("n"))).alias("n_second"))
+    first = top.groupBy("feature").agg(F.max(F.when(F.col("place") == 1, F.col("v"))).alias("dominant"), F.max(F.when(F.col("place") == 1, F.col("n"))).alias("n_first"), F.max(F.when(F.col("place") == 2, F.col("n"))).alias("n_second"))
     total = counts.groupBy("feature").agg(F.sum("n").alias("n"), n_rows().alias("n_distinct"))
     return total.join(first, "feature").withColumn("dominant_share", F.col("n_first").cast("double") / F.col("n")).withColumn("frequency_ratio", F.try_divide(F.col("n_first").cast("double"), F.col("n_second").cast("double")))
 
 
-def stratified_split(df: DataFrame, stratum: str, key: Column, test_share: float = 0.2) -> DataFrame:
-    """df with test: of each stratum the rows first in a hash order, round(share * n) of them.
+def _placed(df: DataFrame, stratum: str, key: Column, seed: int) -> DataFrame:
+    """df with __place, from 1, in its stratum's order of the MD5 of seed:key, and __size of the stratum.
 
-    The cut is found by counting hash ranges, so that no stratum is sorted by one task.
+    Places are found by counting ranges of hashes, so that no stratum is sorted by one task.
     """
-    hashed = df.withColumn("__h", F.pmod(F.xxhash64(key, F.lit(42)), F.lit(1 << 16)).cast("int"))
+    hashed = df.withColumn("__md5", F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))).withColumn("__h", F.substring("__md5", 1, 4))
     counts = hashed.groupBy(stratum, "__h").agg(n_rows().alias("__n"))
     before = Window.partitionBy(stratum).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.sum("__n").over(Window.partitionBy(stratum))
-    cuts = counts.select(stratum, "__h", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"), F.round(size * test_share).alias("__want"))
-    joined = hashed.join(cuts, [stratum, "__h"])
-    place = F.row_number().over(Window.partitionBy(stratum, "__h").orderBy(F.xxhash64(key), key)) + F.col("__b")
-    return joined.withColumn("test", place <= F.col("__want")).drop("__h", "__n", "__b", "__want")
+    cuts = counts.select(stratum, "__h", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"), F.sum("__n").over(Window.partitionBy(stratum)).alias("__size"))
+    within = F.row_number().over(Window.partitionBy(stratum, "__h").orderBy("__md5", key))
+    return hashed.join(cuts, [stratum, "__h"]).withColumn("__place", within + F.col("__b")).drop("__h", "__b", "__md5")
+
+
+def stratified_split(df: DataFrame, stratum: str, key: Column, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """df with test: of each stratum the rows first in a hash order, round(share * n) of them."""
+    return _placed(df, stratum, key, seed).withColumn("test", F.col("__place") <= F.round(F.col("__size") * test_share)).drop("__place", "__size")
+
+
+def stratified_folds(df: DataFrame, stratum: str, key: Column, folds: int = 5, seed: int = 42, fold: str = "fold") -> DataFrame:
+    """df with fold, 0 to folds - 1: each stratum's rows are dealt in turn in a hash order."""
+    return _placed(df, stratum, key, seed).withColumn(fold, ((F.col("__place") - 1) % folds).cast("int")).drop("__place", "__size")
+
+
+def all_missing(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns without any finite value, by one aggregation."""
+    some = df.agg(*[F.bool_or(finite(F.col(c)).isNotNull()).alias(c) for c in columns]).first()
+    return [c for c in columns if not some[c]]

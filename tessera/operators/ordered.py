@@ -5,30 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a key's values are cut into, so that no task holds more than one of them.
+from tessera.session import materialise
+
+#: Least number of ranges that a key's values are cut into; there are as many as shuffle partitions if those are more.
 RANGES = 64
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
-    """df with the inclusive running sum of each column (alias: column) over order within keys.
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], descending: bool = False, minima: dict[str, str] | None = None) -> DataFrame:
+    """df with the inclusive running sum (and for minima the running minimum) of each column (alias: column) over order within keys.
 
-    order is unique within a key. Values are cut at approximate quantiles; totals of the
-    ranges before are added to a running sum within the range, which is all a task sorts.
+    order is unique within a key. Values are cut at approximate quantiles into ranges whose
+    number follows spark.sql.shuffle.partitions, so that a task sorts one range whatever the
+    input; what the ranges before add up to joins a running sum within the range. df is
+    written down first: it is read for the cuts, the totals and the rows.
     """
-    keys = keys or ["__all"]
-    rows = df.withColumn("__all", F.lit(0)) if keys == ["__all"] else df
-    sign = F.col(order).cast("double") * (-1 if descending else 1)
-    rows = rows.withColumn("__at", sign)
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("__at", [i / RANGES for i in range(1, RANGES)], 10_000).alias("__cuts"))
-    rows = rows.join(cuts, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__at")))).drop("__cuts")
-    totals = rows.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__t_{a}") for a, c in sums.items()])
+    minima = minima or {}
+    df = materialise(df, "ordered")
+    keys, rows = (keys, df) if keys else (["__all"], df.withColumn("__all", F.lit(0)))
+    ranges = max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("__at", F.col(order).cast("double") * (-1 if descending else 1))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("__at", [i / ranges for i in range(1, ranges)], 10_000).alias("__cuts"))
+    one = keys == ["__all"]  # a single row may be sent to all tasks
+    rows = rows.join(F.broadcast(cuts) if one else cuts, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__at")))).drop("__cuts")
+    total = lambda a, c: F.min(c).alias(f"__t_{a}") if a in minima else F.sum(c).alias(f"__t_{a}")
+    totals = rows.groupBy(*keys, "__range").agg(*[total(a, c) for a, c in (sums | minima).items()])
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "__range", *[F.coalesce(F.sum(f"__t_{a}").over(before), F.lit(0)).alias(f"__b_{a}") for a in sums])
+    carried = [F.coalesce(F.sum(f"__t_{a}").over(before), F.lit(0)).alias(f"__b_{a}") for a in sums] + [F.min(f"__t_{a}").over(before).alias(f"__b_{a}") for a in minima]
+    totals = totals.select(*keys, "__range", *carried)
     within = Window.partitionBy(*keys, "__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(totals, [*keys, "__range"])
+    rows = rows.join(F.broadcast(totals) if one else totals, [*keys, "__range"])  # as many rows as ranges
     for a, c in sums.items():
         rows = rows.withColumn(a, F.sum(c).over(within) + F.col(f"__b_{a}"))
-    return rows.drop("__at", "__range", "__all", *[f"__b_{a}" for a in sums])
+    for a, c in minima.items():
+        rows = rows.withColumn(a, F.least(F.min(c).over(within), F.col(f"__b_{a}")))
+    return rows.drop("__at", "__range", "__all", *[f"__b_{a}" for a in (*sums, *minima)])
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -49,14 +59,30 @@ def score_ranks(df: DataFrame, score: str, alias: str = "rank") -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, alias: str = "q_value") -> DataFrame:
-    """df with adjusted p-values; null p-values have none and don't count.
-
-    Rows are tests, not data: one ordered pass over the distinct p-values is enough.
-    """
+    """df with adjusted p-values; null p-values have none and don't count."""
     counts = df.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running_sums(counts, [], p, {"__i": "__n"})
     total = counts.agg(F.sum("__n").alias("__m"))
-    raw = ranked.join(F.broadcast(total)).withColumn("__raw", F.col(p) * F.col("__m") / F.col("__i"))
-    after = Window.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adjusted = raw.select(p, F.least(F.lit(1.0), F.min("__raw").over(after)).alias(alias))
-    return df.join(adjusted, p, "left")
+    raw = ranked.join(F.broadcast(total)).select(p, (F.col(p) * F.col("__m") / F.col("__i")).alias("__raw"))
+    adjusted = running_sums(raw, [], p, {}, descending=True, minima={"__q": "__raw"})
+    return df.join(adjusted.select(p, F.least(F.lit(1.0), F.col("__q")).alias(alias)), p, "left")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
+    """(*keys, q) with q the exact quantiles of value, linear between neighbours, as one array.
+
+    They are found among the distinct values with their counts, of which a task sorts a
+    range, so that no buffer holds a key's values; nulls don't count.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    named = counts.withColumn("__v", F.col(value).cast("double")).select(*keys, "__v", "__n", F.col("__v").alias("__order"))
+    ranked = running_sums(named, keys, "__order", {"__up": "__n"})
+    total = named.groupBy(*keys).agg(F.sum("__n").alias("__t"))
+    joined = ranked.join(total, keys) if keys else ranked.join(F.broadcast(total))
+    # Rows have places __up - __n to __up - 1; a quantile lies between the rows at the floor and the ceiling of its place.
+    low = lambda q: F.floor(F.lit(q) * (F.col("__t") - 1))
+    inside = lambda place: (F.col("__up") - F.col("__n") <= place) & (place < F.col("__up"))
+    ends = [c for i, q in enumerate(at) for c in (F.max(F.when(inside(low(q)), F.col("__v"))).alias(f"__l{i}"), F.max(F.when(inside(F.least(low(q) + 1, F.col("__t") - 1)), F.col("__v"))).alias(f"__h{i}"))]
+    found = joined.groupBy(*keys).agg(F.max("__t").alias("__t"), *ends)
+    part = lambda q: F.lit(q) * (F.col("__t") - 1) - low(q)
+    return found.select(*keys, F.array(*[F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * part(q) for i, q in enumerate(at)]).alias("q"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import effect_category, finite
@@ -24,10 +24,11 @@ def value_counts(rows: DataFrame, keys: list[str], value: str = "v", label: str
 
 
 def rank_statistics(rows: DataFrame, keys: list[str], value: str = "v", label: str = "y") -> DataFrame:
-    """Per key: n1, n0, u, auc, cliffs_delta, effect, ks, ties (sum of t^3 - t) and z of the Mann-Whitney test.
+    """Per key: n1, n0, u, auc, cliffs_delta, effect, ks, ks_at, ks_p, ties (sum of t^3 - t) and z of the Mann-Whitney test.
 
     Equal values share their average rank; z has the tie and the continuity correction.
-    auc, ks and z are null where a class is empty.
+    ks_at is the least value where the gap is largest (to 9 digits), ks_p its asymptotic
+    p-value by the Kolmogorov series. auc, ks and z are null where a class is empty.
     """
     counts = value_counts(rows, keys, value, label).withColumn("__value", F.col(value))
     run = running_sums(counts, keys, "__value", {"cp": "pos", "cn": "neg"})
@@ -36,12 +37,15 @@ def rank_statistics(rows: DataFrame, keys: list[str], value: str = "v", label: s
     ks = F.abs(F.try_divide(F.col("cp").cast("double"), F.col("n1")) - F.try_divide(F.col("cn").cast("double"), F.col("n0")))
     # Each positive beats the negatives below it and half of its equals.
     wins = F.col("pos").cast("double") * (F.col("cn") - F.col("neg") + F.col("neg") / 2.0)
-    found = run.join(total, keys).groupBy(*keys).agg(F.first("n1").alias("n1"), F.first("n0").alias("n0"), F.sum(wins).alias("u"), F.max(ks).alias("ks"), F.sum(t.cast("double") * t * t - t).alias("ties"))
+    found = run.join(total, keys).groupBy(*keys).agg(F.first("n1").alias("n1"), F.first("n0").alias("n0"), F.sum(wins).alias("u"), F.max(ks).alias("ks"), F.min_by(value, F.struct(-F.round(ks, 9), F.col(value))).alias("ks_at"), F.sum(t.cast("double") * t * t - t).alias("ties"))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     auc = F.try_divide(F.col("u"), n1 * n0)
     sigma = F.sqrt(n1 * n0 / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
     z = F.try_divide(F.greatest(F.abs(F.col("u") - n1 * n0 / 2.0) - 0.5, F.lit(0.0)), sigma)
+    root = n1 * n0 / n * F.col("ks") * F.col("ks")
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * root))
+    found = found.withColumn("ks_p", F.when(F.col("ks").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series))))
     return found.withColumn("auc", auc).withColumn("cliffs_delta", 2.0 * auc - 1.0).withColumn("effect", effect_category(2.0 * auc - 1.0)).withColumn("z", z)
 
 
@@ -77,44 +81,71 @@ def confusion_metrics(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[st
     }
 
 
-def _replicates(pdf: pd.DataFrame, replicates: int, seed: int, permute: bool) -> np.ndarray:
-    """AUCs of resampled classes or permuted labels of one feature's value counts."""
-    pdf = pdf.sort_values("v")
-    pos, neg = pdf["pos"].to_numpy(np.int64), pdf["neg"].to_numpy(np.int64)
-    n1, n0 = int(pos.sum()), int(neg.sum())
-    rng, out = np.random.default_rng(seed), np.empty(replicates)
-    for i in range(replicates):
-        if permute:
-            p = rng.multivariate_hypergeometric(pos + neg, n1, method="marginals")
-            q = pos + neg - p
-        else:
-            p, q = rng.multinomial(n1, pos / n1), rng.multinomial(n0, neg / n0)
-        out[i] = (p * (np.cumsum(q) - q + q / 2)).sum() / (n1 * n0)
-    return out
+def relevance(tested: DataFrame, alpha: float = 0.05, least_delta: float = 0.2, least_auc: float = 0.6) -> DataFrame:
+    """tested (auc, cliffs_delta, q) with significant (q <= alpha), practical (|delta| or oriented AUC large enough) and relevant (both)."""
+    practical = (F.abs("cliffs_delta") >= least_delta) | (F.greatest(F.col("auc"), 1.0 - F.col("auc")) >= least_auc)
+    flagged = tested.withColumn("significant", F.coalesce(F.col("q") <= alpha, F.lit(False))).withColumn("practical", F.coalesce(practical, F.lit(False)))
+    return flagged.withColumn("relevant", F.col("significant") & F.col("practical"))
+
+
+def replication(flagged: DataFrame, keys: tuple[str, ...] = ("feature",), train: str = "train") -> DataFrame:
+    """Train and test rows of relevance() side by side, one a key each: flags of what holds in both, and changes of the effect."""
+    side = lambda own, name: flagged.filter(own).select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("auc", "cliffs_delta", "significant", "practical")])
+    both = side(F.col(train), "train").join(side(~F.col(train), "test"), list(keys))
+    of = lambda c: (F.col(f"train_{c}"), F.col(f"test_{c}"))
+    (a, b), (d, e) = of("auc"), of("cliffs_delta")
+    both = both.withColumn("same_direction", F.signum(d) == F.signum(e)).withColumn("both_significant", of("significant")[0] & of("significant")[1]).withColumn("both_practical", of("practical")[0] & of("practical")[1])
+    both = both.withColumn("fully_replicated", F.col("both_significant") & F.col("both_practical") & F.col("same_direction"))
+    return both.withColumn("auc_change", F.abs(a - b)).withColumn("delta_change", F.abs(F.abs(d) - F.abs(e)))
+
+
+def stability(pairs: DataFrame, family: str, x: str, y: str, least: int = 3) -> DataFrame:
+    """Per family of features: Pearson and Spearman correlation of two effects, null for fewer than least features."""
+    tied = lambda c: F.rank().over(Window.partitionBy(family).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(family, c)) - 1) / 2.0
+    found = pairs.select(family, x, y, tied(x).alias("__rx"), tied(y).alias("__ry")).groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
+    return found.select(family, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("pearson", "spearman")])
+
+
+def _measures(pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
+    """AUC and average precision from the classes' counts at ascending values."""
+    n1, n0 = pos.sum(), neg.sum()
+    auc = (pos * (np.cumsum(neg) - neg / 2)).sum() / (n1 * n0)
+    tp, all_ = np.cumsum(pos[::-1]), np.cumsum((pos + neg)[::-1])
+    return float(auc), float((np.divide(tp, all_, out=np.zeros(len(tp)), where=all_ > 0) * pos[::-1]).sum() / n1)
 
 
 def resampled(rows: DataFrame, key: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Per feature: AUC, its stratified bootstrap interval, and the label permutation p-value.
+    """Per feature: AUC, Cliff's delta and average precision, each with its stratified bootstrap interval (2.5 and 97.5
+    percent), and of the label permutation the p-value and the null's mean and deviation.
 
-    Replicates are drawn from value counts, which have the resamples' exact distribution, so
-    a feature costs its distinct values, not its rows.
+    Values are oriented, so that AUC is at least 0.5, as on all rows. Replicates are drawn from
+    value counts, which have the resamples' exact distribution, so a feature costs its
+    distinct values, not its rows. A feature with a class below LEAST_CLASS has nulls.
     """
+    names = [key, *(f"{m}{x}" for m in ("auc", "delta", "ap") for x in ("", "_low", "_high")), "permutation_p", "null_mean", "null_sd"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf[key].iloc[0]
-        own = seed + sum(map(ord, str(name)))
-        if pdf["pos"].sum() < LEAST_CLASS or pdf["neg"].sum() < LEAST_CLASS:
-            return pd.DataFrame({key: [name], "auc": [None], "ci_low": [None], "ci_high": [None], "permutation_p": [None]})
         ordered = pdf.sort_values("v")
-        pos, neg = ordered["pos"].to_numpy(float), ordered["neg"].to_numpy(float)
-        auc = float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
-        low, high = np.percentile(_replicates(pdf, replicates, own + 1, False), [2.5, 97.5])
-        null = _replicates(pdf, replicates, own + 2, True)
+        pos, neg = ordered["pos"].to_numpy(np.int64), ordered["neg"].to_numpy(np.int64)
+        n1, n0 = int(pos.sum()), int(neg.sum())
+        if min(n1, n0) < LEAST_CLASS:
+            return pd.DataFrame([[name, *[None] * (len(names) - 1)]], columns=names)
+        if _measures(pos, neg)[0] < 0.5:
+            pos, neg = pos[::-1], neg[::-1]
+        auc, ap = _measures(pos, neg)
+        rng = np.random.default_rng(seed + sum(map(ord, str(name))))
+        drawn = np.array([_measures(rng.multinomial(n1, pos / n1), rng.multinomial(n0, neg / n0)) for _ in range(replicates)])
+        null = np.empty(replicates)
+        for i in range(replicates):
+            p = rng.multivariate_hypergeometric(pos + neg, n1, method="marginals")
+            null[i] = _measures(p, pos + neg - p)[0]
         extreme = int((np.abs(null - 0.5) >= abs(auc - 0.5)).sum())
-        return pd.DataFrame({key: [name], "auc": [auc], "ci_low": [low], "ci_high": [high], "permutation_p": [(1 + extreme) / (1 + replicates)]})
+        (a, b), (c, d) = np.percentile(drawn, [2.5, 97.5], axis=0).T
+        return pd.DataFrame([[name, auc, a, b, 2 * auc - 1, 2 * a - 1, 2 * b - 1, ap, c, d, (1 + extreme) / (1 + replicates), null.mean(), null.std(ddof=1)]], columns=names)
 
     counts = value_counts(rows, [key])
-    return counts.groupBy(key).applyInPandas(one, f"{key} string, auc double, ci_low double, ci_high double, permutation_p double")
+    return counts.groupBy(key).applyInPandas(one, ", ".join([f"{key} string", *(f"{n} double" for n in names[1:])]))
 
 
 def toy_descriptors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import evaluation, evidence, inference, screening, statistics  # noqa: F401  (they register their queries)
+from tessera.plans import evaluation, evidence, files, inference, screening, statistics  # noqa: F401  (they register their queries)
 from tessera.plans.registry import ORACLES, QUERIES
 
 

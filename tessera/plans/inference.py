@@ -52,19 +52,9 @@ def cosine_topk(t: Tables) -> DataFrame:
     return _neighbours(t)
 
 
-@query("""SELECT query_id, neighbour_id, sim FROM (SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS sim FROM embeddings q JOIN embeddings r ON r.label = q.label AND q.vec_id < r.vec_id WHERE q.vec_id % 100 = 0) s""")
-def cosine_within_label(t: Tables) -> DataFrame:
-    """The column form of the same similarity, over an equality join."""
-    return _within_label(t).filter("query_id < neighbour_id")
-
-
 @query("""SELECT query_id, neighbour_id, sim FROM (SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS sim FROM embeddings q JOIN embeddings r ON r.label = q.label AND q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0) s""")
-def cosine_within_label_all(t: Tables) -> DataFrame:
-    """As cosine_within_label, whose SQL leaves out neighbours of a lower id, with all other vectors of the label."""
-    return _within_label(t)
-
-
-def _within_label(t: Tables) -> DataFrame:
+def cosine_within_label(t: Tables) -> DataFrame:
+    """The column form of the same similarity, over an equality join: all other vectors of the query's label."""
     q = _queries(t).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"), "label")
     r = t.vectors.select(F.col("vec_id").alias("neighbour_id"), F.col("embedding").alias("b"), "label")
     return q.join(r, "label").filter("query_id <> neighbour_id").select("query_id", "neighbour_id", r6(cosine(F.col("a"), F.col("b"))).alias("sim"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import finite, n_rows
-from tessera.operators import features, stats
+from tessera.operators import contracts, features, stats
 from tessera.plans.registry import LONG, TRAIN, Tables, query
 
 r6 = lambda c: F.round(c, 6)
@@ -42,29 +42,55 @@ def variance_screen(t: Tables) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(median({c}), 6) AS median, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS sd, min({c}) AS minimum, max({c}) AS maximum FROM {_FINITE} w WHERE train" for c in _WIDE))
 def train_statistics(t: Tables) -> DataFrame:
-    found = features.column_summary(_wide(t).filter("train"), list(_WIDE), median=lambda c: F.median(finite(c)), mean=lambda c: F.avg(finite(c)), sd=lambda c: F.stddev_pop(finite(c)), minimum=lambda c: F.min(finite(c)), maximum=lambda c: F.max(finite(c)))
+    train = _wide(t).filter("train")
+    found = features.column_summary(train, list(_WIDE), mean=lambda c: F.avg(finite(c)), sd=lambda c: F.stddev_pop(finite(c)), minimum=lambda c: F.min(finite(c)), maximum=lambda c: F.max(finite(c)))
+    found = found.join(features.medians(train, list(_WIDE)), "feature", "left")
     return found.select("feature", r6(F.col("median")).alias("median"), F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.col("minimum").cast("double").alias("minimum"), F.col("maximum").cast("double").alias("maximum"))
 
 
-@query("SELECT 'a' AS kept, 'b' AS dropped")
+def _identical(rows: str, columns: str) -> str:
+    """Columns that equal an earlier one, with the first that they equal."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    equal = " UNION ALL ".join(f"SELECT '{a}' AS kept, '{b}' AS dropped FROM {rows} w HAVING bool_and({a} IS NOT DISTINCT FROM {b})" for a, b in pairs)
+    return f"SELECT min(kept) AS kept, dropped FROM ({equal}) e GROUP BY dropped"
+
+
+@query(_identical(f"(SELECT * FROM {WIDE} v WHERE train)", "abcdef"))
 def identical_features(t: Tables) -> DataFrame:
     pairs = features.identical_columns(_wide(t).filter("train"), "l_orderkey", list(_WIDE))
     return t.spark.createDataFrame(pairs, "kept string, dropped string")
 
 
-_PAIRS = [(a, b) for i, a in enumerate("abcef") for b in "abcef"[i + 1 :]]
+@query(_identical(f"(SELECT * FROM {WIDE} v WHERE NOT train AND l_linenumber % 4 = 0)", "abcdef"))
+def identical_in_test(t: Tables) -> DataFrame:
+    """Equal columns among test rows: a report, nothing is dropped for it."""
+    pairs = features.identical_columns(_wide(t).filter("NOT train AND l_linenumber % 4 = 0"), "l_orderkey", list(_WIDE))
+    return t.spark.createDataFrame(pairs, "kept string, dropped string")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature FROM {WIDE} w WHERE l_linenumber % 4 = 0 HAVING count(CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN 1 END) = 0" for c in "abcdef"))
+def all_missing_columns(t: Tables) -> DataFrame:
+    """Columns without a finite value over train and test together."""
+    return t.spark.createDataFrame([(c,) for c in features.all_missing(_wide(t).filter("l_linenumber % 4 = 0"), list(_WIDE))], "feature string")
+
 
+_PAIRS = [(a, b) for i, a in enumerate("abcdef") for b in "abcdef"[i + 1 :]]
+_CORRELATED = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {_FINITE} w WHERE train" for a, b in _PAIRS)
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM {_FINITE} w WHERE train" for a, b in _PAIRS))
+
+@query(f"SELECT a, b, CASE WHEN isfinite(r) THEN round(r, 6) END AS r FROM ({_CORRELATED}) c")
 def correlation_pairs(t: Tables) -> DataFrame:
-    return features.correlations(_wide(t).filter("train"), list("abcef")).select("a", "b", r6(F.col("r")).alias("r"))
+    """All pairs; a constant column correlates with nothing."""
+    return features.correlations(_wide(t).filter("train"), list(_WIDE)).select("a", "b", r6(finite(F.col("r"))).alias("r"))
 
 
-@query("SELECT 'b' AS dropped, true AS greedy UNION ALL SELECT 'c', true UNION ALL SELECT 'b', false UNION ALL SELECT 'c', false")
+@query(f"""WITH RECURSIVE high AS (SELECT a, b FROM ({_CORRELATED}) c WHERE isfinite(r) AND abs(r) > .95), pairs AS (SELECT list({{'a': a, 'b': b}}) AS p FROM high),
+step(j, dropped) AS (SELECT 0, CAST([] AS VARCHAR[]) UNION ALL SELECT j + 1, CASE WHEN len(list_filter(p, lambda x: x.b = 'abcdef'[j + 1] AND NOT list_contains(dropped, x.a))) > 0 THEN list_append(dropped, 'abcdef'[j + 1]) ELSE dropped END FROM step, pairs WHERE j < 6)
+SELECT unnest(dropped) AS dropped, true AS greedy FROM step WHERE j = 6 UNION ALL SELECT DISTINCT b, false FROM high""")
 def correlation_screen(t: Tables) -> DataFrame:
     """Both variants; features are few, so the order-dependent choice is made over their small matrix."""
-    pairs = [tuple(r) for r in features.correlations(_wide(t).filter("train"), list("abcef")).collect()]
-    rows = [(c, greedy) for greedy in (True, False) for c in features.correlation_screen(pairs, list("abcef"), greedy=greedy)]
+    pairs = [tuple(r) for r in features.correlations(_wide(t).filter("train"), list(_WIDE)).collect()]
+    rows = [(c, greedy) for greedy in (True, False) for c in features.correlation_screen(pairs, list(_WIDE), greedy=greedy)]
     return t.spark.createDataFrame(rows, "dropped string, greedy boolean")
 
 
@@ -95,10 +121,18 @@ def point_biserial(t: Tables) -> DataFrame:
     return t.features.filter("train").groupBy("feature").agg(r6(F.corr("v", F.col("y").cast("double"))).alias("r"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(count(*) FILTER (WHERE {c} IS NULL OR isnan({c})) AS BIGINT) AS n_missing, CAST(count(*) FILTER (WHERE isinf({c})) AS BIGINT) AS n_infinite, CAST(count(DISTINCT CASE WHEN isfinite({c}) THEN {c} END) AS BIGINT) AS n_distinct FROM {WIDE} w" for c in _WIDE))
+_TOP = "(SELECT {c} AS v, count(*) AS k FROM {w} w WHERE isfinite(CAST({c} AS DOUBLE)) GROUP BY 1 ORDER BY k DESC, v LIMIT 1)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(count(*) FILTER (WHERE {c} IS NULL OR isnan({c})) AS BIGINT) AS n_missing, CAST(count(*) FILTER (WHERE isinf({c})) AS BIGINT) AS n_infinite, CAST(count(DISTINCT CASE WHEN isfinite({c}) THEN {c} END) AS BIGINT) AS n_distinct, CAST((SELECT v FROM {_TOP.format(c=c, w=WIDE)} t) AS DOUBLE) AS dominant, round((SELECT k FROM {_TOP.format(c=c, w=WIDE)} t) * 1e0 / count(CASE WHEN isfinite({c}) THEN 1 END), 6) AS dominant_share, 'double' AS dtype FROM {WIDE} w" for c in _WIDE))
 def column_profile(t: Tables) -> DataFrame:
     missing = lambda c: F.count_if(c.isNull() | F.isnan(c.cast("double")))
-    return features.column_summary(_wide(t), list(_WIDE), n_missing=missing, n_infinite=lambda c: F.count_if(F.abs(c) == float("inf")), n_distinct=lambda c: F.count_distinct(finite(c)))
+    wide = _wide(t).withColumns({c: F.col(c).cast("double") for c in _WIDE})
+    found = features.column_summary(wide, list(_WIDE), n_missing=missing, n_infinite=lambda c: F.count_if(F.abs(c) == float("inf")))
+    long = wide.select(*[finite(F.col(c)).alias(c) for c in _WIDE]).unpivot([], list(_WIDE), "feature", "v").filter("v IS NOT NULL")
+    top = features.dominance(long).select("feature", "n_distinct", "dominant", "dominant_share")
+    kinds = t.spark.createDataFrame([(c, kind) for c, kind in wide.dtypes if c in _WIDE], "feature string, dtype string")
+    return found.join(top, "feature", "left").join(F.broadcast(kinds), "feature").select("feature", "n_missing", "n_infinite", "n_distinct", "dominant", r6(F.col("dominant_share")).alias("dominant_share"), "dtype")
 
 
 @query(f"SELECT 'copy' AS feature, bool_and(y = 1 - inverse) AS leaks FROM (SELECT y, 1 - y AS inverse FROM {WIDE} w) a UNION ALL SELECT 'a', bool_and(a = y) OR bool_and(a = 1 - y) FROM {WIDE} w")
@@ -107,16 +141,34 @@ def leakage_scan(t: Tables) -> DataFrame:
     return features.column_summary(wide, ["copy", "a"], leaks=lambda c: F.bool_and(c == F.col("y")) | F.bool_and(c == 1 - F.col("y")))
 
 
-@query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, CAST(round(count(*) * .2e0) AS BIGINT) AS n_test FROM customer GROUP BY 1")
+_PLACED = "(SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42:' || CAST(c_custkey AS VARCHAR)), c_custkey) AS place, count(*) OVER (PARTITION BY c_mktsegment) AS size FROM customer)"
+
+
+@query(f"SELECT c_custkey, c_mktsegment, place <= round(size * .2e0) AS test FROM {_PLACED} p")
 def stratified_split(t: Tables) -> DataFrame:
-    split = features.stratified_split(t.read("customer"), "c_mktsegment", F.col("c_custkey"))
-    return split.groupBy("c_mktsegment").agg(n_rows().alias("n"), F.count_if("test").alias("n_test"))
+    return features.stratified_split(t.read("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", F.col("c_custkey"))
 
 
-@query(f"SELECT {TRAIN} AS train, CAST((o_orderkey * 2654435761) % 1000003 % 5 AS BIGINT) AS fold, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2")
+@query(f"SELECT c_custkey, c_mktsegment, CAST((place - 1) % 5 AS INTEGER) AS fold FROM {_PLACED} p")
 def fold_assignment(t: Tables) -> DataFrame:
-    fold = F.expr("(o_orderkey * 2654435761) % 1000003 % 5")
-    return t.read("orders").groupBy((fold != 0).alias("train"), fold.alias("fold")).agg(n_rows().alias("n"))
+    """Five folds, dealt within each stratum."""
+    return features.stratified_folds(t.read("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", F.col("c_custkey"))
+
+
+@query("SELECT CAST(p_size AS BIGINT) AS size, CAST(floor(p_retailprice / 100) AS BIGINT) AS price, CAST(count(*) AS BIGINT) AS group_size, CAST(count(*) - 1 AS BIGINT) AS extra_rows FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_vectors(t: Tables) -> DataFrame:
+    """Feature vectors that several rows share."""
+    vector = F.array(F.col("p_size").cast("long"), F.floor(F.col("p_retailprice") / 100)).alias("vector")
+    return contracts.repeats(t.read("part").select(vector), ["vector"]).select(F.col("vector")[0].alias("size"), F.col("vector")[1].alias("price"), "group_size", "extra_rows")
+
+
+@query("SELECT l_returnflag || ':' || l_linestatus AS \"group\", CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def manifest_subset(t: Tables) -> DataFrame:
+    """Columns by an ordered manifest; the subset must have them in that order."""
+    manifest = ["l_returnflag", "l_linestatus"]
+    rows = contracts.subset(t.read("lineitem"), manifest)
+    contracts.same_order(rows.columns, manifest)
+    return rows.groupBy(F.concat_ws(":", *manifest).alias("group")).agg(n_rows().alias("n"))
 
 
 @query("SELECT doc_id AS id, CAST(length(text) AS BIGINT) AS length, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits, length(text) > 0 AS valid FROM documents")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import n_rows
 from tessera.operators import stats
-from tessera.operators.ordered import benjamini_hochberg, running_sums, score_ranks, top_per_key
+from tessera.operators.ordered import benjamini_hochberg, quantiles, running_sums, score_ranks, top_per_key
 from tessera.plans.registry import LONG, PREDICTIONS, Tables, query
 
 r6 = lambda c: F.round(c, 6)
@@ -39,27 +39,22 @@ def cliffs_delta(t: Tables) -> DataFrame:
 _KS = f"(SELECT feature, train, v, sum(sum(y)) OVER (PARTITION BY feature, train ORDER BY v) * 1e0 / sum(sum(y)) OVER (PARTITION BY feature, train) - sum(sum(1 - y)) OVER (PARTITION BY feature, train ORDER BY v) * 1e0 / sum(sum(1 - y)) OVER (PARTITION BY feature, train) AS gap FROM {LONG} l GROUP BY 1, 2, 3)"
 
 
-@query(f"SELECT feature, train, round(max(abs(gap)), 6) AS ks FROM {_KS} k GROUP BY 1, 2")
-def ks_statistic(t: Tables) -> DataFrame:
-    return _tested(t).select("feature", "train", r6(F.col("ks")).alias("ks"))
-
-
-@query(f"SELECT feature, v, round(sum(n) OVER (PARTITION BY feature ORDER BY v) * 1e0 / sum(n) OVER (PARTITION BY feature), 6) AS share FROM (SELECT feature, v, count(*) AS n FROM {LONG} l WHERE feature <> 'price' GROUP BY 1, 2) c")
-def ecdf(t: Tables) -> DataFrame:
-    return _ecdf(t.features.filter("feature <> 'price'"))
+_KS_P = "least(1e0, greatest(0e0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2e0 * k * k * ks * ks * n1 * n0 / (n1 + n0))))))"
+_KS_ALL = f"(SELECT k.feature, k.train, max(abs(gap)) AS ks, min(v) FILTER (WHERE round(abs(gap), 9) = top) AS ks_at FROM {_KS} k JOIN (SELECT feature, train, round(max(abs(gap)), 9) AS top FROM {_KS} k GROUP BY 1, 2) m USING (feature, train) GROUP BY 1, 2)"
 
 
-@query()
-def ecdf_all_features(t: Tables) -> DataFrame:
-    """As ecdf, whose SQL leaves price out, over every feature."""
-    return _ecdf(t.features)
+@query(f"SELECT feature, train, round(ks, 6) AS ks, ks_at, round({_KS_P}, 6) AS ks_p FROM {_KS_ALL} k JOIN {_AUC} a USING (feature, train)")
+def ks_statistic(t: Tables) -> DataFrame:
+    """The largest gap, the least value where it is reached, and the asymptotic p-value."""
+    return _tested(t).select("feature", "train", r6(F.col("ks")).alias("ks"), "ks_at", r6(F.col("ks_p")).alias("ks_p"))
 
 
-def _ecdf(features: DataFrame) -> DataFrame:
-    counts = features.groupBy("feature", "v").agg(n_rows().alias("n")).withColumn("at", F.col("v"))
+@query(f"SELECT feature, v, round(sum(n) OVER (PARTITION BY feature ORDER BY v) * 1e0 / sum(n) OVER (PARTITION BY feature), 6) AS share FROM (SELECT feature, v, count(*) AS n FROM {LONG} l GROUP BY 1, 2) c")
+def ecdf(t: Tables) -> DataFrame:
+    counts = t.features.groupBy("feature", "v").agg(n_rows().alias("n")).withColumn("at", F.col("v"))
     run = running_sums(counts, ["feature"], "at", {"c": "n"})
-    total = counts.groupBy("feature").agg(F.sum("n").alias("total"))
-    return run.join(F.broadcast(total), "feature").select("feature", "v", r6(F.col("c").cast("double") / F.col("total")).alias("share"))
+    total = run.groupBy("feature").agg(F.sum("n").alias("total"))
+    return run.join(total, "feature").select("feature", "v", r6(F.col("c").cast("double") / F.col("total")).alias("share"))
 
 
 @query(f"""SELECT feature, train, round(sum(tp * 1e0 / (tp + fp) * pos) / sum(pos), 6) AS average_precision, round(sum(pos) * 1e0 / sum(pos + neg), 6) AS prevalence FROM (
@@ -68,30 +63,36 @@ def average_precision(t: Tables) -> DataFrame:
     return stats.average_precision(t.features, ["feature", "train"]).select("feature", "train", r6(F.col("average_precision")).alias("average_precision"), r6(F.col("prevalence")).alias("prevalence"))
 
 
-@query("""SELECT p, n, round(least(1e0, min(raw) OVER (ORDER BY p DESC)), 9) AS q FROM (SELECT p, n, p * sum(n) OVER () / sum(n) OVER (ORDER BY p) AS raw FROM (SELECT (CAST(round(c_acctbal * 100) AS BIGINT) + 200000) // 200 / 1e4 AS p, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_acctbal > -1000 GROUP BY 1) c) r""")
+@query("""SELECT c_custkey, p, round(least(1e0, min(p * m / i) OVER (ORDER BY p DESC)), 9) AS q FROM (SELECT c_custkey, p, count(*) OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM (SELECT c_custkey, (c_acctbal + 2000) / 20000 AS p FROM customer WHERE c_acctbal > -1000) t) r""")
 def bh_fdr(t: Tables) -> DataFrame:
-    tests = t.read("customer").filter("c_acctbal > -1000").select(F.expr("(CAST(round(c_acctbal * 100) AS BIGINT) + 200000) div 200 / 1e4").alias("p"))
-    return benjamini_hochberg(tests, "p", "q").groupBy("p").agg(n_rows().alias("n"), F.round(F.first("q"), 9).alias("q"))
+    tests = t.read("customer").filter("c_acctbal > -1000").select("c_custkey", ((F.col("c_acctbal") + 2000) / 20000).alias("p"))
+    return benjamini_hochberg(tests, "p", "q").select("c_custkey", "p", F.round("q", 9).alias("q"))
 
 
-@query()
-def bh_fdr_all_tests(t: Tables) -> DataFrame:
-    """As bh_fdr, whose SQL rounds and groups, with p-values as they are and a row a test."""
-    tests = t.read("customer").filter("c_acctbal > -1000").select("c_custkey", ((F.col("c_acctbal") + 2000) / 20000).alias("p"))
-    return benjamini_hochberg(tests, "p", "q").select("c_custkey", "p", "q")
+#: erfc by its series, all of whose terms are positive.
+_ERFC = "(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 400), lambda k: exp(2 * k * ln(2e0) + lgamma(k + 1e0) - lgamma(2 * k + 2e0) + (2 * k + 1) * ln({x}) - {x} * {x}))))"
+_TIES = f"(SELECT feature, train, sum(n * n * n - n) AS ties FROM (SELECT feature, train, v, CAST(count(*) AS DOUBLE) AS n FROM {LONG} l GROUP BY 1, 2, 3) c GROUP BY 1, 2)"
+_Z = f"(SELECT a.*, greatest(abs(u - 1e0 * n1 * n0 / 2) - .5, 0) / sqrt(1e0 * n1 * n0 / 12 * (n1 + n0 + 1 - ties / (1e0 * (n1 + n0) * (n1 + n0 - 1)))) AS z FROM {_AUC} a JOIN {_TIES} t USING (feature, train))"
+_P = f"(SELECT *, CASE WHEN least(n1, n0) < 10 THEN NULL WHEN z = 0 THEN 1e0 WHEN z > 8 THEN 0e0 ELSE greatest(0e0, {_ERFC.format(x='(z / sqrt(2e0))')}) END AS p FROM {_Z} z)"
+_Q = f"(SELECT *, CASE WHEN p IS NOT NULL THEN least(1e0, min(p * m / i) OVER (PARTITION BY p IS NULL ORDER BY p DESC)) END AS q FROM (SELECT *, count(p) OVER (PARTITION BY p IS NULL ORDER BY p) AS i, count(p) OVER () AS m FROM {_P} p) r)"
 
 
-@query()
+@query(f"SELECT feature, train, round(z, 4) AS z, round(p, 6) AS p, round(q, 6) AS q FROM {_Q} q")
 def mann_whitney_p(t: Tables) -> DataFrame:
-    """p-values (by erfc in a vectorised function) and their adjustment; features with a small class are not tested."""
-    tested = _tested(t).withColumn("z", F.when(F.least("n1", "n0") >= stats.LEAST_CLASS, F.col("z")))
-    return benjamini_hochberg(tested.withColumn("p", stats.two_sided_p(F.col("z"))), "p", "q").select("feature", "train", "z", "p", "q")
+    """p-values (by erfc in a vectorised function, a row a feature) and their adjustment; features with a small class are not tested."""
+    return _with_q(t).select("feature", "train", F.round("z", 4).alias("z"), r6(F.col("p")).alias("p"), r6(F.col("q")).alias("q"))
 
 
-@query(f"""SELECT feature, train, (abs(auc - .5) >= .002 OR abs(2 * auc - 1) >= .2) AS practical, n1 >= 20 AND n0 >= 20 AS testable FROM {_AUC} a""")
+def _with_q(t: Tables) -> DataFrame:
+    tested = _tested(t).withColumn("p", stats.two_sided_p(F.when(F.least("n1", "n0") >= stats.LEAST_CLASS, F.col("z"))))
+    return benjamini_hochberg(tested, "p", "q")
+
+
+@query(f"SELECT feature, train, coalesce(q <= .05, false) AS significant, abs(2 * auc - 1) >= .01 OR greatest(auc, 1 - auc) >= .502 AS practical, coalesce(q <= .05, false) AND (abs(2 * auc - 1) >= .01 OR greatest(auc, 1 - auc) >= .502) AS relevant, n1 >= 20 AND n0 >= 20 AS testable FROM {_Q} q")
 def feature_relevance(t: Tables) -> DataFrame:
-    auc = F.col("auc")
-    return _tested(t).select("feature", "train", ((F.abs(auc - 0.5) >= 0.002) | (F.abs(F.col("cliffs_delta")) >= 0.2)).alias("practical"), ((F.col("n1") >= 20) & (F.col("n0") >= 20)).alias("testable"))
+    """Relevant is what is both significant after adjustment and large enough; these features are nearly independent of the label, so the cut-offs are low here."""
+    found = stats.relevance(_with_q(t), least_delta=0.01, least_auc=0.502)
+    return found.select("feature", "train", "significant", "practical", "relevant", ((F.col("n1") >= 20) & (F.col("n0") >= 20)).alias("testable"))
 
 
 @query(f"""SELECT a.feature, CAST(CASE WHEN a.auc >= .5 THEN 1 ELSE -1 END AS INTEGER) AS orientation, round(CASE WHEN a.auc >= .5 THEN a.auc ELSE 1 - a.auc END, 6) AS train_oriented, round(CASE WHEN a.auc >= .5 THEN b.auc ELSE 1 - b.auc END, 6) AS test_oriented
@@ -109,19 +110,26 @@ def _replicated(t: Tables) -> DataFrame:
     return train.join(found.filter("NOT train").select("feature", F.col("auc").alias("test_auc")), "feature")
 
 
-@query(f"""SELECT a.feature, sign(a.auc - .5) = sign(b.auc - .5) AS same_direction, round(abs(a.auc - b.auc), 6) AS auc_change FROM {_AUC} a JOIN {_AUC} b ON a.feature = b.feature AND a.train AND NOT b.train""")
+_FLAGGED = f"(SELECT *, coalesce(q <= .05, false) AS s, abs(2 * auc - 1) >= .01 OR greatest(auc, 1 - auc) >= .502 AS l FROM {_Q} q)"
+
+
+@query(f"""SELECT a.feature, sign(a.auc - .5) = sign(b.auc - .5) AS same_direction, a.s AND b.s AS both_significant, a.l AND b.l AS both_practical, a.s AND b.s AND a.l AND b.l AND sign(a.auc - .5) = sign(b.auc - .5) AS fully_replicated, round(abs(a.auc - b.auc), 6) AS auc_change, round(abs(abs(2 * a.auc - 1) - abs(2 * b.auc - 1)), 6) AS delta_change
+  FROM {_FLAGGED} a JOIN {_FLAGGED} b ON a.feature = b.feature AND a.train AND NOT b.train""")
 def replication_join(t: Tables) -> DataFrame:
-    both = _replicated(t)
-    return both.select("feature", (F.signum(F.col("train_auc") - 0.5) == F.signum(F.col("test_auc") - 0.5)).alias("same_direction"), r6(F.abs(F.col("train_auc") - F.col("test_auc"))).alias("auc_change"))
+    both = stats.replication(stats.relevance(_with_q(t), least_delta=0.01, least_auc=0.502))
+    return both.select("feature", "same_direction", "both_significant", "both_practical", "fully_replicated", r6(F.col("auc_change")).alias("auc_change"), r6(F.col("delta_change")).alias("delta_change"))
 
 
-@query(f"""SELECT CAST(count(*) AS BIGINT) AS n, round(corr(x, z), 6) AS pearson, round(corr(rx, rz), 6) AS spearman FROM (SELECT x, z, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2e0 AS rx, rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2e0 AS rz FROM (SELECT a.auc AS x, b.auc AS z FROM {_AUC} a JOIN {_AUC} b ON a.feature = b.feature AND a.train AND NOT b.train) p) r""")
+_FAMILY = "CASE WHEN {} = 'price' THEN 'amount' ELSE 'other' END"
+
+
+@query(f"""SELECT family, CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) >= 3 THEN round(corr(x, z), 6) END AS pearson, CASE WHEN count(*) >= 3 THEN round(corr(rx, rz), 6) END AS spearman FROM (
+  SELECT family, x, z, rank() OVER (PARTITION BY family ORDER BY x) + (count(*) OVER (PARTITION BY family, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY family ORDER BY z) + (count(*) OVER (PARTITION BY family, z) - 1) / 2e0 AS rz
+  FROM (SELECT {_FAMILY.format('a.feature')} AS family, a.auc AS x, b.auc AS z FROM {_AUC} a JOIN {_AUC} b ON a.feature = b.feature AND a.train AND NOT b.train) p) r GROUP BY 1""")
 def effect_stability(t: Tables) -> DataFrame:
-    """Rows are features; one ordered pass over them is enough."""
-    both = _replicated(t)
-    tied = lambda c: F.rank().over(Window.orderBy(c)) + (n_rows().over(Window.partitionBy(c)) - 1) / 2.0
-    ranked = both.select("train_auc", "test_auc", tied("train_auc").alias("rx"), tied("test_auc").alias("rz"))
-    return ranked.agg(n_rows().alias("n"), r6(F.corr("train_auc", "test_auc")).alias("pearson"), r6(F.corr("rx", "rz")).alias("spearman"))
+    """Per family of features, if it has three or more."""
+    both = _replicated(t).withColumn("family", F.expr(_FAMILY.format("feature")))
+    return stats.stability(both, "family", "train_auc", "test_auc").select("family", "n", r6(F.col("pearson")).alias("pearson"), r6(F.col("spearman")).alias("spearman"))
 
 
 @query(f"""SELECT train, CAST(count(*) AS BIGINT) AS n_features, round(median(abs(2 * auc - 1)), 6) AS median_effect, round(max(abs(2 * auc - 1)), 6) AS max_effect, arg_max(feature, abs(2 * auc - 1)) AS best_feature FROM {_AUC} a GROUP BY 1""")
@@ -132,13 +140,15 @@ def representation_summary(t: Tables) -> DataFrame:
 
 @query(f"""SELECT feature, y, round(avg(v), 6) AS mean, round(quantile_cont(v, .25), 6) AS q1, round(quantile_cont(v, .5), 6) AS q2, round(quantile_cont(v, .75), 6) AS q3, round(avg(CAST(v = 0 AS INTEGER)), 6) AS zero_share FROM {LONG} l WHERE train GROUP BY 1, 2""")
 def class_quantiles(t: Tables) -> DataFrame:
-    q = F.percentile("v", [0.25, 0.5, 0.75])
-    rows = t.features.filter("train").groupBy("feature", "y").agg(r6(F.avg("v")).alias("mean"), q.alias("q"), r6(F.avg((F.col("v") == 0).cast("int"))).alias("zero_share"))
-    return rows.select("feature", "y", "mean", *[r6(F.col("q")[i]).alias(f"q{i + 1}") for i in range(3)], "zero_share")
+    rows = t.features.filter("train")
+    means = rows.groupBy("feature", "y").agg(r6(F.avg("v")).alias("mean"), r6(F.avg((F.col("v") == 0).cast("int"))).alias("zero_share"))
+    found = means.join(quantiles(rows, ["feature", "y"], "v", [0.25, 0.5, 0.75]), ["feature", "y"])
+    return found.select("feature", "y", "mean", *[r6(F.col("q")[i]).alias(f"q{i + 1}") for i in range(3)], "zero_share")
 
 
 @query()
 def bootstrap_permutation(t: Tables) -> DataFrame:
+    """AUC, Cliff's delta and average precision with their intervals, and the permutation test, by 1,000 replicates each."""
     return stats.resampled(t.features.filter("train"), "feature")
 
 
@@ -147,10 +157,11 @@ def top_features_per_group(t: Tables) -> DataFrame:
     return top_per_key(t.read("part"), ["p_brand"], [F.desc("p_retailprice"), F.asc("p_partkey")], 25).select("p_brand", "p_partkey", "rank")
 
 
-@query("""SELECT DISTINCT p_partkey, p_brand FROM (SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) k WHERE r <= 10 UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size >= 48) u""")
+@query("""SELECT DISTINCT p_partkey, p_brand FROM (SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_size % 3 <> 0) k WHERE r <= 10 UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size >= 48) u""")
 def feature_shortlist(t: Tables) -> DataFrame:
+    """The ten best significant ones of each family, and all that are large enough, once each."""
     part = t.read("part")
-    best = top_per_key(part, ["p_brand"], [F.desc("p_retailprice"), F.asc("p_partkey")], 10).select("p_partkey", "p_brand")
+    best = top_per_key(part.filter("p_size % 3 <> 0"), ["p_brand"], [F.desc("p_retailprice"), F.asc("p_partkey")], 10).select("p_partkey", "p_brand")
     return best.unionByName(part.filter("p_size >= 48").select("p_partkey", "p_brand")).distinct()
 
 
@@ -164,12 +175,15 @@ def prediction_rank(t: Tables) -> DataFrame:
     return score_ranks(t.predictions.select("row_id", "p"), "p").select("row_id", "p", "rank")
 
 
-@query("""SELECT CAST(count(*) AS BIGINT) AS n, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS sd, round(min(l_extendedprice), 6) AS minimum, round(quantile_cont(l_extendedprice, .01), 6) AS q01, round(median(l_extendedprice), 6) AS median, round(quantile_cont(l_extendedprice, .99), 6) AS q99, round(max(l_extendedprice), 6) AS maximum FROM lineitem""")
+_SHOWN = (("q01", 0.01), ("q05", 0.05), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q95", 0.95), ("q99", 0.99))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS sd, round(min(l_extendedprice), 6) AS minimum, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS {a}" for a, q in _SHOWN) + ", round(max(l_extendedprice), 6) AS maximum FROM lineitem")
 def describe_metric(t: Tables) -> DataFrame:
-    q = F.percentile("l_extendedprice", [0.01, 0.5, 0.99])
-    x = "l_extendedprice"
-    one = t.read("lineitem").agg(n_rows().alias("n"), r6(F.avg(x)).alias("mean"), r6(F.stddev_samp(x)).alias("sd"), r6(F.min(x)).alias("minimum"), q.alias("q"), r6(F.max(x)).alias("maximum"))
-    return one.select("n", "mean", "sd", "minimum", *[r6(F.col("q")[i]).alias(a) for i, a in enumerate(("q01", "median", "q99"))], "maximum")
+    x, rows = "l_extendedprice", t.read("lineitem").select("l_extendedprice")
+    one = rows.agg(n_rows().alias("n"), r6(F.avg(x)).alias("mean"), r6(F.stddev_samp(x)).alias("sd"), r6(F.min(x)).alias("minimum"), r6(F.max(x)).alias("maximum"))
+    both = one.join(F.broadcast(quantiles(rows, [], x, [q for _, q in _SHOWN])))  # a row each
+    return both.select("n", "mean", "sd", "minimum", *[r6(F.col("q")[i]).alias(a) for i, (a, _) in enumerate(_SHOWN)], "maximum")
 
 
 _GRID = (0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1)
@@ -177,5 +191,5 @@ _GRID = (0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1)
 
 @query(" UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS place, round(quantile_cont(l_extendedprice, {q}), 6) AS value FROM lineitem" for i, q in enumerate(_GRID)))
 def quantile_grid(t: Tables) -> DataFrame:
-    grid = t.read("lineitem").agg(F.percentile("l_extendedprice", list(map(float, _GRID))).alias("q"))
+    grid = quantiles(t.read("lineitem").select("l_extendedprice"), [], "l_extendedprice", list(map(float, _GRID)))
     return grid.select(F.posexplode("q").alias("place", "value")).select("place", r6(F.col("value")).alias("value"))
