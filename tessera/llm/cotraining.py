@@ -88,10 +88,12 @@ class Views:
 def trusted_cut(score: np.ndarray, right: np.ndarray, weight: np.ndarray) -> float:
     """The least score above which verdicts are right in at least TRUSTED of the weight and make up at most EXCHANGED of the
     weight of the right rows; infinite if there is none with LEAST_ROWS rows above it. Equal scores stay together."""
+    if not len(score):
+        return np.inf
     order = np.argsort(-score, kind="stable")
     score, right, weight = score[order], right[order], weight[order]
     total, hits = np.cumsum(weight), np.cumsum(weight * right)
-    last = np.flatnonzero(np.append(score[1:] != score[:-1], True)) if len(score) else np.zeros(0, int)
+    last = np.flatnonzero(np.append(score[1:] != score[:-1], True))
     last = last[(last + 1 >= LEAST_ROWS) & (last + 1 < len(score))]
     fine = last[(hits[last] >= TRUSTED * total[last]) & (total[last] <= EXCHANGED * hits[-1])]
     return float(score[fine[-1] + 1]) if len(fine) else np.inf

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.plan import materialise
 
 #: A key with more than this share of all rows, and more rows than LEAST_HOT, is hot: there can't be more than 1 / HOT_SHARE.
-HOT_SHARE, LEAST_HOT = 1 / 1000, 10_000
+HOT_SHARE, LEAST_HOT = 1 / 1000, 1_000
 
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], times: str, total: int, how: str = "inner") -> DataFrame:

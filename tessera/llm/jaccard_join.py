@@ -28,8 +28,10 @@ from tessera.llm.text import Words, chunks, column_bytes, mix, shingles
 SLOT_BITS, SLOT_ROWS = 22, 64
 #: Entries that a task gathers before it hands them to the buckets.
 FLUSH = 1_000_000
-#: Groups of a token's list that meet in one task; a longer list goes in blocks.
-LIST_BLOCK = 20_000
+#: Groups of a token's list that meet in one task; a longer list is joined in blocks.
+LIST_BLOCK = 1_000
+#: Counts of a slot, and how many times the mean one, from which its tokens' lists are dealt to several buckets.
+HOT_SLOT, HOT_TIMES = 100_000, 8
 #: Rounds in which every group meets one other of each list.
 STAR_ROUNDS = 2
 #: Lists up to this long drop members that no other member can match.
@@ -132,22 +134,27 @@ def _mixed(k: int, **columns) -> pa.RecordBatch:
     return record(pa.schema(_FIELDS), [columns.get(name, pa.nulls(k, kind)) for name, kind in _FIELDS])
 
 
-def _block(gkey: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Which of a list's blocks each group is in."""
-    return (mix(gkey ^ _SALT) % cuts.astype(np.uint64)).astype(np.int64)
+def hot_slot(levels: np.ndarray) -> float:
+    """The count that a part of a hot list has at most, about."""
+    return max(HOT_SLOT, HOT_TIMES * float(_counts(np.arange(256)) @ np.bincount(levels, minlength=256)) / len(levels))
 
 
-def _prefix_task(batches: Iterator[pa.RecordBatch], levels: Broadcast, width: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Documents (kind 0) and, by bucket, the prefix tokens of their groups (kind 1). The blocks of a long list follow its token's bucket."""
+def _part(gkey: np.ndarray, parts: np.ndarray, salt: np.uint64 = _SALT) -> np.ndarray:
+    """Which of so many parts of a list each group is in."""
+    return (mix(gkey ^ salt) % parts.astype(np.uint64)).astype(np.int64)
+
+
+def _prefix_task(batches: Iterator[pa.RecordBatch], levels: Broadcast, width: int, percent: int, buckets: int, most: float) -> Iterator[pa.RecordBatch]:
+    """Documents (kind 0) and, by bucket, the prefix tokens of their groups (kind 1). The parts of a hot list go to the buckets after its token's."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
     level = levels.value
-    cut_of = np.ceil(_counts(np.arange(256)) / LIST_BLOCK).clip(1).astype(np.int64)
+    cut_of = np.ceil(_counts(np.arange(256)) / most).clip(1).astype(np.int64)
 
     def flush() -> Iterator[pa.RecordBatch]:
         token, gkey, place, n = (np.concatenate(x) for x in zip(*held, strict=True))
         cuts = cut_of[level[_slots(token)]]
-        bucket = ((token >> np.uint64(32)).astype(np.int64) + _block(gkey, cuts)) % buckets
+        bucket = ((token >> np.uint64(32)).astype(np.int64) + _part(gkey, cuts)) % buckets
         order = np.lexsort((place, n, gkey, token, bucket))
         bucket, token, gkey, place, n, cuts = (x[order] for x in (bucket, token, gkey, place, n, cuts))
         fresh = np.ones(len(token), bool)
@@ -189,8 +196,9 @@ def _fits(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, perce
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * left >= percent * (na + nb))
 
 
-def _bucket_task(table: pa.Table, percent: int, buckets: int) -> pa.Table:
-    """Passes documents on; keeps the lists (kind 1) of tokens that two groups or more share. A long list's blocks lie in several buckets and stay whole."""
+def _bucket_task(table: pa.Table, percent: int, buckets: int, most: float, block_size: int) -> pa.Table:
+    """Passes documents on; keeps the lists (kind 1) of tokens that two groups or more share, in blocks. A hot list's parts, of most groups
+    each, lie in several buckets and stay whole."""
     kinds = table["kind"].to_numpy()
     docs = table.filter(pa.array(kinds == 0))
     lists = table.filter(pa.array(kinds == 1))
@@ -200,23 +208,26 @@ def _bucket_task(table: pa.Table, percent: int, buckets: int) -> pa.Table:
     gkey = np.frombuffer(join_blobs(lists["gkeys"]), np.uint64)
     place, n, cuts = (np.concatenate([unpack(x, np.uint32) for x in lists[c].to_pylist()]).astype(np.int64) for c in ("places", "sizes", "cuts"))
     bucket = table["bucket"][0].as_py()
-    block = _block(gkey, cuts)
-    token = ((bucket - block) % buckets << 32) | token.astype(np.int64)
+    part = _part(gkey, cuts)
+    token = ((bucket - part) % buckets << 32) | token.astype(np.int64)
     order = np.lexsort((place, n, gkey, token))
-    token, gkey, place, n, block, cuts = (x[order] for x in (token, gkey, place, n, block, cuts))
+    token, gkey, place, n, part, cuts = (x[order] for x in (token, gkey, place, n, part, cuts))
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (gkey[1:] != gkey[:-1]) | (n[1:] != n[:-1])
-    token, gkey, place, n, block, cuts = (x[fresh] for x in (token, gkey, place, n, block, cuts))
+    token, gkey, place, n, part, cuts = (x[fresh] for x in (token, gkey, place, n, part, cuts))
     edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     length = np.repeat(np.diff(np.append(edge, len(token))), np.diff(np.append(edge, len(token))))
     shared = (length > 1) | (cuts > 1)
-    token, gkey, place, n, block, cuts, length = (x[shared] for x in (token, gkey, place, n, block, cuts, length))
+    token, gkey, place, n, part, cuts, length = (x[shared] for x in (token, gkey, place, n, part, cuts, length))
     viable = (length > SHORT_LIST) | (cuts > 1)
     for step in range(1, min(SHORT_LIST, len(token))):
         ok = (token[step:] == token[:-step]) & _fits(n[step:], n[:-step], place[step:], place[:-step], percent)
         viable[step:] |= ok
         viable[:-step] |= ok
-    token, gkey, place, n, block, cuts = (x[viable] for x in (token, gkey, place, n, block, cuts))
+    token, gkey, place, n, part, cuts, length = (x[viable] for x in (token, gkey, place, n, part, cuts, length))
+    # All parts of a list have as many blocks.
+    own = np.ceil(np.where(cuts > 1, most, length) / block_size).astype(np.int64)
+    block, cuts = part * own + _part(gkey, own, ~_SALT), cuts * own
     found = _mixed(len(token), kind=[1] * len(token), bucket=[bucket] * len(token), gkey=gkey.view(np.int64), token=token, place=place.astype(np.int32), n=n, block=block.astype(np.int32), blocks=cuts.astype(np.int32))
     return pa.concat_tables([docs, pa.Table.from_batches([found])])
 
@@ -274,9 +285,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     spark = docs.sparkSession
     rows = keyed(docs)
     buckets = bucket_count(docs)
-    levels = spark.sparkContext.broadcast(slot_levels(rows, width))
-    mixed = rows.mapInArrow(lambda it: _prefix_task(it, levels, width, percent, buckets), _MIXED)
-    mixed = materialise(mixed.groupBy("bucket").applyInArrow(lambda t: _bucket_task(t, percent, buckets), _MIXED), "prefixes")
+    counted = slot_levels(rows, width)
+    levels, most, block_size = spark.sparkContext.broadcast(counted), hot_slot(counted), LIST_BLOCK
+    mixed = rows.mapInArrow(lambda it: _prefix_task(it, levels, width, percent, buckets, most), _MIXED)
+    mixed = materialise(mixed.groupBy("bucket").applyInArrow(lambda t: _bucket_task(t, percent, buckets, most, block_size), _MIXED), "prefixes")
 
     documents = mixed.filter("kind = 0").select("key", "doc_id", "n", "cid", "cid2", "gkey", "vec")
     lists = mixed.filter("kind = 1").select("token", "gkey", "place", "block", "blocks")
@@ -334,9 +346,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     cuts = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
     inner = inner.select((-F.col("gkey") - 1).alias("token"), F.lit(0).alias("place"), F.pmod(F.xxhash64("c"), cuts).cast("int").alias("block"), cuts.alias("blocks"), "c", "n")
     current = rooted(lists.join(members, "gkey").select("token", "place", "block", "blocks", "c", "n").union(inner), roots)
-    open_lists = current.groupBy("token").agg(F.max("root").alias("high"), F.min("root").alias("low")).filter("low < high").select("token", F.lit(True).alias("open"))
+    open_lists = current.groupBy("token").agg(F.max("root").alias("high"), F.min("root").alias("low"), F.max("blocks").alias("blocks")).filter("low < high")
+    open_lists = open_lists.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     spread = lambda other: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other)
-    rows_ = current.join(open_lists, "token", "left_semi")
+    rows_ = current.join(open_lists, ["token", "block"], "left_semi")
     left = side(rows_.select("*", spread("other")), "a", F.col("block").alias("x"), F.col("other").alias("y")).filter("x <= y")
     right = side(rows_.select("*", spread("other")), "b", F.col("other").alias("x"), F.col("block").alias("y")).filter("x <= y")
     cross = left.join(right, ["token", "x", "y"]).filter(f"(x < y OR a < b) AND ra <> rb AND {fits}").select("a", "b")

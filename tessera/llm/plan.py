@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import new_folder
+from tessera.session import materialise  # noqa: F401  (operators take it from here)
 
 #: Bytes of input to a bucket of a packed exchange.
 BUCKET_BYTES = 16 << 20
@@ -21,13 +21,6 @@ BUCKET_BYTES = 16 << 20
 UNKNOWN_BYTES = 1 << 58
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: the lineage ends there."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size of the rows (file bytes for a plain scan), without running anything."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

@@ -206,11 +206,15 @@ def write_file(path: str, data: bytes, attempt: str) -> None:
     files.move(f"{name}.{attempt}", name)
 
 
+def open_file(path: str) -> pa.NativeFile:
+    files, name = _place(path)
+    return files.open_input_file(name)
+
+
 @contextmanager
 def open_shard(path: str) -> Iterator[Reader]:
     """A shard in a file, of which footer, index and filter are read now and blocks when they are asked for."""
-    files, name = _place(path)
-    with files.open_input_file(name) as f:
+    with open_file(path) as f:
 
         def read_at(offset: int, length: int) -> bytes:
             f.seek(offset)

@@ -28,12 +28,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.filters import pack, unpack
 from tessera.llm.plan import KEY, bucket_count, key_arrays, key_column, materialise, record, release, row_key, small_batches
+from tessera.llm.sst import open_file, write_file
 from tessera.llm.text import Words, chunks, column_bytes, mix
+from tessera.session import new_folder
 
 #: The end of a text, as a token's hash; texts start after it.
 END_HASH = np.uint64(0x1F83D9ABFB41BD6B)
 #: Tokens of a part that goes to the buckets as one.
 PART_TOKENS = 2_500_000
+#: Tokens that a bucket's task works on at a time, but for those after a single word.
+CHUNK_TOKENS = 1_000_000
 
 
 @dataclass
@@ -77,9 +81,20 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _count_task(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _write(path: str, own: pa.RecordBatch, attempt: str) -> None:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, own.schema) as stream:
+        stream.write_batch(own)
+    write_file(path, out.getvalue(), attempt)
+
+
+def _count_task(batches: Iterator[pa.RecordBatch], buckets: int, folder: str) -> Iterator[pa.RecordBatch]:
     """By bucket: distinct words, their counts in training texts, and in which documents of the part they are how often (kind 1).
-    For the part (kind 0): its tokens as numbers of its words, which count bucket by bucket, the end's number, and which documents are learned from."""
+    For the part, in a file of its name: its tokens as numbers of its words, which count bucket by bucket, the end's number, and
+    which documents are learned from. This is more than all else together, and no other task but the part's wants it."""
+    from pyspark import TaskContext
+
+    attempt = f"attempt{TaskContext.get().taskAttemptId()}"
     held: list[tuple] = []
     size = 0
 
@@ -96,30 +111,32 @@ def _count_task(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         word[1:] = hashes[1:] != hashes[:-1]
         fresh[1:] = word[1:] | (doc[1:] != doc[:-1])
         entry = np.flatnonzero(fresh)
+        number_of = np.cumsum(word) - 1
         times = np.diff(np.append(entry, len(hashes))).astype(np.uint32)
         hashes, doc, head = hashes[entry], doc[entry], np.flatnonzero(word[entry])
         each = np.diff(np.append(head, len(entry))).astype(np.uint32)
-        count = np.add.reduceat(np.where(trained[doc], times, 0), head).astype(np.uint32)
         bucket = hashes[head] % np.uint64(buckets)
         turn = np.argsort(bucket, kind="stable")
+        # Rows of one key that are learned from differ from those that are not.
+        name = int(np.bitwise_xor.reduce((key[:, 0].view(np.uint64) + trained) * np.arange(1, 2 * len(key), 2, dtype=np.uint64)).view(np.int64))
+        place, number = np.empty(len(turn), np.uint32), np.empty(len(order), np.uint32)
+        place[turn] = np.arange(len(turn))
+        number[order] = place[number_of]
+        end = np.int64(place[np.searchsorted(hashes[head], END_HASH)]).tobytes()
+        own = _mixed(1, part=[name], keys=[key.tobytes()], each=[ids.tobytes()], words=[given.tobytes()], tokens=[n.astype(np.int64).tobytes()], times=[end], docs=[_squeezed(number)], trained=[_squeezed(trained.astype(np.uint8))])
+        _write(f"{folder}/{name:x}", own, attempt)
+        count = np.add.reduceat(np.where(trained[doc], times, 0), head).astype(np.uint32)
         cut = np.searchsorted(bucket[turn], np.arange(buckets + 1, dtype=np.uint64))
         # Entries in the order of their words' buckets.
         spread = np.repeat(head[turn] - np.concatenate(([0], np.cumsum(each[turn], dtype=np.int64)[:-1])), each[turn]) + np.arange(len(entry))
         doc, times, word_of = doc[spread].astype(np.uint32), times[spread], hashes[head][turn]
         ends = np.concatenate(([0], np.cumsum(each[turn], dtype=np.int64)))
-        place = np.empty(len(turn), np.uint32)
-        place[turn] = np.arange(len(turn))
-        number = np.empty(len(order), np.uint32)
-        number[order] = place[np.cumsum(word) - 1]
-        # Rows of one key that are learned from differ from those that are not.
-        name = int(np.bitwise_xor.reduce((key[:, 0].view(np.uint64) + trained) * np.arange(1, 2 * len(key), 2, dtype=np.uint64)).view(np.int64))
         full = np.flatnonzero(np.diff(cut))
         piece = lambda values, b: pack(values[ends[cut[b]] : ends[cut[b + 1]]])
         yield _mixed(
             len(full), kind=[1] * len(full), bucket=full.tolist(), part=[name] * len(full), words=[word_of[cut[b] : cut[b + 1]].tobytes() for b in full], trained=[pack(count[turn][cut[b] : cut[b + 1]]) for b in full],
             each=[pack(each[turn][cut[b] : cut[b + 1]]) for b in full], docs=[piece(doc, b) for b in full], times=[piece(times, b) for b in full], tokens=[np.int64(len(key)).tobytes()] * len(full),
         )
-        yield _mixed(1, kind=[0], bucket=[name % buckets], part=[name], keys=[key.tobytes()], each=[ids.tobytes()], words=[given.tobytes()], tokens=[n.astype(np.int64).tobytes()], times=[np.int64(place[np.searchsorted(hashes[head], END_HASH)]).tobytes()], docs=[_squeezed(number)], trained=[_squeezed(trained.astype(np.uint8))])
 
     for batch in batches:
         for part in chunks(batch):
@@ -137,10 +154,8 @@ def _count_task(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
 
 def _bucket_task(table: pa.Table, buckets: int) -> pa.Table:
     """Sums of each part's documents over the words of this bucket, these words' counts and their ids in the
-    corpus, lower for common ones (kind 2), and the bucket's totals (kind 3); the parts' own rows (kind 0) pass."""
-    kinds = table["kind"].to_numpy()
-    asked = table.filter(pa.array(kinds == 1))
-    out = [table.filter(pa.array(kinds == 0))]
+    corpus, lower for common ones (kind 2), and the bucket's totals (kind 3)."""
+    asked, out = table, []
     if asked.num_rows:
         words = [np.frombuffer(x, np.uint64) for x in asked["words"].to_pylist()]
         counts = [unpack(x, np.uint32).astype(np.int64) for x in asked["trained"].to_pylist()]
@@ -171,17 +186,19 @@ def _totals_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(pa.schema([("n", pa.int64()), ("v", pa.int64())]), [[int(x[0]) for x in both], [int(x[1]) for x in both]])
 
 
-def _part_task(table: pa.Table, settings: Settings, buckets: int) -> pa.Table:
+def _part_task(table: pa.Table, settings: Settings, buckets: int, folder: str) -> pa.Table:
     """A part's documents with their sums over all buckets (kind 5), and its tokens by the bucket of the word before them
     (kind 4): the ids and counts of the words they name, and for each token its document, how often it is learned, and
     the words at and before it. No context can be a state that holds a word of fewer than least occurrences: 0 stands
     for such words in it, and tokens right after one, which the root scores, are left out."""
-    kinds = table["kind"].to_numpy()
+    sums, part = table, table["part"][0].as_py()
+    with open_file(f"{folder}/{part:x}") as f:
+        own = pa.ipc.open_stream(f.read()).read_all()
     # A part occurs twice if its documents do.
-    own, sums = table.filter(pa.array(kinds == 0)), table.filter(pa.array(kinds == 2))
+    copies = sums.num_rows // len(set(sums["bucket"].to_pylist()))
     n = np.frombuffer(own["tokens"][0].as_py(), np.int64)
-    logs = sum((np.frombuffer(x, np.float64) for x in sums["keys"].to_pylist()), np.zeros(len(n))) / own.num_rows
-    known = sum((unpack(x, np.uint32).astype(np.int64) for x in sums["tokens"].to_pylist()), np.zeros(len(n), np.int64)) // own.num_rows
+    logs = sum((np.frombuffer(x, np.float64) for x in sums["keys"].to_pylist()), np.zeros(len(n))) / copies
+    known = sum((unpack(x, np.uint32).astype(np.int64) for x in sums["tokens"].to_pylist()), np.zeros(len(n), np.int64)) // copies
     by_bucket = sorted(dict(zip(sums["bucket"].to_pylist(), zip(sums["words"].to_pylist(), sums["trained"].to_pylist()), strict=True)).items())
     words, count = (np.concatenate([_unsqueezed(x[i], np.int64) for _, x in by_bucket]) for i in (0, 1))
     turn = np.argsort(words)
@@ -214,12 +231,12 @@ def _part_task(table: pa.Table, settings: Settings, buckets: int) -> pa.Table:
         used = np.flatnonzero(named)
         small[used] = np.arange(1, len(used) + 1)
         used -= 1
-        for name, value in zip(columns, (_squeezed(np.diff(words[used], prepend=0)), _squeezed(count[used]), _squeezed(np.diff(doc[at], prepend=np.uint32(0))), _squeezed(learned[doc[at]] * np.uint32(own.num_rows)), _squeezed(small[mine].ravel())), strict=True):
+        for name, value in zip(columns, (_squeezed(np.diff(words[used], prepend=0)), _squeezed(count[used]), _squeezed(np.diff(doc[at], prepend=np.uint32(0))), _squeezed(learned[doc[at]] * np.uint32(copies)), _squeezed(small[mine].ravel())), strict=True):
             columns[name].append(value)
-    part, k = own["part"][0].as_py(), len(full)
+    k = len(full)
     rows = _mixed(k, kind=[4] * k, bucket=full.tolist(), part=[part] * k, **columns)
     given = {name: [own[name][0].as_py()] for name in ("keys", "words", "trained")}
-    sums = _mixed(1, kind=[5], bucket=[part % buckets], part=[part], docs=[np.int64(own.num_rows).tobytes() + own["each"][0].as_py()], tokens=[n.tobytes()], times=[known.tobytes()], each=[logs.tobytes()], **given)
+    sums = _mixed(1, kind=[5], bucket=[part % buckets], part=[part], docs=[np.int64(copies).tobytes() + own["each"][0].as_py()], tokens=[n.tobytes()], times=[known.tobytes()], each=[logs.tobytes()], **given)
     return pa.Table.from_batches([rows, sums])
 
 
@@ -258,8 +275,9 @@ class Tree:
             p = np.where(inside, share + self.mass[depth][at] * p, p)
         return p
 
-    def grow(self, context: np.ndarray, symbol: np.ndarray, count: np.ndarray, shorter: np.ndarray | list) -> None:
-        """Adds the contexts of one more symbol that are common enough and diverge from their suffix, which is a state.
+    def grown(self, context: np.ndarray, symbol: np.ndarray, count: np.ndarray, shorter: np.ndarray | list) -> tuple[np.ndarray, ...]:
+        """Of contexts of one more symbol those that were seen often enough and diverge from their suffix, which is a state: the contexts, the
+        weight of the suffix in each, their entries and these entries' shares.
         Sorted (context, symbol) with counts; shorter: the pairs' probabilities in the suffix (empty: in the root)."""
         settings = self.settings
         q = shorter if len(shorter) else self.root[symbol]
@@ -270,41 +288,68 @@ class Tree:
         gap = np.add.reduceat(share * np.log(share / q), head)
         stays = (total >= settings.least) & (total * gap >= settings.divergence)
         kept = stays[owner]
-        self.contexts.append(context[head][stays])
-        self.mass.append(settings.prior / (total[stays] + settings.prior))
-        self.entries.append(((context << self.bits) | symbol)[kept])
-        self.shares.append((count / (total[owner] + settings.prior))[kept])
+        return context[head][stays], settings.prior / (total[stays] + settings.prior), ((context << self.bits) | symbol)[kept], (count / (total[owner] + settings.prior))[kept]
+
+    def grow(self, *pairs) -> None:
+        """Adds one more depth, as grown() gives it."""
+        for column, values in zip((self.contexts, self.mass, self.entries, self.shares), self.grown(*pairs), strict=True):
+            column.append(values)
 
     def learn(self, past: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Grows all depths and gives P(symbol | state) of each token: past[0] are the symbols, past[d] those d
-        tokens before, times how often each token is learned; a word below 0 is in no context. A context's code is its number among those met."""
-        symbol, p = past[0], self.root[past[0]]
-        live, code, low = np.arange(past.shape[1]), np.zeros(past.shape[1], np.int64), (1 << self.bits) - 1
-        for before in past[1:]:
+        """P(symbol | state) of each token in the tree that these tokens grow: past[0] are the symbols, past[d] those d tokens before,
+        times how often each token is learned; a word below 0 is in no context."""
+        p = self.root[past[0]]
+        self._deeper(np.arange(past.shape[1], dtype=np.int32), 1, past, times, p)
+        return p
+
+    def _deeper(self, rows: np.ndarray, depth: int, past: np.ndarray, times: np.ndarray, p: np.ndarray) -> None:
+        """Tokens of one state, whose context is depth - 1 symbols long, by the symbol before: few at a time, and if one symbol has very many, by the one before it again."""
+        if depth >= len(past):
+            return
+        rows = rows[past[depth][rows] >= 0]
+        rows = rows[np.argsort(past[depth][rows], kind="stable")]
+        before = past[depth][rows]
+        edge = np.append(np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))), len(rows)) if len(rows) else np.zeros(1, np.int64)
+        low = 0
+        while low < len(edge) - 1:
+            high = max(low + 1, int(np.searchsorted(edge, edge[low] + CHUNK_TOKENS, "right")) - 1)
+            chunk = rows[edge[low] : edge[high]]
+            if len(chunk) > CHUNK_TOKENS:
+                self._deeper(self._step(chunk, depth, past, times, p, 1)[0], depth + 1, past, times, p)
+            else:
+                self._step(chunk, depth, past, times, p, len(past) - depth)
+            low = high
+
+    def _step(self, live: np.ndarray, depth: int, past: np.ndarray, times: np.ndarray, p: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Grows so many depths from depth on over the tokens live and updates their probabilities; the tokens that are in a state of the last
+        depth, and its number. A context's code is its number among those met."""
+        code, low = np.zeros(len(live), np.int64), (1 << self.bits) - 1
+        for before in past[depth : depth + steps]:
             there = before[live] >= 0
             live, code = live[there], code[there]
+            symbol = past[0][live]
             _, code = np.unique((code << self.bits) | before[live], return_inverse=True)
-            pair, first, back = np.unique((code << self.bits) | symbol[live], return_index=True, return_inverse=True)
+            pair, first, back = np.unique((code << self.bits) | symbol, return_index=True, return_inverse=True)
             count = np.bincount(back, times[live]).astype(np.int64)
             seen = np.flatnonzero(count)
             if not len(seen):
-                break
-            self.grow(pair[seen] >> self.bits, pair[seen] & low, count[seen], p[live[first[seen]]])
-            mass = np.zeros(int(code.max()) + 1)
-            mass[self.contexts[-1]] = self.mass[-1]
-            share = np.zeros(len(pair))
-            share[seen[mass[pair[seen] >> self.bits] > 0]] = self.shares[-1]
+                return live[:0], code[:0]
+            context, weight, _, shares = self.grown(pair[seen] >> self.bits, pair[seen] & low, count[seen], p[live[first[seen]]])
+            mass, share = np.zeros(int(code.max()) + 1), np.zeros(len(pair))
+            mass[context] = weight
+            share[seen[mass[pair[seen] >> self.bits] > 0]] = shares
             stays = mass[code] > 0
             live, code, back = live[stays], code[stays], back[stays]
             if not len(live):
                 break
             p[live] = share[back] + mass[code] * p[live]
-        return p
+        return live, code
 
 
 def _tree_task(table: pa.Table, settings: Settings, size: int) -> pa.Table:
     """What this bucket's contexts add to the score of each part's documents (kind 6): sum of log10 P(word | state) / P0(word);
-    documents (kind 5) pass. size: tokens and distinct words of the training texts, and one."""
+    documents (kind 5) pass. size: tokens and distinct words of the training texts, and one. Tokens stay packed, and are unpacked
+    by ranges of the word before them, few at a time."""
     kinds = table["kind"].to_numpy()
     asked = table.filter(pa.array(kinds == 4))
     out = [table.filter(pa.array(kinds == 5))]
@@ -312,22 +357,36 @@ def _tree_task(table: pa.Table, settings: Settings, size: int) -> pa.Table:
         words = [np.cumsum(_unsqueezed(x, np.int64)) for x in asked["words"].to_pylist()]
         counts = np.concatenate([_unsqueezed(x, np.int64) for x in asked["trained"].to_pylist()])
         distinct, first, back = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
-        back = back.astype(np.int32)
         start = np.cumsum([0, *map(len, words)])
-        past = np.concatenate([np.append(np.int32(-1), back[a:b])[_unsqueezed(x, np.uint32)].reshape(settings.depth + 1, -1) for a, b, x in zip(start, start[1:], asked["each"].to_pylist(), strict=False)], 1)
-        times = np.concatenate([_unsqueezed(x, np.uint32) for x in asked["times"].to_pylist()])
+        names = [np.append(np.int32(-1), back[a:b].astype(np.int32)) for a, b in zip(start, start[1:], strict=False)]
         root = (counts[first] + 1) / size
         tree = Tree(distinct, np.arange(len(distinct)), root, len(distinct).bit_length(), settings)
-        gain = np.log10(tree.learn(past, times) / root[past[0]])
-        at, docs, keys = 0, [], []
-        for x in asked["docs"].to_pylist():
-            doc = np.cumsum(_unsqueezed(x, np.uint32), dtype=np.uint32)
-            head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            docs.append(_squeezed(doc[head]))
-            keys.append(np.add.reduceat(gain[at : at + len(doc)], head).tobytes())
-            at += len(doc)
+        packed = list(zip(names, asked["each"], asked["times"], asked["docs"], strict=True))
+        past_of = lambda name, each: name[_unsqueezed(each.as_py(), np.uint32)].reshape(settings.depth + 1, -1)
+        met, docs, keys = np.zeros(len(distinct), np.int64), [], []
+        for name, each, _, doc in packed:
+            met += np.bincount(past_of(name, each)[1], minlength=len(distinct))
+            docs.append(np.unique(np.cumsum(_unsqueezed(doc.as_py(), np.uint32), dtype=np.uint32)))
+            keys.append(np.zeros(len(docs[-1])))
+        ends, low = np.cumsum(met), 0
+        while low < len(distinct):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK_TOKENS, "right")))
+            parts = []
+            for name, each, times, doc in packed:
+                past = past_of(name, each)
+                mine = np.flatnonzero((past[1] >= low) & (past[1] < high))
+                parts.append((past[:, mine], _unsqueezed(times.as_py(), np.uint32)[mine], np.cumsum(_unsqueezed(doc.as_py(), np.uint32), dtype=np.uint32)[mine]))
+            past, times = (np.concatenate([x[k] for x in parts], -1) for k in (0, 1))
+            owners = [x[2] for x in parts]
+            del parts
+            gain = np.log10(tree.learn(past, times) / root[past[0]])
+            at = 0
+            for own, doc, key in zip(owners, docs, keys, strict=True):
+                key += np.bincount(np.searchsorted(doc, own), gain[at : at + len(own)], len(doc))
+                at += len(own)
+            low = high
         k = asked.num_rows
-        out.append(pa.Table.from_batches([_mixed(k, kind=[6] * k, bucket=asked["bucket"].combine_chunks(), part=asked["part"].combine_chunks(), docs=docs, keys=keys)]))
+        out.append(pa.Table.from_batches([_mixed(k, kind=[6] * k, bucket=asked["bucket"].combine_chunks(), part=asked["part"].combine_chunks(), docs=[_squeezed(d) for d in docs], keys=[x.tobytes() for x in keys])]))
         release()
     return pa.concat_tables(out)
 
@@ -358,18 +417,20 @@ def suffix_tree_scores(docs: DataFrame, trained: str = "trained", settings: Sett
     gives no rows. Words are held as 64-bit hashes. Other columns are not read.
 
     Words and contexts are as many as the corpus has: a context stays by a fixed count, and
-    the tree is never in one place. All contexts that end in one word share a bucket.
+    the tree is never in one place. All contexts that end in one word share a bucket. Tasks
+    write a file a part under the shared folder, which Arrow's file systems must open.
     """
     settings, spark = settings or Settings(), docs.sparkSession
     small_batches(spark)
     rows = docs.select(row_key("doc_id", "text").alias("key"), "text", F.coalesce(F.col(trained), F.lit(False)).alias("learn"), F.col("doc_id").cast("long").alias("doc_id"))
     buckets = bucket_count(docs)
-    mixed = rows.mapInArrow(lambda it: _count_task(it, buckets), _MIXED)
+    folder = new_folder(spark, "parts")
+    mixed = rows.mapInArrow(lambda it: _count_task(it, buckets, folder), _MIXED)
     mixed = materialise(mixed.groupBy("bucket").applyInArrow(lambda t: _bucket_task(t, buckets), _MIXED), "words")
     total = mixed.filter("kind = 3").select("tokens").mapInArrow(_totals_task, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
 
-    parts = mixed.filter("kind IN (0, 2)").groupBy("part").applyInArrow(lambda t: _part_task(t, settings, buckets), _MIXED)
+    parts = mixed.filter("kind = 2").groupBy("part").applyInArrow(lambda t: _part_task(t, settings, buckets, folder), _MIXED)
     gains = parts.groupBy("bucket").applyInArrow(lambda t: _tree_task(t, settings, n + v + 1), _MIXED)
     scored = gains.groupBy("part").applyInArrow(_sum_task, f"key {KEY}, doc_id long, trained boolean, n_tokens long, n_known long, logs double, gain double")
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))

@@ -73,7 +73,7 @@ def leaks(rows: list[tuple], items: list[tuple], window: int = 10) -> list[tuple
     for i, t in items:
         w = ALNUM.findall(fold(t or ""))
         for k in range(max(1, len(w) - window + 1) if w else 0):
-            windows.setdefault(tuple(w[k : k + window]), set()).add(str(i))
+            windows.setdefault(tuple(w[k : k + window]), set()).update([] if i is None else [str(i)])
     sizes = {len(w) for w in windows}
     out = []
     for d, t in rows:
@@ -82,7 +82,7 @@ def leaks(rows: list[tuple], items: list[tuple], window: int = 10) -> list[tuple
         for n in sizes:
             for k in range(len(w) - n + 1):
                 names = windows.get(tuple(w[k : k + n]))
-                if names:
+                if names is not None:
                     found |= names
                     hit[k : k + n] = [True] * n
         out.append((d, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit)))
@@ -145,3 +145,47 @@ def rules(doc_id: int | None, text: str | None) -> tuple:
             dup += line in before
             before.add(line)
     return (doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w))
+
+
+def suffix_tree(rows: list[tuple], least: int, depth: int, divergence: float, prior: float) -> list[float]:
+    """log10 P of each text; rows (text, trained)."""
+    texts = [([*WORD.findall(fold(t or "")), None], trained) for t, trained in rows]
+    c = Counter(x for t, trained in texts if trained for x in t)
+    n, v = sum(c.values()), len(c)
+    context = lambda t, i, d: tuple(t[i - j] if i >= j else None for j in range(1, d + 1))
+    states: dict = {}
+
+    def probabilities(t: list, i: int) -> list[float]:
+        p = [(c[t[i]] + 1) / (n + v + 1)]
+        for d in range(1, depth + 1):
+            state = states.get(context(t, i, d))
+            if state is None:
+                break
+            total = sum(state.values())
+            p.append(state[t[i]] / (total + prior) + prior / (total + prior) * p[-1])
+        return p
+
+    for d in range(1, depth + 1):
+        seen: dict = {}
+        q: dict = {}
+        for t, trained in texts:
+            for i in range(len(t) if trained else 0):
+                k = context(t, i, d)
+                if (d == 1 or k[:-1] in states) and all(c[x] >= least for x in k):
+                    seen.setdefault(k, Counter())[t[i]] += 1
+                    q[k, t[i]] = probabilities(t, i)[-1]
+        for k, following in seen.items():
+            total = sum(following.values())
+            gain = sum(m * math.log(m / total / q[k, x]) for x, m in following.items())
+            if total >= least and gain >= divergence:
+                states[k] = following
+    return [sum(math.log10(probabilities(t, i)[-1]) for i in range(len(t))) for t, _ in texts]
+
+
+def log_ratio(rows: list[tuple], trusted: set, bits: int = 17) -> list[float]:
+    """The mean log ratio of each text's hashed byte 4-grams between trusted texts and all."""
+    slots = [[(int.from_bytes(r[i : i + 4], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits) for i in range(len(r) - 3)] for r in ((t or "").encode() for _, t in rows)]
+    target, corpus = (Counter(x for (d, _), own in zip(rows, slots) if everything or d in trusted for x in own) for everything in (False, True))
+    share = lambda counts, x: math.log((counts[x] + 1) / (sum(counts.values()) + (1 << bits)))
+    known = {x: share(target, x) - share(corpus, x) for x in corpus}
+    return [sum(known[x] for x in own) / max(len(own), 1) for own in slots]

@@ -39,8 +39,11 @@ def test_jaccard_join(docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def test_jaccard_join_chains_groups_and_thresholds(spark):
-    """Copies with random edits: links, chains through a middle one, pairs just below the threshold, and prefixes in common."""
+@pytest.mark.parametrize("limits", [{}, {"LIST_BLOCK": 7}, {"LIST_BLOCK": 5, "HOT_SLOT": 12, "HOT_TIMES": 0}])
+def test_jaccard_join_chains_groups_and_thresholds(spark, monkeypatch, limits):
+    """Copies with random edits: links, chains through a middle one, pairs just below the threshold, and prefixes in common; also with lists in blocks and in parts."""
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(3)
     base = data.prose(rng, 60).split()
     rows = []
@@ -77,10 +80,7 @@ def test_benchmark_hits(spark, docs, empty, monkeypatch, block):
     items = data.benchmark(DOCS)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.digest(decontaminate.benchmark_hits(docs, bench, window=10))
-    named = [("None" if i is None else i, t) for i, t in items]
-    expected = brute.leaks(PAIRS, [(i, t) for i, t in named if i != "None"])
-    got_named = decontaminate.digest(decontaminate.benchmark_hits(docs, bench.filter("item_id IS NOT NULL"), window=10))
-    assert values(got_named) == expected and got.count() == len(DOCS)
+    assert values(got) == brute.leaks(PAIRS, items)
     assert decontaminate.benchmark_hits(empty, bench).count() == 0
     assert decontaminate.benchmark_hits(docs, bench.limit(0)).filter(F.size("spans") > 0).count() == 0
 
@@ -226,6 +226,10 @@ def test_shard_blocks_index_and_damage():
     reader = sst.Reader.of(raw)
     assert len(reader.index) > 3 and [d for d, _ in reader] == [i * 3 for i in range(3000)]
     assert len(reader.get(2997)[0]) == 999 % 90 and reader.get(2998) == []
+    read: list[int] = []
+    sparse = sst.Reader(lambda offset, length: read.append(length) or raw[offset : offset + length], len(raw))
+    opened = sum(read)
+    assert opened < len(raw) / 10 and len(sparse.get(2997)[0]) == 999 % 90 and len(read) == 3 and read[-1] < 2 * sst.BLOCK_BYTES
     assert sum(reader.may_hold(i * 3 + 1) for i in range(3000)) < 120
     with pytest.raises(ValueError):
         writer.add(sst.key_bytes(1, 0), b"")
@@ -324,3 +328,161 @@ def test_persons_are_candidates_whatever_their_name():
         raw = text.encode()
         assert pii.suspects(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).all()
     assert pii.votes("person", "signed Olga Petrova", 7, 19)[2:4] == (pii.NO, pii.YES)
+
+
+def thue_morse(bits: int) -> tuple[str, str]:
+    """Two words that polynomial hashes modulo a power of two can't tell apart."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1 << bits))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("fold", [True, False])
+def test_words_hash_apart(fold):
+    import numpy as np
+
+    from tessera.llm.text import Words
+
+    found = [w for bits in range(10, 14) for w in thue_morse(bits)] + ["a" * n for n in range(1, 400)] + ["b" + "a" * n for n in range(1, 400)]
+    raw = " ".join(found).encode()
+    words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), fold=fold)
+    assert len(np.unique(words.hashes)) == len(np.unique(words.second)) == len(found)
+    again = " ".join(reversed(found)).encode()
+    other = Words(np.frombuffer(again, np.uint8), np.array([0, len(again)]), fold=fold)
+    assert (other.hashes[::-1] == words.hashes).all() and (other.second[::-1] == words.second).all()
+
+
+def test_operators_tell_such_words_apart(spark):
+    rng = random.Random(8)
+    one, two = thue_morse(10)
+    prose = data.prose(rng, 60).split()
+    mixed = lambda w: " ".join([*prose[:30], w, *prose[30:]])
+    rows = [(1, mixed(one)), (2, mixed(two)), (3, f"{one} {two}"), (4, f"{two} {one}"), (5, one), (6, two), (7, f"{one}\n{two}\n{one}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert values(jaccard_join.jaccard_components(df).select("doc_id", "n_shingles", "component_id")) == brute.jaccard(rows)
+    assert values(substring_dedup.repeated_passages(df).select("doc_id", "n_words", "n_removed", "kept_sha256")) == brute.passages(rows)
+    items = [(1, one), (2, f"{two} {one}")]
+    assert values(decontaminate.digest(decontaminate.benchmark_hits(df, spark.createDataFrame(items, "item_id long, text string")))) == brute.leaks(rows, items)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [r[:7] for r in values(quality_rules.quality_rules(df, labels))] == sorted((brute.rules(*r) for r in rows), key=repr)
+    scored = suffix_tree.suffix_tree_scores(df.withColumn("trained", F.col("doc_id") == 5)).filter("doc_id IN (5, 6)").select("doc_id", "n_known")
+    assert values(scored) == [(5, 2), (6, 1)]
+
+
+def test_benchmark_rows_of_one_item_count_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:12])), (3, "nothing here")]
+    items = [(7, " ".join(words[:10])), (7, " ".join(words[20:30])), (8, " ".join(words[2:12])), (None, " ".join(words[30:40])), (7, " ".join(words[:10]))]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 60, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        assert values(decontaminate.digest(decontaminate.benchmark_hits(df, bench))) == brute.leaks(rows, items)
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000, " " * 1_200_001 + "x", "\n" * 9000 + "a", "a" * 20_000, "=" * 40_000, "the" * 4000, "é" * 3000, "\t " * 3000])
+def test_token_counts_of_very_long_runs(text):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    assert whole_token.TokenCounter(whole_token.prove(path))(text) == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+
+
+def test_long_merges_equal_the_library():
+    counter = whole_token.TokenCounter(whole_token.prove(tokenizer_file("byte_bpe_50k.json")))
+    rng = random.Random(6)
+    for alphabet in ("ab", "the andig", " \n\t", "éa漢", " =-"):
+        for _ in range(50):
+            piece = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300))).encode()
+            assert whole_token.merged_length(piece, counter.pieces.ranks) == len(counter.pieces.merge(piece))
+
+
+@pytest.mark.parametrize("settings", [suffix_tree.Settings(), suffix_tree.Settings(least=3, depth=2, divergence=1.0, prior=2.0)])
+def test_suffix_tree_scores_against_brute_force(spark, settings):
+    rng = random.Random(10)
+    phrases = [data.prose(rng, 12) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice([*phrases, data.prose(rng, 5)]) for _ in range(rng.randint(0, 6))), i % 4 != 0) for i in range(60)]
+    rows += [rows[1], rows[2], (100, None, True), (101, "", False)]
+    got = suffix_tree.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string, trained boolean").repartition(3), settings=settings)
+    found = sorted((r["doc_id"], round(r["score"], 7)) for r in got.collect())
+    expected = brute.suffix_tree([r[1:] for r in rows], settings.least, settings.depth, settings.divergence, settings.prior)
+    assert found == sorted((r[0], round(x, 7)) for r, x in zip(rows, expected))
+
+
+def test_quality_scores_against_brute_force(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(PAIRS) if len(t or "") < 9000]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 30, 2)] + [(1, 0)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    for (i, _), score in zip(rows, brute.log_ratio(rows, set(range(0, 30, 2)))):
+        assert math.isclose(got[i]["score"], score, rel_tol=1e-9, abs_tol=1e-9) and got[i]["kept"] == (not got[i]["base_failed"] and got[i]["score"] >= quality_rules.THRESHOLD)
+
+
+def test_persons_found_and_headings_left_alone(spark):
+    """Names after a title or a greeting, listed or not, are found in a corpus of its own; capitalised phrases are not."""
+    rng = random.Random(5)
+    first, last = "Rajesh Olga Ingrid Kwame Yuki Fatima Lars Maria Anna Daniel Peter Laura".split(), "Kumar Petrova Larsen Mensah Tanaka Haddad Lopez Schmidt Smith Novak".split()
+    rows, wanted = [], {}
+    for i in range(300):
+        before, name = data.prose(rng, 20) + rng.choice([" Mr. ", " Dr ", " signed ", " Dear ", " kind regards "]), f"{rng.choice(first)} {rng.choice(last)}"
+        rows.append((i, f"{before}{name} {data.prose(rng, 9)}"))
+        wanted[i] = f"person:{len(before)}:{len(before) + len(name)}"
+        title = " ".join(rng.choice("The Report Annual Energy Market Review Global".split()) for _ in range(rng.randint(2, 4)))
+        rows.append((1000 + i, f"{data.prose(rng, 15)} {title} {data.prose(rng, 9)}"))
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(wanted[i] in got[i].split(",") for i in wanted) >= 285
+    assert sum("person" in got[1000 + i] for i in range(300)) <= 3
+
+
+def test_added_kinds_found(spark):
+    """One true and one false candidate of each further kind."""
+    rng = random.Random(15)
+    made = {
+        "secret": lambda i: ("api_key = \"" + "".join(rng.choice("abcdefABCDEF0123456789xyzXYZ") for _ in range(36)) + "9aZ\"", "word " + "".join(rng.choice("abcdefghij") for _ in range(30))),
+        "national_id": lambda i: (f"her SSN {rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)} is", f"order part 000-00-{rng.randint(1000, 9999)} is"),
+        "local_phone": lambda i: (f"call ({rng.randint(200, 900)}) {rng.randint(200, 900)}-{rng.randint(1000, 9999)} now", f"isbn part {rng.randint(100, 199)} {rng.randint(100, 199)} {rng.randint(1000, 9999)} x"),
+    }
+    rows = [(kind, side, f"{data.prose(rng, 8)} {text} {data.prose(rng, 8)}") for kind, make in made.items() for i in range(60) for side, text in enumerate(make(i))]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(df).collect()}
+    for kind in made:
+        found = [[kind in got[i] for i, (k, s, _) in enumerate(rows) if k == kind and s == side] for side in (0, 1)]
+        assert sum(found[0]) >= 54 and sum(found[1]) <= 6, kind
+
+
+def test_candidates_of_many_spans_take_linear_time():
+    import time
+
+    texts = ["10.0.0.1 mail a@b.cd Mr. Ab Cdef " * n for n in (3000, 12_000)]
+    took = []
+    for text in texts:
+        base, began = pii.base_spans(text), time.time()
+        pii.candidates(text, base)
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def test_trusted_cut():
+    import numpy as np
+
+    score, right, one = np.arange(200.0), (np.arange(200) >= 120).astype(float), np.ones(200)
+    assert cotraining.trusted_cut(score, right, one) == 183  # 16 rows above it, a fifth of the right ones
+    assert cotraining.trusted_cut(np.zeros(200), right, one) == np.inf and cotraining.trusted_cut(score, 1 - right, one) == np.inf and cotraining.trusted_cut(score[:0], right[:0], one[:0]) == np.inf
+
+
+def test_keys_are_128_bits_and_null_safe(spark):
+    from tessera.llm.plan import row_key
+
+    rows = [(None, None), (None, ""), (1, None), (1, ""), (1, "a"), (2, "a")]
+    keys = {tuple(r["k"]) for r in spark.createDataFrame(rows, "doc_id long, text string").select(row_key("doc_id", "text").alias("k")).collect()}
+    assert len(keys) == len(rows) and all(len(k) == 2 for k in keys)
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    from tessera.llm import graph
+
+    monkeypatch.setattr(graph, "LEAST_HOT", 10)
+    rows = spark.createDataFrame([(1 if i < 80 else i, i) for i in range(100)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("times"), F.max("v").alias("top")).filter("k <> 90")
+    for how, n in (("inner", 99), ("left", 100)):
+        got = graph.spread_join(rows, table, ["k"], "times", 100, how)
+        assert got.count() == n and values(got.filter("k = 1").select("top").distinct()) == [(79,)]
+    edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(59, 100), (200, 201)], "u long, v long")
+    assert {r["root"] for r in graph.components(edges).collect()} == {0, 200}
