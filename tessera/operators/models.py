@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import features, stats
+from tessera.operators.contracts import ContractError, require_columns
+
 #: Fixed value: the decision threshold on calibrated probabilities.
 LOCKED_THRESHOLD = 0.046126477738876355
 
@@ -21,31 +26,97 @@ def balanced(df: DataFrame, label: str = "y") -> DataFrame:
     return df.join(F.broadcast(weights), label)
 
 
-def pipeline(kind: str, columns: list[str], trees: int = 500, seed: int = 42) -> Pipeline:
-    """logistic (scaled) or forest, weighted by the column weight; a forest stands in for extremely randomised trees."""
+def pipeline(kind: str, columns: list[str], trees: int = 500, seed: int = 42, penalty: float = 0.0, depth: int = 12) -> Pipeline:
+    """logistic (scaled, with an L2 penalty) or forest, weighted by the column weight; a forest stands in for extremely randomised trees."""
     assemble = VectorAssembler(inputCols=columns, outputCol="raw_features", handleInvalid="error")
     if kind == "logistic":
-        return Pipeline(stages=[assemble, StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=50)])
-    forest = RandomForestClassifier(featuresCol="raw_features", labelCol="y", weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxDepth=8, seed=seed)
+        return Pipeline(stages=[assemble, StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=penalty, standardization=False, maxIter=100)])
+    forest = RandomForestClassifier(featuresCol="raw_features", labelCol="y", weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxDepth=depth, seed=seed)
     return Pipeline(stages=[assemble, forest])
 
 
+def fitted(df: DataFrame, kind: str, columns: list[str], **settings) -> PipelineModel:
+    """A model of balanced rows; the logistic penalty is that of C = 1, half the squared weights against the summed loss."""
+    if kind == "logistic" and "penalty" not in settings:
+        settings["penalty"] = 1.0 / max(df.count(), 1)
+    return pipeline(kind, columns, **settings).fit(balanced(df))
+
+
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("raw_features", "features", "rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(df: DataFrame, kind: str, columns: list[str], folds: int = 5, **settings) -> DataFrame:
-    """Every row scored by the model of the other folds; df has id, y, fold and the columns."""
+class Calibrated:
+    """Models of the other folds, each with the sigmoid that calibrates it on its own; a row's probability is their mean."""
+
+    def __init__(self, members: list[tuple[PipelineModel, float, float]], columns: list[str]):
+        self.members, self.columns = members, columns
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with p."""
+        names = []
+        for i, (model, slope, offset) in enumerate(self.members):
+            df = calibrated(scored(model, df), slope, offset).withColumnRenamed("p", f"__p{i}")
+            names.append(f"__p{i}")
+        total = sum((F.col(c) for c in names), F.lit(0.0))
+        return df.withColumn("p", total / len(names)).drop(*names)
+
+
+def fit_calibrated(df: DataFrame, kind: str, columns: list[str], folds: int = 3, fold: str = "__inner", **settings) -> Calibrated:
+    """Calibrated over stratified folds of df (id, y and the columns)."""
+    dealt = features.stratified_folds(df, "y", F.col("id"), folds, seed=7, fold=fold)
+    members = []
+    for k in range(folds):
+        model = fitted(dealt.filter(F.col(fold) != k), kind, columns, **settings)
+        members.append((model, *platt(scored(model, dealt.filter(F.col(fold) == k)))))
+    return Calibrated(members, columns)
+
+
+def out_of_fold(df: DataFrame, kind: str, columns: list[str], folds: int = 5, inner: int = 0, **settings) -> DataFrame:
+    """Every row scored by the model of the other folds, calibrated within them over inner folds if that is not 0; df has id, y, fold and the columns."""
     parts = []
     for k in range(folds):
-        model = pipeline(kind, columns, **settings).fit(balanced(df.filter(F.col("fold") != k)))
-        parts.append(scored(model, df.filter(F.col("fold") == k)).select("id", "y", "fold", "p"))
+        rest, own = df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)
+        if inner:
+            out = fit_calibrated(rest, kind, columns, inner, **settings).transform(own)
+        else:
+            out = scored(fitted(rest, kind, columns, **settings), own)
+        parts.append(out.select("id", "y", "fold", "p"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def locked_threshold(value: float) -> float:
+    """The threshold of a bundle, which must be the locked one to 1e-12."""
+    if abs(value - LOCKED_THRESHOLD) > 1e-12:
+        raise ContractError(f"threshold {value} is not the locked one")
+    return value
+
+
+def save_bundle(model: Calibrated, spark: SparkSession, path: str, threshold: float = LOCKED_THRESHOLD) -> None:
+    """Writes the models, their calibration, the ordered features and the threshold."""
+    for i, (member, _, _) in enumerate(model.members):
+        member.write().overwrite().save(f"{path}/member-{i}")
+    spec = {"format": 1, "features": model.columns, "threshold": threshold, "calibration": [[s, o] for _, s, o in model.members]}
+    spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/contract")
+
+
+def load_bundle(spark: SparkSession, path: str, columns: list[str]) -> tuple[Calibrated, float]:
+    """The model and threshold of a bundle whose contract holds: its format, its features in their locked order, and the locked threshold. Pickles are not read."""
+    spec = json.loads(spark.read.text(f"{path}/contract").first()[0])
+    if spec.get("format") != 1 or spec.get("features") != list(columns):
+        raise ContractError(f"the bundle at {path} has format {spec.get('format')} and features {spec.get('features')}")
+    members = [(PipelineModel.load(f"{path}/member-{i}"), *pair) for i, pair in enumerate(spec["calibration"])]
+    return Calibrated(members, list(columns)), locked_threshold(spec["threshold"])
+
+
+def decided(model: Calibrated, df: DataFrame, threshold: float) -> DataFrame:
+    """df with p and positive, after a check that it has the features."""
+    return model.transform(require_columns(df, model.columns)).withColumn("positive", F.col("p") >= threshold)
+
+
 def logit(p: Column) -> Column:
     q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
     return F.log(q / (1.0 - q))
@@ -62,26 +133,30 @@ def calibrated(df: DataFrame, slope: float, offset: float) -> DataFrame:
     return df.withColumn("p", 1.0 / (1.0 + F.exp(-(F.lit(slope) * logit(F.col("p")) + F.lit(offset)))))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], repeats: int = 3) -> DataFrame:
-    """(feature, repeat, drop): loss of average precision when a column is dealt anew among rows by a hash order."""
-    from tessera.operators.stats import average_precision
-
-    measure = lambda d: average_precision(scored(model, d).select(F.lit("all").alias("k"), F.col("p").alias("v"), "y"), ["k"]).select("average_precision")
-    base = measure(df).withColumnRenamed("average_precision", "base")
-    out = None
-    for c in columns:
-        for i in range(repeats):
-            one = measure(shuffled(df, c, i)).join(base).select(F.lit(c).alias("feature"), F.lit(i).alias("repeat"), (F.col("base") - F.col("average_precision")).alias("drop"))
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-def shuffled(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """df with one column's values moved along hash buckets of id; each value is used once."""
-    from pyspark.sql import Window
-
-    slot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(64))
-    place = lambda salt: F.row_number().over(Window.partitionBy("__slot").orderBy(F.xxhash64("id", F.lit(salt)), "id"))
-    rows = df.withColumn("__slot", slot)
-    values = rows.select("__slot", place(seed + 1).alias("__at"), F.col(column).alias("__v"))
-    return rows.withColumn("__at", place(seed + 2)).join(values, ["__slot", "__at"]).withColumn(column, F.col("__v")).drop("__slot", "__at", "__v")
+def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], repeats: int = 30) -> DataFrame:
+    """(feature, repeat, drop): loss of average precision when a column's values are dealt anew among rows, in one pass.
+
+    For each column and repeat a row takes the value of the row that a hash order puts in its
+    place; so each value is used once, and a row is scored columns * repeats times.
+    """
+    measure = lambda d, keys: stats.average_precision(scored(model, d).select(*keys, F.col("p").alias("v"), "y"), keys).select(*keys, "average_precision")
+    base = measure(df.withColumn("all", F.lit(1)), ["all"]).select(F.col("average_precision").alias("base"))
+    jobs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("repeat")) for c in columns for i in range(repeats)]))
+    rows = df.select("id", "y", *columns).select("*", jobs.alias("job")).select("*", "job.feature", "job.repeat").drop("job")
+    value = F.coalesce(*[F.when(F.col("feature") == c, F.col(c).cast("double")) for c in columns])
+    dealt = shuffled(rows.withColumn("__value", value), "__value", ["feature", "repeat"])
+    dealt = dealt.withColumns({c: F.when(F.col("feature") == c, F.col("__value")).otherwise(F.col(c)) for c in columns}).drop("__value")
+    return measure(dealt, ["feature", "repeat"]).join(F.broadcast(base)).select("feature", "repeat", (F.col("base") - F.col("average_precision")).alias("drop"))
+
+
+def shuffled(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """df with one column's values moved within hash buckets of id, apart for each of keys; each value is used once.
+
+    Buckets are as many as the shuffle's partitions, 64 at least, so that a task sorts a part of the rows.
+    """
+    buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = [*keys, "__slot"]
+    place = lambda salt: F.row_number().over(Window.partitionBy(*dealt).orderBy(F.xxhash64(*keys, "id", F.lit(salt)), "id"))
+    rows = df.withColumn("__slot", F.pmod(F.xxhash64("id", *keys), F.lit(buckets)))
+    values = rows.select(*dealt, place(1).alias("__at"), F.col(column).alias("__v"))
+    return rows.withColumn("__at", place(2)).join(values, [*dealt, "__at"]).withColumn(column, F.col("__v")).drop("__slot", "__at", "__v")

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import confidence_level, entropy, n_rows
-from tessera.operators import models
-from tessera.operators.ordered import running_sums
+from tessera.operators import features, models, stats
+from tessera.operators.ordered import quantiles, running_sums
 from tessera.operators.stats import confusion_metrics
 from tessera.plans.registry import PREDICTIONS, Tables, query
+from tessera.session import materialise, new_folder
 
 r6 = lambda c: F.round(c, 6)
 
 _METRICS = """round((tp + tn) * 1e0 / (tp + fp + fn + tn), 6) AS accuracy, round(tp * 1e0 / nullif(tp + fn, 0), 6) AS sensitivity, round(tn * 1e0 / nullif(tn + fp, 0), 6) AS specificity, round(tp * 1e0 / nullif(tp + fp, 0), 6) AS ppv,
   round(tn * 1e0 / nullif(tn + fn, 0), 6) AS npv, round(2e0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round((1e0 * tp * tn - 1e0 * fp * fn) / nullif(sqrt(1e0 * (tp + fp) * (tp + fn)) * sqrt(1e0 * (tn + fp) * (tn + fn)), 0), 6) AS mcc"""
+_MCC = "(1e0 * tp * tn - 1e0 * fp * fn) / nullif(sqrt(1e0 * (tp + fp) * (tp + fn)) * sqrt(1e0 * (tn + fp) * (tn + fn)), 0)"
 _SHOWN = ("accuracy", "sensitivity", "specificity", "ppv", "npv", "f1", "mcc")
 
 
@@ -41,11 +43,6 @@ def confusion_metrics_by_group(t: Tables) -> DataFrame:
     return _with_metrics(t.predictions.groupBy("l_suppkey").agg(*_counts(F.col("p"), F.col("y"), 0.4))).select("l_suppkey", *_SHOWN)
 
 
-@query("SELECT *, " + _METRICS + " FROM (SELECT CAST(415 AS BIGINT) AS tp, CAST(2642 AS BIGINT) AS fp, CAST(181 AS BIGINT) AS fn, CAST(8800 AS BIGINT) AS tn) c")
-def published_confusion(t: Tables) -> DataFrame:
-    return _with_metrics(t.spark.createDataFrame([(415, 2642, 181, 8800)], "tp long, fp long, fn long, tn long"))
-
-
 _H = "(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END + CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END)"
 
 
@@ -83,15 +80,15 @@ def pr_curve(t: Tables) -> DataFrame:
     return _curve(t).select(r6(found["sensitivity"]).alias("recall"), r6(found["ppv"]).alias("precision_"), "threshold")
 
 
-_BEST = "(SELECT threshold, round(tp * 1e0 / (tp + fn) + tn * 1e0 / (tn + fp) - 1, 9) AS youden, round(2e0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM {c} c)"
+_BEST = f"(SELECT threshold, round(tp * 1e0 / (tp + fn) + tn * 1e0 / (tn + fp) - 1, 9) AS youden, round(2e0 * tp / (2 * tp + fp + fn), 9) AS f1, coalesce(round({_MCC}, 9), -2) AS mcc FROM {_CURVE} c)"
 
 
-@query("SELECT 'youden' AS criterion, (SELECT threshold FROM {b} b ORDER BY youden DESC, threshold LIMIT 1) AS threshold UNION ALL SELECT 'f1', (SELECT threshold FROM {b} b ORDER BY f1 DESC, threshold LIMIT 1)".format(b=_BEST.format(c=_CURVE)))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS criterion, (SELECT threshold FROM {_BEST} b ORDER BY {c} DESC, threshold LIMIT 1) AS threshold" for c in ("youden", "f1", "mcc")))
 def best_threshold(t: Tables) -> DataFrame:
     found = confusion_metrics(*map(F.col, ("tp", "fp", "fn", "tn")))
-    rows = _curve(t).select("threshold", F.round(found["youden"], 9).alias("youden"), F.round(found["f1"], 9).alias("f1"))
-    best = rows.agg(*[F.min_by("threshold", F.struct(-F.col(c), "threshold")).alias(c) for c in ("youden", "f1")])
-    return best.unpivot([], ["youden", "f1"], "criterion", "threshold")
+    rows = _curve(t).select("threshold", *[F.coalesce(F.round(found[c], 9), F.lit(-2.0)).alias(c) for c in ("youden", "f1", "mcc")])
+    best = rows.agg(*[F.min_by("threshold", F.struct(-F.col(c), "threshold")).alias(c) for c in ("youden", "f1", "mcc")])
+    return best.unpivot([], ["youden", "f1", "mcc"], "criterion", "threshold")
 
 
 _CLIPPED = f"(SELECT *, greatest(1e-15, least(1 - 1e-15, p)) AS c FROM {PREDICTIONS} p)"
@@ -132,7 +129,8 @@ def prediction_uncertainty(t: Tables) -> DataFrame:
 @query(f"SELECT y, CAST(count(*) AS BIGINT) AS n, round(avg(p), 6) AS mean_p, round(median(p), 6) AS median_p, round(avg(CAST(p < .3 AS INTEGER)), 6) AS below_03, round(avg(CAST(p BETWEEN .4 AND .6 AS INTEGER)), 6) AS borderline FROM {PREDICTIONS} q GROUP BY 1")
 def prediction_distribution(t: Tables) -> DataFrame:
     share = lambda c: r6(F.avg(c.cast("int")))
-    return t.predictions.groupBy("y").agg(n_rows().alias("n"), r6(F.avg("p")).alias("mean_p"), r6(F.median("p")).alias("median_p"), share(F.col("p") < 0.3).alias("below_03"), share(F.col("p").between(0.4, 0.6)).alias("borderline"))
+    found = t.predictions.groupBy("y").agg(n_rows().alias("n"), r6(F.avg("p")).alias("mean_p"), share(F.col("p") < 0.3).alias("below_03"), share(F.col("p").between(0.4, 0.6)).alias("borderline"))
+    return found.join(quantiles(t.predictions, ["y"], "p", [0.5]), "y").select("y", "n", "mean_p", r6(F.col("q")[0]).alias("median_p"), "below_03", "borderline")
 
 
 @query(f"SELECT threshold, round((tp + fp) * 1e0 / tp, 6) AS needed_to_test FROM {_CURVE} c WHERE tp > 0")
@@ -149,11 +147,24 @@ def cv_fold_summary(t: Tables) -> DataFrame:
     return folds.groupBy("model").agg(r6(F.avg("brier")).alias("mean_brier"), r6(F.stddev_samp("brier")).alias("sd_brier"))
 
 
-@query(f"SELECT model, row_number() OVER (ORDER BY mean_brier, model) AS rank FROM (SELECT model, round(avg(brier), 9) AS mean_brier FROM {_FOLDS} f GROUP BY 1) m")
+_MODELS = f"(SELECT l_partkey % 3 AS model, p, y FROM {PREDICTIONS} q)"
+_MODEL_AP = f"(SELECT model, sum(tp * 1e0 / (tp + fp) * pos) / sum(pos) AS ap FROM (SELECT model, pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM (SELECT model, p, sum(y) AS pos, sum(1 - y) AS neg FROM {_MODELS} m GROUP BY 1, 2) c WINDOW w AS (PARTITION BY model ORDER BY p DESC)) k GROUP BY 1)"
+_MODEL_AUC = f"(SELECT model, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2e0) / (1e0 * sum(y) * sum(1 - y)) AS auc FROM (SELECT model, y, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2e0 AS r FROM {_MODELS} m) k GROUP BY 1)"
+_MODEL_LOSS = f"(SELECT model, avg(pow(p - y, 2)) AS brier, -avg(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p)))) AS log_loss, {_AT.format(t='4e-1')} FROM {_MODELS} m GROUP BY 1)"
+
+
+@query(f"SELECT model, round(ap, 6) AS average_precision, round(auc, 6) AS auc, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round({_MCC}, 6) AS mcc, row_number() OVER (ORDER BY round(ap, 9) DESC, round(auc, 9) DESC, round(brier, 9), round(log_loss, 9), round({_MCC}, 9) DESC, model) AS rank FROM {_MODEL_AP} a JOIN {_MODEL_AUC} b USING (model) JOIN {_MODEL_LOSS} c USING (model)")
 def model_ranking(t: Tables) -> DataFrame:
-    """Models are few: one ordered pass ranks them."""
-    means = t.predictions.groupBy((F.col("l_partkey") % 3).alias("model"), (F.col("l_suppkey") % 5).alias("fold")).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")).groupBy("model").agg(F.round(F.avg("brier"), 9).alias("mean_brier"))
-    return means.select("model", F.row_number().over(Window.orderBy("mean_brier", "model")).cast("long").alias("rank"))
+    """By average precision, AUC, Brier score, log loss and MCC, in this order. Models are few: one ordered pass ranks them."""
+    rows = t.predictions.select((F.col("l_partkey") % 3).alias("model"), "p", "y")
+    p, y = F.col("p"), F.col("y")
+    c = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
+    losses = rows.groupBy("model").agg(F.avg((p - y) * (p - y)).alias("brier"), (-F.avg(y * F.log(c) + (1 - y) * F.log(1.0 - c))).alias("log_loss"), *_counts(p, y, 0.4))
+    losses = losses.withColumn("mcc", confusion_metrics(*map(F.col, ("tp", "fp", "fn", "tn")))["mcc"])
+    scores = stats.average_precision(rows, ["model"], "p").join(stats.rank_statistics(rows, ["model"], "p").select("model", "auc"), "model").join(losses, "model")
+    key = lambda name, up=False: F.round(name, 9).asc() if up else F.round(name, 9).desc()
+    order = Window.orderBy(key("average_precision"), key("auc"), key("brier", True), key("log_loss", True), key("mcc"), "model")
+    return scores.select("model", *[r6(F.col(x)).alias(x) for x in ("average_precision", "auc", "brier", "log_loss", "mcc")], F.row_number().over(order).cast("long").alias("rank"))
 
 
 @query("SELECT p_brand AS family, CAST(count(*) AS BIGINT) AS n, round(avg(p_retailprice), 6) AS mean_importance, round(sum(abs(p_retailprice)) / sum(sum(abs(p_retailprice))) OVER (), 6) AS share FROM part GROUP BY 1")
@@ -162,40 +173,56 @@ def family_contribution(t: Tables) -> DataFrame:
     return sums.join(F.broadcast(sums.agg(F.sum("s").alias("total")))).select("family", "n", "mean_importance", r6(F.col("s") / F.col("total")).alias("share"))
 
 
-@query("""SELECT level, n, round(correct * 1e0 / n, 6) AS accuracy FROM (SELECT 'row' AS level, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (WHERE (n_chars > 1000) = (quality = 1)) AS correct FROM documents JOIN labels USING (doc_id)
-  UNION ALL SELECT 'structure', CAST(count(*) AS BIGINT), count(*) FILTER (WHERE (mean_n > 1000) = (q = 1)) FROM (SELECT md5(text) AS m, avg(n_chars) AS mean_n, min(quality) AS q FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) = 1) g) u""")
+_LEVELS = """(SELECT 'row' AS level, n_chars > 1000 AS hit, quality AS y FROM documents JOIN labels USING (doc_id)
+  UNION ALL SELECT 'structure', mean_n > 1000, q FROM (SELECT md5(text) AS m, avg(n_chars) AS mean_n, min(quality) AS q FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) = 1) g)"""
+
+
+@query(f"SELECT level, tp + fp + fn + tn AS n, {_METRICS} FROM (SELECT level, CAST(count(*) FILTER (WHERE hit AND y = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE hit AND y = 0) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE NOT hit AND y = 1) AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE NOT hit AND y = 0) AS BIGINT) AS tn FROM {_LEVELS} l GROUP BY 1) c")
 def canonical_group_metrics(t: Tables) -> DataFrame:
-    """By row and by structure; structures whose labels conflict are left out."""
+    """All metrics by row and by structure; structures whose labels conflict are left out."""
     rows = t.read("documents").select("doc_id", "n_chars", F.md5("text").alias("m")).join(t.read("labels"), "doc_id")
     groups = rows.groupBy("m").agg(F.avg("n_chars").alias("n_chars"), F.min("quality").alias("quality"), F.max("quality").alias("high")).filter("quality = high")
-    score = lambda d, name: d.agg(F.lit(name).alias("level"), n_rows().alias("n"), r6(F.avg(((F.col("n_chars") > 1000) == (F.col("quality") == 1)).cast("int"))).alias("accuracy"))
-    return score(rows, "row").unionByName(score(groups, "structure"))
+    both = rows.select(F.lit("row").alias("level"), F.col("n_chars").cast("double").alias("n_chars"), "quality").unionByName(groups.select(F.lit("structure").alias("level"), "n_chars", "quality"))
+    counts = both.groupBy("level").agg(*_counts(F.col("n_chars"), F.col("quality"), 1000.0000001))
+    return _with_metrics(counts).select("level", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), *_SHOWN)
 
 
-def _training(t: Tables) -> DataFrame:
-    joined = t.read("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("size"), (F.length(F.regexp_replace("text", "[^|!*$%&#]", "")) / (F.length("text") + 1)).alias("symbols"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / (F.length("text") + 1)).alias("capitals"), F.size(F.split("text", " ")).cast("double").alias("words"), "text")
-    return joined.drop("text").join(t.read("labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y")), "id").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(5)))
+_COLUMNS = ["size", "symbols", "capitals", "words"]
 
 
-_COLUMNS = ["size", "symbols", "capitals", "words"]
+def _training(t: Tables) -> DataFrame:
+    """Labelled documents with four surface features and a stratified fold, written down: every fit reads them again."""
+    joined = t.read("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("size"), (F.length(F.regexp_replace("text", "[^|!*$%&#]", "")) / (F.length("text") + 1)).alias("symbols"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / (F.length("text") + 1)).alias("capitals"), F.size(F.split("text", " ")).cast("double").alias("words"))
+    rows = joined.join(t.read("labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y")), "id")
+    return materialise(features.stratified_folds(rows, "y", F.col("id"), 5), "training")
 
 
 @query()
 def out_of_fold_models(t: Tables) -> DataFrame:
-    """Logistic regression over five folds, then calibrated on its own out-of-fold scores."""
-    oof = models.out_of_fold(_training(t), "logistic", _COLUMNS)
-    return models.calibrated(oof, *models.platt(oof))
+    """Logistic regression over five stratified folds, each model calibrated over three folds of its own rows."""
+    return models.out_of_fold(_training(t), "logistic", _COLUMNS, inner=3)
 
 
 @query()
 def forest_model(t: Tables) -> DataFrame:
-    rows = _training(t)
-    model = models.pipeline("forest", _COLUMNS, trees=30).fit(models.balanced(rows.filter("fold <> 0")))
-    return models.scored(model, rows.filter("fold = 0")).select("id", "y", "p", (F.col("p") >= models.LOCKED_THRESHOLD).alias("positive"))
+    """500 trees, out of fold."""
+    return models.out_of_fold(_training(t), "forest", _COLUMNS).withColumn("positive", F.col("p") >= models.LOCKED_THRESHOLD)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_changed FROM documents JOIN labels USING (doc_id)")
+def model_bundle(t: Tables) -> DataFrame:
+    """A calibrated model saved and loaded under its contract gives the probabilities and decisions it gave before."""
+    rows, path = _training(t), new_folder(t.spark, "bundle")
+    model = models.fit_calibrated(rows, "logistic", _COLUMNS)
+    models.save_bundle(model, t.spark, path)
+    again, threshold = models.load_bundle(t.spark, path, _COLUMNS)
+    before = models.decided(model, rows, models.LOCKED_THRESHOLD).select("id", F.col("p").alias("before"), F.col("positive").alias("was"))
+    joined = models.decided(again, rows, threshold).join(before, "id")
+    return joined.agg(n_rows().alias("n"), F.count_if((F.abs(F.col("p") - F.col("before")) > 1e-12) | (F.col("positive") != F.col("was"))).alias("n_changed"))
 
 
 @query()
 def permutation_importance(t: Tables) -> DataFrame:
+    """All columns, 30 repeats."""
     rows = _training(t)
-    model = models.pipeline("logistic", _COLUMNS).fit(models.balanced(rows))
-    return models.permutation_importance(model, rows, _COLUMNS[:2], repeats=1)
+    return models.permutation_importance(models.fitted(rows, "logistic", _COLUMNS), rows, _COLUMNS)
