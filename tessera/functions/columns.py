@@ -123,6 +123,23 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.try_divide(ones(both).cast("double"), ones(either).cast("double"))
 
 
+def packed_bits(places: Column, bits: int) -> Column:
+    """Places of set bits (from 0, below bits) as 64-bit words, the lowest first; places beyond are ignored."""
+    one = F.lit(1).cast("long")
+
+    def word(w: int) -> Column:
+        own = F.array_distinct(F.filter(places, lambda p: (p >= 64 * w) & (p < 64 * w + 64)))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda s, p: s.bitwiseOR(F.call_function("shiftleft", one, (p - 64 * w).cast("int"))))
+
+    return F.array(*[word(w) for w in range(-(-bits // 64))])
+
+
+def unpacked_bits(words: Column) -> Column:
+    """The places of set bits of packed_bits(), ascending."""
+    each = F.transform(words, lambda w, i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.call_function("shiftrightunsigned", w, b).bitwiseAND(F.lit(1).cast("long")) == 1, i * 64 + b)), lambda b: b.isNotNull()))
+    return F.flatten(each)
+
+
 def dimension(v: Column, name: str, base: int = 0) -> Column:
     """The element of a vector that a name like emb_17 stands for; base is the number of the first one."""
     return F.get(v, F.lit(int(name.rpartition("_")[2]) - base))

@@ -110,3 +110,16 @@ def all_missing(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns without any finite value, by one aggregation."""
     some = df.agg(*[F.bool_or(finite(F.col(c)).isNotNull()).alias(c) for c in columns]).first()
     return [c for c in columns if not some[c]]
+
+
+def standardised(df: DataFrame, vector: str, train: Column) -> DataFrame:
+    """df with every dimension of a vector less the train rows' mean, over their population deviation; it fails if that is 0 or not finite.
+
+    What is broadcast is a row with two numbers a dimension.
+    """
+    long = df.filter(train).select(F.posexplode(vector).alias("__i", "__x"))
+    moments = long.groupBy("__i").agg(F.avg(F.col("__x").cast("double")).alias("m"), F.stddev_pop(F.col("__x").cast("double")).alias("s"))
+    one = moments.agg(F.array_sort(F.collect_list(F.struct("__i", "m", "s"))).alias("__moments"))
+    bad = F.lit("a dimension has no finite deviation above 0")
+    scale = lambda x, w: F.when(finite(w["s"]) > 0, (x.cast("double") - w["m"]) / w["s"]).otherwise(F.raise_error(bad).cast("double"))
+    return df.join(F.broadcast(one)).withColumn(vector, F.zip_with(vector, "__moments", scale)).drop("__moments")

@@ -2,71 +2,101 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordered import top_per_key
+from tessera.session import new_folder
+from tessera.sources.arrays import place
 
-#: Query vectors to a block; a block is broadcast, so its size is bounded by this and the dimension.
-BLOCK = 4096
+#: Query vectors to a block, reference vectors that a task compares at a time, and queries to a tile of their product.
+BLOCK, SLAB, TILE = 4096, 16_384, 256
+
+
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that are neither null nor zero, and these vectors at length 1."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    whole = column.drop_null()
+    if not len(whole):
+        return there, np.zeros((0, 0))
+    m = whole.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(whole), -1)
+    length = np.linalg.norm(m, axis=1)
+    return there[length > 0], m[length > 0] / length[length > 0, None]
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """A block of queries as one row: ids, and unit vectors one after another."""
+    kept, unit = _units(table.column(2))
+    ids = table.column(1).to_numpy()[kept].astype("<i8")
+    return pa.table({"block": pa.array([table.column(0)[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([unit.astype("<f8").tobytes()], pa.binary())})
+
+
+def _best(ids: np.ndarray, block: np.ndarray, own: np.ndarray, unit: np.ndarray, k: int, exclude_self: bool, digits: int) -> pa.RecordBatch:
+    """The k best of some reference vectors for each query of a block, tile by tile."""
+    out: list[list[np.ndarray]] = [[], [], []]
+    for low in range(0, len(ids), TILE):
+        sim = np.round(block[low : low + TILE] @ unit.T, digits)
+        mine = ids[low : low + TILE]
+        if exclude_self:
+            sim[mine[:, None] == own[None, :]] = -np.inf
+        least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(sim), -np.inf)
+        row, column = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))  # at least k, more where equals are at the cut
+        value = sim[row, column]
+        order = np.lexsort((own[column], -value, row))
+        row, column, value = row[order], column[order], value[order]
+        first = np.searchsorted(row, np.arange(len(sim)))
+        kept = np.arange(len(row)) - first[row] < k
+        for part, x in zip(out, (mine[row[kept]], own[column[kept]], value[kept]), strict=True):
+            part.append(x)
+    return pa.record_batch({name: np.concatenate(x) if x else np.zeros(0, kind) for name, x, kind in zip(("query_id", "neighbour_id", "sim"), out, (np.int64, np.int64, float), strict=True)})
 
 
 def nearest(queries: DataFrame, reference: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True, digits: int = 6) -> DataFrame:
     """(query_id, neighbour_id, sim, rank): the k most similar reference vectors of every query.
 
-    Queries come in blocks: each block is sent to all tasks, which keep its k best of their
-    own reference rows by one matrix product a batch; the survivors (k a query and task) are
-    ranked. Ties in the rounded similarity go to the lower id. Zero and null vectors match nothing.
+    Queries are packed in blocks, which lie in the shared folder; a task goes through them for
+    each slab of its reference rows, a tile at a time, and sends on the k best of the slab, so
+    that neither side passes the driver and memory depends on neither's size. Vectors have
+    one dimension; ties in the rounded similarity go to the lower id; zero and null vectors
+    match nothing. The packing runs at once.
     """
-    schema = "query_id long, neighbour_id long, sim double"
-    out, held = None, []
-
-    def search(ids: np.ndarray, block: np.ndarray) -> DataFrame:
-        shared = queries.sparkSession.sparkContext.broadcast((ids, block))
-
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, block = shared.value
-            best_sim = np.full((len(ids), k), -np.inf)
-            best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                rows = [i for i, v in enumerate(batch.column(1)) if v.is_valid]
-                if not rows:
-                    continue
-                own = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-                m = np.array([batch.column(1)[i].as_py() for i in rows], float)
-                length = np.linalg.norm(m, axis=1)
-                sim = np.round(block @ np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0).T, digits)
-                sim[:, length == 0] = -np.inf
-                if exclude_self:
-                    sim[ids[:, None] == own[None, :]] = -np.inf
-                sims = np.concatenate((best_sim, sim), 1)
-                names = np.concatenate((best_id, np.broadcast_to(own, sim.shape)), 1)
-                order = np.lexsort((names, -sims), axis=1)[:, :k]
-                best_sim, best_id = np.take_along_axis(sims, order, 1), np.take_along_axis(names, order, 1)
-            found = np.isfinite(best_sim)
-            yield pa.record_batch({"query_id": np.repeat(ids, found.sum(1)), "neighbour_id": best_id[found], "sim": best_sim[found]})
-
-        return reference.select(F.col(key).cast("long"), vector).mapInArrow(task, schema)
-
-    def flush() -> None:
-        nonlocal out, held
-        ids = np.array([i for i, _ in held], np.int64)
-        block = np.array([v for _, v in held], float).reshape(len(held), -1)
-        length = np.linalg.norm(block, axis=1)
-        keep = length > 0
-        part = search(ids[keep], block[keep] / length[keep, None])
-        out, held = part if out is None else out.unionByName(part), []
-
-    for i, v in queries.filter(F.col(vector).isNotNull()).select(key, vector).toLocalIterator():
-        held.append((i, v))
-        if len(held) == BLOCK:
-            flush()
-    if held:
-        flush()
-    if out is None:
-        out = queries.sparkSession.createDataFrame([], schema)
-    return top_per_key(out, ["query_id"], [F.desc("sim"), F.asc("neighbour_id")], k)
+    spark = queries.sparkSession
+    folder, rows = new_folder(spark, "queries"), queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    blocks = max(1, math.ceil(1.1 * rows.count() / BLOCK))  # hashing fills blocks unevenly
+    packed = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"), "id", "v").groupBy("block").applyInArrow(_pack, "block long, ids binary, vectors binary")
+    packed.write.parquet(folder)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, name = place(folder)
+        paths = sorted(i.path for i in files.get_file_info(pa.fs.FileSelector(name)) if i.path.endswith(".parquet"))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def search() -> Iterator[pa.RecordBatch]:
+            own, unit = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            for path in paths:
+                with files.open_input_file(path) as f:
+                    for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
+                        ids = np.frombuffer(batch.column(1)[0].as_buffer(), "<i8")
+                        if len(ids):
+                            yield _best(ids, np.frombuffer(batch.column(2)[0].as_buffer(), "<f8").reshape(len(ids), -1), own, unit, k, exclude_self, digits)
+
+        for batch in batches:
+            kept, unit = _units(batch.column(1))
+            if len(kept):
+                held.append((batch.column(0).to_numpy(zero_copy_only=False)[kept].astype(np.int64), unit))
+            if sum(len(h[0]) for h in held) >= SLAB:
+                yield from search()
+                held = []
+        if held:
+            yield from search()
+
+    found = reference.select(F.col(key).cast("long"), vector).mapInArrow(task, "query_id long, neighbour_id long, sim double")
+    return top_per_key(found, ["query_id"], [F.desc("sim"), F.asc("neighbour_id")], k)

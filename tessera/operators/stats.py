@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -146,15 +145,3 @@ def resampled(rows: DataFrame, key: str, replicates: int = 1000, seed: int = 42)
 
     counts = value_counts(rows, [key])
     return counts.groupBy(key).applyInPandas(one, ", ".join([f"{key} string", *(f"{n} double" for n in names[1:])]))
-
-
-def toy_descriptors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A stand-in featuriser: simple text descriptors of a structure string; failures give nulls."""
-    for pdf in batches:
-        s = pdf["structure"].fillna("")
-        yield pd.DataFrame({"id": pdf["id"], "length": s.str.len().astype("int64"), "n_upper": s.str.count("[A-Z]").astype("int64"), "n_digits": s.str.count("[0-9]").astype("int64"), "valid": s.str.len() > 0})
-
-
-def featurise(rows: DataFrame, featuriser=toy_descriptors, schema: str = "id long, length long, n_upper long, n_digits long, valid boolean") -> DataFrame:
-    """rows (id, structure) through a featuriser of pandas batches; a model is loaded once a task inside it."""
-    return rows.select("id", "structure").mapInPandas(featuriser, schema)

@@ -392,8 +392,41 @@ def resolve_ids(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select("raw_id", status.alias("status"), F.coalesce("exact_id", F.when(F.col("k") == 1, F.col("only_id"))).alias("resolved_id"))
 
 
+_ELSEWHERE = "(SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS id FROM lineitem WHERE l_linenumber = 2 AND l_partkey % 2 = 0)"
+_WANTED = f"(SELECT DISTINCT CASE WHEN target_id % 5 = 1 THEN ' ' || target_id || 'A' ELSE CAST(target_id AS VARCHAR) END AS raw_id, CAST(target_id AS VARCHAR) AS plain FROM {ASSOC} a)"
+_KNOWN_IDS = f"(SELECT CAST(target_id AS VARCHAR) || CASE WHEN target_id % 5 = 1 THEN 'a' ELSE '' END AS id FROM {TARGETS} t UNION SELECT target_id || 'A' FROM {TARGETS} t WHERE target_id % 20 = 1)"
+
+
+@query(f"""SELECT w.raw_id, CASE WHEN e.id IS NOT NULL THEN 'MAPPED_IN_TARGET_TABLE' WHEN n.k = 1 THEN 'NORMALIZATION_ONLY_MATCH' WHEN n.k > 1 THEN 'UNMAPPED_NO_UNIQUE_ANNOTATION' WHEN s.id IS NOT NULL THEN 'UNMAPPED_BUT_FOUND_IN_OTHER_FILE' ELSE 'UNMAPPED_NO_ANNOTATION' END AS status, CASE WHEN e.id IS NOT NULL THEN e.id WHEN n.k = 1 THEN n.only_id END AS resolved_id
+  FROM (SELECT DISTINCT raw_id FROM {_WANTED} x) w LEFT JOIN {_KNOWN_IDS} e ON w.raw_id = e.id LEFT JOIN (SELECT lower(trim(id)) AS norm, count(*) AS k, min(id) AS only_id FROM {_KNOWN_IDS} d GROUP BY 1) n ON lower(trim(w.raw_id)) = n.norm LEFT JOIN {_ELSEWHERE} s ON w.raw_id = s.id""")
+def resolution_ladder(t: Tables) -> DataFrame:
+    """Five states: mapped, only after normalising, ambiguous, found in another file, nowhere."""
+    ids = t.associations.select("target_id").distinct()
+    wanted = ids.select(F.expr("CASE WHEN target_id % 5 = 1 THEN concat(' ', target_id, 'A') ELSE CAST(target_id AS STRING) END").alias("raw_id")).distinct()
+    known = t.targets.select(F.expr("concat(target_id, CASE WHEN target_id % 5 = 1 THEN 'a' ELSE '' END)").alias("id")).union(t.targets.filter("target_id % 20 = 1").select(F.concat("target_id", F.lit("A")))).distinct()
+    elsewhere = t.read("lineitem").filter("l_linenumber = 2 AND l_partkey % 2 = 0").select(F.col("l_partkey").cast("string").alias("id")).distinct()
+    return final_states(resolve_ids(wanted, known), elsewhere)
+
+
+def final_states(resolved: DataFrame, elsewhere: DataFrame) -> DataFrame:
+    """resolve_ids() with the states of the ladder; elsewhere: ids that other files mention, from which nothing is taken."""
+    found = resolved.join(elsewhere.select(F.col("id").alias("raw_id"), F.lit(True).alias("__found")), "raw_id", "left")
+    status = F.col("status")
+    state = F.when(status == "EXACT", "MAPPED_IN_TARGET_TABLE").when(status == "NORMALIZATION_ONLY", "NORMALIZATION_ONLY_MATCH").when(status == "AMBIGUOUS", "UNMAPPED_NO_UNIQUE_ANNOTATION").when(F.col("__found"), "UNMAPPED_BUT_FOUND_IN_OTHER_FILE").otherwise("UNMAPPED_NO_ANNOTATION")
+    return found.select("raw_id", state.alias("status"), "resolved_id")
+
+
+@query(f"SELECT mapping_status, CAST(count(*) AS BIGINT) AS n_pairs, CAST(count(DISTINCT np_id) AS BIGINT) AS n_molecules, CAST(count(DISTINCT target_id) AS BIGINT) AS n_targets FROM (SELECT np_id, target_id, CASE WHEN mapped THEN 'MAPPED' ELSE 'UNMAPPED' END AS mapping_status FROM {PAIRS} p) q GROUP BY 1")
+def pair_status_distribution(t: Tables) -> DataFrame:
+    """Distinct pairs by the state of their target."""
+    return t.pairs.groupBy(F.when(F.col("mapped"), "MAPPED").otherwise("UNMAPPED").alias("mapping_status")).agg(n_rows().alias("n_pairs"), distinct("np_id", "n_molecules"), distinct("target_id", "n_targets"))
+
+
 @query(f"""SELECT section, "check", observed, expected, CASE WHEN observed = expected THEN 'PASS' ELSE 'FAIL' END AS status FROM (
-  SELECT 'pairs' AS section, 'pairs are unique' AS "check", '0' AS observed, '0' AS expected UNION ALL SELECT 'records', 'joined rows minus records', '0', '0' UNION ALL SELECT 'pairs', 'mapped and unmapped pairs minus all', '0', '0' UNION ALL SELECT 'targets', 'repeated annotation ids', '0', '0') AS c""")
+  SELECT 'pairs' AS section, 'pairs are unique' AS "check", CAST((SELECT count(*) FROM (SELECT np_id, target_id FROM {PAIRS} p GROUP BY 1, 2 HAVING count(*) > 1) x) AS VARCHAR) AS observed, '0' AS expected
+  UNION ALL SELECT 'records', 'joined rows minus records', CAST((SELECT count(*) FROM {ASSOC} a LEFT JOIN (SELECT o_orderkey FROM orders) o ON a.np_id = o.o_orderkey LEFT JOIN {TARGETS} t ON a.target_id = t.target_id) - (SELECT count(*) FROM {ASSOC} a) AS VARCHAR), '0'
+  UNION ALL SELECT 'pairs', 'mapped and unmapped pairs minus all', CAST((SELECT sum(n) FROM (SELECT mapped, count(*) AS n FROM {PAIRS} p GROUP BY 1) m) - (SELECT count(*) FROM (SELECT DISTINCT np_id, target_id FROM {ASSOC} a) d) AS VARCHAR), '0'
+  UNION ALL SELECT 'targets', 'repeated annotation ids', CAST((SELECT count(*) FROM (SELECT target_id FROM {TARGETS} t GROUP BY 1 HAVING count(*) > 1) r) AS VARCHAR), '0') AS c""")
 def conservation_checks(t: Tables) -> DataFrame:
     count = lambda d, sign: d.agg((n_rows() * sign).alias("n"))
     total = lambda *frames: contracts.ledger(list(frames)).agg(F.sum("n").alias("n"))
@@ -416,11 +449,42 @@ def low_support_targets(t: Tables) -> DataFrame:
     return molecules_per_target(t).filter("n_molecules <= 3").join(t.targets, "target_id", "left").select("target_id", F.col("n_molecules").alias("n"), "level1")
 
 
-@query("""SELECT text_md5, n_docs, n_labels > 1 AS conflict, round(mean_q, 6) AS mean_quality, ids FROM (SELECT md5(d.text) AS text_md5, CAST(count(*) AS BIGINT) AS n_docs, count(DISTINCT l.quality) AS n_labels, avg(l.quality) AS mean_q, string_agg(CAST(d.doc_id AS VARCHAR), ';' ORDER BY CAST(d.doc_id AS VARCHAR)) AS ids FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1) g""")
+_RARE = f"(SELECT target_id, CAST(count(DISTINCT np_id) AS BIGINT) AS n FROM {ASSOC} a WHERE activity_type = 'R' AND activity_value > 47 GROUP BY 1)"
+
+
+@query(f"SELECT m.target_id, m.n, CASE WHEN m.n <= 3 THEN 'LOW' ELSE 'HIGH' END AS cut, t.level1 FROM {_RARE} m LEFT JOIN {TARGETS} t ON m.target_id = t.target_id WHERE m.n <= 3 OR m.n >= 10")
+def support_cuts(t: Tables) -> DataFrame:
+    """Targets with at most 3 or at least 10 molecules of strong evidence, with their annotation."""
+    counts = t.associations.filter("activity_type = 'R' AND activity_value > 47").groupBy("target_id").agg(distinct("np_id", "n"))
+    return counts.filter("n <= 3 OR n >= 10").join(t.targets, "target_id", "left").select("target_id", "n", F.when(F.col("n") <= 3, "LOW").otherwise("HIGH").alias("cut"), "level1")
+
+
+@query("SELECT c_custkey AS np_id, o_orderpriority AS target, CAST(count(*) AS BIGINT) AS n_records, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS n_references FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2")
+def pivot_wide(t: Tables) -> DataFrame:
+    """A pivot of records and of distinct references over all values that there are, filled with 0 for every id, and back to the pairs that are not 0."""
+    orders = t.read("orders").select(F.col("o_custkey").alias("np_id"), "o_orderpriority", "o_orderstatus")
+    wide, values = pivoted(orders, t.read("customer").select(F.col("c_custkey").alias("np_id")), "np_id", "o_orderpriority", {"n_records": n_rows(), "n_references": F.count_distinct("o_orderstatus")})
+    stacked = F.explode(F.array(*[F.struct(F.lit(v).alias("target"), *[F.col(f"`{v}_{m}`").alias(m) for m in ("n_records", "n_references")]) for v in values]))
+    return wide.select("np_id", stacked.alias("r")).select("np_id", "r.*").filter("n_records > 0")
+
+
+def pivoted(df: DataFrame, ids: DataFrame, key: str, column: str, measures: dict, most: int = 10_000) -> tuple[DataFrame, list[str]]:
+    """A column for each value and measure, 0 where there is none, a row for each of ids; and the values, in order.
+
+    The values are listed first, most of them at most: more are an error, as a table that wide is of no use.
+    """
+    values = [r[0] for r in df.select(column).distinct().filter(F.col(column).isNotNull()).orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise contracts.ContractError(f"{column} has more than {most} values")
+    wide = df.groupBy(key).pivot(column, values).agg(*[m.alias(name) for name, m in measures.items()])
+    return ids.join(wide, key, "left").na.fill(0), values
+
+
+@query("""SELECT text_md5, n_docs, n_labels > 1 AS conflict, round(mean_q, 6) AS mean_quality, min_q, max_q, ids FROM (SELECT md5(d.text) AS text_md5, min(l.quality) AS min_q, max(l.quality) AS max_q, CAST(count(*) AS BIGINT) AS n_docs, count(DISTINCT l.quality) AS n_labels, avg(l.quality) AS mean_q, string_agg(CAST(d.doc_id AS VARCHAR), ';' ORDER BY CAST(d.doc_id AS VARCHAR)) AS ids FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1) g""")
 def canonical_groups(t: Tables) -> DataFrame:
     joined = t.read("documents").select("doc_id", F.md5("text").alias("text_md5")).join(t.read("labels"), "doc_id")
     ids = F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), ";")
-    return joined.groupBy("text_md5").agg(n_rows().alias("n_docs"), (F.count_distinct("quality") > 1).alias("conflict"), F.round(F.avg("quality"), 6).alias("mean_quality"), ids.alias("ids"))
+    return joined.groupBy("text_md5").agg(n_rows().alias("n_docs"), (F.count_distinct("quality") > 1).alias("conflict"), F.round(F.avg("quality"), 6).alias("mean_quality"), F.min("quality").alias("min_q"), F.max("quality").alias("max_q"), ids.alias("ids"))
 
 
 @query("""SELECT doc_id, n_chars, n_copies FROM (SELECT d.doc_id, c.n_chars, c.n_copies FROM documents d JOIN (SELECT text, CAST(any_value(length(text)) AS BIGINT) AS n_chars, CAST(count(*) AS BIGINT) AS n_copies FROM documents GROUP BY 1) c ON d.text = c.text) x""")

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import cosine, dimension, finite, n_rows, norm, similarity_band, tanimoto, unit
+from tessera.functions.columns import cosine, dimension, finite, n_rows, norm, packed_bits, similarity_band, tanimoto, unit, unpacked_bits
 from tessera.operators import contracts
+from tessera.operators.features import standardised
 from tessera.operators.ordered import top_per_key
 from tessera.operators.similarity import nearest
 from tessera.plans.registry import NEIGHBOURS, Tables, query
@@ -73,22 +74,44 @@ def train_only_zscore(t: Tables) -> DataFrame:
     return x.join(F.broadcast(moments)).select("vec_id", F.round(F.try_divide(F.col("x") - F.col("m"), F.col("s")), 5).alias("z"))
 
 
+@query("""SELECT vec_id, CAST(i - 1 AS INTEGER) AS dimension, round((x - avg(x) FILTER (WHERE vec_id % 5 <> 0) OVER (PARTITION BY i)) / stddev_pop(x) FILTER (WHERE vec_id % 5 <> 0) OVER (PARTITION BY i), 5) AS z FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) e""")
+def standardised_vectors(t: Tables) -> DataFrame:
+    """All dimensions by the train rows' mean and population deviation; a deviation of 0 or none is an error."""
+    found = standardised(t.vectors.select("vec_id", "embedding", (F.col("vec_id") % 5 != 0).alias("train")), "embedding", F.col("train"))
+    return found.select("vec_id", F.posexplode("embedding").alias("dimension", "z")).select("vec_id", "dimension", F.round("z", 5).alias("z"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS n_queries, CAST(count(*) AS BIGINT) AS n_self_first FROM embeddings WHERE vec_id % 100 = 0")
 def self_retrieval_qc(t: Tables) -> DataFrame:
     first = nearest(_queries(t), t.vectors, 1, exclude_self=False)
     return first.agg(n_rows().alias("n_queries"), F.count_if(F.col("query_id") == F.col("neighbour_id")).alias("n_self_first"))
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(bit_count(xor(a.w, 0) & b.w) * 1e0 / bit_count(a.w | b.w), 6) AS tanimoto FROM (SELECT p_partkey, p_brand, p_partkey * 2654435761 % 1099511627776 + 1 AS w FROM part) a JOIN (SELECT p_partkey, p_brand, p_partkey * 2654435761 % 1099511627776 + 1 AS w FROM part) b ON a.p_brand = b.p_brand AND b.p_partkey = a.p_partkey + 25")
+_WORDS = "(SELECT p_partkey, p_brand, p_size, p_partkey * 2654435761 % 1099511627776 + 1 AS w, p_partkey * 40503 % 65536 * 97 AS u FROM part)"
+
+
+@query(f"SELECT a.p_partkey AS a, b.p_partkey AS b, round((bit_count(a.w & b.w) + bit_count(a.u & b.u)) * 1e0 / (bit_count(a.w | b.w) + bit_count(a.u | b.u)), 6) AS tanimoto, CAST(bit_count(a.w) + bit_count(a.u) AS BIGINT) AS n_bits FROM {_WORDS} a JOIN {_WORDS} b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def tanimoto_bits(t: Tables) -> DataFrame:
-    bits = t.read("part").select("p_partkey", "p_brand", F.array(F.expr("p_partkey * 2654435761 % 1099511627776 + 1")).alias("w"))
-    one, two = bits.toDF("a", "p_brand", "wa"), bits.toDF("b", "p_brand", "wb").withColumn("a", F.col("b") - 25)
-    return one.join(two, ["a", "p_brand"]).select("a", "b", r6(tanimoto(F.col("wa"), F.col("wb"))).alias("tanimoto"))
+    """Bit sets of two words, for all pairs of a group."""
+    bits = t.read("part").select("p_partkey", "p_brand", "p_size", F.array(F.expr("p_partkey * 2654435761 % 1099511627776 + 1"), F.expr("p_partkey * 40503 % 65536 * 97")).alias("w"))
+    one, two = bits.toDF("a", "p_brand", "p_size", "wa"), bits.toDF("b", "p_brand", "p_size", "wb")
+    ones = F.aggregate("wa", F.lit(0), lambda s, w: s + F.bit_count(w)).cast("long")
+    return one.join(two, ["p_brand", "p_size"]).filter("a < b").select("a", "b", r6(tanimoto(F.col("wa"), F.col("wb"))).alias("tanimoto"), ones.alias("n_bits"))
+
+
+@query("SELECT p_partkey, CAST(p_size % 7 AS INTEGER) AS first_bit, CAST(64 + p_size AS INTEGER) AS last_bit FROM part")
+def bit_packing(t: Tables) -> DataFrame:
+    """Places of set bits packed into 64-bit words and unpacked again."""
+    places = F.array((F.col("p_size") % 7).cast("int"), (F.col("p_size") + 64).cast("int"))
+    back = unpacked_bits(packed_bits(places, 128))
+    return t.read("part").select("p_partkey", F.element_at(back, 1).alias("first_bit"), F.element_at(back, -1).alias("last_bit"))
 
 
-@query(f"SELECT CASE WHEN sim >= .9 THEN 'HIGH' WHEN sim >= .7 THEN 'MODERATE' ELSE 'LOW' END AS band, CAST(count(*) AS BIGINT) AS n FROM {NEIGHBOURS} n GROUP BY 1", name="similarity_band")
+@query(f"SELECT kind, CASE WHEN s >= .9 THEN 'HIGH' WHEN s >= .7 THEN 'MODERATE' ELSE 'LOW' END AS band, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'neighbour' AS kind, sim AS s FROM {NEIGHBOURS} n UNION ALL SELECT 'discount', l_discount * 10 FROM lineitem) u GROUP BY 1, 2", name="similarity_band")
 def similarity_bands(t: Tables) -> DataFrame:
-    return _neighbours(t).groupBy(similarity_band(F.col("sim")).alias("band")).agg(n_rows().alias("n"))
+    """Bands of neighbours, and of a value that reaches all of them."""
+    rows = _neighbours(t).select(F.lit("neighbour").alias("kind"), F.col("sim").alias("s")).union(t.read("lineitem").select(F.lit("discount"), F.col("l_discount") * 10))
+    return rows.groupBy("kind", similarity_band(F.col("s")).alias("band")).agg(n_rows().alias("n"))
 
 
 @query(f"SELECT query_id, neighbour_id, target_id, sim FROM {_EVIDENCE} e")
@@ -120,10 +143,26 @@ def classify_targets(t: Tables) -> DataFrame:
     return target_candidates(t).groupBy("role").agg(n_rows().alias("n"), r6(F.avg("max_sim")).alias("mean_max_sim"))
 
 
-@query(f"SELECT e.query_id, e.target_id, e.neighbour_id, e.sim FROM {_EVIDENCE} e JOIN {_RANKED} r ON e.query_id = r.query_id AND e.target_id = r.target_id AND r.rank = 1")
+@query(f"SELECT CASE WHEN r.rank = 1 THEN 'PROBABLE_TARGET' ELSE 'POSSIBLE_OFF_TARGET' END AS role, e.query_id, e.target_id, e.neighbour_id, e.sim FROM {_EVIDENCE} e JOIN {_RANKED} r ON e.query_id = r.query_id AND e.target_id = r.target_id")
 def supporting_molecules(t: Tables) -> DataFrame:
-    probable = target_candidates(t).filter("rank = 1").select("query_id", "target_id")
-    return _evidence(t).join(probable, ["query_id", "target_id"], "left_semi").select("query_id", "target_id", "neighbour_id", "sim")
+    """The neighbours behind each candidate, for both roles."""
+    roles = target_candidates(t).select("query_id", "target_id", "role")
+    return _evidence(t).join(roles, ["query_id", "target_id"]).select("role", "query_id", "target_id", "neighbour_id", "sim")
+
+
+#: Records: a vector's known target is assayed one to three times.
+_RECORDS = f"(SELECT e.*, unnest(range(0, 1 + (neighbour_id + target_id) % 3)) AS assay FROM {_EVIDENCE} e)"
+_BOTH = "query_id, target_id, round(max(sim), 6) AS max_sim, round(CAST(sum(CAST(round(sim * 1e6) AS BIGINT)) AS DOUBLE) / count(*)) / 1e6 AS mean_sim, CAST(count(DISTINCT neighbour_id) AS BIGINT) AS support, round(sum(CAST(round(greatest(sim, 0e0) * 1e6) AS BIGINT)) / 1e6, 6) AS weighted"
+
+
+@query(f"SELECT 'per_pair' AS counted, {_BOTH} FROM {_EVIDENCE} e GROUP BY 2, 3 UNION ALL SELECT 'per_record', {_BOTH} FROM {_RECORDS} r GROUP BY 2, 3")
+def support_per_pair_and_record(t: Tables) -> DataFrame:
+    """Both readings of support: a neighbour counts once for a target, or once for each record of them."""
+    pairs = _evidence(t)
+    records = pairs.withColumn("assay", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("neighbour_id") + F.col("target_id")) % 3)))
+    micro = lambda c: F.sum(F.round(c * 1e6).cast("long")).cast("double")
+    measure = lambda d, name: d.groupBy("query_id", "target_id").agg(r6(F.max("sim")).alias("max_sim"), (F.round(micro(F.col("sim")) / n_rows()) / 1e6).alias("mean_sim"), F.count_distinct("neighbour_id").alias("support"), r6(micro(F.greatest("sim", F.lit(0.0))) / 1e6).alias("weighted")).withColumn("counted", F.lit(name))
+    return measure(pairs, "per_pair").unionByName(measure(records, "per_record"))
 
 
 @query(f"SELECT s.query_id, s.target_id, round(s.max_sim, 6) AS max_sim, k.target_id IS NOT NULL AS known, CASE WHEN s.max_sim >= {HIGH} THEN 'STRONG' WHEN s.max_sim >= {LOW} THEN 'WEAK' ELSE 'NONE' END AS evidence_class FROM {_SCORED} s LEFT JOIN {KNOWN} k ON k.vec_id = s.query_id AND k.target_id = s.target_id")
@@ -165,10 +204,12 @@ def offtarget_candidates(t: Tables) -> DataFrame:
 _CUTS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
 
 
-@query(" UNION ALL ".join(f"SELECT CAST({c} AS DOUBLE) AS cutoff, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT query_id) AS BIGINT) AS n_queries, CAST(count(DISTINCT neighbour_id) AS BIGINT) AS n_neighbours FROM {NEIGHBOURS} n WHERE sim >= {c}" for c in _CUTS))
+@query(" UNION ALL ".join(f"SELECT CAST({c} AS DOUBLE) AS cutoff, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT query_id) AS BIGINT) AS n_queries, CAST(count(DISTINCT neighbour_id) AS BIGINT) AS n_neighbours, CAST(count(*) FILTER (WHERE label < 5) AS BIGINT) AS n_target_bearing FROM {NEIGHBOURS} n JOIN (SELECT vec_id, label FROM embeddings) e ON e.vec_id = n.neighbour_id WHERE sim >= {c}" for c in _CUTS))
 def threshold_sweep(t: Tables) -> DataFrame:
+    """At each cut-off: rows, distinct queries and neighbours, and rows whose neighbour has an annotated target (here a label below 5)."""
     hit = lambda c: F.col("sim") >= c
-    one = _neighbours(t).agg(*[F.struct(F.lit(c).alias("cutoff"), F.count_if(hit(c)).alias("n_rows"), F.count_distinct(F.when(hit(c), F.col("query_id"))).alias("n_queries"), F.count_distinct(F.when(hit(c), F.col("neighbour_id"))).alias("n_neighbours")).alias(f"c{i}") for i, c in enumerate(_CUTS)])
+    rows = _neighbours(t).join(t.vectors.select(F.col("vec_id").alias("neighbour_id"), (F.col("label") < 5).alias("bears")), "neighbour_id")
+    one = rows.agg(*[F.struct(F.lit(c).alias("cutoff"), F.count_if(hit(c)).alias("n_rows"), F.count_distinct(F.when(hit(c), F.col("query_id"))).alias("n_queries"), F.count_distinct(F.when(hit(c), F.col("neighbour_id"))).alias("n_neighbours"), F.count_if(hit(c) & F.col("bears")).alias("n_target_bearing")).alias(f"c{i}") for i, c in enumerate(_CUTS)])
     return one.select(F.explode(F.array(*[f"c{i}" for i in range(len(_CUTS))])).alias("c")).select("c.*")
 
 
@@ -183,7 +224,32 @@ def topk_recovery_curve(t: Tables) -> DataFrame:
     return one.unpivot([], [str(k) for k in _KS], "k", "recovered").select(F.col("k").cast("int").alias("k"), "recovered")
 
 
-@query("""SELECT section, "check", observed, expected, 'PASS' AS status FROM (SELECT 'inference' AS section, 'queries without one probable target' AS "check", '0' AS observed, '0' AS expected UNION ALL SELECT 'inference', 'repeated neighbours of a query', '0', '0') c""")
+_CHECKS = (
+    ("queries without one probable target", f"SELECT count(*) FROM (SELECT query_id FROM {_RANKED} r GROUP BY 1 HAVING count(*) FILTER (WHERE rank = 1) <> 1) q"),
+    ("queries whose off-targets are not all other candidates", f"SELECT count(*) FROM (SELECT query_id FROM {_RANKED} r GROUP BY 1 HAVING count(*) FILTER (WHERE rank > 1) <> count(*) - 1) q"),
+    ("queries without 20 neighbours", f"SELECT count(*) FROM (SELECT query_id FROM {NEIGHBOURS} n GROUP BY 1 HAVING count(*) <> 20) q"),
+    ("repeated neighbours of a query", f"SELECT count(*) FROM (SELECT query_id, neighbour_id FROM {NEIGHBOURS} n GROUP BY 1, 2 HAVING count(*) > 1) q"),
+    ("queries that are their own neighbour", f"SELECT count(*) FROM {NEIGHBOURS} n WHERE query_id = neighbour_id"),
+    ("similarities beyond 1", f"SELECT count(*) FROM {NEIGHBOURS} n WHERE abs(sim) > 1"),
+    ("dimensions of vectors", "SELECT count(DISTINCT len(embedding)) FROM embeddings"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT 'inference' AS section, '{name}' AS \"check\", CAST(({sql}) AS VARCHAR) AS observed, '{int(name.startswith('dimensions'))}' AS expected, CASE WHEN ({sql}) = {int(name.startswith('dimensions'))} THEN 'PASS' ELSE 'FAIL' END AS status" for name, sql in _CHECKS))
 def inference_qc(t: Tables) -> DataFrame:
-    candidates = target_candidates(t).groupBy("query_id").agg(F.count_if(F.col("role") == "PROBABLE_TARGET").alias("k")).agg(F.count_if(F.col("k") != 1).alias("n"))
-    return contracts.ledger([contracts.check("inference", "queries without one probable target", candidates), contracts.check("inference", "repeated neighbours of a query", contracts.not_unique(_neighbours(t), ["query_id", "neighbour_id"]))])
+    near, candidates = _neighbours(t), target_candidates(t)
+    by_query = candidates.groupBy("query_id").agg(F.count_if(F.col("role") == "PROBABLE_TARGET").alias("one"), F.count_if(F.col("role") != "PROBABLE_TARGET").alias("rest"), n_rows().alias("all"))
+    count = lambda d: d.agg(n_rows().alias("n"))
+    observed = (
+        count(by_query.filter("one <> 1")), count(by_query.filter("rest <> all - 1")), count(near.groupBy("query_id").agg(n_rows().alias("k")).filter("k <> 20")), contracts.not_unique(near, ["query_id", "neighbour_id"]),
+        count(near.filter("query_id = neighbour_id")), count(near.filter("abs(sim) > 1")), t.vectors.agg(F.count_distinct(F.size("embedding")).alias("n")),
+    )
+    return contracts.ledger([contracts.check("inference", name, d, str(int(name.startswith("dimensions")))) for (name, _), d in zip(_CHECKS, observed, strict=True)])
+
+
+@query("SELECT d.doc_id AS query_id, o.doc_id AS same_id FROM documents d JOIN documents o ON d.text = o.text AND d.doc_id <> o.doc_id WHERE d.doc_id % 100 = 0")
+def structure_lookup(t: Tables) -> DataFrame:
+    """Reference rows with exactly the query's structure, met by its digest."""
+    docs = t.read("documents").select("doc_id", F.sha2("text", 256).alias("structure"))
+    found = docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id").join(docs.withColumnRenamed("doc_id", "same_id"), "structure")
+    return found.filter("query_id <> same_id").select("query_id", "same_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import finite, n_rows
-from tessera.operators import contracts, features, stats
+from tessera.operators import contracts, features, structures
 from tessera.plans.registry import LONG, TRAIN, Tables, query
 
 r6 = lambda c: F.round(c, 6)
@@ -171,9 +171,45 @@ def manifest_subset(t: Tables) -> DataFrame:
     return rows.groupBy(F.concat_ws(":", *manifest).alias("group")).agg(n_rows().alias("n"))
 
 
-@query("SELECT doc_id AS id, CAST(length(text) AS BIGINT) AS length, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits, length(text) > 0 AS valid FROM documents")
+#: Structures of parts: a type's words joined by signs; every seventh is not closed, every eleventh is missing.
+_STRUCTURE = "CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN '(' || replace(p_type, ' ', '-') ELSE replace(p_type, ' ', '-') || '(' || p_size || ')' END"
+_CANONICAL = f"(SELECT p_partkey AS id, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 THEN {_STRUCTURE} END AS c FROM part)"
+
+
+def _parsed(t: Tables) -> DataFrame:
+    rows = t.read("part").select(F.col("p_partkey").alias("id"), F.expr(_STRUCTURE).alias("structure"))
+    return structures.parse_structures(rows).select("id", "parsed.*")
+
+
+@query(f"SELECT id, c IS NOT NULL AS valid, c AS canonical FROM {_CANONICAL} s")
+def parsed_structures(t: Tables) -> DataFrame:
+    return _parsed(t).select("id", "valid", "canonical")
+
+
+@query(f"SELECT id, length(c) * 1e0 AS length, length(regexp_replace(c, '[^A-Z]', '', 'g')) * 1e0 AS n_upper, length(regexp_replace(c, '[^0-9]', '', 'g')) * 1e0 AS n_digits FROM {_CANONICAL} s")
 def descriptors(t: Tables) -> DataFrame:
-    return stats.featurise(t.read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("structure")))
+    """Descriptors of a structure as one array; nulls where there is none."""
+    found = structures.structure_descriptors(_parsed(t))
+    return found.select("id", *[F.col("descriptors")[i].alias(name) for i, name in enumerate(structures.PlainToolkit.descriptors)])
+
+
+@query(f"SELECT id, CASE WHEN c IS NULL THEN 'NO_STRUCTURE' ELSE 'SUCCESS' END AS status, CASE WHEN c IS NOT NULL THEN 'PLAIN' END AS method, round(list_avg(list_transform(range(1, length(c) + 1), lambda i: unicode(c[i]))), 6) AS energy, CASE WHEN c IS NOT NULL THEN regexp_matches(c, 'Li|Na|Mg|Al|Ca|Fe|Co|Ni|Cu|Zn|Ag|Pt|Au|Hg|Pb') END AS metal FROM {_CANONICAL} s")
+def conformer_status(t: Tables) -> DataFrame:
+    """Status, method, energy and the metal flag of each row."""
+    return structures.conformers(_parsed(t)).select("id", "status", "method", r6(F.col("energy")).alias("energy"), "metal")
+
+
+@query(f"SELECT id, CAST(len(list_distinct(list_transform(range(1, length(c)), lambda i: (31 * unicode(c[i]) + unicode(c[i + 1])) % 2048))) AS BIGINT) AS n_bits FROM {_CANONICAL} s")
+def fingerprint_bits(t: Tables) -> DataFrame:
+    """Set bits of each fingerprint."""
+    ones = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(2048 // 8)), lambda i: F.bit_count(F.conv(F.hex(F.substring("fingerprint", i, F.lit(1))), 16, 10).cast("int"))), F.lit(0), lambda s, x: s + x)
+    return structures.fingerprints(_parsed(t)).select("id", F.when(F.col("fingerprint").isNotNull(), ones).cast("long").alias("n_bits"))
+
+
+@query(f"SELECT id, CAST(26 AS INTEGER) AS dimension, round((length(lower(c)) - length(replace(lower(c), 'a', ''))) * 1e0 / length(c), 5) AS first FROM {_CANONICAL} s WHERE c IS NOT NULL")
+def structure_embeddings(t: Tables) -> DataFrame:
+    found = structures.embeddings(_parsed(t)).filter("embedding IS NOT NULL")
+    return found.select("id", F.size("embedding").alias("dimension"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(coalesce(w.e, m.e), 6) AS e, round(coalesce(w.f, m.f), 4) AS f, CASE WHEN w.e IS NULL AND w.f IS NULL THEN 'e;f' WHEN w.e IS NULL THEN 'e' WHEN w.f IS NULL THEN 'f' ELSE '' END AS imputed FROM {_FINITE} w, (SELECT median(e) AS e, median(f) AS f FROM {_FINITE} v WHERE train) m")

@@ -1,13 +1,15 @@
 """Operators on small hand-made tables."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators import contracts, features, models, ordered, similarity, stats
-from tessera.sources import text_lists
+from tessera.operators import contracts, features, models, ordered, similarity, stats, structures
+from tessera.sources import arrays, text_lists
 from tessera.streaming import scoring
 
 
@@ -95,7 +97,10 @@ def test_rank_statistics_against_pairs(spark):
 def test_resampling_brackets_the_auc(spark):
     df = spark.createDataFrame([("f", float(i % 10 + 3 * (i % 2)), i % 2) for i in range(200)] + [("small", 1.0, 1)], "feature string, v double, y int")
     got = {r["feature"]: r for r in stats.resampled(df, "feature", 200).collect()}
-    assert got["f"]["ci_low"] < got["f"]["auc"] < got["f"]["ci_high"] and got["f"]["permutation_p"] < 0.05
+    assert got["f"]["permutation_p"] < 0.05 and abs(got["f"]["null_mean"] - 0.5) < 0.02
+    assert all(got["f"][f"{m}_low"] < got["f"][m] < got["f"][f"{m}_high"] for m in ("auc", "delta", "ap"))
+    exact = stats.average_precision(df, ["feature"]).filter("feature = 'f'").first()["average_precision"]
+    assert got["f"]["ap"] == pytest.approx(exact) and got["f"]["delta"] == pytest.approx(2 * got["f"]["auc"] - 1)
     assert got["small"]["auc"] is None
 
 
@@ -153,8 +158,122 @@ def test_models_and_calibration(spark):
     slope, offset = models.platt(oof)
     assert slope > 0
     assert stats.rank_statistics(models.calibrated(oof, slope, offset).select(F.lit("m").alias("feature"), F.col("p").alias("v"), "y"), ["feature"]).first()["auc"] > 0.9
-    mixed = models.shuffled(df, "a", 1)
-    assert sorted(r[0] for r in mixed.select("a").collect()) == sorted(r[0] for r in df.select("a").collect())
+    mixed = models.shuffled(df, "a", ["fold"])
+    assert sorted(tuple(r) for r in mixed.select("fold", "a").collect()) == sorted(tuple(r) for r in df.select("fold", "a").collect())
+    drops = models.permutation_importance(models.fitted(df, "logistic", ["a", "b"]), df, ["a", "b"], repeats=4).groupBy("feature").agg(F.avg("drop").alias("d"), F.count(F.lit(1)).alias("n"))
+    found = {r["feature"]: (r["n"], r["d"]) for r in drops.collect()}
+    assert found["a"][0] == found["b"][0] == 4 and found["a"][1] > 0.2 > abs(found["b"][1])
+
+
+def test_bundles_keep_their_contract(spark, tmp_path):
+    rows = [(i, float(i % 7), float((i * 13) % 11), int(i % 7 > 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    model = models.fit_calibrated(df, "logistic", ["a", "b"])
+    path = str(tmp_path / "bundle")
+    models.save_bundle(model, spark, path)
+    again, threshold = models.load_bundle(spark, path, ["a", "b"])
+    assert threshold == models.LOCKED_THRESHOLD and values(again.transform(df).select("id", "p")) == values(model.transform(df).select("id", "p"))
+    with pytest.raises(contracts.ContractError):
+        models.load_bundle(spark, path, ["b", "a"])
+    with pytest.raises(contracts.ContractError):
+        models.decided(again, df.drop("b"), threshold)
+    models.save_bundle(model, spark, path, threshold=0.5)
+    with pytest.raises(contracts.ContractError):
+        models.load_bundle(spark, path, ["a", "b"])
+
+
+def test_asserted_joins_fail_where_they_should(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k long, x string")
+    right = spark.createDataFrame([(1, "p"), (2, "q")], "k long, z string")
+    twice = right.union(right.limit(1))
+    assert contracts.join_many_to_one(left, right, ["k"]).count() == 3
+    for join, one, two in ((contracts.join_many_to_one, left, twice), (contracts.join_one_to_one, left, right), (contracts.join_one_to_one, right, right.filter("k = 1")), (contracts.join_guarded, right, right.filter("k = 1"))):
+        with pytest.raises(contracts.ContractError):
+            join(one, two.withColumnRenamed("z", "w"), ["k"])
+    assert contracts.join_guarded(right, right.filter("k = 1").withColumnRenamed("z", "w"), ["k"], least_share=0.5).count() == 1
+    assert values(contracts.schema_differences(right, {"k": "bigint", "z": "int", "n": "int"})) == [("k", "bigint", "OK"), ("n", "int", "MISSING"), ("z", "int", "TYPE")]
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, float(rng.randint(0, 40)), rng.random() * 40])) for k in "ab" for _ in range(301)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r["k"]: r["q"] for r in ordered.quantiles(df, ["k"], "v", at).collect()}
+    for k in "ab":
+        assert got[k] == pytest.approx(list(np.quantile([v for x, v in rows if x == k and v is not None], at)))
+    assert ordered.quantiles(df, [], "v", [0.5]).first()["q"] == pytest.approx([np.median([v for _, v in rows if v is not None])])
+
+
+def test_folds_are_stratified(spark):
+    df = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(207)], "id long, y int")
+    counts = features.stratified_folds(df, "y", F.col("id")).groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {(r["y"], r["n"]) for r in counts} == {(0, 37), (0, 36), (1, 5), (1, 4)}
+
+
+def test_nearest_in_blocks_and_slabs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(0, 3, 4).astype(float).tolist()) for i in range(180)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    m = np.array([v for _, v in rows])
+    unit = np.divide(m, np.linalg.norm(m, axis=1)[:, None], out=np.zeros_like(m), where=np.linalg.norm(m, axis=1)[:, None] > 0)
+    sim = np.round(unit @ unit.T, 6)
+    expected = [(i, j, s) for i in range(180) if unit[i].any() for s, j in sorted(((s, j) for j, s in enumerate(sim[i].tolist()) if j != i and unit[j].any()), key=lambda x: (-x[0], x[1]))[:7]]
+    assert [r[:3] for r in values(similarity.nearest(df, df, 7))] == sorted(expected, key=repr)
+    ids, own = np.arange(180), np.arange(180)
+    for slab in (1, 5, 64):
+        parts = [similarity._best(ids, unit, own[a : a + slab], unit[a : a + slab], 7, True, 6) for a in range(0, 180, slab)]
+        assert all(p.num_rows <= 180 * min(7, slab) for p in parts)
+
+
+def test_standardising_refuses_constant_dimensions(spark):
+    df = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, 5.0])], "id long, v array<double>")
+    with pytest.raises(Exception, match="deviation"):
+        features.standardised(df, "v", F.lit(True)).collect()
+    assert values(features.standardised(df.withColumn("v", F.slice("v", 1, 1)), "v", F.lit(True))) == [(1, [-1.0]), (2, [1.0])]
+
+
+def test_arrays_and_their_refusals(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 2.0]) for i in range(50)], "k long, v array<double>").repartition(3)
+    folder = str(tmp_path / "npy")
+    assert arrays.write_npy(df, folder, "k", "v", 2).agg(F.sum("n_rows")).first()[0] == 50
+    assert values(arrays.read_npy(spark, folder)) == sorted(((i, [float(i), 2.0]) for i in range(50)), key=repr)
+    with pytest.raises(Exception, match="dimensions"):
+        arrays.write_npy(df, str(tmp_path / "other"), "k", "v", 3)
+    np.save(tmp_path / "npy" / "part-x-values.npy", np.zeros((2, 2)))
+    np.save(tmp_path / "npy" / "part-x-keys.npy", np.arange(2))
+    with pytest.raises(contracts.ContractError):
+        arrays.read_npy(spark, folder)
+
+
+def test_ids_as_tokens(spark):
+    ids = spark.createDataFrame([("T1",), ("A b.2",), ("x-9",), ("",), ("...",)], "id string")
+    lines = spark.createDataFrame([("see T1, T1;",), ("T12 and xT1 T1.a",), ("the A b.2 of",), ("A b.23",), ("f\tx-9\tg",), ("(x-9)",), ("x-91",)], "line string")
+    assert values(text_lists.ids_as_tokens(lines, ids).select("id", "line")) == [("A b.2", "the A b.2 of"), ("T1", "see T1, T1;"), ("x-9", "(x-9)"), ("x-9", "f\tx-9\tg")]
+    assert values(text_lists.ids_in_artifact(spark.createDataFrame([(" T1 ", "a x-9!")], "Id string, note string"), ids)) == [("T1",), ("x-9",)]
+
+
+def test_failures_leave_a_manifest(spark, tmp_path):
+    path = str(tmp_path / "failure")
+    with pytest.raises(contracts.ContractError):
+        text_lists.with_manifest(lambda: contracts.require_columns(spark.range(1), ["nowhere"]), spark, path)
+    found = spark.read.json(path).first()
+    assert found["status"] == "FAILED" and found["error"] == "ContractError" and "nowhere" in found["message"] and "Traceback" in found["traceback"]
+    assert text_lists.with_manifest(lambda: spark.range(3), spark, path).count() == 3
+
+
+def test_structures_with_failures(spark):
+    class FailingToolkit(structures.PlainToolkit):  # here, so that workers get it by value
+        def conform(self, canonical, settings):
+            raise ValueError("no conformer")
+
+    df = spark.createDataFrame([(1, "CC(O)Fe"), (2, "C(("), (3, None), (4, "  ")], "id long, structure string")
+    parsed = structures.parse_structures(df).select("id", "parsed.*")
+    assert values(parsed) == [(1, True, "CC(O)Fe", "C2F1O1"), (2, False, None, None), (3, False, None, None), (4, False, None, None)]
+    assert [r[1:3] for r in values(structures.conformers(parsed))] == [("SUCCESS", "PLAIN"), ("NO_STRUCTURE", None), ("NO_STRUCTURE", None), ("NO_STRUCTURE", None)]
+    failed = structures.conformers(parsed, make=FailingToolkit)
+    assert values(failed.select("id", "status", "metal"))[0] == (1, "FAILED", True)
+    assert structures.embeddings(parsed).filter("size(embedding) = 26").count() == 1
 
 
 def test_stream_scoring(spark, tmp_path):

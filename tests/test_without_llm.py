@@ -1,5 +1,7 @@
 """The rest of the library works where the language-model subpackage is missing."""
 
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -7,11 +9,18 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parent.parent
 
 
-def test_entry_imports_without_the_subpackage(tmp_path):
-    for name in ("tessera", "__spark_entry__.py"):
-        (tmp_path / name).symlink_to(ROOT / name)
-    code = "import sys; sys.modules['tessera.llm'] = None; import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op') and q[2].isdigit()] and 'pipeline' not in e.queries(); assert e.queries()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+def test_the_rest_works_without_the_folders(tmp_path):
+    """A copy without the two folders and the pipeline: everything imports, and its tests are all found and some run."""
+    left_out = shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache", "*.json", "*.md")
+    copy, alone = tmp_path / "copy", {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    shutil.copytree(ROOT, copy, ignore=left_out)
+    assert not (copy / "tessera" / "llm").exists() and not (copy / "tests" / "llm").exists()
+    code = "import __spark_entry__ as e, bench; names = e.queries(); assert names and not [q for q in names if q.startswith('op') and q[2].isdigit()] and 'pipeline' not in names and set(e.oracle_sql()) <= set(names)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=alone, check=True)
+    found = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=copy, env=alone, capture_output=True, text=True)
+    assert found.returncode == 0, found.stdout[-2000:]
+    run = subprocess.run([sys.executable, "-m", "pytest", "tests/test_operators.py", "-q", "-x", "-k", "bins or contracts", "-p", "no:cacheprovider"], cwd=copy, env=alone, capture_output=True, text=True)
+    assert run.returncode == 0, run.stdout[-2000:]
 
 
 def test_nothing_outside_imports_it():
@@ -19,3 +28,9 @@ def test_nothing_outside_imports_it():
     for path in (ROOT / "tessera").rglob("*.py"):
         if inside not in path.parents:
             assert "tessera.llm" not in path.read_text(), path
+
+
+def test_what_the_subpackage_lacks_is_an_error():
+    code = "import sys; sys.modules['xxhash'] = None\ntry:\n    import __spark_entry__\nexcept ImportError:\n    sys.exit(0)\nsys.exit(1)"
+    if (ROOT / "tessera" / "llm").exists():
+        subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
