@@ -444,11 +444,6 @@ def high_support_targets(t: Tables) -> DataFrame:
     return molecules_per_target(t).filter("n_molecules >= 10").join(t.targets, "target_id", "left").select("target_id", F.col("n_molecules").alias("n"), "level1")
 
 
-@query(f"SELECT m.target_id, m.n, t.level1 FROM (SELECT target_id, CAST(count(DISTINCT np_id) AS BIGINT) AS n FROM {ASSOC} a GROUP BY 1) m LEFT JOIN {TARGETS} t ON m.target_id = t.target_id WHERE m.n <= 3")
-def low_support_targets(t: Tables) -> DataFrame:
-    return molecules_per_target(t).filter("n_molecules <= 3").join(t.targets, "target_id", "left").select("target_id", F.col("n_molecules").alias("n"), "level1")
-
-
 _RARE = f"(SELECT target_id, CAST(count(DISTINCT np_id) AS BIGINT) AS n FROM {ASSOC} a WHERE activity_type = 'R' AND activity_value > 47 GROUP BY 1)"
 
 

@@ -6,8 +6,10 @@ import hashlib
 import json
 import traceback
 from collections.abc import Callable, Iterator
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructField, StructType
@@ -150,9 +152,12 @@ CHUNK = 1 << 20
 
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, size_bytes) of the files in a folder and all below it; no content is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.col("length").alias("size_bytes"))
+    """(path, size_bytes) of the files in a folder and all below it, empty ones too; no content is read. The driver lists them, as for any scan."""
+    files, name = place(folder)
+    before = folder.removesuffix(name) if folder != name else ""
+    listed = files.get_file_info(pafs.FileSelector(name, recursive=True))
+    found = [(before + i.path, i.size) for i in listed if i.type == pafs.FileType.File and fnmatchcase(i.base_name, pattern)]
+    return spark.createDataFrame(found, "path string, size_bytes long")
 
 
 def classified(files: DataFrame, kinds: dict[str, str], otherwise: str = "other") -> DataFrame:

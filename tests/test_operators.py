@@ -253,6 +253,19 @@ def test_ids_as_tokens(spark):
     assert values(text_lists.ids_in_artifact(spark.createDataFrame([(" T1 ", "a x-9!")], "Id string, note string"), ids)) == [("T1",), ("x-9",)]
 
 
+def test_digests_of_files_larger_than_a_chunk(spark, tmp_path):
+    import hashlib
+
+    data = random.Random(1).randbytes(text_lists.CHUNK * 2 + 77)
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.bin").write_bytes(data)
+    (tmp_path / "b.bin").write_bytes(b"")
+    found = {r["path"]: (r["size_bytes"], r["sha256"]) for r in text_lists.provenance(spark, str(tmp_path), "*.bin").collect()}
+    assert found == {"a.bin": (len(data), hashlib.sha256(data).hexdigest()), "b.bin": (0, hashlib.sha256(b"").hexdigest())}
+    kinds = text_lists.classified(text_lists.discover(spark, str(tmp_path)), {"first": "^a[.]"})
+    assert sorted(r[0] for r in kinds.select("file_kind").collect()) == ["first", "other"]
+
+
 def test_failures_leave_a_manifest(spark, tmp_path):
     path = str(tmp_path / "failure")
     with pytest.raises(contracts.ContractError):
