@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise  # noqa: F401  (operators take it from here)
 
-#: Bytes of input to a bucket of a packed exchange.
-BUCKET_BYTES = 16 << 20
+#: Bytes of input to a bucket of a packed exchange, and the number of buckets from which half of any growth goes to their size: a task
+#: that had a few entries for each of millions of buckets would send more headers than entries.
+BUCKET_BYTES, EVEN_BUCKETS = 16 << 20, 10_000
 #: Catalyst's estimates from here on (multiplied up through joins, or the default of an unknown size) say nothing.
 UNKNOWN_BYTES = 1 << 58
 
@@ -28,11 +29,13 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets of a packed exchange: in proportion to the input, so that each stays of one size."""
+    """Buckets of a packed exchange: in proportion to the input up to EVEN_BUCKETS (160 GB), then to its root (400 MB of input a bucket at 100 TB)."""
     size = estimated_bytes(docs)
     if size >= UNKNOWN_BYTES:  # not a plain scan: Catalyst can't tell
         size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     by_size = math.ceil(size / BUCKET_BYTES)
+    if by_size > EVEN_BUCKETS:
+        by_size = math.ceil(math.sqrt(by_size * EVEN_BUCKETS))
     return max(by_size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 

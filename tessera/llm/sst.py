@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.plan import bucket_count, materialise, record, small_batches
@@ -364,21 +364,19 @@ def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_shards(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, shard) of every document in the shards of a manifest.
 
-    start counts the ids of all documents before it. The driver sees a row a shard.
+    start counts the ids of all documents before it; one task sums up the manifest, which has a
+    row a shard. Documents come as often as they are in the shards; an empty manifest gives no rows.
     """
-    spark = manifest.sparkSession
-    start, places = 0, []
-    for path, _, n in manifest.select("path", "first_key", "n_tokens").orderBy("first_key").toLocalIterator():
-        places.append((path, start))
-        start += n
-    shards = spark.createDataFrame(places, "path string, start long")
-    return shards.repartition(max(1, min(len(places), 10_000))).mapInArrow(_read_task, _DOCUMENTS)
+    before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")).alias("start"))
+    return shards.repartition(max(1, min(manifest.count(), 10_000)), "path").mapInArrow(_read_task, _DOCUMENTS)
 
 
 def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, tokens) for the wanted ids (doc_id long): every id goes to the shards whose range holds it.
 
-    A shard's footer, index and filter are read, and for an id that passes the filter the
+    The driver and every routing task hold the shards' first keys and paths, a row a shard. A
+    shard's footer, index and filter are read, and for an id that passes the filter the
     blocks whose keys may be its: one, or more if many documents have it. An id without
     documents gives no row, one of several documents a row each, a null id those without id;
     repeated ids are asked once; empty tables give no rows.

@@ -19,7 +19,12 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """Of each class of near copies the row with the least doc_id; texts without words all stay."""
+    """Of each class of near copies the row with the least doc_id; texts without words all stay.
+
+    Null, empty and blank texts are such; of repeated rows one stays; rows without doc_id give
+    way to others of their class; an empty table gives no rows; further columns, of any name,
+    pass through.
+    """
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     found, key = jaccard_components(docs), _free(docs, "row_key")
     stay = found.filter("n_shingles > 0 AND key = first_key").select(F.col("key").alias(key)).distinct()
@@ -28,7 +33,11 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows with benchmark passages cut out of their texts; n_chars follows a changed text."""
+    """The rows with benchmark passages cut out of their texts; n_chars follows a changed text.
+
+    Null and empty texts, and all texts under an empty benchmark, stay as they are; repeated
+    rows all stay; an empty table gives no rows; further columns, of any name, pass through.
+    """
     key, spans = _free(docs, "row_key"), _free(docs, "row_spans")
     hits = benchmark_hits(docs, benchmark).filter(F.size("spans") > 0).select(F.col("key").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
     joined = docs.withColumn(key, row_key("doc_id", "text")).join(hits, key, "left")

@@ -22,8 +22,8 @@ def shingle_set(text: str | None, width: int = 5) -> frozenset:
     return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
 
 
-def jaccard(rows: list[tuple], percent: int = 80) -> list[tuple]:
-    """Sorted (doc_id, n_shingles, component_id)."""
+def jaccard_roots(rows: list[tuple], percent: int = 80) -> tuple[list[frozenset], list[int]]:
+    """The set of each row, and the first row of its class."""
     sets = [shingle_set(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -42,11 +42,17 @@ def jaccard(rows: list[tuple], percent: int = 80) -> list[tuple]:
             if 100 * both >= percent * (len(s) + len(sets[j]) - both):
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
+    return sets, [top(i) for i in range(len(rows))]
+
+
+def jaccard(rows: list[tuple], percent: int = 80) -> list[tuple]:
+    """Sorted (doc_id, n_shingles, component_id)."""
+    sets, roots = jaccard_roots(rows, percent)
     low: dict = {}
-    for i, (d, _) in enumerate(rows):
+    for (d, _), r in zip(rows, roots):
         if d is not None:
-            low[top(i)] = min(low.get(top(i), d), d)
-    return sorted(((d, len(s), low.get(top(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=repr)
+            low[r] = min(low.get(r, d), d)
+    return sorted(((d, len(s), low.get(r)) for (d, _), s, r in zip(rows, sets, roots)), key=repr)
 
 
 def passages(rows: list[tuple], window: int = 35) -> list[tuple]:

@@ -297,10 +297,16 @@ def test_cotraining_held_out_accuracy(spark):
 def test_stages_keep_columns(docs):
     kept = stages.one_of_each_class(docs)
     assert kept.columns == docs.columns
-    expected = {c for d, n, c in brute.jaccard(PAIRS) if n}
-    worded = [r["doc_id"] for r in kept.filter("text rlike '[^ \\t\\n]'").collect()]
-    assert len(worded) == len(expected | {5}) or set(filter(None, worded)) >= expected - {None}
-    assert kept.filter("text IS NULL").count() == sum(t is None for _, t in PAIRS)
+    sets, roots = brute.jaccard_roots(PAIRS)
+    classes: dict = {}
+    for (d, _), own, r in zip(PAIRS, sets, roots):
+        if own:
+            classes.setdefault(r, []).append(d)
+    least = sorted((min((d is None, d or 0) for d in ids) for ids in classes.values()), key=repr)
+    worded = kept.filter(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in worded.collect()), key=repr) == least
+    assert kept.count() - len(least) == sum(not own for own in sets)
+    assert stages.one_of_each_class(kept).count() == kept.count()
     bench = docs.sparkSession.createDataFrame(data.benchmark(DOCS), "item_id long, text string")
     clean = stages.without_benchmark(docs, bench)
     assert clean.columns == docs.columns and clean.count() == len(DOCS)
@@ -486,3 +492,12 @@ def test_hot_keys_are_spread(spark, monkeypatch):
         assert got.count() == n and values(got.filter("k = 1").select("top").distinct()) == [(79,)]
     edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(59, 100), (200, 201)], "u long, v long")
     assert {r["root"] for r in graph.components(edges).collect()} == {0, 200}
+
+
+def test_buckets_grow_with_the_root_of_very_large_inputs(spark, monkeypatch):
+    from tessera.llm import plan
+
+    sizes = {1: 4, 1 << 30: 64, 160 << 30: 10_000, 100 << 40: 256_000}
+    for size, least in sizes.items():
+        monkeypatch.setattr(plan, "estimated_bytes", lambda df, size=size: size)
+        assert least <= plan.bucket_count(spark.range(1)) <= least * 1.05
