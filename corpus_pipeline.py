@@ -16,27 +16,48 @@ from tessera.llm.queries import table, tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go.
+
+    Null and empty texts are judged by their metadata, null metadata is a value of its own,
+    repeated rows are each judged, without labels of both classes all stay, an empty table
+    gives no rows, and further columns pass through.
+    """
     return cotraining.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the Jaccard join stays."""
+    """One document of each class of the Jaccard join stays.
+
+    Null, empty and blank texts all stay, of repeated rows one does, ties go to the lower
+    doc_id, an empty table gives no rows, and further columns pass through.
+    """
     return stages.one_of_each_class(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out of the texts."""
+    """Benchmark passages are cut out of the texts.
+
+    Null and empty texts and an empty benchmark change nothing, repeated rows all stay, an
+    empty table gives no rows, and further columns pass through; n_chars follows the text.
+    """
     return stages.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked by its kind."""
+    """Personal data is masked by its kind.
+
+    Null and empty texts stay, repeated rows are each masked, an empty table gives no rows,
+    and further columns pass through; n_chars follows the text.
+    """
     return pii.masked_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts get their piece ids, in column ids."""
+    """Texts get their piece ids, in column ids, which takes the place of one of that name.
+
+    Null and empty texts have none, repeated rows are each encoded, an empty table gives no
+    rows, and further columns pass through.
+    """
     return pieces.encoded(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
