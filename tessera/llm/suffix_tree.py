@@ -103,15 +103,16 @@ def _count_task(batches: Iterator[pa.RecordBatch], buckets: int, folder: str) ->
         trained = np.concatenate([x[1] for x in held])
         n = np.concatenate([np.diff(x[3]) for x in held])
         hashes = np.concatenate([x[2] for x in held])
-        doc = np.repeat(np.arange(len(n)), n)
-        order = np.argsort(hashes, kind="stable")
+        held.clear()
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        order = np.argsort(hashes, kind="stable").astype(np.int32)
         hashes, doc = hashes[order], doc[order]
         fresh = np.ones(len(hashes), bool)
         word = fresh.copy()
         word[1:] = hashes[1:] != hashes[:-1]
         fresh[1:] = word[1:] | (doc[1:] != doc[:-1])
         entry = np.flatnonzero(fresh)
-        number_of = np.cumsum(word) - 1
+        number_of = np.cumsum(word, dtype=np.int32) - 1
         times = np.diff(np.append(entry, len(hashes))).astype(np.uint32)
         hashes, doc, head = hashes[entry], doc[entry], np.flatnonzero(word[entry])
         each = np.diff(np.append(head, len(entry))).astype(np.uint32)
@@ -146,7 +147,7 @@ def _count_task(batches: Iterator[pa.RecordBatch], buckets: int, folder: str) ->
             size += len(hashes)
             if size > PART_TOKENS:
                 yield from flush()
-                held, size = [], 0
+                size = 0
     if held:
         yield from flush()
     release()
@@ -207,7 +208,7 @@ def _part_task(table: pa.Table, settings: Settings, buckets: int, folder: str) -
     end = place[np.frombuffer(own["times"][0].as_py(), np.int64)[0]]
     number, learned = place[_unsqueezed(own["docs"][0].as_py(), np.uint32)], _unsqueezed(own["trained"][0].as_py(), np.uint8)
     doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-    place = np.arange(len(number)) - np.repeat(np.cumsum(n) - n, n)
+    place = np.arange(len(number), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
     past, rare = np.full((settings.depth + 1, len(number)), end, np.uint32), np.concatenate(([True], count < settings.least))
     for back in range(settings.depth + 1):
         inside = np.flatnonzero(place >= back)
@@ -216,9 +217,9 @@ def _part_task(table: pa.Table, settings: Settings, buckets: int, folder: str) -
             past[back, rare[past[back]]] = 0
     follows = past[1] > 0
     past, doc = past[:, follows], doc[follows]
-    bucket = (mix(words.view(np.uint64)) % np.uint64(buckets))[past[1] - 1]
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    bucket = (mix(words.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[past[1] - 1]
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cut))
     small, named = np.zeros(len(words) + 1, np.uint32), np.zeros(len(words) + 1, bool)
     columns = {name: [] for name in ("words", "trained", "docs", "times", "each")}
@@ -371,15 +372,20 @@ def _tree_task(table: pa.Table, settings: Settings, size: int) -> pa.Table:
         ends, low = np.cumsum(met), 0
         while low < len(distinct):
             high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK_TOKENS, "right")))
-            parts = []
-            for name, each, times, doc in packed:
-                past = past_of(name, each)
-                mine = np.flatnonzero((past[1] >= low) & (past[1] < high))
-                parts.append((past[:, mine], _unsqueezed(times.as_py(), np.uint32)[mine], np.cumsum(_unsqueezed(doc.as_py(), np.uint32), dtype=np.uint32)[mine]))
-            past, times = (np.concatenate([x[k] for x in parts], -1) for k in (0, 1))
-            owners = [x[2] for x in parts]
-            del parts
-            gain = np.log10(tree.learn(past, times) / root[past[0]])
+            total = int(ends[high - 1] - (ends[low - 1] if low else 0))
+            past, times, owners, at = np.empty((settings.depth + 1, total), np.int32), np.empty(total, np.uint32), [], 0
+            for name, each, own, doc in packed:
+                tokens = past_of(name, each)
+                mine = np.flatnonzero((tokens[1] >= low) & (tokens[1] < high))
+                past[:, at : at + len(mine)] = tokens[:, mine]
+                del tokens
+                times[at : at + len(mine)] = _unsqueezed(own.as_py(), np.uint32)[mine]
+                owners.append(np.cumsum(_unsqueezed(doc.as_py(), np.uint32), dtype=np.uint32)[mine])
+                at += len(mine)
+            gain = tree.learn(past, times)
+            gain /= root[past[0]]
+            np.log10(gain, out=gain)
+            del past, times
             at = 0
             for own, doc, key in zip(owners, docs, keys, strict=True):
                 key += np.bincount(np.searchsorted(doc, own), gain[at : at + len(own)], len(doc))
