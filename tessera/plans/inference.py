@@ -53,6 +53,14 @@ def cosine_topk(t: Tables) -> DataFrame:
     return _neighbours(t)
 
 
+@query("""SELECT query_id, neighbour_id, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, neighbour_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, round(list_dot_product(q.u, r.u) / (q.n * r.n), 6) AS sim FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS u, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings) q
+  JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS u, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings) r ON q.vec_id <> r.vec_id) s) k WHERE rank <= 5""")
+def cosine_topk_all(t: Tables) -> DataFrame:
+    """The five nearest of every vector among all others."""
+    return nearest(t.vectors, t.vectors, 5)
+
+
 @query("""SELECT query_id, neighbour_id, sim FROM (SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS sim FROM embeddings q JOIN embeddings r ON r.label = q.label AND q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0) s""")
 def cosine_within_label(t: Tables) -> DataFrame:
     """The column form of the same similarity, over an equality join: all other vectors of the query's label."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that the engine has written to the shared folder; no result that is still to be computed may need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tessera")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Run:
+    """When a run began, for its record: with Run("name") as run: …; run.record()."""
+
+    def __init__(self, name: str):
+        self.name, self.seconds = name, None
+
+    def __enter__(self) -> Run:
+        self.began, self._at = datetime.now(UTC), time.monotonic()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.seconds = time.monotonic() - self._at
+
+    def record(self) -> dict:
+        """Name, start and end in ISO form, and seconds; of a run that goes on, until now."""
+        return {"name": self.name, "began": self.began.isoformat(), "ended": datetime.now(UTC).isoformat(), "seconds": round(self.seconds if self.seconds is not None else time.monotonic() - self._at, 3)}

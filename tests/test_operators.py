@@ -297,3 +297,17 @@ def test_stream_scoring(spark, tmp_path):
     query = scoring.score_stream(arriving, df, lambda rows, n: rows.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "check"), k=1)
     query.awaitTermination(60)
     assert values(spark.read.parquet(str(tmp_path / "out")).select("query_id", "neighbour_id")) == [(1, 2), (2, 1), (3, 2)]
+
+
+def test_shared_folder_and_runs(spark):
+    from tessera import session
+
+    with session.Run("step") as run:
+        kept = session.materialise(spark.range(3), "numbers")
+        assert kept.count() == 3
+    found = run.record()
+    assert found["name"] == "step" and found["began"] < found["ended"] and found["seconds"] >= 0
+    session.clear(spark)
+    assert session.materialise(spark.range(2), "numbers").count() == 2
+    with pytest.raises(Exception):
+        kept.collect()
