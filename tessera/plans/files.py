@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import n_rows
 from tessera.operators import contracts
-from tessera.plans.registry import ASSOC, TARGETS, Tables, query
+from tessera.plans.registry import ASSOC, NEIGHBOURS, TARGETS, Tables, query
 from tessera.session import materialise, new_folder
 from tessera.sources import arrays, text_lists
 from tessera.streaming import scoring
@@ -113,7 +113,7 @@ def stream_event_rates(t: Tables) -> DataFrame:
     return t.spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
 
 
-@query()
+@query(f"SELECT query_id, neighbour_id, sim, rank FROM {NEIGHBOURS} n")
 def stream_scores(t: Tables) -> DataFrame:
     """Vectors as a stream: each micro-batch gets its neighbours, which are appended to a table; the same rows as cosine_topk."""
     out, checkpoint = new_folder(t.spark, "scores"), new_folder(t.spark, "checkpoint")
