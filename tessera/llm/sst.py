@@ -46,8 +46,8 @@ REMEMBERED, LONGEST = 500_000, 64
 
 
 def key_bytes(doc_id: int | None, ordinal: int) -> bytes:
-    """Keys sort as (null first, doc_id, ordinal among equal ids)."""
-    return (b"\0" + bytes(8) if doc_id is None else b"\1" + struct.pack(">Q", doc_id + (1 << 63))) + struct.pack(">I", ordinal)
+    """Keys sort as (null first, doc_id, ordinal among equal ids: the range that holds the document, then its place there)."""
+    return (b"\0" + bytes(8) if doc_id is None else b"\1" + struct.pack(">Q", doc_id + (1 << 63))) + struct.pack(">Q", ordinal)
 
 
 def key_id(key: bytes) -> int | None:
@@ -300,6 +300,7 @@ def _write_task(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str,
     words, writer, rows = word_ids(tokenizer, width), Writer(width), []
     attempt = f"attempt{TaskContext.get().taskAttemptId()}"
     first, previous, ordinal = b"", object(), 0
+    low = TaskContext.get().partitionId() << 32
     tail = b"" if end_id is None else end_id.to_bytes(width, "little")
 
     def close() -> None:
@@ -314,7 +315,7 @@ def _write_task(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str,
     for batch in batches:
         raw, at = column_bytes(batch.column(1))
         for i, doc_id in enumerate(batch.column(0).to_pylist()):
-            ordinal = ordinal + 1 if doc_id == previous else 0
+            ordinal = ordinal + 1 if doc_id == previous else low
             previous = doc_id
             if writer.size() >= SHARD_BYTES:
                 close()
@@ -338,7 +339,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
     small_batches(docs.sparkSession)
     folder = folder or new_folder(docs.sparkSession, "shards")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(bucket_count(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # An id that many rows share, or lack, goes to several ranges by the beginning of their texts.
+    start = F.substring("text", 1, 64).asc_nulls_first()
+    dealt = rows.repartitionByRange(bucket_count(docs), F.col("doc_id").asc_nulls_first(), start).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return materialise(dealt.mapInArrow(lambda it: _write_task(it, tokenizer, folder, end_id, width), _MANIFEST), "manifest")
 
 
@@ -392,7 +395,7 @@ def _route_task(batches: Iterator[pa.RecordBatch], shards: list[tuple[bytes, str
         out = []
         for d in batch.column(0).to_pylist():
             low = max(bisect_left(shards, key_bytes(d, 0), key=lambda x: x[0]) - 1, 0)
-            high = bisect_left(shards, key_bytes(d, 0xFFFFFFFF), key=lambda x: x[0])
+            high = bisect_left(shards, key_bytes(d, (1 << 64) - 1), key=lambda x: x[0])
             out += [(shards[i][1], d) for i in range(low, max(high, low + 1)) if shards]
         yield record(schema, list(zip(*out, strict=True)) if out else [[], []])
 

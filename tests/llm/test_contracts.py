@@ -218,6 +218,20 @@ def test_shards(docs, empty):
     assert sst.read_shards(sst.write_shards(empty, path, end_id=2)).count() == 0
 
 
+def test_shards_of_one_id(spark):
+    """Rows that share an id, or have none, spread over several shards, stay in the order of their texts, and are all found."""
+    rng = random.Random(20)
+    rows = [(7 if i % 3 else None, f"{rng.randint(0, 99)} {data.prose(rng, 5)}") for i in range(300)] + [(8, "x"), (6, None), (None, None), (7, "same"), (7, "same")]
+    path = tokenizer_file("word_bpe_49k.json")
+    manifest = sst.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, end_id=2)
+    assert manifest.filter("n_docs > 0").count() > 2
+    got = [tuple(r) for r in sst.read_shards(manifest).orderBy("start").select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    assert got == brute.shards(rows, path)
+    wanted = spark.createDataFrame([(7,), (8,), (None,), (9,)], "doc_id long")
+    found = {r["doc_id"]: r["n"] for r in sst.lookup(manifest, wanted).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == {7: 202, 8: 1, None: 101}
+
+
 def test_shard_blocks_index_and_damage():
     writer = sst.Writer(2)
     for i in range(3000):
