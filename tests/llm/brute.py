@@ -195,3 +195,45 @@ def log_ratio(rows: list[tuple], trusted: set, bits: int = 17) -> list[float]:
     share = lambda counts, x: math.log((counts[x] + 1) / (sum(counts.values()) + (1 << bits)))
     known = {x: share(target, x) - share(corpus, x) for x in corpus}
     return [sum(known[x] for x in own) / max(len(own), 1) for own in slots]
+
+
+def cotraining(rows: list[tuple], sample, rounds: int) -> list[tuple[float, float, float]]:
+    """(text, metadata, combined) probability of each row (doc_id, text, lang, source, n_chars); sample: the ids to start from and the held-out ones.
+
+    Counts, exchange and scores are plain Python; the logistic calibration and the cuts are the operator's own, which have tests of their own.
+    """
+    import numpy as np
+    import xxhash
+
+    from tessera.llm.cotraining import META_BITS, platt, trusted_cut
+
+    views = ("text", "meta")
+    size = lambda n: None if n is None else int(math.log2(abs(n) + 1) * 2)
+    meta = lambda s, g, n: [xxhash.xxh3_64_intdigest(repr(x)) & (1 << META_BITS) - 1 for x in ((0, s), (1, g), (2, n), (3, g, n))]
+    features = {
+        "text": [[(int.from_bytes(r[i : i + 4], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 15 for i in range(len(r) - 3)] for r in ((t or "").encode() for _, t, *_ in rows)],
+        "meta": [meta(s, g, size(n)) for _, _, g, s, n in rows],
+    }
+    slots = {"text": 1 << 17, "meta": 1 << META_BITS}
+    good, bad, held = set(sample.good.tolist()), set(sample.bad.tolist()), set(sample.held_good.tolist()) | set(sample.held_bad.tolist())
+    given = [1 if d in good else 0 if d in bad else None for d, *_ in rows]
+    known = [d in good or d in bad or d in held for d, *_ in rows]
+    marks = {v: given for v in views}
+    for _ in range(rounds + 1):
+        score, calibration, cuts = {}, {}, {}
+        for v in views:
+            counts = [Counter(x for own, m in zip(features[v], marks[v]) if m == side for x in own) for side in (1, 0)]
+            totals = [sum(c.values()) + slots[v] for c in counts]
+            ratio = lambda x, counts=counts, totals=totals: math.log((counts[0][x] + 1) / totals[0]) - math.log((counts[1][x] + 1) / totals[1])
+            score[v] = [sum(map(ratio, own)) / max(len(own), 1) for own in features[v]]
+            s = np.array([x for x, (d, *_) in zip(score[v], rows) if d in held])
+            y = np.array([float(d in set(sample.held_good.tolist())) for d, *_ in rows if d in held])
+            weight = np.where(y > 0, sample.share / y.mean(), (1 - sample.share) / (1 - y.mean()))
+            calibration[v] = platt(s, y, weight)
+            cuts[v] = (-trusted_cut(-s, 1 - y, weight), trusted_cut(s, y, weight))
+        sure = {v: [1 if x > cuts[v][1] else 0 if x < cuts[v][0] else None for x in score[v]] for v in views}
+        marks = {v: [m if k else o for m, k, o in zip(given, known, sure["meta" if v == "text" else "text"])] for v in views}
+    prior = math.log(sample.share / (1 - sample.share))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    odds = {v: [calibration[v][0] * x + calibration[v][1] for x in score[v]] for v in views}
+    return [(sigmoid(a), sigmoid(b), sigmoid(a + b - prior)) for a, b in zip(odds["text"], odds["meta"])]

@@ -515,3 +515,22 @@ def test_buckets_grow_with_the_root_of_very_large_inputs(spark, monkeypatch):
     for size, least in sizes.items():
         monkeypatch.setattr(plan, "estimated_bytes", lambda df, size=size: size)
         assert least <= plan.bucket_count(spark.range(1)) <= least * 1.05
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_cotraining_against_brute_force(spark, rounds):
+    rng = random.Random(21)
+    rows = []
+    for i in range(260):
+        bad = rng.random() < 0.35
+        text = data.prose(rng, rng.randint(0, 25))
+        rows.append((i, text.replace(" ", "!! ") if bad and rng.random() < 0.8 else text, rng.choice(["en", "de", None]), f"src{rng.randint(6, 9) if bad else rng.randint(0, 7)}", rng.choice([None, len(text)])))
+    rows += [(900, None, None, None, None), (901, "", "en", "src1", 0)]
+    marked = [(i, int(not (r[3] or "") > "src7" and "!!" not in (r[1] or "")), 0) for i, r in enumerate(rows[:180])]
+    labels = spark.createDataFrame(marked, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in cotraining.quality_verdicts(data.frame(spark, rows).repartition(3), labels, rounds).collect()}
+    for row, expected in zip(rows, brute.cotraining(rows, cotraining.sample_labels(labels), rounds)):
+        found = got[row[0]]
+        for name, value in zip(("text_probability", "meta_probability", "probability"), expected):
+            assert math.isclose(found[name], value, rel_tol=1e-6, abs_tol=1e-9), (row[0], name)
+        assert found["kept"] == (found["probability"] >= cotraining.REJECT_BELOW)
