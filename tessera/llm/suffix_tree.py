@@ -36,7 +36,7 @@ from tessera.session import new_folder
 END_HASH = np.uint64(0x1F83D9ABFB41BD6B)
 #: Tokens of a part that goes to the buckets as one.
 PART_TOKENS = 2_500_000
-#: Tokens that a bucket's task works on at a time, but for those after a single word.
+#: Tokens that a bucket's task holds unpacked at a time.
 CHUNK_TOKENS = 1_000_000
 
 
@@ -237,7 +237,7 @@ def _part_task(table: pa.Table, settings: Settings, buckets: int, folder: str) -
     k = len(full)
     rows = _mixed(k, kind=[4] * k, bucket=full.tolist(), part=[part] * k, **columns)
     given = {name: [own[name][0].as_py()] for name in ("keys", "words", "trained")}
-    sums = _mixed(1, kind=[5], bucket=[part % buckets], part=[part], docs=[np.int64(copies).tobytes() + own["each"][0].as_py()], tokens=[n.tobytes()], times=[known.tobytes()], each=[logs.tobytes()], **given)
+    sums = _mixed(1, kind=[5], bucket=[buckets + part % buckets], part=[part], docs=[np.int64(copies).tobytes() + own["each"][0].as_py()], tokens=[n.tobytes()], times=[known.tobytes()], each=[logs.tobytes()], **given)
     return pa.Table.from_batches([rows, sums])
 
 
@@ -296,45 +296,21 @@ class Tree:
         for column, values in zip((self.contexts, self.mass, self.entries, self.shares), self.grown(*pairs), strict=True):
             column.append(values)
 
-    def learn(self, past: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """P(symbol | state) of each token in the tree that these tokens grow: past[0] are the symbols, past[d] those d tokens before,
-        times how often each token is learned; a word below 0 is in no context."""
-        p = self.root[past[0]]
-        self._deeper(np.arange(past.shape[1], dtype=np.int32), 1, past, times, p)
-        return p
-
-    def _deeper(self, rows: np.ndarray, depth: int, past: np.ndarray, times: np.ndarray, p: np.ndarray) -> None:
-        """Tokens of one state, whose context is depth - 1 symbols long, by the symbol before: few at a time, and if one symbol has very many, by the one before it again."""
-        if depth >= len(past):
-            return
-        rows = rows[past[depth][rows] >= 0]
-        rows = rows[np.argsort(past[depth][rows], kind="stable")]
-        before = past[depth][rows]
-        edge = np.append(np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))), len(rows)) if len(rows) else np.zeros(1, np.int64)
-        low = 0
-        while low < len(edge) - 1:
-            high = max(low + 1, int(np.searchsorted(edge, edge[low] + CHUNK_TOKENS, "right")) - 1)
-            chunk = rows[edge[low] : edge[high]]
-            if len(chunk) > CHUNK_TOKENS:
-                self._deeper(self._step(chunk, depth, past, times, p, 1)[0], depth + 1, past, times, p)
-            else:
-                self._step(chunk, depth, past, times, p, len(past) - depth)
-            low = high
-
-    def _step(self, live: np.ndarray, depth: int, past: np.ndarray, times: np.ndarray, p: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-        """Grows so many depths from depth on over the tokens live and updates their probabilities; the tokens that are in a state of the last
-        depth, and its number. A context's code is its number among those met."""
-        code, low = np.zeros(len(live), np.int64), (1 << self.bits) - 1
-        for before in past[depth : depth + steps]:
+    def learn(self, past: np.ndarray, times: np.ndarray, depth: int = 1, shorter: np.ndarray | None = None) -> np.ndarray:
+        """P(symbol | state) of each token in the tree that these tokens grow from a depth on: past[0] are the symbols, past[d] those d tokens
+        before, times how often each token is learned; a word below 0 is in no context. All tokens share a state of depth - 1 symbols, with
+        the probabilities shorter by symbol (none: the root). A context's code is its number among those met."""
+        p = (self.root if shorter is None else shorter)[past[0]]
+        live, code, low = np.arange(past.shape[1], dtype=np.int32), np.zeros(past.shape[1], np.int64), (1 << self.bits) - 1
+        for before in past[depth:]:
             there = before[live] >= 0
             live, code = live[there], code[there]
-            symbol = past[0][live]
             _, code = np.unique((code << self.bits) | before[live], return_inverse=True)
-            pair, first, back = np.unique((code << self.bits) | symbol, return_index=True, return_inverse=True)
+            pair, first, back = np.unique((code << self.bits) | past[0][live], return_index=True, return_inverse=True)
             count = np.bincount(back, times[live]).astype(np.int64)
             seen = np.flatnonzero(count)
             if not len(seen):
-                return live[:0], code[:0]
+                break
             context, weight, _, shares = self.grown(pair[seen] >> self.bits, pair[seen] & low, count[seen], p[live[first[seen]]])
             mass, share = np.zeros(int(code.max()) + 1), np.zeros(len(pair))
             mass[context] = weight
@@ -344,55 +320,98 @@ class Tree:
             if not len(live):
                 break
             p[live] = share[back] + mass[code] * p[live]
-        return live, code
+        return p
+
+
+class Bucket:
+    """The tokens of a bucket, which stay packed: they are unpacked part by part, and few are held at a time, however many follow one context."""
+
+    def __init__(self, rows: pa.Table, settings: Settings, size: int):
+        words = [np.cumsum(_unsqueezed(x.as_py(), np.int64)) for x in rows["words"]]
+        counts = np.concatenate([_unsqueezed(x.as_py(), np.int64) for x in rows["trained"]])
+        distinct, first, back = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+        start = np.cumsum([0, *map(len, words)])
+        names = [np.append(np.int32(-1), back[a:b].astype(np.int32)) for a, b in zip(start, start[1:], strict=False)]
+        self.depth, self.root = settings.depth, (counts[first] + 1) / size
+        self.tree = Tree(distinct, np.arange(len(distinct)), self.root, len(distinct).bit_length(), settings)
+        self.packed = list(zip(names, rows["each"], rows["times"], rows["docs"], strict=True))
+        self.docs = [np.unique(self._docs(doc)) for *_, doc in self.packed]
+        self.gains = [np.zeros(len(d)) for d in self.docs]
+
+    @staticmethod
+    def _docs(packed: pa.Scalar) -> np.ndarray:
+        return np.cumsum(_unsqueezed(packed.as_py(), np.uint32), dtype=np.uint32)
+
+    def _tokens(self, context: tuple[int, ...], low: int = -1, high: int | None = None) -> Iterator[tuple]:
+        """Part by part: tokens (symbol, then the words before it) after a context whose next word back is in a range, how often they are learned, and their places among the part's documents."""
+        for (name, each, times, doc), docs in zip(self.packed, self.docs, strict=True):
+            tokens = name[_unsqueezed(each.as_py(), np.uint32)].reshape(self.depth + 1, -1)
+            mine = np.ones(tokens.shape[1], bool)
+            for d, word in enumerate(context):
+                mine &= tokens[d + 1] == word
+            if high is not None:
+                mine &= (tokens[len(context) + 1] >= low) & (tokens[len(context) + 1] < high)
+            mine = np.flatnonzero(mine)
+            yield tokens[:, mine], _unsqueezed(times.as_py(), np.uint32)[mine], np.searchsorted(docs, self._docs(doc)[mine])
+
+    def _add(self, part: int, place: np.ndarray, p: np.ndarray, symbol: np.ndarray) -> None:
+        self.gains[part] += np.bincount(place, np.log10(p / self.root[symbol]), len(self.docs[part]))
+
+    def score(self, context: tuple[int, ...] = (), p: np.ndarray | None = None) -> None:
+        """Adds the gains of all tokens after a context that is a state with these probabilities by symbol (none: the root)."""
+        p, depth = self.root if p is None else p, len(context) + 1
+        met = np.zeros(len(self.root) + 1, np.int64)
+        for tokens, _, _ in self._tokens(context):
+            met += np.bincount(tokens[depth] + 1, minlength=len(met))
+        ends, low = np.concatenate(([0], np.cumsum(met))), 0
+        while low < len(met):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + CHUNK_TOKENS, "right")) - 1)
+            if ends[high] - ends[low] > CHUNK_TOKENS:
+                self._crowd(context, low - 1, p)
+            elif ends[high] > ends[low]:
+                self._few(context, low - 1, high - 1, p, int(ends[high] - ends[low]))
+            low = high
+
+    def _few(self, context: tuple[int, ...], low: int, high: int, p: np.ndarray, total: int) -> None:
+        """Tokens after a context by ranges of the word before it: contexts of all depths are grown at once."""
+        past, times, places, at = np.empty((self.depth + 1, total), np.int32), np.empty(total, np.uint32), [], 0
+        for tokens, own, place in self._tokens(context, low, high):
+            past[:, at : at + len(place)], times[at : at + len(place)] = tokens, own
+            places.append(place)
+            at += len(place)
+        found, at = self.tree.learn(past, times, len(context) + 1, p), 0
+        for part, place in enumerate(places):
+            self._add(part, place, found[at : at + len(place)], past[0, at : at + len(place)])
+            at += len(place)
+
+    def _crowd(self, context: tuple[int, ...], word: int, p: np.ndarray) -> None:
+        """Tokens after one context with one more word that are too many to hold: its counts by symbol tell whether it is a state."""
+        if word >= 0:
+            count = np.zeros(len(self.root))
+            for tokens, times, _ in self._tokens(context, word, word + 1):
+                count += np.bincount(tokens[0], times, len(count))
+            seen = np.flatnonzero(count)
+            state, weight, _, shares = self.tree.grown(np.zeros(len(seen), np.int64), seen, count[seen].astype(np.int64), p[seen]) if len(seen) else ((), (), (), ())
+            if len(state):
+                p = weight[0] * p
+                p[seen] += shares
+                if len(context) + 1 < self.depth:
+                    return self.score((*context, word), p)
+        for part, (tokens, _, place) in enumerate(self._tokens(context, word, word + 1)):
+            self._add(part, place, p[tokens[0]], tokens[0])
 
 
 def _tree_task(table: pa.Table, settings: Settings, size: int) -> pa.Table:
     """What this bucket's contexts add to the score of each part's documents (kind 6): sum of log10 P(word | state) / P0(word);
-    documents (kind 5) pass. size: tokens and distinct words of the training texts, and one. Tokens stay packed, and are unpacked
-    by ranges of the word before them, few at a time."""
+    documents (kind 5) pass. size: tokens and distinct words of the training texts, and one."""
     kinds = table["kind"].to_numpy()
-    asked = table.filter(pa.array(kinds == 4))
     out = [table.filter(pa.array(kinds == 5))]
+    asked = table.filter(pa.array(kinds == 4)) if (kinds == 5).any() else table  # a filter copies
     if asked.num_rows:
-        words = [np.cumsum(_unsqueezed(x, np.int64)) for x in asked["words"].to_pylist()]
-        counts = np.concatenate([_unsqueezed(x, np.int64) for x in asked["trained"].to_pylist()])
-        distinct, first, back = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
-        start = np.cumsum([0, *map(len, words)])
-        names = [np.append(np.int32(-1), back[a:b].astype(np.int32)) for a, b in zip(start, start[1:], strict=False)]
-        root = (counts[first] + 1) / size
-        tree = Tree(distinct, np.arange(len(distinct)), root, len(distinct).bit_length(), settings)
-        packed = list(zip(names, asked["each"], asked["times"], asked["docs"], strict=True))
-        past_of = lambda name, each: name[_unsqueezed(each.as_py(), np.uint32)].reshape(settings.depth + 1, -1)
-        met, docs, keys = np.zeros(len(distinct), np.int64), [], []
-        for name, each, _, doc in packed:
-            met += np.bincount(past_of(name, each)[1], minlength=len(distinct))
-            docs.append(np.unique(np.cumsum(_unsqueezed(doc.as_py(), np.uint32), dtype=np.uint32)))
-            keys.append(np.zeros(len(docs[-1])))
-        ends, low = np.cumsum(met), 0
-        while low < len(distinct):
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK_TOKENS, "right")))
-            total = int(ends[high - 1] - (ends[low - 1] if low else 0))
-            past, times, owners, at = np.empty((settings.depth + 1, total), np.int32), np.empty(total, np.uint32), [], 0
-            for name, each, own, doc in packed:
-                tokens = past_of(name, each)
-                mine = np.flatnonzero((tokens[1] >= low) & (tokens[1] < high))
-                past[:, at : at + len(mine)] = tokens[:, mine]
-                del tokens
-                times[at : at + len(mine)] = _unsqueezed(own.as_py(), np.uint32)[mine]
-                owners.append(np.cumsum(_unsqueezed(doc.as_py(), np.uint32), dtype=np.uint32)[mine])
-                at += len(mine)
-            gain = tree.learn(past, times)
-            gain /= root[past[0]]
-            np.log10(gain, out=gain)
-            del past, times
-            at = 0
-            for own, doc, key in zip(owners, docs, keys, strict=True):
-                key += np.bincount(np.searchsorted(doc, own), gain[at : at + len(own)], len(doc))
-                at += len(own)
-            low = high
+        bucket = Bucket(asked, settings, size)
+        bucket.score()
         k = asked.num_rows
-        out.append(pa.Table.from_batches([_mixed(k, kind=[6] * k, bucket=asked["bucket"].combine_chunks(), part=asked["part"].combine_chunks(), docs=[_squeezed(d) for d in docs], keys=[x.tobytes() for x in keys])]))
+        out.append(pa.Table.from_batches([_mixed(k, kind=[6] * k, bucket=asked["bucket"].combine_chunks(), part=asked["part"].combine_chunks(), docs=[_squeezed(d) for d in bucket.docs], keys=[x.tobytes() for x in bucket.gains])]))
         release()
     return pa.concat_tables(out)
 
@@ -423,7 +442,8 @@ def suffix_tree_scores(docs: DataFrame, trained: str = "trained", settings: Sett
     gives no rows. Words are held as 64-bit hashes. Other columns are not read.
 
     Words and contexts are as many as the corpus has: a context stays by a fixed count, and
-    the tree is never in one place. All contexts that end in one word share a bucket. Tasks
+    the tree is never in one place. All contexts that end in one word share a bucket, whose
+    task holds its tokens packed and works on a bounded number of them at a time. Tasks
     write a file a part under the shared folder, which Arrow's file systems must open.
     """
     settings, spark = settings or Settings(), docs.sparkSession

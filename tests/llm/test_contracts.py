@@ -427,6 +427,30 @@ def test_suffix_tree_scores_against_brute_force(spark, settings):
     assert found == sorted((r[0], round(x, 7)) for r, x in zip(rows, expected))
 
 
+def test_suffix_tree_in_chunks_of_any_size(monkeypatch):
+    """A bucket's gains don't depend on how many tokens are held at a time, also where one context has more."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    parts = []
+    for _ in range(3):
+        n, words = 900, np.sort(rng.choice(200, 40, replace=False)).astype(np.int64)
+        symbols = np.minimum(rng.zipf(1.4, n + 3), 40).astype(np.uint32)  # from 1
+        past = np.stack([symbols[3 - d : n + 3 - d] for d in range(4)])
+        past[2, rng.random(n) < 0.1] = 0
+        docs = np.sort(rng.integers(0, 25, n)).astype(np.uint32)
+        packed = suffix_tree._squeezed
+        parts.append({"words": packed(np.diff(words, prepend=0)), "trained": packed(1 + words * 3), "docs": packed(np.diff(docs, prepend=np.uint32(0))), "times": packed((rng.random(n) < 0.8).astype(np.uint32)), "each": packed(past.ravel())})
+    rows, gains = pa.Table.from_pylist(parts), []
+    for size in (1_000_000, 400, 60, 7, 1):
+        monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", size)
+        bucket = suffix_tree.Bucket(rows, suffix_tree.Settings(), 30_000)
+        bucket.score()
+        gains.append(np.concatenate(bucket.gains))
+    assert gains[0].sum() > 100 and all(np.allclose(gains[0], g, rtol=1e-12, atol=1e-12) for g in gains[1:])
+
+
 def test_quality_scores_against_brute_force(spark):
     rows = [(i, t) for i, (_, t) in enumerate(PAIRS) if len(t or "") < 9000]
     labels = spark.createDataFrame([(i, 1) for i in range(0, 30, 2)] + [(1, 0)], "doc_id long, quality int")
