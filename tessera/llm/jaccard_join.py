@@ -29,7 +29,7 @@ SLOT_BITS, SLOT_ROWS = 22, 64
 #: Entries that a task gathers before it hands them to the buckets.
 FLUSH = 1_000_000
 #: Groups of a token's list that meet in one task; a longer list is joined in blocks.
-LIST_BLOCK = 1_000
+LIST_BLOCK = 4_000
 #: Counts of a slot, and how many times the mean one, from which its tokens' lists are dealt to several buckets.
 HOT_SLOT, HOT_TIMES = 100_000, 8
 #: Rounds in which every group meets one other of each list.
