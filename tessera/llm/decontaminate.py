@@ -24,7 +24,7 @@ from tessera.llm.plan import KEY, KEY_TYPE, keyed, record, release
 from tessera.llm.text import ALNUM, Words, chunks, column_bytes
 
 #: Words to a shard at most, but for a single longer document.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 #: Every so many positions of a shard keep their suffix position.
 SAMPLE = 8
 #: Bytes of benchmark text that are broadcast at a time; a larger benchmark goes in blocks, of which a task holds one.
