@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +76,7 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, key: str = "vec_id
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, name = place(folder)
-        paths = sorted(i.path for i in files.get_file_info(pa.fs.FileSelector(name)) if i.path.endswith(".parquet"))
+        paths = sorted(i.path for i in files.get_file_info(pafs.FileSelector(name)) if i.path.endswith(".parquet"))
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def search() -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import finite, n_rows
 from tessera.operators import contracts, features, structures
-from tessera.plans.registry import LONG, TRAIN, Tables, query
+from tessera.plans.registry import LONG, Tables, query
 
 r6 = lambda c: F.round(c, 6)
 
