@@ -15,12 +15,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.plan import KEY, KEY_TYPE, keyed, record, release
+from tessera.llm.plan import KEY, KEY_TYPE, keyed, record, release, small_batches
 from tessera.llm.text import ALNUM, Words, chunks, column_bytes
 
 #: Words to a shard at most, but for a single longer document.
@@ -232,7 +233,8 @@ class Shard:
         both = np.concatenate((symbol[fresh], np.full(len(n), _DOCUMENT)))[order]
         return FMIndex(np.append(both, _END), int(len(alphabet) + _FIRST).bit_length()), place[order] // 2, alphabet
 
-    def search(self, blocks: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+    def found(self, blocks: list[Broadcast]) -> tuple[np.ndarray, list[list], list[list]]:
+        """For each document its words, merged spans, and sorted item names."""
         n, hashes, start, end = (np.concatenate(c) for c in self.columns[2:])
         first = np.concatenate(([0], np.cumsum(n)))
         index, origin, alphabet = self.index(n, hashes, blocks)
@@ -264,7 +266,10 @@ class Shard:
             own = hit[first[d] : first[d + 1]]
             for a, b in np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0])))).reshape(-1, 2).tolist():
                 spans[d].append({"first": a, "last": b, "start": int(start[first[d] + a]), "end": int(end[first[d] + b - 1])})
-        names = [sorted(items.get(d, ())) for d in range(len(n))]
+        return n, spans, [sorted(items.get(d, ())) for d in range(len(n))]
+
+    def search(self, blocks: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+        n, spans, names = self.found(blocks)
         yield record(_SCHEMA, [pa.concat_arrays(self.columns[0]), pa.concat_arrays(self.columns[1]), n.astype(np.int64), spans, names])
 
 
@@ -333,24 +338,53 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def _clean_task(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(…, text, spans): texts without their spans."""
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            if text is not None and spans:
-                raw, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
-                for s in spans:
-                    kept.append(raw[at : s["start"]])
-                    at = s["end"]
-                text = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
-            texts.append(text)
-        yield record(schema, [*batch.columns[:-2], texts])
-
-
-def without_spans(rows: DataFrame, spans: str = "spans") -> DataFrame:
-    """rows (…, text, spans): the same rows with the spans cut out of text, and without that column."""
-    out = rows.drop(spans)
-    rows = rows.select(*[c for c in out.columns if c != "text"], "text", spans)
-    kept = rows.drop(spans).schema
-    return rows.mapInArrow(lambda it: _clean_task(it, to_arrow_schema(kept)), kept).select(*out.columns)
+def without_spans(text: str, spans: list[dict]) -> str:
+    """A text with byte spans cut out."""
+    raw, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
+    for s in spans:
+        kept.append(raw[at : s["start"]])
+        at = s["end"]
+    return b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of documents with benchmark passages cut out of their texts; n_chars follows a changed text.
+
+    The task that finds the spans in a shard cuts them, so no text travels. Null and empty
+    texts, and all texts under an empty benchmark, stay as they are; repeated rows all stay;
+    an empty table gives no rows; further columns, of any name, pass through.
+    """
+    blocks = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark, window)]
+    schema, names = to_arrow_schema(docs.schema), [c.lower() for c in docs.columns]
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def cleaned(shard: Shard, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, spans, _ = shard.found(blocks)
+        first = 0
+        for part in parts:
+            own, columns = spans[first : first + part.num_rows], list(part.columns)
+            first += part.num_rows
+            if any(own):
+                texts = [without_spans(columns[at][i].as_py(), s) if s else None for i, s in enumerate(own)]
+                changed = pa.array([bool(s) for s in own])
+                columns[at] = pc.if_else(changed, pa.array(texts, columns[at].type), columns[at])
+                if size is not None:
+                    columns[size] = pc.if_else(changed, pa.array([len(t or "") for t in texts], columns[size].type), columns[size])
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts = Shard(), []
+        for batch in batches:
+            for part in chunks(batch, batch.schema.names[at]):
+                parts.append(part)
+                nothing = pa.nulls(part.num_rows)
+                shard.add(pa.RecordBatch.from_arrays([nothing, nothing, part.column(at)], names=["key", "doc_id", "text"]))
+                if shard.words >= SHARD_WORDS:
+                    yield from cleaned(shard, parts)
+                    shard, parts = Shard(), []
+        if parts:
+            yield from cleaned(shard, parts)
+        release()
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(task, docs.schema)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.decontaminate import benchmark_hits, without_spans
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.plan import row_key
 
@@ -30,19 +29,3 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     stay = found.filter("n_shingles > 0 AND key = first_key").select(F.col("key").alias(key)).distinct()
     rest = docs.filter(~wordless).withColumn(key, row_key("doc_id", "text")).join(stay, key, "left_semi").dropDuplicates([key]).drop(key)
     return rest.unionByName(docs.filter(wordless))
-
-
-def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows with benchmark passages cut out of their texts; n_chars follows a changed text.
-
-    Null and empty texts, and all texts under an empty benchmark, stay as they are; repeated
-    rows all stay; an empty table gives no rows; further columns, of any name, pass through.
-    """
-    key, spans = _free(docs, "row_key"), _free(docs, "row_spans")
-    hits = benchmark_hits(docs, benchmark).filter(F.size("spans") > 0).select(F.col("key").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
-    joined = docs.withColumn(key, row_key("doc_id", "text")).join(hits, key, "left")
-    cut = without_spans(joined.filter(F.col(spans).isNotNull()).drop(key), spans)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    clean = joined.filter(F.col(spans).isNull()).drop(key, spans)
-    return clean.unionByName(cut).select(*docs.columns)

@@ -322,8 +322,15 @@ def test_stages_keep_columns(docs):
     assert kept.count() - len(least) == sum(not own for own in sets)
     assert stages.one_of_each_class(kept).count() == kept.count()
     bench = docs.sparkSession.createDataFrame(data.benchmark(DOCS), "item_id long, text string")
-    clean = stages.without_benchmark(docs, bench)
+    clean = decontaminate.clean_documents(docs, bench)
     assert clean.columns == docs.columns and clean.count() == len(DOCS)
+    hits = {(r["doc_id"], r["n_words"]): r["spans"] for r in decontaminate.benchmark_hits(docs, bench).collect()}
+    before, after = ({repr((r["doc_id"], r["text"])): r for r in d.collect()} for d in (docs, clean))
+    for r in docs.select("doc_id", "text", "n_chars").distinct().collect():
+        spans = hits[r["doc_id"], len(brute.ALNUM.findall(brute.fold(r["text"] or "")))]
+        wanted = decontaminate.without_spans(r["text"], spans) if spans else r["text"]
+        assert after[repr((r["doc_id"], wanted))]["n_chars"] == (len(wanted) if spans else r["n_chars"])
+    assert len(before) == len(after) and any(hits.values())
     assert decontaminate.benchmark_hits(clean, bench.filter("item_id = 1")).filter(F.size("spans") > 0).count() == 0
     masked = pii.masked_documents(docs)
     assert masked.columns == docs.columns and masked.filter("text LIKE '%<EMAIL>%'").count() == 1
