@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cotraining, pieces, pii, stages
+from tessera.llm import cotraining, decontaminate, pieces, pii, stages
 from tessera.llm.plan import materialise
 from tessera.llm.queries import table, tokenizer_file
 
@@ -40,7 +40,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and an empty benchmark change nothing, repeated rows all stay, an
     empty table gives no rows, and further columns pass through; n_chars follows the text.
     """
-    return stages.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
