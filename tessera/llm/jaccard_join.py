@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.filters import contains, member_filter, pack, unpack
 from tessera.llm.graph import components, spread_join
-from tessera.llm.plan import KEY, KEY_TYPE, bucket_count, join_blobs, key_arrays, keyed, materialise, record, release
+from tessera.llm.plan import KEY, KEY_TYPE, bucket_count, forget, join_blobs, key_arrays, keyed, materialise, record, release
 from tessera.llm.text import Words, chunks, column_bytes, mix, shingles
 
 #: Slots of the table that orders shingles by how common they are, and rows it travels in.
@@ -290,6 +290,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     mixed = rows.mapInArrow(lambda it: _prefix_task(it, levels, width, percent, buckets, most), _MIXED)
     mixed = materialise(mixed.groupBy("bucket").applyInArrow(lambda t: _bucket_task(t, percent, buckets, most, block_size), _MIXED), "prefixes")
 
+    forget(spark)
     documents = mixed.filter("kind = 0").select("key", "doc_id", "n", "cid", "cid2", "gkey", "vec")
     lists = mixed.filter("kind = 1").select("token", "gkey", "place", "block", "blocks")
     # Classes are documents of one set; each gets a number.
@@ -341,6 +342,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         found = verified(ordered(pairs))
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
+        forget(spark)
     # Then whatever pairs still cross classes meet, in lists, block by block, and within groups.
     inner = spread_join(members, groups.filter("size > 1").select("gkey", "size", F.col("size").alias("times")), ["gkey"], "times", n_classes)
     cuts = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
@@ -354,6 +356,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     right = side(rows_.select("*", spread("other")), "b", F.col("other").alias("x"), F.col("block").alias("y")).filter("x <= y")
     cross = left.join(right, ["token", "x", "y"]).filter(f"(x < y OR a < b) AND ra <> rb AND {fits}").select("a", "b")
     roots = components(edges.union(verified(ordered(cross))))
+    forget(spark)
 
     numbered = rooted(classes.select("cid", "cid2", "c", "times"), roots).select("cid", "cid2", "root", "times")
     placed = spread_join(documents.filter("n > 0").select("key", "doc_id", "n", "cid", "cid2"), numbered, ["cid", "cid2"], "times", total).select("key", "doc_id", "n", "root")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import sys
 from collections.abc import Callable, Iterable
@@ -67,6 +68,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now: its cleaner acts when the driver has collected garbage, which else may take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Gives the memory of a finished task back: workers stay for the next one."""
     pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.filters import pack, unpack
-from tessera.llm.plan import KEY, bucket_count, key_arrays, key_column, materialise, record, release, row_key, small_batches
+from tessera.llm.plan import KEY, bucket_count, forget, key_arrays, key_column, materialise, record, release, row_key, small_batches
 from tessera.llm.sst import open_file, write_file
 from tessera.llm.text import Words, chunks, column_bytes, mix
 from tessera.session import new_folder
@@ -455,6 +455,7 @@ def suffix_tree_scores(docs: DataFrame, trained: str = "trained", settings: Sett
     mixed = materialise(mixed.groupBy("bucket").applyInArrow(lambda t: _bucket_task(t, buckets), _MIXED), "words")
     total = mixed.filter("kind = 3").select("tokens").mapInArrow(_totals_task, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
+    forget(spark)
 
     parts = mixed.filter("kind = 2").groupBy("part").applyInArrow(lambda t: _part_task(t, settings, buckets, folder), _MIXED)
     gains = parts.groupBy("bucket").applyInArrow(lambda t: _tree_task(t, settings, n + v + 1), _MIXED)
