@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cotraining, decontaminate, pieces, pii, quality_rules, sst, substring_dedup, suffix_tree, whole_token
+from tessera.llm import cotraining, decontaminate, mixing, pieces, pii, prefix_trie, quality_rules, resampling, sst, substring_dedup, suffix_tree, whole_token
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.oracles import ORACLE_SQL  # noqa: F401  (read by __spark_entry__)
 
@@ -68,5 +68,18 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
 
 
-_ALL = (op1_weak_supervision, op2_whole_token_counts, op3_log_ratio_rules, op4_piece_viterbi, op5_sorted_string_tables, op6_suffix_tree_scores, op7_seed_and_extend, op8_fm_index, op9_ngram_jaccard_join, op10_cotraining)
+def op11_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (op1_weak_supervision, op2_whole_token_counts, op3_log_ratio_rules, op4_piece_viterbi, op5_sorted_string_tables, op6_suffix_tree_scores, op7_seed_and_extend, op8_fm_index, op9_ngram_jaccard_join, op10_cotraining, op11_multinomial_mix, op12_prefix_trie, op13_importance_resampling)
 QUERIES = {f.__name__: f for f in _ALL}
