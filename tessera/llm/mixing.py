@@ -102,8 +102,9 @@ def quotas(sources: DataFrame, block: int, seed: int) -> DataFrame:
     where these are used up. The last block has short words less than the others and comes
     at place short_at of that round.
     """
-    taken = F.floor("target").cast("long")
-    found = sources.filter("source_size > 0").withColumns({"taken": taken, "n_blocks": F.ceil(F.col("source_size") / block).cast("long")})
+    # Sources without words pass through all expressions (as if of one word) until the last filter.
+    size = F.greatest(F.col("source_size"), F.lit(1))
+    found = sources.withColumns({"source_size": size, "taken": F.floor("target").cast("long")}).withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
     found = found.withColumns({"whole": F.expr("taken div source_size"), "rest": F.col("taken") % F.col("source_size"), "short": F.col("n_blocks") * block - F.col("source_size")})
     found = found.withColumn("short_at", permuted(F.col("n_blocks") - 1, F.col("n_blocks"), [F.col("source_id"), F.col("whole")], seed, back=True))
     found = found.withColumn("reach", F.when(F.col("rest") > F.col("short_at") * block, F.col("rest") + F.col("short")).otherwise(F.col("rest")))

@@ -237,3 +237,73 @@ def cotraining(rows: list[tuple], sample, rounds: int) -> list[tuple[float, floa
     sigmoid = lambda x: 1 / (1 + math.exp(-x))
     odds = {v: [calibration[v][0] * x + calibration[v][1] for x in score[v]] for v in views}
     return [(sigmoid(a), sigmoid(b), sigmoid(a + b - prior)) for a, b in zip(odds["text"], odds["meta"])]
+
+
+def water_level(sizes: dict, weights=(1, 2, 3), most: int = 3) -> dict:
+    """The target of each source: shares by weight, stopped at most times its size, the excess shared anew until none is above."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, target = float(sum(sizes.values())), set(order), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        above = {s for s in open_ if weight[s] * level >= most * sizes[s]}
+        if not above:
+            return target | {s: weight[s] * level for s in open_}
+        for s in above:
+            target[s] = float(most * sizes[s])
+            left -= target[s]
+        open_ -= above
+    return target
+
+
+def trie(rows: list[tuple]) -> list[tuple]:
+    """Sorted nodes of the rebuilt conversations of (conv_id, turn, role, text)."""
+    convs: dict = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs.setdefault(c, []).append(((turn is not None, turn or 0), (role or "", text or "")))
+    own = {c: [t for _, t in sorted(v, key=lambda x: x[0])] for c, v in convs.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = (*own.get(c - int(math.fmod(c, 5)), [])[:h], *turns[h:])
+    members: dict = {}
+    for c, path in built.items():
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1].encode()) if p else 0
+    out = []
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if len(built[c]) == len(p))
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def resampled(rows: list[tuple], target: list, width: int = 1, buckets: int = 10_000, least: int = 20, percent: int = 10) -> list[tuple]:
+    """Sorted (doc_id, n_features, weight, score, rank)."""
+
+    def features(text: str | None) -> tuple[int, list[str]]:
+        w = ALNUM.findall(fold(text or ""))
+        return len(w), [" ".join(w[i : i + n]) for n in range(1, width + 1) for i in range(len(w) - n + 1)]
+
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    texts = [(d, *features(t)) for d, t in rows]
+    s, t = Counter(bucket(f) for *_, fs in texts for f in fs), Counter(bucket(f) for x in target for f in features(x)[1])
+    all_s, all_t = float(sum(s.values())), float(sum(t.values()))
+    out = []
+    for d, n, fs in texts:
+        weight = sum(math.floor(1000 * math.log((t[b] + 1.0) * (all_s + buckets) / ((s[b] + 1.0) * (all_t + buckets)))) for b in map(bucket, fs))
+        h = int(hashlib.sha256(f"2024:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        out.append([d, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    able = sorted((r for r in out if r[5] >= least), key=lambda r: (-r[3], r[0] is not None, r[0] or 0))
+    for place, r in enumerate(able[: len(able) * percent // 100], 1):
+        r[4] = place
+    return sorted((tuple(r[:5]) for r in out), key=repr)
