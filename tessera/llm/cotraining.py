@@ -1,12 +1,14 @@
 """Quality classification by co-training two views of a document.
 
-One classifier sees the text (hashed byte n-grams), the other the metadata (source,
-language, size). Each round every document of the corpus is read: where one view is
-confident, its verdict counts as a label for the other view's next model. How confident it
-has to be, held-out labels tell: the verdicts beyond the cut must be right often enough.
+One classifier sees the text (hashed byte n-grams, and its shape: how much of it are
+symbols, capitals, digits, repeated words and lines), the other the metadata (source,
+language, size). Each round every document of the corpus is read: the share of documents
+that a view is surest are good, and the share that it is surest are bad, become labels for
+the other view's next model. Such a label counts for both classes, by the view's calibrated
+probabilities, so that a view which can't tell bad from good does not mislead the other.
 Both models are multinomials with additive counts, so a round is one pass that sums tables
-of fixed size. Each view is calibrated on the held-out labels, and the calibrated log-odds
-are combined into one probability for every document.
+of fixed size. Each view is calibrated on held-out labels, and the calibrated log-odds are
+combined into one probability for every document.
 """
 
 from __future__ import annotations
@@ -23,18 +25,22 @@ from pyspark.sql import functions as F
 
 from tessera.llm.ngrams import BITS, slots, summed, text_means
 from tessera.llm.plan import KEY, KEY_TYPE, record, release, row_key, small_batches
-from tessera.llm.text import chunks, column_bytes
+from tessera.llm.text import Words, chunks, column_bytes
 
 #: Labelled rows at most, of each class, that models start from and calibration uses, by a hash of their id.
 LABELLED_ROWS = 20_000
 #: Bits of a hashed metadata value.
 META_BITS = 12
-#: Of the labelled rows one in so many, by a hash of the id, is held out for calibration and cuts.
+#: Of the labelled rows of each class one in so many, by a hash of the id, is held out for calibration and cuts.
 HELD_OUT = 4
-#: Rounds of exchange, the largest share of a class that a view may label in one, how often its verdicts must be right, and on how many held-out rows that has to show.
-ROUNDS, EXCHANGED, TRUSTED, LEAST_ROWS = 2, 0.2, 0.9, 10
+#: Rounds of exchange, the share of each class that a view labels in one, and the parts that a label is dealt to the classes in.
+ROUNDS, EXCHANGED, PARTS = 2, 0.2, 8
 #: Documents whose combined probability of good quality is below this are rejected.
-REJECT_BELOW = 0.1
+REJECT_BELOW = 0.5
+#: Shapes of a text, the steps that each is cut into, and the bits of a size class that goes with them.
+SHAPES, LEVELS = 7, 32
+#: Signs that prose has few of.
+SYMBOLS = b"#*$%&|<>!{}[]=_~^\\/@+"
 
 
 def metadata_slots(part: pa.RecordBatch) -> np.ndarray:
@@ -53,50 +59,94 @@ def metadata_slots(part: pa.RecordBatch) -> np.ndarray:
     return np.array([slots_of(r) for r in rows], np.int64).reshape(part.num_rows, 4)
 
 
+def shape_slots(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """SHAPES slots of each text: the level of a share, or of a mean on a logarithmic scale, with the text's size class."""
+    words = Words(raw, offsets)
+    n_bytes, n_words = np.diff(offsets), words.counts()
+    owner = words.owner()
+
+    def share(hit: np.ndarray, of: np.ndarray) -> np.ndarray:
+        count = np.concatenate(([0], np.cumsum(hit)))
+        return (count[offsets[1:]] - count[offsets[:-1]]) / np.maximum(of, 1)
+
+    upper, lower = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122)
+    count = np.concatenate(([0], np.cumsum(upper | lower)))
+    letters = count[offsets[1:]] - count[offsets[:-1]]
+    symbol = np.zeros(256, bool)
+    symbol[list(SYMBOLS)] = True
+    lines = np.concatenate(([0], np.cumsum(raw == 10)))
+    n_lines = lines[offsets[1:]] - lines[offsets[:-1]] + 1
+    line_of = lines[words.start]  # one number a line of all texts, as a text's last line is followed by another owner
+    new = np.ones(len(owner), bool)
+    new[1:] = (line_of[1:] != line_of[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    width = np.diff(np.append(first, len(owner)))
+    distinct = lambda who, what: np.bincount(np.unique(np.stack((who.astype(np.uint64), what)), axis=1)[0].astype(np.int64), minlength=len(n_words)) if len(who) else np.zeros(len(n_words), np.int64)
+    line_hash = words.runs(first, width) if len(first) else np.zeros(0, np.uint64)
+    full_lines = np.bincount(owner[first], minlength=len(n_words)) if len(first) else np.zeros(len(n_words), np.int64)
+    pairs, pair_hash = words.windows(2)
+    scaled = lambda x: np.sqrt(np.clip(x, 0, 1))  # noqa: E731  finer near 0
+    values = np.stack([
+        scaled(share(symbol[raw], n_bytes)), scaled(share(upper, letters)), scaled(share((raw >= 48) & (raw <= 57), n_bytes)),
+        distinct(owner, words.hashes) / np.maximum(n_words, 1), distinct(owner[pairs], pair_hash) / np.maximum(n_words - 1, 1),
+        distinct(owner[first], line_hash) / np.maximum(full_lines, 1), np.log2(1 + n_words / n_lines) / 12,
+    ], 1)
+    level = np.minimum((values * (LEVELS - 1) + 0.5).astype(np.int64), LEVELS - 1)
+    size = np.minimum(np.log2(1 + n_words).astype(np.int64) // 2, 7)
+    return (np.arange(SHAPES) * 8 + size[:, None]) * LEVELS + level
+
+
 @dataclass
 class Views:
-    """Log ratios good / bad by slot, and for each view the calibration (slope, offset) of its mean ratio and the mean
-    ratios below and above which it labels for the other view."""
+    """Log ratios good / bad by slot of n-grams, shapes and metadata; for each view the calibration of its scores (a slope each, and
+    an offset), and the log-odds below and above which it labels for the other view."""
 
     text: np.ndarray
+    shape: np.ndarray
     meta: np.ndarray
-    calibration: dict[str, tuple[float, float]] = field(default_factory=lambda: {"text": (1.0, 0.0), "meta": (1.0, 0.0)})
+    calibration: dict[str, np.ndarray] = field(default_factory=lambda: {"text": np.array([1.0, 0.0, 0.0]), "meta": np.array([1.0, 0.0])})
     cuts: dict[str, tuple[float, float]] = field(default_factory=lambda: {"text": (-np.inf, np.inf), "meta": (-np.inf, np.inf)})
     prior: float = 0.0
 
-    def scores(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Mean ratios of both views, then the text's slots and offsets and the metadata slots."""
-        slot, offsets = slots(*column_bytes(part.column(1)))
-        meta = metadata_slots(part)
-        return text_means(self.text[slot], offsets), self.meta[meta].mean(1) if len(meta) else np.zeros(0), slot, offsets, meta
+    @staticmethod
+    def places(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The text's slots and offsets, its shape slots and the metadata slots."""
+        raw, offsets = column_bytes(part.column(1))
+        return *slots(raw, offsets), shape_slots(raw, offsets), metadata_slots(part)
+
+    def scores(self, slot: np.ndarray, offsets: np.ndarray, shape: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean ratio of the text's n-grams, and the sums of ratios of its shape and of its metadata."""
+        return text_means(self.text[slot], offsets), self.shape[shape].sum(1), self.meta[meta].sum(1)
 
-    def odds(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        (a, b), (c, d) = self.calibration["text"], self.calibration["meta"]
-        return a * text + b, c * meta + d
+    def odds(self, text: np.ndarray, shape: np.ndarray, meta: np.ndarray) -> dict[str, np.ndarray]:
+        """Log-odds of good quality of both views."""
+        (a, b, c), (d, e) = self.calibration["text"], self.calibration["meta"]
+        return {"text": a * text + b * shape + c, "meta": d * meta + e}
 
-    def combined(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    def combined(self, odds: dict[str, np.ndarray]) -> np.ndarray:
         """Probability of good quality: both views' log-odds without counting the prior twice."""
-        one, two = self.odds(text, meta)
-        return 1 / (1 + np.exp(-np.clip(one + two - self.prior, -50, 50)))
+        return probability(odds["text"] + odds["meta"] - self.prior)
 
-    def sure(self, view: str, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that a view labels good and bad."""
+    def sure(self, view: str, odds: np.ndarray) -> np.ndarray:
+        """Rows that a view labels."""
         low, high = self.cuts[view]
-        return score > high, score < low
+        return (odds >= high) | (odds <= low)
+
+
+def probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def trusted_cut(score: np.ndarray, right: np.ndarray, weight: np.ndarray) -> float:
-    """The least score above which verdicts are right in at least TRUSTED of the weight and make up at most EXCHANGED of the
-    weight of the right rows; infinite if there is none with LEAST_ROWS rows above it. Equal scores stay together."""
-    if not len(score):
-        return np.inf
-    order = np.argsort(-score, kind="stable")
-    score, right, weight = score[order], right[order], weight[order]
-    total, hits = np.cumsum(weight), np.cumsum(weight * right)
-    last = np.flatnonzero(np.append(score[1:] != score[:-1], True))
-    last = last[(last + 1 >= LEAST_ROWS) & (last + 1 < len(score))]
-    fine = last[(hits[last] >= TRUSTED * total[last]) & (total[last] <= EXCHANGED * hits[-1])]
-    return float(score[fine[-1] + 1]) if len(fine) else np.inf
+def surest(odds: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Log-odds up to which, and from which on, a view labels: as much of the weight as EXCHANGED of each class; equal ones stay together, and none if all are equal."""
+    order = np.argsort(odds, kind="stable")
+    odds, weight = odds[order], weight[order]
+    if not len(odds) or odds[0] == odds[-1]:
+        return -np.inf, np.inf
+    share = float((weight * good[order]).sum() / weight.sum())
+    up, down = np.cumsum(weight) / weight.sum(), np.cumsum(weight[::-1]) / weight.sum()
+    low, high = odds[np.searchsorted(up, EXCHANGED * (1 - share))], odds[::-1][np.searchsorted(down, EXCHANGED * share)]
+    return (float(low), float(high)) if low < high else (-np.inf, np.inf)
 
 
 @dataclass
@@ -119,88 +169,119 @@ class Labels:
 
 
 def sample_labels(labels: DataFrame, most: int = LABELLED_ROWS) -> Labels:
-    """At most so many ids of each class; an id with both labels is left out."""
+    """At most so many ids of each class; an id with both labels is left out. Of two rows of a class or more, one at least is held out."""
     clear = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     sizes = {int(q): int(n) for q, n in clear.groupBy("low").count().collect()}
 
     def take(quality: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = clear.filter(F.col("low") == quality).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HELD_OUT)) == 0).alias("held")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
-        return tuple(np.array(sorted(d for d, held in rows if held == wanted), np.int64) for wanted in (False, True))
+        rows = clear.filter(F.col("low") == quality).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        ids, held = np.array([r[0] for r in rows], np.int64), np.arange(len(rows)) % HELD_OUT == 1
+        return np.sort(ids[~held]), np.sort(ids[held])
 
     total = sum(sizes.values())
     (good, held_good), (bad, held_bad) = take(1), take(0)
     return Labels(good, bad, held_good, held_bad, sizes.get(1, 0) / total if total else 0.5)
 
 
-_TEXT, _META = 2 << BITS, 2 << META_BITS
+#: Slots of n-grams, shapes and metadata, and where these lie in a table of counts, twice each: for good and bad.
+_SIZES = (1 << BITS, SHAPES * 8 * LEVELS, 1 << META_BITS)
+_TOTAL = 2 * sum(_SIZES)
+
+
+def _tables(total: np.ndarray) -> list[np.ndarray]:
+    at = np.cumsum((0, *(2 * n for n in _SIZES)))
+    return [total[a:b].reshape(2, -1) for a, b in zip(at, at[1:], strict=False)]
 
 
 def _count_task(batches: Iterator[pa.RecordBatch], labels: Broadcast, views: Broadcast | None) -> Iterator[np.ndarray]:
-    """Counts by class for both views: labelled rows, and from the second round rows of which the other view is sure; held-out ones never count."""
-    total = np.zeros(_TEXT + _META, np.int64)
-    text, meta = total[:_TEXT].reshape(2, -1), total[_TEXT:].reshape(2, -1)
+    """Counts by class for both views, in PARTS: labelled rows, and from the second round rows of which the other view is sure; held-out ones never count."""
+    total = np.zeros(_TOTAL, np.int64)
+    text, shapes, metas = _tables(total)
     for batch in batches:
         for part in chunks(batch, limit=4 << 20):
-            labelled = labels.value.of(part)
-            if views is None:
-                _, _, slot, offsets, places = Views(np.zeros(1 << BITS), np.zeros(1 << META_BITS)).scores(part)
-                for_text, for_meta = labelled, labelled
+            good, bad = labels.value.of(part)
+            weight = np.where(good, PARTS, 0)
+            known = {"text": (good | bad, weight), "meta": (good | bad, weight)}
+            if views is None:  # only labelled rows count
+                part = part.filter(pa.array(good | bad))
+                known = {v: (np.ones(part.num_rows, bool), weight[good | bad]) for v in known}
+                slot, offsets, shape, meta = Views.places(part)
             else:
-                by_text, by_meta, slot, offsets, places = views.value.scores(part)
-                open_ = ~(labelled[0] | labelled[1] | labels.value.held(part))
-                for_text = tuple(x | (open_ & y) for x, y in zip(labelled, views.value.sure("meta", by_meta), strict=True))
-                for_meta = tuple(x | (open_ & y) for x, y in zip(labelled, views.value.sure("text", by_text), strict=True))
+                slot, offsets, shape, meta = views.value.places(part)
+                odds = views.value.odds(*views.value.scores(slot, offsets, shape, meta))
+                open_ = ~(good | bad | labels.value.held(part))
+                for view, other in (("text", "meta"), ("meta", "text")):
+                    told = open_ & views.value.sure(other, odds[other])
+                    known[view] = (good | bad | told, np.where(told, np.rint(probability(odds[other]) * PARTS).astype(np.int64), weight))
             for k in range(2):
-                text[k] += np.bincount(slot[np.repeat(for_text[k], np.diff(offsets))], minlength=1 << BITS)
-                meta[k] += np.bincount(places[for_meta[k]].ravel(), minlength=1 << META_BITS)
+                for_text, for_meta = (np.where(chosen, parts if k == 0 else PARTS - parts, 0) for chosen, parts in known.values())
+                for p in np.unique(for_text[for_text > 0]):
+                    mine = for_text == p
+                    text[k] += int(p) * np.bincount(slot[np.repeat(mine, np.diff(offsets))], minlength=_SIZES[0])
+                    shapes[k] += int(p) * np.bincount(shape[mine].ravel(), minlength=_SIZES[1])
+                for p in np.unique(for_meta[for_meta > 0]):
+                    metas[k] += int(p) * np.bincount(meta[for_meta == p].ravel(), minlength=_SIZES[2])
     if total.any():
         yield total
     release()
 
 
 def _ratios(counts: np.ndarray) -> np.ndarray:
-    share = np.log((counts + 1) / (counts.sum(1, keepdims=True) + counts.shape[1]))
+    """Log ratios good / bad of smoothed shares; all 0 unless there are counts of both classes."""
+    if not counts.any(1).all():
+        return np.zeros(counts.shape[1])
+    share = np.log((counts / PARTS + 1) / (counts.sum(1, keepdims=True) / PARTS + counts.shape[1]))
     return share[0] - share[1]
 
 
-_SCORES = "doc_id long, text_score double, meta_score double"
-_SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64())])
+_SCORES = "doc_id long, text long, key_a long, n_gram double, shape double, meta double"
+_SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("key_a", pa.int64()), ("n_gram", pa.float64()), ("shape", pa.float64()), ("meta", pa.float64())])
 
 
 def _held_task(batches: Iterator[pa.RecordBatch], labels: Broadcast, views: Broadcast) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         mine = batch.filter(pa.array(labels.value.held(batch)))
         for part in chunks(mine, limit=4 << 20):
-            text, meta, *_ = views.value.scores(part)
-            yield record(_SCORE_SCHEMA, [part.column(0), text, meta])
+            size = np.diff(column_bytes(part.column(1))[1])
+            yield record(_SCORE_SCHEMA, [part.column(0), size, part.column(5).field(0), *views.value.scores(*views.value.places(part))])
 
 
-def platt(score: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a weighted logistic fit by Newton steps, with a small ridge on the slope."""
-    scale = float(score.std()) or 1.0
-    x = np.stack((score / scale, np.ones(len(score))), 1)
-    w = np.zeros(2)
+def platt(scores: np.ndarray, good: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slopes (a column of scores each) and offset of a weighted logistic fit by Newton steps, with a small ridge on the slopes."""
+    scale = scores.std(0)
+    scale[scale == 0] = 1.0
+    x = np.column_stack((scores / scale, np.ones(len(scores))))
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-2)
+    ridge[-1] = 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (good - p)) - np.array([1e-2 * w[0], 0.0])
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-6]), gradient)
+        gradient = x.T @ (weight * (good - p)) - ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6), gradient)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1])
+    return np.append(w[:-1] / scale, w[-1])
 
 
 def _calibrate(views: Views, rows: DataFrame, labels: Labels, shared: Broadcast) -> Views:
-    """Fits both calibrations and cuts on the held-out sample (at most 2 * LABELLED_ROWS rows), weighted to the classes' true shares."""
+    """Fits both calibrations and cuts on the held-out sample (at most 2 * LABELLED_ROWS / HELD_OUT ids), weighted to the classes' true shares.
+
+    Of several rows of one id the one with the shortest text, then the least key, takes part. Without held-out
+    rows of both classes nothing can be told apart, and every view says nothing.
+    """
     current = rows.sparkSession.sparkContext.broadcast(views)
-    found = np.array([tuple(r) for r in rows.mapInArrow(lambda it: _held_task(it, shared, current), _SCORES).dropDuplicates(["doc_id"]).collect()], np.float64).reshape(-1, 3)
+    held = rows.mapInArrow(lambda it: _held_task(it, shared, current), _SCORES)
+    one = held.groupBy("doc_id").agg(F.min(F.struct("text", "key_a", "n_gram", "shape", "meta")).alias("r")).select("doc_id", "r.n_gram", "r.shape", "r.meta")
+    found = np.array(sorted(tuple(r) for r in one.collect()), np.float64).reshape(-1, 4)
     good = np.isin(found[:, 0].astype(np.int64), labels.held_good).astype(float)
-    if 0 < good.sum() < len(good):
-        weight = np.where(good > 0, labels.share / good.mean(), (1 - labels.share) / (1 - good.mean()))
-        for k, view in ((1, "text"), (2, "meta")):
-            views.calibration[view] = platt(found[:, k], good, weight)
-            views.cuts[view] = (-trusted_cut(-found[:, k], 1 - good, weight), trusted_cut(found[:, k], good, weight))
-        views.prior = float(np.log(max(labels.share, 1e-6) / max(1 - labels.share, 1e-6)))
+    if not 0 < good.sum() < len(good):
+        return Views(np.zeros(_SIZES[0]), np.zeros(_SIZES[1]), np.zeros(_SIZES[2]))
+    weight = np.where(good > 0, labels.share / good.mean(), (1 - labels.share) / (1 - good.mean()))
+    for view, columns in (("text", [1, 2]), ("meta", [3])):
+        views.calibration[view] = platt(found[:, columns], good, weight)
+    for view, odds in views.odds(*found[:, 1:].T).items():
+        views.cuts[view] = surest(odds, good, weight)
+    views.prior = float(np.log(labels.share / (1 - labels.share)))
     return views
 
 
@@ -212,9 +293,8 @@ def fit(rows: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Views:
     views: Views | None = None
     for _ in range(rounds + 1):
         current = None if views is None else context.broadcast(views)
-        counts = summed(rows, lambda it, current=current: _count_task(it, shared, current), _TEXT + _META)
-        views = Views(_ratios(counts[:_TEXT].reshape(2, -1)), _ratios(counts[_TEXT:].reshape(2, -1)))
-        views = _calibrate(views, rows, sample, shared)
+        counts = summed(rows, lambda it, current=current: _count_task(it, shared, current), _TOTAL)
+        views = _calibrate(Views(*map(_ratios, _tables(counts))), rows, sample, shared)
     return views
 
 
@@ -233,10 +313,9 @@ def _verdict_task(batches: Iterator[pa.RecordBatch], views: Broadcast, least: fl
     model = views.value
     for batch in batches:
         for part in chunks(batch, limit=4 << 20):
-            text, meta, *_ = model.scores(part)
-            one, two = (1 / (1 + np.exp(-np.clip(x, -50, 50))) for x in model.odds(text, meta))
-            both = model.combined(text, meta)
-            yield record(_VERDICT_SCHEMA, [part.column(5), part.column(0), one, two, both, both >= least])
+            odds = model.odds(*model.scores(*model.places(part)))
+            both = model.combined(odds)
+            yield record(_VERDICT_SCHEMA, [part.column(5), part.column(0), probability(odds["text"]), probability(odds["meta"]), both, both >= least])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, reject_below: float = REJECT_BELOW) -> DataFrame:
@@ -245,8 +324,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, r
     labels has doc_id and quality (1 good, 0 bad; others and nulls are ignored). kept is
     probability >= reject_below. A missing or null source, lang or n_chars is a value of its
     own; null and empty texts have no n-grams and stand at their view's offset; rows without
-    doc_id are never labelled; without labels of both classes nothing is learned and every
-    row is kept; repeated rows are each scored; an empty table gives no rows. Other columns
+    doc_id are never labelled; unless both classes have rows to learn from and rows held out
+    (two labelled rows of documents, in general), nothing is learned, all probabilities are a
+    half and every row is kept; repeated rows are each scored; an empty table gives no rows. Other columns
     are not read. At most LABELLED_ROWS labelled rows of each class take part, one in HELD_OUT
     of them for calibration only; the exchange and the verdicts cover all rows.
     """
@@ -271,7 +351,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             inputs = [pa.nulls(batch.num_rows) if i is None else batch.column(i) for i in wanted]
             view = pa.RecordBatch.from_arrays(inputs, names=["doc_id", "text", "source", "lang", "n_chars"])
-            keep = [views.value.combined(*views.value.scores(part)[:2]) >= REJECT_BELOW for part in chunks(view, limit=4 << 20)]
+            model = views.value
+            keep = [model.combined(model.odds(*model.scores(*model.places(part)))) >= REJECT_BELOW for part in chunks(view, limit=4 << 20)]
             kept = batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
             yield pa.RecordBatch.from_arrays(kept.columns, schema=schema)
 

@@ -39,10 +39,12 @@ def slots(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def text_means(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The mean of each text's values, 0 where it has none."""
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    n = np.diff(offsets)
-    return (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1)
+    """The mean of each text's values, 0 where it has none; it does not depend on the texts beside it."""
+    n, out = np.diff(offsets), np.zeros(len(offsets) - 1)
+    some = n > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, offsets[:-1][some], dtype=np.float64) / n[some]
+    return out
 
 
 _TABLE = "part int, counts binary"

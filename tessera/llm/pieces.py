@@ -306,7 +306,7 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
 def _encode_task(batches: Iterator[pa.RecordBatch], model: Broadcast, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     encoder, at = per_process("pieces", model, Encoder), None
     for batch in batches:
-        at = batch.schema.get_field_index("text") if at is None else at
+        at = [name.lower() for name in batch.schema.names].index("text") if at is None else at
         yield record(schema, [*batch.columns, [encoder.encode(t or "") for t in batch.column(at).to_pylist()]])
     release()
 

@@ -205,37 +205,57 @@ def cotraining(rows: list[tuple], sample, rounds: int) -> list[tuple[float, floa
     import numpy as np
     import xxhash
 
-    from tessera.llm.cotraining import META_BITS, platt, trusted_cut
+    from tessera.llm.cotraining import LEVELS, META_BITS, PARTS, SYMBOLS, platt, surest
 
-    views = ("text", "meta")
+    views = ("text", "shape", "meta")
     size = lambda n: None if n is None else int(math.log2(abs(n) + 1) * 2)
     meta = lambda s, g, n: [xxhash.xxh3_64_intdigest(repr(x)) & (1 << META_BITS) - 1 for x in ((0, s), (1, g), (2, n), (3, g, n))]
+
+    def shape(text: str | None) -> list[int]:
+        raw = (text or "").encode()
+        words = WORD.findall(fold(text or ""))
+        lines = [tuple(x) for x in (WORD.findall(fold(y)) for y in (text or "").split("\n")) if x]
+        letters = [c for c in raw if chr(c).isascii() and chr(c).isalpha()]
+        share = lambda n, of: math.sqrt(n / max(of, 1))
+        values = [
+            share(sum(c in SYMBOLS for c in raw), len(raw)), share(sum(chr(c).isupper() for c in letters), len(letters)), share(sum(48 <= c <= 57 for c in raw), len(raw)),
+            len(set(words)) / max(len(words), 1), len(set(zip(words, words[1:]))) / max(len(words) - 1, 1), len(set(lines)) / max(len(lines), 1), math.log2(1 + len(words) / ((text or "").count("\n") + 1)) / 12,
+        ]
+        group = min(int(math.log2(1 + len(words))) // 2, 7)
+        return [(k * 8 + group) * LEVELS + min(int(x * (LEVELS - 1) + 0.5), LEVELS - 1) for k, x in enumerate(values)]
+
     features = {
         "text": [[(int.from_bytes(r[i : i + 4], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 15 for i in range(len(r) - 3)] for r in ((t or "").encode() for _, t, *_ in rows)],
+        "shape": [shape(t) for _, t, *_ in rows],
         "meta": [meta(s, g, size(n)) for _, _, g, s, n in rows],
     }
-    slots = {"text": 1 << 17, "meta": 1 << META_BITS}
+    slots = {"text": 1 << 17, "shape": 7 * 8 * LEVELS, "meta": 1 << META_BITS}
     good, bad, held = set(sample.good.tolist()), set(sample.bad.tolist()), set(sample.held_good.tolist()) | set(sample.held_bad.tolist())
-    given = [1 if d in good else 0 if d in bad else None for d, *_ in rows]
+    given = [1.0 if d in good else 0.0 if d in bad else None for d, *_ in rows]
     known = [d in good or d in bad or d in held for d, *_ in rows]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
     marks = {v: given for v in views}
     for _ in range(rounds + 1):
-        score, calibration, cuts = {}, {}, {}
+        score, odds, sure = {}, {}, {}
         for v in views:
-            counts = [Counter(x for own, m in zip(features[v], marks[v]) if m == side for x in own) for side in (1, 0)]
+            counts = [Counter(), Counter()]
+            for own, m in zip(features[v], marks[v]):
+                for x in own if m is not None else ():
+                    counts[0][x] += m
+                    counts[1][x] += 1 - m
             totals = [sum(c.values()) + slots[v] for c in counts]
             ratio = lambda x, counts=counts, totals=totals: math.log((counts[0][x] + 1) / totals[0]) - math.log((counts[1][x] + 1) / totals[1])
-            score[v] = [sum(map(ratio, own)) / max(len(own), 1) for own in features[v]]
-            s = np.array([x for x, (d, *_) in zip(score[v], rows) if d in held])
-            y = np.array([float(d in set(sample.held_good.tolist())) for d, *_ in rows if d in held])
-            weight = np.where(y > 0, sample.share / y.mean(), (1 - sample.share) / (1 - y.mean()))
-            calibration[v] = platt(s, y, weight)
-            cuts[v] = (-trusted_cut(-s, 1 - y, weight), trusted_cut(s, y, weight))
-        sure = {v: [1 if x > cuts[v][1] else 0 if x < cuts[v][0] else None for x in score[v]] for v in views}
-        marks = {v: [m if k else o for m, k, o in zip(given, known, sure["meta" if v == "text" else "text"])] for v in views}
+            score[v] = [sum(map(ratio, own)) / (max(len(own), 1) if v == "text" else 1) for own in features[v]]
+        at = [i for i, (d, *_) in enumerate(rows) if d in held]
+        y = np.array([float(rows[i][0] in set(sample.held_good.tolist())) for i in at])
+        weight = np.where(y > 0, sample.share / y.mean(), (1 - sample.share) / (1 - y.mean()))
+        for v, parts in (("text", ("text", "shape")), ("meta", ("meta",))):
+            w = platt(np.array([[score[p][i] for p in parts] for i in at]), y, weight)
+            odds[v] = [sum(a * score[p][i] for a, p in zip(w, parts)) + w[-1] for i in range(len(rows))]
+            low, high = surest(np.array([odds[v][i] for i in at]), y, weight)
+            sure[v] = [round(sigmoid(x) * PARTS) / PARTS if x >= high or x <= low else None for x in odds[v]]
+        marks = {v: [m if k else o for m, k, o in zip(given, known, sure["text" if v == "meta" else "meta"])] for v in views}
     prior = math.log(sample.share / (1 - sample.share))
-    sigmoid = lambda x: 1 / (1 + math.exp(-x))
-    odds = {v: [calibration[v][0] * x + calibration[v][1] for x in score[v]] for v in views}
     return [(sigmoid(a), sigmoid(b), sigmoid(a + b - prior)) for a, b in zip(odds["text"], odds["meta"])]
 
 

@@ -9,6 +9,10 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = "key long, n long, kind int, bucket int, cid long, gkey long, token long, root long, spans string, items string, ids string, trained string, __row_key long"
 
 
+#: A few plain texts.
+DOCUMENT = ("one short text of a few words, mail a.b@mail.example.com", "the second text goes on for somewhat longer than ten words do, as this one shows", "$$$ ### !!!")
+
+
 def prose(rng: random.Random, n: int) -> str:
     words = ["the", "of", "and", "to", *(("".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(2, 8)))) for _ in range(max(4, n // 2)))]
     return " ".join(rng.choice(words) for _ in range(n))

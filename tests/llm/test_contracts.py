@@ -289,7 +289,7 @@ def test_suffix_tree_learns_contexts_and_is_a_distribution(spark):
 def test_cotraining(spark, docs, empty):
     labels = spark.createDataFrame(data.labels(DOCS), "doc_id long, quality int, toxic int")
     got = cotraining.quality_verdicts(docs, labels)
-    assert got.count() == len(DOCS) and got.filter("kept <> (probability >= 0.1) OR probability IS NULL").count() == 0
+    assert got.count() == len(DOCS) and got.filter(f"kept <> (probability >= {cotraining.REJECT_BELOW}) OR probability IS NULL").count() == 0
     assert cotraining.quality_verdicts(docs, labels.limit(0)).filter("NOT kept").count() == 0
     assert cotraining.quality_verdicts(docs.select("doc_id", "text"), labels).count() == len(DOCS)
     assert cotraining.quality_verdicts(empty, labels).count() == 0
@@ -510,12 +510,70 @@ def test_candidates_of_many_spans_take_linear_time():
     assert took[1] < 12 * took[0] + 0.2
 
 
-def test_trusted_cut():
+def test_surest():
     import numpy as np
 
-    score, right, one = np.arange(200.0), (np.arange(200) >= 120).astype(float), np.ones(200)
-    assert cotraining.trusted_cut(score, right, one) == 183  # 16 rows above it, a fifth of the right ones
-    assert cotraining.trusted_cut(np.zeros(200), right, one) == np.inf and cotraining.trusted_cut(score, 1 - right, one) == np.inf and cotraining.trusted_cut(score[:0], right[:0], one[:0]) == np.inf
+    odds, good, one = np.arange(200.0), (np.arange(200) >= 80).astype(float), np.ones(200)
+    low, high = cotraining.surest(odds, good, one)
+    assert 15 <= low <= 16 and 175 <= high <= 176  # a fifth of each class
+    assert cotraining.surest(np.zeros(50), good[:50], one[:50]) == cotraining.surest(odds[:0], good[:0], one[:0]) == (-np.inf, np.inf)
+
+
+@pytest.mark.parametrize("quality", [0, 1])
+def test_one_class_of_labels_rejects_nothing(spark, quality):
+    """Also with a single row of the other class, which leaves none to hold out."""
+    rng = random.Random(8)
+    rows = [(i, data.prose(rng, 40), "en", "src0" if i < 100 else "src1", 9) for i in range(150)]
+    docs = data.frame(spark, rows)
+    marked = [(i, quality, 0) for i in range(100)]
+    for more in ([], [(120, 1 - quality, 0)]):
+        labels = spark.createDataFrame(marked + more, "doc_id long, quality int, toxic int")
+        assert {(r["kept"], r["probability"]) for r in cotraining.quality_verdicts(docs, labels).collect()} == {(True, 0.5)}
+        assert cotraining.kept_documents(docs, labels).count() == len(rows)
+
+
+def test_both_classes_are_held_out(spark):
+    for n_bad in (2, 3, 7):
+        labels = spark.createDataFrame([(i, int(i >= n_bad), 0) for i in range(25)], "doc_id long, quality int, toxic int")
+        sample = cotraining.sample_labels(labels)
+        assert len(sample.bad) and len(sample.held_bad) and len(sample.good) and len(sample.held_good)
+        assert len(sample.bad) + len(sample.held_bad) == n_bad
+        rng = random.Random(n_bad)
+        docs = [(i, data.prose(rng, 60) if i >= n_bad and i < 90 else data.prose(rng, 60).upper().replace(" ", "## "), "en", "s", 9) for i in range(100)]
+        kept = {r["doc_id"] for r in cotraining.kept_documents(data.frame(spark, docs), labels).collect()}
+        assert set(range(n_bad, 90)) <= kept and not kept & set(range(90, 100))
+
+
+def test_scores_of_a_text_do_not_depend_on_its_neighbours():
+    import numpy as np
+
+    from tessera.llm.ngrams import text_means
+
+    rng = np.random.default_rng(1)
+    parts = [rng.normal(size=n) for n in (5, 0, 1, 900, 33, 0)]
+    offsets = np.cumsum([0, *map(len, parts)])
+    assert text_means(np.concatenate(parts), offsets).tolist() == [text_means(p, np.array([0, len(p)]))[0] if len(p) else 0.0 for p in parts]
+
+
+def test_stages_take_columns_in_any_case(spark):
+    rows = [(i, data.DOCUMENT[i % 3], "en", "s", 3) for i in range(9)]
+    lower = data.frame(spark, rows)
+    upper = lower.toDF("DOC_ID", "TEXT", "Lang", "SOURCE", "N_chars").withColumn("last", F.lit("not this"))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, data.DOCUMENT[1])], "item_id long, text string")
+    path = tokenizer_file("piece_bpe_32k.model")
+    for stage in (lambda d: cotraining.kept_documents(d, labels), stages.one_of_each_class, lambda d: decontaminate.clean_documents(d, bench), pii.masked_documents, lambda d: pieces.encoded(d, path)):
+        one, two = stage(lower), stage(upper)
+        assert values(one) == values(two.drop("last")) and two.columns[:6] == upper.columns
+
+
+def test_stages_on_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    path = tokenizer_file("piece_bpe_32k.model")
+    for out in (cotraining.kept_documents(empty, labels), stages.one_of_each_class(empty), decontaminate.clean_documents(empty, bench), pii.masked_documents(empty)):
+        assert out.columns == empty.columns and out.count() == 0
+    assert pieces.encoded(empty, path).columns == [*empty.columns, "ids"] and pieces.encoded(empty, path).count() == 0
 
 
 def test_keys_are_128_bits_and_null_safe(spark):
