@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import finite, n_rows
+from tessera.operators.correlation import pair_correlations
 from tessera.operators.ordered import quantiles
 
 
@@ -51,27 +52,27 @@ def identical_columns(df: DataFrame, key: str, columns: list[str]) -> list[tuple
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for a before b: pairwise complete Pearson correlations, all in one aggregation; null where a side is constant."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    """(a, b, r) for a before b: pairwise complete Pearson correlations, null where a side is constant."""
+    names = F.array(*map(F.lit, columns)).cast("array<string>")
+    return pair_correlations(df, columns).select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "r")
 
-    def correlation(a: str, b: str) -> Column:
-        x, y = finite(F.col(a)), finite(F.col(b))
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
-    one = df.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]))
-    return one.select(rows.alias("p")).select("p.*")
+def high_pairs(df: DataFrame, columns: list[str], limit: float = 0.95) -> list[tuple[str, str, float]]:
+    """The pairs of correlations() above the limit in absolute value; only these come to the driver."""
+    return [tuple(r) for r in correlations(df, columns).filter(F.abs("r") > limit).collect()]
 
 
 def correlation_screen(pairs: list[tuple[str, str, float]], columns: list[str], limit: float = 0.95, greedy: bool = True) -> list[str]:
     """Columns to drop, in their locked order: those that correlate with an earlier one; greedy: with an earlier one that stays."""
-    high = {(a, b) for a, b, r in pairs if r is not None and abs(r) > limit}
-    dropped: list[str] = []
-    for i, c in enumerate(columns):
-        if any((a, c) in high and not (greedy and a in dropped) for a in columns[:i]):
-            dropped.append(c)
-    return dropped
+    earlier: dict[str, list[str]] = {}
+    for a, b, r in pairs:
+        if r is not None and abs(r) > limit:
+            earlier.setdefault(b, []).append(a)
+    dropped: dict[str, None] = {}
+    for c in columns:
+        if any(not (greedy and a in dropped) for a in earlier.get(c, [])):
+            dropped[c] = None
+    return list(dropped)
 
 
 def dominance(long: DataFrame) -> DataFrame:

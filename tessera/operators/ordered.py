@@ -7,38 +7,36 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialise
 
-#: Least number of ranges that a key's values are cut into; there are as many as shuffle partitions if those are more.
-RANGES = 64
+#: Rows of a key that one task sorts; a key with more is dealt by ranges of its values.
+ONE_TASK = 1 << 20
 
 
 def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], descending: bool = False, minima: dict[str, str] | None = None) -> DataFrame:
     """df with the inclusive running sum (and for minima the running minimum) of each column (alias: column) over order within keys.
 
-    order is unique within a key. Values are cut at approximate quantiles into ranges whose
-    number follows spark.sql.shuffle.partitions, so that a task sorts one range whatever the
-    input; what the ranges before add up to joins a running sum within the range. df is
-    written down first: it is read for the cuts, the totals and the rows.
+    order is unique within a key. df is written down first. If no key has over ONE_TASK rows,
+    a window over the keys does it. Else rows are dealt by ranges of keys and order, which
+    Spark samples; a task sums one range, to which the totals of its key's ranges before are
+    added. There are no more totals than ranges and keys together.
     """
     minima = minima or {}
     df = materialise(df, "ordered")
-    keys, rows = (keys, df) if keys else (["__all"], df.withColumn("__all", F.lit(0)))
-    ranges = max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("__at", F.col(order).cast("double") * (-1 if descending else 1))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("__at", [i / ranges for i in range(1, ranges)], 10_000).alias("__cuts"))
-    one = keys == ["__all"]  # a single row may be sent to all tasks
-    rows = rows.join(F.broadcast(cuts) if one else cuts, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__at")))).drop("__cuts")
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    running = lambda over: {a: F.sum(c).over(over) for a, c in sums.items()} | {a: F.min(c).over(over) for a, c in minima.items()}
+    upto = (Window.unboundedPreceding, 0)
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= ONE_TASK:
+        return df.withColumns(running(Window.partitionBy(*keys).orderBy(by).rowsBetween(*upto)))
+    rows = materialise(df.repartitionByRange(*[F.col(k).asc() for k in keys], by).withColumn("__range", F.spark_partition_id()), "ranges")
+    at = [*keys, "__range"]
     total = lambda a, c: F.min(c).alias(f"__t_{a}") if a in minima else F.sum(c).alias(f"__t_{a}")
-    totals = rows.groupBy(*keys, "__range").agg(*[total(a, c) for a, c in (sums | minima).items()])
+    totals = rows.groupBy(*at).agg(*[total(a, c) for a, c in (sums | minima).items()])
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.coalesce(F.sum(f"__t_{a}").over(before), F.lit(0)).alias(f"__b_{a}") for a in sums] + [F.min(f"__t_{a}").over(before).alias(f"__b_{a}") for a in minima]
-    totals = totals.select(*keys, "__range", *carried)
-    within = Window.partitionBy(*keys, "__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(F.broadcast(totals) if one else totals, [*keys, "__range"])  # as many rows as ranges
-    for a, c in sums.items():
-        rows = rows.withColumn(a, F.sum(c).over(within) + F.col(f"__b_{a}"))
-    for a, c in minima.items():
-        rows = rows.withColumn(a, F.least(F.min(c).over(within), F.col(f"__b_{a}")))
-    return rows.drop("__at", "__range", "__all", *[f"__b_{a}" for a in (*sums, *minima)])
+    carried = [F.sum(f"__t_{a}").over(before).alias(f"__b_{a}") for a in sums] + [F.min(f"__t_{a}").over(before).alias(f"__b_{a}") for a in minima]
+    totals = totals.select(*at, *carried)
+    rows = rows.withColumns(running(Window.partitionBy(*at).orderBy(by).rowsBetween(*upto))).join(totals, at)
+    rows = rows.withColumns({a: F.col(a) + F.coalesce(f"__b_{a}", F.lit(0)) for a in sums} | {a: F.least(a, f"__b_{a}") for a in minima})
+    return rows.drop("__range", *[f"__b_{a}" for a in (*sums, *minima)])
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

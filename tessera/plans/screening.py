@@ -89,7 +89,7 @@ step(j, dropped) AS (SELECT 0, CAST([] AS VARCHAR[]) UNION ALL SELECT j + 1, CAS
 SELECT unnest(dropped) AS dropped, true AS greedy FROM step WHERE j = 6 UNION ALL SELECT DISTINCT b, false FROM high""")
 def correlation_screen(t: Tables) -> DataFrame:
     """Both variants; features are few, so the order-dependent choice is made over their small matrix."""
-    pairs = [tuple(r) for r in features.correlations(_wide(t).filter("train"), list(_WIDE)).collect()]
+    pairs = features.high_pairs(_wide(t).filter("train"), list(_WIDE))
     rows = [(c, greedy) for greedy in (True, False) for c in features.correlation_screen(pairs, list(_WIDE), greedy=greedy)]
     return t.spark.createDataFrame(rows, "dropped string, greedy boolean")
 

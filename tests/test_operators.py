@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators import contracts, features, models, ordered, similarity, stats, structures
+from tessera.operators import contracts, correlation, features, models, ordered, similarity, stats, structures
 from tessera.sources import arrays, text_lists
 from tessera.streaming import scoring
 
@@ -65,6 +65,23 @@ def test_contracts(spark):
         contracts.same_order(["b", "a"], ["a", "b"])
 
 
+@pytest.mark.parametrize("one_task", [1 << 20, 3])
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_in_one_task_and_by_ranges(spark, monkeypatch, one_task, descending):
+    monkeypatch.setattr(ordered, "ONE_TASK", one_task)
+    rng = random.Random(2)
+    rows = [(k, None if v == 3 else v / 8, rng.randint(-5, 9), rng.random()) for k, n in (("a", 300), ("b", 1), ("c", 40)) for v in rng.sample(range(1000), n)]
+    df = spark.createDataFrame(rows, "k string, v double, n long, x double").repartition(7)
+    for keys in (["k"], []):
+        if not keys:
+            df, rows = df.filter("k = 'a'"), [r for r in rows if r[0] == "a"]
+        got = {(r["k"], r["v"]): (r["s"], r["m"]) for r in ordered.running_sums(df, keys, "v", {"s": "n"}, descending, {"m": "x"}).collect()}
+        for k in {r[0] for r in rows}:
+            mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0), reverse=descending)
+            for i, r in enumerate(mine):
+                assert got[k, r[1]] == (sum(x[2] for x in mine[: i + 1]), min(x[3] for x in mine[: i + 1]))
+
+
 def test_running_sums_and_ranks(spark):
     df = spark.createDataFrame([("k", float(i), i) for i in range(200)] + [("l", 5.0, 7)], "k string, v double, n long")
     got = {(r["k"], r["v"]): r["s"] for r in ordered.running_sums(df, ["k"], "v", {"s": "n"}).collect()}
@@ -311,3 +328,45 @@ def test_shared_folder_and_runs(spark):
     assert session.materialise(spark.range(2), "numbers").count() == 2
     with pytest.raises(Exception):
         kept.collect()
+
+
+def test_correlations_of_a_thousand_columns(spark):
+    """Pairwise complete, against numpy; in one panel and in several."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 40)) @ rng.normal(size=(40, 1000)) * 10.0 ** rng.integers(0, 7, 1000) + rng.choice([0.0, 1e6], 1000)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[5, 3], x[:, 7], x[:, 8] = np.inf, 0.1, np.nan
+    x[3:, 9] = np.nan
+    columns = [f"c.{i}" for i in range(1000)]
+    schema = ", ".join(f"`{c}` double" for c in columns)
+    df = spark.createDataFrame([[None if i % 2 and np.isnan(v) else float(v) for i, v in enumerate(r)] for r in x], schema).repartition(3)
+    clean = np.where(np.isfinite(x), x, np.nan)
+    wanted = pd.DataFrame(clean).corr().to_numpy()
+    got = correlation.pair_correlations(df, columns).toPandas()
+    assert len(got) == 1000 * 999 // 2 and (got.i < got.j).all()
+    r = got.r.to_numpy()
+    assert np.isnan(r[(got.i.isin([7, 8]) | got.j.isin([7, 8])).to_numpy()]).all()
+    plain = ~(got.i.isin([7, 8, 9]) | got.j.isin([7, 8, 9])).to_numpy()
+    assert np.allclose(r[plain], wanted[got.i[plain], got.j[plain]], atol=1e-8)
+    present = np.isfinite(x)
+    assert (got.n == (present[:, got.i] & present[:, got.j]).sum(0)).all()
+
+
+def test_correlations_in_panels(spark, monkeypatch):
+    monkeypatch.setattr(correlation, "PANEL", 3)
+    monkeypatch.setattr(correlation, "ROWS", 7)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 8)).cumsum(1)
+    df = spark.createDataFrame([[*map(float, r)] for r in x], [f"c{i}" for i in range(8)])
+    got = correlation.pair_correlations(df, df.columns).toPandas()
+    assert len(got) == 28 and np.allclose(got.r, np.corrcoef(x.T)[got.i, got.j])
+    high = features.high_pairs(df, df.columns, 0.8)
+    for greedy in (True, False):
+        kept: list[str] = []
+        for c in df.columns:
+            if not any((a, c) in {p[:2] for p in high} for a in (kept if greedy else df.columns)):
+                kept.append(c)
+        assert features.correlation_screen(high, df.columns, 0.8, greedy) == [c for c in df.columns if c not in kept]
+    assert features.correlations(df.limit(0), df.columns).count() == 0 and features.correlations(df, []).count() == 0
