@@ -1,7 +1,7 @@
 """Quality classification by co-training two views of a document.
 
 One classifier sees the text (hashed byte n-grams, and its shape: how much of it are
-symbols, capitals, digits, repeated words and lines), the other the metadata (source,
+signs, capitals, digits, repeated words and lines), the other the metadata (source,
 language, size). Each round every document of the corpus is read: the share of documents
 that a view is surest are good, and the share that it is surest are bad, become labels for
 the other view's next model. Such a label counts for both classes, by the view's calibrated
@@ -59,39 +59,54 @@ def metadata_slots(part: pa.RecordBatch) -> np.ndarray:
     return np.array([slots_of(r) for r in rows], np.int64).reshape(part.num_rows, 4)
 
 
+_SIGNS = np.zeros(256, np.uint8)
+_SIGNS[list(SYMBOLS)] = 1
+_UPPER, _LETTER, _DIGIT = (np.zeros(256, np.uint8) for _ in range(3))
+_UPPER[65:91] = _LETTER[65:91] = _LETTER[97:123] = _DIGIT[48:58] = 1
+
+
 def shape_slots(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """SHAPES slots of each text: the level of a share, or of a mean on a logarithmic scale, with the text's size class."""
+    """SHAPES slots of each text: the level of a share, or of a mean on a logarithmic scale, with the text's size class.
+
+    Shares of signs, capitals and digits; of words that equal the word before, or the one
+    before that; of lines that equal an earlier one; and words a line.
+    """
     words = Words(raw, offsets)
-    n_bytes, n_words = np.diff(offsets), words.counts()
-    owner = words.owner()
-
-    def share(hit: np.ndarray, of: np.ndarray) -> np.ndarray:
-        count = np.concatenate(([0], np.cumsum(hit)))
-        return (count[offsets[1:]] - count[offsets[:-1]]) / np.maximum(of, 1)
-
-    upper, lower = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122)
-    count = np.concatenate(([0], np.cumsum(upper | lower)))
-    letters = count[offsets[1:]] - count[offsets[:-1]]
-    symbol = np.zeros(256, bool)
-    symbol[list(SYMBOLS)] = True
-    lines = np.concatenate(([0], np.cumsum(raw == 10)))
-    n_lines = lines[offsets[1:]] - lines[offsets[:-1]] + 1
-    line_of = lines[words.start]  # one number a line of all texts, as a text's last line is followed by another owner
-    new = np.ones(len(owner), bool)
-    new[1:] = (line_of[1:] != line_of[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
-    width = np.diff(np.append(first, len(owner)))
-    distinct = lambda who, what: np.bincount(np.unique(np.stack((who.astype(np.uint64), what)), axis=1)[0].astype(np.int64), minlength=len(n_words)) if len(who) else np.zeros(len(n_words), np.int64)
-    line_hash = words.runs(first, width) if len(first) else np.zeros(0, np.uint64)
-    full_lines = np.bincount(owner[first], minlength=len(n_words)) if len(first) else np.zeros(len(n_words), np.int64)
-    pairs, pair_hash = words.windows(2)
-    scaled = lambda x: np.sqrt(np.clip(x, 0, 1))  # noqa: E731  finer near 0
+    n_bytes, n_words, first = np.diff(offsets), words.counts(), words.first[:-1]
+    some, worded = n_bytes > 0, n_words > 0
+
+    def added(values: np.ndarray, at: np.ndarray, where: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(where), np.int64)
+        if where.any():
+            out[where] = np.add.reduceat(values, at[where], dtype=np.int64)
+        return out
+
+    of_class = lambda table: added(table[raw], offsets[:-1], some)
+    breaks = raw == 10
+    n_lines = added(breaks.view(np.uint8), offsets[:-1], some) + 1
+    like = [np.zeros(len(words.hashes), np.uint8) for _ in range(2)]
+    for k, equal in enumerate(like, 1):
+        equal[k:] = words.hashes[k:] == words.hashes[:-k]
+        for j in range(k):  # a text's first words have none before them
+            equal[first[worded & (n_words > j)] + j] = 0
+    line_of = np.cumsum(breaks, dtype=np.int32)[words.start]
+    new = np.ones(len(line_of), bool)
+    new[1:] = line_of[1:] != line_of[:-1]
+    new[first[worded]] = True  # texts are not parted by a line break
+    begin = np.flatnonzero(new)
+    owner = np.searchsorted(first[worded], begin, "right") - 1
+    line = words.runs(begin, np.diff(np.append(begin, len(line_of)))) if len(begin) else np.zeros(0, np.uint64)
+    order = np.lexsort((line, owner))
+    again = np.zeros(len(begin), np.int64)
+    again[1:] = (line[order][1:] == line[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    repeats, full = np.zeros(len(n_words), np.int64), np.zeros(len(n_words), np.int64)
+    repeats[worded], full[worded] = np.bincount(owner[order], weights=again, minlength=int(worded.sum())), np.bincount(owner, minlength=int(worded.sum()))
+    share = lambda n, of: np.sqrt(n / np.maximum(of, 1))  # noqa: E731  finer near 0
     values = np.stack([
-        scaled(share(symbol[raw], n_bytes)), scaled(share(upper, letters)), scaled(share((raw >= 48) & (raw <= 57), n_bytes)),
-        distinct(owner, words.hashes) / np.maximum(n_words, 1), distinct(owner[pairs], pair_hash) / np.maximum(n_words - 1, 1),
-        distinct(owner[first], line_hash) / np.maximum(full_lines, 1), np.log2(1 + n_words / n_lines) / 12,
+        share(of_class(_SIGNS), n_bytes), share(of_class(_UPPER), of_class(_LETTER)), share(of_class(_DIGIT), n_bytes), *(share(added(e, first, worded), n_words) for e in like),
+        share(repeats, full), np.log2(1 + n_words / n_lines) / 12,
     ], 1)
-    level = np.minimum((values * (LEVELS - 1) + 0.5).astype(np.int64), LEVELS - 1)
+    level = np.minimum((np.minimum(values, 1) * (LEVELS - 1) + 0.5).astype(np.int64), LEVELS - 1)
     size = np.minimum(np.log2(1 + n_words).astype(np.int64) // 2, 7)
     return (np.arange(SHAPES) * 8 + size[:, None]) * LEVELS + level
 
@@ -215,12 +230,12 @@ def _count_task(batches: Iterator[pa.RecordBatch], labels: Broadcast, views: Bro
                     known[view] = (good | bad | told, np.where(told, np.rint(probability(odds[other]) * PARTS).astype(np.int64), weight))
             for k in range(2):
                 for_text, for_meta = (np.where(chosen, parts if k == 0 else PARTS - parts, 0) for chosen, parts in known.values())
-                for p in np.unique(for_text[for_text > 0]):
-                    mine = for_text == p
-                    text[k] += int(p) * np.bincount(slot[np.repeat(mine, np.diff(offsets))], minlength=_SIZES[0])
-                    shapes[k] += int(p) * np.bincount(shape[mine].ravel(), minlength=_SIZES[1])
-                for p in np.unique(for_meta[for_meta > 0]):
-                    metas[k] += int(p) * np.bincount(meta[for_meta == p].ravel(), minlength=_SIZES[2])
+                mine, n = for_text > 0, np.diff(offsets)
+                if mine.any():
+                    text[k] += np.bincount(slot[np.repeat(mine, n)], weights=np.repeat(for_text[mine], n[mine]), minlength=_SIZES[0]).astype(np.int64)
+                    shapes[k] += np.bincount(shape[mine].ravel(), weights=np.repeat(for_text[mine], SHAPES), minlength=_SIZES[1]).astype(np.int64)
+                mine = for_meta > 0
+                metas[k] += np.bincount(meta[mine].ravel(), weights=np.repeat(for_meta[mine], meta.shape[1]), minlength=_SIZES[2]).astype(np.int64)
     if total.any():
         yield total
     release()

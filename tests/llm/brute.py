@@ -219,10 +219,10 @@ def cotraining(rows: list[tuple], sample, rounds: int) -> list[tuple[float, floa
         share = lambda n, of: math.sqrt(n / max(of, 1))
         values = [
             share(sum(c in SYMBOLS for c in raw), len(raw)), share(sum(chr(c).isupper() for c in letters), len(letters)), share(sum(48 <= c <= 57 for c in raw), len(raw)),
-            len(set(words)) / max(len(words), 1), len(set(zip(words, words[1:]))) / max(len(words) - 1, 1), len(set(lines)) / max(len(lines), 1), math.log2(1 + len(words) / ((text or "").count("\n") + 1)) / 12,
+            share(sum(a == b for a, b in zip(words, words[1:])), len(words)), share(sum(a == b for a, b in zip(words, words[2:])), len(words)), share(len(lines) - len(set(lines)), len(lines)), math.log2(1 + len(words) / ((text or "").count("\n") + 1)) / 12,
         ]
         group = min(int(math.log2(1 + len(words))) // 2, 7)
-        return [(k * 8 + group) * LEVELS + min(int(x * (LEVELS - 1) + 0.5), LEVELS - 1) for k, x in enumerate(values)]
+        return [(k * 8 + group) * LEVELS + min(int(min(x, 1) * (LEVELS - 1) + 0.5), LEVELS - 1) for k, x in enumerate(values)]
 
     features = {
         "text": [[(int.from_bytes(r[i : i + 4], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 15 for i in range(len(r) - 3)] for r in ((t or "").encode() for _, t, *_ in rows)],
