@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,45 +102,3 @@ def stability(pairs: DataFrame, family: str, x: str, y: str, least: int = 3) ->
     tied = lambda c: F.rank().over(Window.partitionBy(family).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(family, c)) - 1) / 2.0
     found = pairs.select(family, x, y, tied(x).alias("__rx"), tied(y).alias("__ry")).groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
     return found.select(family, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("pearson", "spearman")])
-
-
-def _measures(pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
-    """AUC and average precision from the classes' counts at ascending values."""
-    n1, n0 = pos.sum(), neg.sum()
-    auc = (pos * (np.cumsum(neg) - neg / 2)).sum() / (n1 * n0)
-    tp, all_ = np.cumsum(pos[::-1]), np.cumsum((pos + neg)[::-1])
-    return float(auc), float((np.divide(tp, all_, out=np.zeros(len(tp)), where=all_ > 0) * pos[::-1]).sum() / n1)
-
-
-def resampled(rows: DataFrame, key: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Per feature: AUC, Cliff's delta and average precision, each with its stratified bootstrap interval (2.5 and 97.5
-    percent), and of the label permutation the p-value and the null's mean and deviation.
-
-    Values are oriented, so that AUC is at least 0.5, as on all rows. Replicates are drawn from
-    value counts, which have the resamples' exact distribution, so a feature costs its
-    distinct values, not its rows. A feature with a class below LEAST_CLASS has nulls.
-    """
-    names = [key, *(f"{m}{x}" for m in ("auc", "delta", "ap") for x in ("", "_low", "_high")), "permutation_p", "null_mean", "null_sd"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[key].iloc[0]
-        ordered = pdf.sort_values("v")
-        pos, neg = ordered["pos"].to_numpy(np.int64), ordered["neg"].to_numpy(np.int64)
-        n1, n0 = int(pos.sum()), int(neg.sum())
-        if min(n1, n0) < LEAST_CLASS:
-            return pd.DataFrame([[name, *[None] * (len(names) - 1)]], columns=names)
-        if _measures(pos, neg)[0] < 0.5:
-            pos, neg = pos[::-1], neg[::-1]
-        auc, ap = _measures(pos, neg)
-        rng = np.random.default_rng(seed + sum(map(ord, str(name))))
-        drawn = np.array([_measures(rng.multinomial(n1, pos / n1), rng.multinomial(n0, neg / n0)) for _ in range(replicates)])
-        null = np.empty(replicates)
-        for i in range(replicates):
-            p = rng.multivariate_hypergeometric(pos + neg, n1, method="marginals")
-            null[i] = _measures(p, pos + neg - p)[0]
-        extreme = int((np.abs(null - 0.5) >= abs(auc - 0.5)).sum())
-        (a, b), (c, d) = np.percentile(drawn, [2.5, 97.5], axis=0).T
-        return pd.DataFrame([[name, auc, a, b, 2 * auc - 1, 2 * a - 1, 2 * b - 1, ap, c, d, (1 + extreme) / (1 + replicates), null.mean(), null.std(ddof=1)]], columns=names)
-
-    counts = value_counts(rows, [key])
-    return counts.groupBy(key).applyInPandas(one, ", ".join([f"{key} string", *(f"{n} double" for n in names[1:])]))

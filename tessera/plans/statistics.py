@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import n_rows
-from tessera.operators import stats
+from tessera.operators import resampling, stats
 from tessera.operators.ordered import benjamini_hochberg, quantiles, running_sums, score_ranks, top_per_key
 from tessera.plans.registry import LONG, PREDICTIONS, Tables, query
 
@@ -149,7 +149,19 @@ def class_quantiles(t: Tables) -> DataFrame:
 @query()
 def bootstrap_permutation(t: Tables) -> DataFrame:
     """AUC, Cliff's delta and average precision with their intervals, and the permutation test, by 1,000 replicates each."""
-    return stats.resampled(t.features.filter("train"), "feature")
+    return resampling.resampled(t.features.filter("train"), "feature")
+
+
+_NULL = f"""(SELECT feature, sqrt((n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1))) / (12 * n1 * n0)) AS sd FROM (SELECT feature, CAST(sum(p) AS DOUBLE) AS n1, CAST(sum(n) - sum(p) AS DOUBLE) AS n0, sum(CAST(n AS DOUBLE) * n * n - n) AS ties FROM (SELECT feature, v, count(*) AS n, sum(y) AS p FROM {LONG} l WHERE train GROUP BY 1, 2) c GROUP BY 1) t)"""
+
+
+@query(f"SELECT feature, round(sd, 9) AS null_sd, true AS mean_agrees, true AS sd_agrees FROM {_NULL} m")
+def permutation_null(t: Tables) -> DataFrame:
+    """The null's deviation in closed form, and whether mean and deviation of the drawn permutations agree with it within five of their own standard errors."""
+    rows, n = t.features.filter("train"), 1000
+    both = resampling.resampled(rows, "feature", n).join(resampling.null_moments(rows, "feature"), "feature")
+    near = F.abs(F.col("null_sd") / F.col("sd") - 1) < 5 / (2 * n) ** 0.5
+    return both.select("feature", F.round("sd", 9).alias("null_sd"), (F.abs(F.col("null_mean") - 0.5) < 5 * F.col("sd") / n**0.5).alias("mean_agrees"), near.alias("sd_agrees"))
 
 
 @query("""SELECT p_brand, p_partkey, rank FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) r WHERE rank <= 25""")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators import contracts, correlation, features, models, ordered, similarity, stats, structures
+from tessera.operators import contracts, correlation, features, models, ordered, resampling, similarity, stats, structures
 from tessera.sources import arrays, text_lists
 from tessera.streaming import scoring
 
@@ -111,14 +111,67 @@ def test_rank_statistics_against_pairs(spark):
     assert stats.rank_statistics(df, ["feature"]).filter("feature = 'f'").select(stats.two_sided_p(F.col("z"))).first()[0] <= 1
 
 
-def test_resampling_brackets_the_auc(spark):
+@pytest.mark.parametrize("fan", [1024, 3])
+def test_resampling_brackets_the_auc(spark, monkeypatch, fan):
+    monkeypatch.setattr(resampling, "FAN", fan)
     df = spark.createDataFrame([("f", float(i % 10 + 3 * (i % 2)), i % 2) for i in range(200)] + [("small", 1.0, 1)], "feature string, v double, y int")
-    got = {r["feature"]: r for r in stats.resampled(df, "feature", 200).collect()}
+    got = {r["feature"]: r for r in resampling.resampled(df, "feature", 200).collect()}
     assert got["f"]["permutation_p"] < 0.05 and abs(got["f"]["null_mean"] - 0.5) < 0.02
     assert all(got["f"][f"{m}_low"] < got["f"][m] < got["f"][f"{m}_high"] for m in ("auc", "delta", "ap"))
     exact = stats.average_precision(df, ["feature"]).filter("feature = 'f'").first()["average_precision"]
     assert got["f"]["ap"] == pytest.approx(exact) and got["f"]["delta"] == pytest.approx(2 * got["f"]["auc"] - 1)
-    assert got["small"]["auc"] is None
+    assert got["small"]["auc"] is None and resampling.resampled(df, "feature", 200).filter("feature = 'f'").first() == got["f"]
+
+
+def plain_resampling(rows, replicates, seed):
+    """The same statistics, drawn in one group of all values by plain numpy."""
+    v, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    rng, drawn, null = np.random.default_rng(seed), [], []
+
+    def measures(v, y):
+        order = np.argsort(v, kind="stable")
+        ranks = np.empty(len(v))
+        ranks[order] = np.arange(1, len(v) + 1)
+        mean = {x: ranks[v == x].mean() for x in set(v)}
+        n1, n0 = y.sum(), (1 - y).sum()
+        auc = (sum(mean[x] for x in v[y == 1]) - n1 * (n1 + 1) / 2) / (n1 * n0)
+        ap = sum(((v == x) & (y == 1)).sum() / n1 * ((v >= x) & (y == 1)).sum() / (v >= x).sum() for x in set(v[y == 1]))
+        return auc, ap
+
+    for _ in range(replicates):
+        at = np.concatenate([rng.choice(np.flatnonzero(y == k), (y == k).sum()) for k in (0, 1)])
+        drawn.append(measures(v[at], y[at]))
+        null.append(measures(v, rng.permutation(y))[0])
+    return measures(v, y), np.array(drawn), np.array(null)
+
+
+def test_resampling_by_splitting_has_the_same_distribution(spark, monkeypatch):
+    """Values in a deep tree of ranges, against draws of rows; a feature whose positives are lower is turned round."""
+    rng = random.Random(4)
+    rows = [("up", float(rng.randint(0, 40) + 6 * (i % 3 == 0)), int(i % 3 == 0)) for i in range(150)]
+    rows += [("down", -v + rng.random() * 1e-3, y) for _, v, y in rows]
+    df = spark.createDataFrame(rows, "feature string, v double, y int")
+    n = 1500
+    monkeypatch.setattr(resampling, "FAN", 4)
+    got = {r["feature"]: r for r in resampling.resampled(df, "feature", n, seed=3).collect()}
+    for name, sign in (("up", 1), ("down", -1)):
+        (auc, ap), drawn, null = plain_resampling([(f, sign * v, y) for f, v, y in rows if f == name], n, 5)
+        r = got[name]
+        assert r["auc"] == pytest.approx(auc) and r["ap"] == pytest.approx(ap)
+        low, high = np.percentile(drawn, [2.5, 97.5], axis=0)
+        assert np.allclose([r["auc_low"], r["ap_low"], r["auc_high"], r["ap_high"]], [*low, *high], atol=0.02)
+        assert r["null_mean"] == pytest.approx(0.5, abs=0.008) and r["null_sd"] == pytest.approx(null.std(ddof=1), rel=0.1)
+    moments = {r["feature"]: r["sd"] for r in resampling.null_moments(df, "feature").collect()}
+    assert all(got[k]["null_sd"] == pytest.approx(sd, rel=0.1) for k, sd in moments.items())
+
+
+def test_draws_down_the_tree_add_up():
+    rng = np.random.default_rng(0)
+    pos, neg = np.array([3, 0, 9, 1]), np.array([2, 5, 0, 1])
+    state = np.array([[13, 4], [8, 20], [10, 0], [5, 5], [1, 1], [0, 2]])
+    drawn = resampling._draw(rng, state, pos, neg)
+    assert (drawn[:3].sum(2) == state[:3]).all() and (drawn[2] <= pos + neg).all() and (drawn[0][:, 1] == 0).all()
+    assert (drawn[3:] == np.cumsum(drawn[:3], 2) - drawn[:3] + state[3:, :, None]).all()
 
 
 def test_feature_screens(spark):
