@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import features, stats
+from tessera.operators import extra_trees, features, stats
 from tessera.operators.contracts import ContractError, require_columns
 
 #: Fixed value: the decision threshold on calibrated probabilities.
@@ -27,7 +27,7 @@ def balanced(df: DataFrame, label: str = "y") -> DataFrame:
 
 
 def pipeline(kind: str, columns: list[str], trees: int = 500, seed: int = 42, penalty: float = 0.0, depth: int = 12) -> Pipeline:
-    """logistic (scaled, with an L2 penalty) or forest, weighted by the column weight; a forest stands in for extremely randomised trees."""
+    """logistic (scaled, with an L2 penalty) or forest, weighted by the column weight."""
     assemble = VectorAssembler(inputCols=columns, outputCol="raw_features", handleInvalid="error")
     if kind == "logistic":
         return Pipeline(stages=[assemble, StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=penalty, standardization=False, maxIter=100)])
@@ -35,14 +35,21 @@ def pipeline(kind: str, columns: list[str], trees: int = 500, seed: int = 42, pe
     return Pipeline(stages=[assemble, forest])
 
 
-def fitted(df: DataFrame, kind: str, columns: list[str], **settings) -> PipelineModel:
-    """A model of balanced rows; the logistic penalty is that of C = 1, half the squared weights against the summed loss."""
+def fitted(df: DataFrame, kind: str, columns: list[str], **settings) -> PipelineModel | extra_trees.Forest:
+    """A model of balanced rows (logistic, forest or extra_trees); the logistic penalty is that of C = 1, half the squared weights against the summed loss."""
+    if kind == "extra_trees":
+        return extra_trees.fit(df, columns, **settings)
     if kind == "logistic" and "penalty" not in settings:
         settings["penalty"] = 1.0 / max(df.count(), 1)
     return pipeline(kind, columns, **settings).fit(balanced(df))
 
 
-def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
+def scored(model: PipelineModel | extra_trees.Forest | Calibrated, df: DataFrame) -> DataFrame:
+    """df with p."""
+    if isinstance(model, extra_trees.Forest):
+        return model.scored(df)
+    if isinstance(model, Calibrated):
+        return model.transform(df)
     return model.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("raw_features", "features", "rawPrediction", "probability", "prediction")
 
 
@@ -88,6 +95,15 @@ def out_of_fold(df: DataFrame, kind: str, columns: list[str], folds: int = 5, in
     return out
 
 
+def cross_calibrated(oof: DataFrame, folds: int = 5) -> DataFrame:
+    """Out-of-fold scores (fold, y, p), each fold's calibrated by the sigmoid that the other folds' scores give."""
+    p = F.col("p")
+    for k in range(folds):
+        slope, offset = platt(oof.filter(F.col("fold") != k))
+        p = F.when(F.col("fold") == k, sigmoid(F.col("p"), slope, offset)).otherwise(p)
+    return oof.withColumn("p", p)
+
+
 def locked_threshold(value: float) -> float:
     """The threshold of a bundle, which must be the locked one to 1e-12."""
     if abs(value - LOCKED_THRESHOLD) > 1e-12:
@@ -98,8 +114,11 @@ def locked_threshold(value: float) -> float:
 def save_bundle(model: Calibrated, spark: SparkSession, path: str, threshold: float = LOCKED_THRESHOLD) -> None:
     """Writes the models, their calibration, the ordered features and the threshold."""
     for i, (member, _, _) in enumerate(model.members):
-        member.write().overwrite().save(f"{path}/member-{i}")
-    spec = {"format": 1, "features": model.columns, "threshold": threshold, "calibration": [[s, o] for _, s, o in model.members]}
+        if isinstance(member, extra_trees.Forest):
+            member.save(f"{path}/member-{i}")
+        else:
+            member.write().overwrite().save(f"{path}/member-{i}")
+    spec = {"format": 1, "kind": "extra_trees" if isinstance(model.members[0][0], extra_trees.Forest) else "pipeline", "features": model.columns, "threshold": threshold, "calibration": [[s, o] for _, s, o in model.members]}
     spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/contract")
 
 
@@ -108,7 +127,8 @@ def load_bundle(spark: SparkSession, path: str, columns: list[str]) -> tuple[Cal
     spec = json.loads(spark.read.text(f"{path}/contract").first()[0])
     if spec.get("format") != 1 or spec.get("features") != list(columns):
         raise ContractError(f"the bundle at {path} has format {spec.get('format')} and features {spec.get('features')}")
-    members = [(PipelineModel.load(f"{path}/member-{i}"), *pair) for i, pair in enumerate(spec["calibration"])]
+    load = (lambda at: extra_trees.load(spark, at, list(columns))) if spec.get("kind") == "extra_trees" else PipelineModel.load
+    members = [(load(f"{path}/member-{i}"), *pair) for i, pair in enumerate(spec["calibration"])]
     return Calibrated(members, list(columns)), locked_threshold(spec["threshold"])
 
 
@@ -129,12 +149,16 @@ def platt(oof: DataFrame) -> tuple[float, float]:
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
 
+def sigmoid(p: Column, slope: float, offset: float) -> Column:
+    return 1.0 / (1.0 + F.exp(-(F.lit(slope) * logit(p) + F.lit(offset))))
+
+
 def calibrated(df: DataFrame, slope: float, offset: float) -> DataFrame:
-    return df.withColumn("p", 1.0 / (1.0 + F.exp(-(F.lit(slope) * logit(F.col("p")) + F.lit(offset)))))
+    return df.withColumn("p", sigmoid(F.col("p"), slope, offset))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], repeats: int = 30) -> DataFrame:
-    """(feature, repeat, drop): loss of average precision when a column's values are dealt anew among rows, in one pass.
+def permutation_importance(model: PipelineModel | extra_trees.Forest | Calibrated, df: DataFrame, columns: list[str], repeats: int = 30) -> DataFrame:
+    """(feature, repeat, drop): loss of average precision when a column's values are dealt anew among rows, in one pass. Rows should not be those that the model was fitted on.
 
     For each column and repeat a row takes the value of the row that a hash order puts in its
     place; so each value is used once, and a row is scored columns * repeats times.

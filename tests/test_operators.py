@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators import contracts, correlation, features, models, ordered, resampling, similarity, stats, structures
+from tessera.operators import contracts, correlation, extra_trees, features, models, ordered, resampling, similarity, stats, structures
 from tessera.sources import arrays, text_lists
 from tessera.streaming import scoring
 
@@ -235,6 +235,74 @@ def test_models_and_calibration(spark):
     assert found["a"][0] == found["b"][0] == 4 and found["a"][1] > 0.2 > abs(found["b"][1])
 
 
+def plain_tree(x, y, tree, seed, k, weights, least=2):
+    """Grows a tree node by node: {node: (feature, threshold, left, right, share)}, trying every drawn split in turn."""
+    out, stack = {}, [(extra_trees.ROOT, list(range(len(y))))]
+    gini = lambda rows: (lambda a, b: (a + b) - (a * a + b * b) / (a + b) if a + b else 0.0)(weights[0] * sum(y[i] == 0 for i in rows), weights[1] * sum(y[i] == 1 for i in rows))
+    while stack:
+        node, rows = stack.pop()
+        low, high = ([f(x[i][j] for i in rows) for j in range(len(x[0]))] for f in (min, max))
+        features, thresholds = extra_trees.drawn(seed, np.array([tree]), np.array([node]), np.array([low]), np.array([high]), k)
+        found = None
+        for f, t in zip(features[0], thresholds[0]):
+            sides = [[i for i in rows if x[i][f] <= t], [i for i in rows if x[i][f] > t]]
+            if f >= 0 and min(map(len, sides)) >= least and len({y[i] for i in rows}) == 2:
+                gain = gini(rows) - sum(map(gini, sides))
+                if found is None or gain > found[0]:
+                    found = (gain, int(f), float(t), sides)
+        a, b = (weights[c] * sum(y[i] == c for i in rows) for c in (0, 1))
+        if found is None:
+            out[node] = (-1, 0.0, 0, 0, b / (a + b))
+            continue
+        left, right = (int(c[0]) for c in extra_trees.children(np.array([tree]), np.array([node])))
+        out[node] = (*found[1:3], left, right, b / (a + b))
+        stack += [(left, found[3][0]), (right, found[3][1])]
+    return out
+
+
+@pytest.mark.parametrize("local", [4096, 20, 1])
+def test_extremely_randomised_trees_split_by_split(spark, monkeypatch, local):
+    """Against a plain learner, grown in one task, from the middle on, or level by level to the end."""
+    monkeypatch.setattr(extra_trees, "LOCAL", local)
+    rng = random.Random(6)
+    rows = [(i, rng.randint(0, 5) / 4, rng.random(), 3.0, rng.gauss(0, 1)) for i in range(60)]
+    rows = [(*r, int(r[1] + r[4] + rng.gauss(0, 0.3) > 1)) for r in rows] + [(100, 0.5, 0.5, 3.0, 0.5, 0), (101, 0.5, 0.5, 3.0, 0.5, 1)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, y int")
+    forest = extra_trees.fit(df, ["a", "b", "c", "d"], trees=3, seed=9, tried=2)
+    x, y = [r[1:5] for r in rows], [r[5] for r in rows]
+    weights = [len(y) / (2 * y.count(c)) for c in (0, 1)]
+    got: dict = {}
+    for r in forest.nodes.collect():
+        got.setdefault(r["tree"], {})[r["node"]] = (r["feature"], r["threshold"], r["left"], r["right"], r["p"])
+    total = np.zeros(len(rows))
+    for tree in range(3):
+        wanted = plain_tree(x, y, tree, 9, 2, weights)
+        assert got[tree].keys() == wanted.keys() and all(got[tree][n] == pytest.approx(wanted[n]) for n in wanted)
+        for i, row in enumerate(x):
+            node = extra_trees.ROOT
+            while wanted[node][0] >= 0:
+                node = wanted[node][2 if row[wanted[node][0]] <= wanted[node][1] else 3]
+            total[i] += wanted[node][4] / 3
+    assert {r["id"]: pytest.approx(r["p"]) for r in forest.scored(df).collect()} == dict(zip([r[0] for r in rows], total))
+
+
+def test_extremely_randomised_trees_learn_and_keep(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, rng.random(), rng.random(), i % 3) for i in range(300)]
+    rows = [(*r, int((r[1] > 0.5) != (r[2] > 0.5))) for r in rows]  # no single feature tells
+    df = spark.createDataFrame(rows, "id long, a double, b double, fold int, y int")
+    oof = models.out_of_fold(df, "extra_trees", ["a", "b"], folds=3, trees=40)
+    assert sum((r["p"] > 0.5) == r["y"] for r in oof.collect()) > 270
+    model = models.fit_calibrated(df, "extra_trees", ["a", "b"], folds=2, trees=10)
+    models.save_bundle(model, spark, str(tmp_path / "trees"))
+    again, _ = models.load_bundle(spark, str(tmp_path / "trees"), ["a", "b"])
+    assert values(again.transform(df).select("id", "p")) == values(model.transform(df).select("id", "p"))
+    one_class = extra_trees.fit(df.filter("y = 1"), ["a", "b"], trees=2)
+    assert {r["p"] for r in one_class.scored(df).collect()} == {1.0}
+    calm = models.cross_calibrated(oof, 3)
+    assert calm.columns == oof.columns and stats.rank_statistics(calm.select(F.lit("m").alias("feature"), F.col("p").alias("v"), "y"), ["feature"]).first()["auc"] > 0.9
+
+
 def test_bundles_keep_their_contract(spark, tmp_path):
     rows = [(i, float(i % 7), float((i * 13) % 11), int(i % 7 > 3)) for i in range(90)]
     df = spark.createDataFrame(rows, "id long, a double, b double, y int")
