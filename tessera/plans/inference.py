@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import cosine, dimension, finite, n_rows, norm, packed_bits, similarity_band, tanimoto, unit, unpacked_bits
-from tessera.operators import contracts
+from tessera.operators import contracts, fingerprints, neighbour_index
 from tessera.operators.features import standardised
 from tessera.operators.ordered import top_per_key
 from tessera.operators.similarity import nearest
 from tessera.plans.registry import NEIGHBOURS, Tables, query
+from tessera.session import materialise, new_folder
 
 r6 = lambda c: F.round(c, 6)
 
@@ -95,6 +96,41 @@ def self_retrieval_qc(t: Tables) -> DataFrame:
     return first.agg(n_rows().alias("n_queries"), F.count_if(F.col("query_id") == F.col("neighbour_id")).alias("n_self_first"))
 
 
+@query(f"SELECT query_id, neighbour_id, sim, rank FROM {NEIGHBOURS} n")
+def cosine_topk_stored(t: Tables) -> DataFrame:
+    """The neighbours of cosine_topk from an index that is written, loaded under its contract and pruned."""
+    path, names = new_folder(t.spark, "index"), [f"emb_{i}" for i in range(int(t.vectors.select(F.size("embedding")).first()[0]))]
+    neighbour_index.write_index(t.vectors, path, names)
+    return neighbour_index.load_index(t.spark, path, names).search(_queries(t), 20)
+
+
+#: Fingerprints of 2,048 bits: which of two dimensions is larger by .35, and which of the first 32 is over .25.
+_BITS = """(SELECT vec_id, list_concat(flatten([[(i * (127 - i)) // 2 + j - i - 1 FOR j IN range(i + 1, 64) IF e[i + 1] - e[j + 1] > 35e-2] FOR i IN range(63)]), [2016 + i FOR i IN range(32) IF e[i + 1] > 25e-2]) AS s FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v)"""
+_TANIMOTO = "round(len(list_intersect(a.s, b.s)) * 1e0 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6)"
+
+
+def _fingerprints(t: Tables) -> DataFrame:
+    e = F.col("embedding").cast("array<double>")
+    larger = lambda i: F.transform(F.filter(F.sequence(i + 1, F.lit(63)), lambda j: F.get("e", i) - F.get("e", j) > 0.35), lambda j: F.floor(i * (127 - i) / 2).cast("int") + j - i - 1)
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), larger))
+    single = F.transform(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.get("e", i) > 0.25), lambda i: i + 2016)
+    bits = t.vectors.select("vec_id", e.alias("e")).select(F.col("vec_id").alias("id"), F.concat(pairs, single).alias("bits"))
+    return bits.withColumn("words", packed_bits(F.col("bits"), 2048))
+
+
+@query(f"SELECT query_id, neighbour_id, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, neighbour_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, {_TANIMOTO} AS sim FROM {_BITS} a JOIN {_BITS} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) s WHERE sim >= .05) k WHERE rank <= 20")
+def tanimoto_topk(t: Tables) -> DataFrame:
+    """The 20 most similar fingerprints of each query, of a similarity of 0.05 or more."""
+    prints = materialise(_fingerprints(t).select("id", "words"), "fingerprints")
+    return fingerprints.search(prints.filter("id % 100 = 0"), prints, 20, least=0.05)
+
+
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, {_TANIMOTO} AS sim FROM {_BITS} a JOIN {_BITS} b ON a.vec_id < b.vec_id WHERE {_TANIMOTO} >= .2")
+def tanimoto_pairs(t: Tables) -> DataFrame:
+    """All pairs of fingerprints of a similarity of 0.2 or more."""
+    return fingerprints.similar_pairs(_fingerprints(t), 0.2)
+
+
 _WORDS = "(SELECT p_partkey, p_brand, p_size, p_partkey * 2654435761 % 1099511627776 + 1 AS w, p_partkey * 40503 % 65536 * 97 AS u FROM part)"
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators import contracts, correlation, extra_trees, features, models, ordered, resampling, similarity, stats, structures
+from tessera.operators import contracts, correlation, extra_trees, features, fingerprints, models, neighbour_index, ordered, resampling, similarity, stats, structures
 from tessera.sources import arrays, text_lists
 from tessera.streaming import scoring
 
@@ -491,3 +491,73 @@ def test_correlations_in_panels(spark, monkeypatch):
                 kept.append(c)
         assert features.correlation_screen(high, df.columns, 0.8, greedy) == [c for c in df.columns if c not in kept]
     assert features.correlations(df.limit(0), df.columns).count() == 0 and features.correlations(df, []).count() == 0
+
+
+def clustered(rng, n, d, groups):
+    centres = rng.normal(size=(groups, d))
+    return centres[rng.integers(0, groups, n)] + 0.05 * rng.normal(size=(n, d))
+
+
+def test_stored_index_is_exact_and_prunes(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = clustered(rng, 600, 12, 15)
+    x[10], x[11] = x[12], x[12] * 2  # ties
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [0.0] * 12), (901, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    names = [f"d{i}" for i in range(12)]
+    monkeypatch.setattr(neighbour_index, "BLOCK", 16)  # cells in parts, queries in blocks
+    neighbour_index.write_index(df, str(tmp_path / "index"), names, pivots=24)
+    index = neighbour_index.load_index(spark, str(tmp_path / "index"), names)
+    queries = df.filter("vec_id % 7 = 0 OR vec_id >= 900")
+    for k, own in ((1, False), (5, True), (40, True), (700, True)):
+        wanted = values(similarity.nearest(queries, df, k, exclude_self=own))
+        assert values(index.search(queries, k, exclude_self=own).select("query_id", "neighbour_id", "sim", "rank")) == wanted
+    first, rest = index.rounds(queries, 5)
+    assert rest.count() < 0.2 * queries.count() * 24  # the other cells are pruned
+    assert index.search(queries.limit(0), 3).count() == 0
+
+
+def test_a_broken_index_is_refused(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 1.0, float(-i)]) for i in range(30)], "vec_id long, embedding array<double>")
+    path = str(tmp_path / "index")
+    neighbour_index.write_index(df, path, ["a", "b", "c"])
+    for names in (["a", "c", "b"], ["a", "b"]):
+        with pytest.raises(contracts.ContractError):
+            neighbour_index.load_index(spark, path, names)
+    with pytest.raises(contracts.ContractError):
+        neighbour_index.write_index(df, str(tmp_path / "other"), ["a", "b"])
+    pivots = spark.read.parquet(f"{path}/pivots").withColumn("n", F.col("n") + 1).collect()
+    spark.createDataFrame(pivots, "cell int, pivot array<double>, radius double, n long").write.mode("overwrite").parquet(f"{path}/pivots")
+    with pytest.raises(contracts.ContractError):
+        neighbour_index.load_index(spark, path, ["a", "b", "c"])
+
+
+def plain_tanimoto(a, b):
+    return round(len(a & b) / len(a | b), 6) if a | b else 0.0
+
+
+@pytest.mark.parametrize(("k", "least"), [(3, 0.0), (None, 0.4), (10, 0.7)])
+def test_fingerprint_search(spark, monkeypatch, k, least):
+    monkeypatch.setattr(fingerprints, "BLOCK", 8)
+    monkeypatch.setattr(fingerprints, "SLAB", 40)
+    rng = random.Random(2)
+    base = [set(rng.sample(range(130), rng.randint(1, 60))) for _ in range(12)]
+    sets = {i: {b for b in rng.choice(base) if rng.random() < 0.9} for i in range(150)} | {200: set(), 201: set(base[0]), 202: set(base[0])}
+    df = spark.createDataFrame([*((i, sorted(s)) for i, s in sets.items()), (300, [])], "id long, bits array<int>").repartition(3)
+    df = df.withColumn("words", F.when(F.col("id") != 300, c.packed_bits(F.col("bits"), 130)))
+    found = fingerprints.search(df.filter("id % 5 = 0"), df, k, least)
+    wanted = []
+    for q in (i for i in sets if i % 5 == 0):
+        near = sorted(((-plain_tanimoto(sets[q], s), i) for i, s in sets.items() if i != q and plain_tanimoto(sets[q], s) >= least))
+        wanted += [(q, i, -s) for s, i in (near[:k] if k else near)]
+    assert values(found.select("query_id", "neighbour_id", "sim")) == sorted([(q, i, s + 0.0) for q, i, s in wanted], key=repr)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8, 1.0])
+def test_similar_fingerprint_pairs(spark, least):
+    rng = random.Random(5)
+    base = [rng.sample(range(90), 30) for _ in range(6)]
+    sets = {i: {b for b in rng.choice(base) if rng.random() < 0.93} | {0} for i in range(120)} | {200: set(), 201: set(), 202: {1}, 203: {1}}
+    df = spark.createDataFrame([(i, [*s, *s]) for i, s in sets.items()] + [(300, None)], "id long, bits array<int>")
+    wanted = sorted(((a, b, plain_tanimoto(sets[a], sets[b])) for a in sets for b in sets if a < b and sets[a] and sets[b] and plain_tanimoto(sets[a], sets[b]) >= least), key=repr)
+    assert wanted and values(fingerprints.similar_pairs(df, least)) == wanted
