@@ -37,6 +37,8 @@ HELD_OUT = 4
 ROUNDS, EXCHANGED, PARTS = 2, 0.2, 8
 #: Documents whose combined probability of good quality is below this are rejected.
 REJECT_BELOW = 0.5
+#: Bytes of text that a task takes apart at a time: it holds some fifty times as many.
+PART_BYTES = 1 << 20
 #: Shapes of a text, the steps that each is cut into, and the bits of a size class that goes with them.
 SHAPES, LEVELS = 7, 32
 #: Signs that prose has few of.
@@ -213,7 +215,7 @@ def _count_task(batches: Iterator[pa.RecordBatch], labels: Broadcast, views: Bro
     total = np.zeros(_TOTAL, np.int64)
     text, shapes, metas = _tables(total)
     for batch in batches:
-        for part in chunks(batch, limit=4 << 20):
+        for part in chunks(batch, limit=PART_BYTES):
             good, bad = labels.value.of(part)
             weight = np.where(good, PARTS, 0)
             known = {"text": (good | bad, weight), "meta": (good | bad, weight)}
@@ -256,9 +258,10 @@ _SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("key_a
 def _held_task(batches: Iterator[pa.RecordBatch], labels: Broadcast, views: Broadcast) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         mine = batch.filter(pa.array(labels.value.held(batch)))
-        for part in chunks(mine, limit=4 << 20):
+        for part in chunks(mine, limit=PART_BYTES):
             size = np.diff(column_bytes(part.column(1))[1])
             yield record(_SCORE_SCHEMA, [part.column(0), size, part.column(5).field(0), *views.value.scores(*views.value.places(part))])
+    release()
 
 
 def platt(scores: np.ndarray, good: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -327,10 +330,11 @@ _VERDICT_SCHEMA = pa.schema([("key", KEY_TYPE), ("doc_id", pa.int64()), ("text_p
 def _verdict_task(batches: Iterator[pa.RecordBatch], views: Broadcast, least: float) -> Iterator[pa.RecordBatch]:
     model = views.value
     for batch in batches:
-        for part in chunks(batch, limit=4 << 20):
+        for part in chunks(batch, limit=PART_BYTES):
             odds = model.odds(*model.scores(*model.places(part)))
             both = model.combined(odds)
             yield record(_VERDICT_SCHEMA, [part.column(5), part.column(0), probability(odds["text"]), probability(odds["meta"]), both, both >= least])
+    release()
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, reject_below: float = REJECT_BELOW) -> DataFrame:
@@ -367,8 +371,9 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             inputs = [pa.nulls(batch.num_rows) if i is None else batch.column(i) for i in wanted]
             view = pa.RecordBatch.from_arrays(inputs, names=["doc_id", "text", "source", "lang", "n_chars"])
             model = views.value
-            keep = [model.combined(model.odds(*model.scores(*model.places(part)))) >= REJECT_BELOW for part in chunks(view, limit=4 << 20)]
+            keep = [model.combined(model.odds(*model.scores(*model.places(part)))) >= REJECT_BELOW for part in chunks(view, limit=PART_BYTES)]
             kept = batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
             yield pa.RecordBatch.from_arrays(kept.columns, schema=schema)
+        release()
 
     return docs.mapInArrow(task, docs.schema)
