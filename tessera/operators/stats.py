@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,57 @@ def two_sided_p(z: Column) -> Column:
     return p(z)
 
 
+#: Fixed value: the exact Kolmogorov-Smirnov p-value is worked out up to so many rows of the larger class.
+EXACT_KS = 10_000
+
+
+def exact_ks_p(ks: float, n1: int, n0: int) -> float:
+    """The chance that two samples of these sizes differ by ks or more, all orders of their rows being equally likely.
+
+    An order is a lattice path; paths that leave the band of smaller gaps are counted at the
+    step with which they first do, times the ways to go on from there. Counts are kept as
+    shares of the largest of their row, with its logarithm beside them.
+    """
+    m, n = sorted((int(n1), int(n0)))
+    most = int(np.ceil(ks * m * n - 1e-6)) - 1  # the largest gap inside, in steps of 1 / (m n)
+    if most < 0:
+        return 1.0
+    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, m + n + 1)))))
+    ways = lambda a, b: log_factorial[a + b] - log_factorial[a] - log_factorial[b]
+    total, out, scale = ways(m, n), 0.0, 0.0
+    low, row = 0, np.ones(min(n, most // m) + 1)
+    for i in range(m + 1):
+        if i:
+            new_low, new_high = max(0, -((most - i * n) // m)), min(n, (i * n + most) // m)
+            left = np.arange(low, min(new_low, low + len(row)))  # these leave with the step to row i
+            if len(left):
+                with np.errstate(divide="ignore"):
+                    out += np.exp(np.log(row[: len(left)]) + scale + ways(m - i, n - left) - total).sum()
+            inside = np.zeros(max(0, new_high - new_low + 1))
+            kept = row[new_low - low :][: len(inside)]
+            inside[: len(kept)] = kept
+            row, low = np.cumsum(inside), new_low
+            if not len(row) or not row[-1]:  # no path has stayed inside
+                break
+            scale += np.log(row[-1])
+            row /= row[-1]
+        high = low + len(row) - 1
+        if high < n:  # the step along the row to high + 1 leaves
+            out += np.exp(np.log(row[-1]) + scale + ways(m - i, n - high - 1) - total)
+    return float(min(1.0, out))
+
+
+def ks_p_value(ks: Column, n1: Column, n0: Column) -> Column:
+    """The exact p-value of a Kolmogorov-Smirnov gap, vectorised over features; null where a class has over EXACT_KS rows or none."""
+
+    @F.pandas_udf("double")
+    def p(gap: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a > 0) & (b > 0) & (np.maximum(a, b) <= EXACT_KS) & gap.notna()
+        return pd.Series([exact_ks_p(*x) if ok else None for ok, x in zip(known, zip(gap, a, b, strict=True), strict=True)], dtype=float)
+
+    return p(ks, n1, n0)
+
+
 def average_precision(rows: DataFrame, keys: list[str], value: str = "v", label: str = "y") -> DataFrame:
     """Per key: step-wise average precision, prevalence and their ratio."""
     counts = value_counts(rows, keys, value, label).withColumn("__value", F.col(value))

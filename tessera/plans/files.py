@@ -9,7 +9,7 @@ from tessera.functions.columns import n_rows
 from tessera.operators import contracts
 from tessera.plans.registry import ASSOC, NEIGHBOURS, TARGETS, Tables, query
 from tessera.session import materialise, new_folder
-from tessera.sources import arrays, text_lists
+from tessera.sources import arrays, commits, inferred, line_files, text_lists
 from tessera.streaming import scoring
 
 
@@ -54,12 +54,78 @@ def npy_round_trip(t: Tables) -> DataFrame:
     return back.select(F.col("key").alias("vec_id"), F.size("vector").alias("dimension"), value(1).alias("first"), value(-1).alias("last"))
 
 
-@query("SELECT view_name || '.parquet' AS path, CASE WHEN view_name IN ('documents', 'pages', 'conversations', 'benchmark') THEN 'text' WHEN view_name LIKE 'embed%' THEN 'vectors' WHEN view_name LIKE '%item%' OR view_name LIKE 'order%' THEN 'facts' ELSE 'other' END AS file_kind FROM duckdb_views() WHERE NOT internal")
+@query("SELECT 'segment=' || c_mktsegment AS folder, 'facts' AS file_kind, CAST(1 AS BIGINT) AS n_files FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'region=' || r_regionkey, 'lists', 1 FROM region UNION ALL SELECT DISTINCT 'status=' || o_orderstatus, 'other', 1 FROM orders")
 def discover_files(t: Tables) -> DataFrame:
-    """The files of a folder by kind, told by their names."""
-    kinds = {"text": "^(documents|pages|conversations|benchmark)[.]", "vectors": "^embed", "facts": "item|^order"}
-    found = text_lists.classified(text_lists.discover(t.spark, t.sf_dir, "*.parquet"), kinds)
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), "file_kind")
+    """The files of a folder and all below it, by kind, told by their names; the folders are written from the tables, a file a value."""
+    folder = new_folder(t.spark, "discover")
+    t.read("customer").select(F.col("c_mktsegment").alias("segment"), "c_name").repartition("segment").write.partitionBy("segment").csv(f"{folder}/a")
+    t.read("region").select(F.col("r_regionkey").alias("region"), "r_name").repartition("region").write.partitionBy("region").text(f"{folder}/b")
+    t.read("orders").select(F.col("o_orderstatus").alias("status"), "o_custkey").repartition("status").write.partitionBy("status").json(f"{folder}/b/c")
+    found = text_lists.classified(text_lists.discover(t.spark, folder, "part-*"), {"facts": "[.]csv$", "lists": "[.]txt$"})
+    return found.groupBy(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), "file_kind").agg(n_rows().alias("n_files"))
+
+
+def _written_lines(t: Tables, rows: DataFrame, group: str, order: str) -> str:
+    """A folder with a text file for each value of group, its lines in the order of a column."""
+    folder = new_folder(t.spark, "lines")
+    rows.repartition(group).sortWithinPartitions(group, order).select(group, "line").write.partitionBy(group).text(folder)
+    return folder
+
+
+_EVENT_LINE = "CASE WHEN event_id % 11 = 0 THEN '# note' WHEN event_id % 11 = 1 THEN '' WHEN event_id % 11 = 2 THEN 'alone' WHEN event_id % 2 = 0 THEN {a} || chr(9) || event_type ELSE {a} || ' ' || event_type END"
+_NUMBERED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS line_no FROM (SELECT event_type, event_id, user_id % 3 AS lab, {_EVENT_LINE.format(a='CAST(user_id % 3 AS VARCHAR)')} AS line FROM events) e)"
+
+
+@query(f"SELECT event_type AS file, line_no, CASE WHEN line <> 'alone' AND lab < 2 THEN CAST(lab AS INTEGER) END AS label, CASE WHEN line <> 'alone' AND lab < 2 THEN event_type END AS structure, CASE WHEN line = 'alone' THEN 'two fields expected' WHEN lab > 1 THEN 'label is neither 0 nor 1' END AS error FROM {_NUMBERED} n WHERE line NOT IN ('', '# note')")
+def labelled_files(t: Tables) -> DataFrame:
+    """Lists of label and structure in a file an event type, read with line numbers, and the lines that are none."""
+    rows = t.read("events").select(F.col("event_type").alias("g"), "event_id", F.expr(_EVENT_LINE.format(a="user_id % 3")).alias("line"))
+    good, bad = line_files.labelled_list(t.spark, _written_lines(t, rows, "g", "event_id"))
+    both = good.withColumn("error", F.lit(None).cast("string")).unionByName(bad.drop("line"), allowMissingColumns=True)
+    return both.select(F.regexp_extract("file", "g=([^/]+)/", 1).alias("file"), "line_no", "label", "structure", "error")
+
+
+@query("SELECT CAST(l_suppkey % 5 AS VARCHAR) AS file, line_no, x, y, z FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_suppkey % 5 ORDER BY l_orderkey * 8 + l_linenumber, l_quantity, l_tax, l_discount) AS BIGINT) AS line_no, round(l_quantity, 3) AS x, round(l_tax, 3) AS y, round(l_discount, 3) AS z FROM lineitem) l WHERE (l_orderkey * 8 + l_linenumber) % 2 = 0")
+def atom_files(t: Tables) -> DataFrame:
+    """ATOM records of several structure files, with the lines that they stand on."""
+    number8 = lambda c: F.lpad(F.format_string("%.3f", F.col(c)), 8, " ")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    line = F.concat(F.when(key % 2 == 0, "ATOM  ").otherwise("REMARK"), F.rpad(key.cast("string"), 24, " "), number8("l_quantity"), number8("l_tax"), number8("l_discount"))
+    rows = t.read("lineitem").select((F.col("l_suppkey") % 5).alias("g"), F.struct(key.alias("key"), "l_quantity", "l_tax", "l_discount").alias("at"), line.alias("line"))
+    found = line_files.atom_records(t.spark, _written_lines(t, rows, "g", "at"))
+    return found.select(F.regexp_extract("file", "g=([^/]+)/", 1).alias("file"), "line_no", "x", "y", "z")
+
+
+@query(f"SELECT CAST(target_id AS VARCHAR) AS id, CAST(count(*) AS BIGINT) AS n_lines, min(line_no) AS first_line FROM (SELECT target_id, g, row_number() OVER (PARTITION BY g ORDER BY pos, target_id) AS line_no FROM (SELECT l_partkey AS target_id, l_suppkey % 7 AS g, l_orderkey * 8 + l_linenumber AS pos FROM lineitem) l) n WHERE g <> 3 AND target_id NOT IN (SELECT target_id FROM {TARGETS} t) GROUP BY 1")
+def id_file_scan(t: Tables) -> DataFrame:
+    """Ids in the lines of several files but the one they come from, with the first line that mentions them."""
+    missing = t.associations.select("target_id").distinct().join(t.targets, "target_id", "left_anti").select(F.col("target_id").cast("string").alias("id"))
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rows = t.read("lineitem").select((F.col("l_suppkey") % 7).alias("g"), F.struct(key.alias("key"), "l_partkey").alias("at"), F.concat(F.lit("see ["), "l_partkey", F.lit("], not x"), "l_partkey").alias("line"))
+    folder = _written_lines(t, rows, "g", "at")
+    found = line_files.id_scan(t.spark, folder, missing).filter(~F.col("file").contains("/g=3/"))
+    return found.groupBy("id").agg(n_rows().alias("n_lines"), F.min("line_no").alias("first_line"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 3 = 0 END AS flag FROM orders")
+def inferred_scan(t: Tables) -> DataFrame:
+    """A tab-separated table, written as text and read back with the types that its values have."""
+    path = new_folder(t.spark, "inferred")
+    flag = F.when(F.col("o_orderkey") % 4 == 0, F.lit("N/A")).otherwise((F.col("o_orderkey") % 3 == 0).cast("string"))
+    text_lists.write_tsv(t.read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", flag.alias("flag")), path)
+    found = inferred.read_inferred(t.spark, path)
+    return found.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+@query("SELECT * FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'), ('o_totalprice', 'double'), ('o_orderdate', 'timestamp'), ('mixed', 'string'), ('whole', 'double'), ('none', 'string')) AS v(\"column\", kind)")
+def inferred_kinds(t: Tables) -> DataFrame:
+    """The types found for the same table with a column of mixed values, one of whole and broken numbers, and one without values."""
+    path = new_folder(t.spark, "kinds")
+    mixed = F.when(F.col("o_orderkey") % 50 == 0, "none of them").otherwise(F.col("o_custkey").cast("string"))
+    whole = F.when(F.col("o_orderkey") % 2 == 0, "1.5").otherwise("7")
+    rows = t.read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", mixed.alias("mixed"), whole.alias("whole"), F.lit("NULL").alias("none"))
+    text_lists.write_tsv(rows, path)
+    return t.spark.createDataFrame(inferred.read_inferred(t.spark, path).dtypes, "column string, kind string")
 
 
 @query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS run FROM orders")
@@ -70,6 +136,17 @@ def resume_run(t: Tables) -> DataFrame:
     return done.unionByName(text_lists.resume(keys, done, "o_orderkey").withColumn("run", F.lit(2)))
 
 
+@query("SELECT o_orderkey, round(o_totalprice * 2, 2) AS doubled FROM orders")
+def chunked_run(t: Tables) -> DataFrame:
+    """Work in eight committed chunks, two of which fail at first; a second run does these alone, and all rows are there once."""
+    rows, folder = t.read("orders").select("o_orderkey", "o_totalprice"), new_folder(t.spark, "chunks")
+    work = lambda chunk: chunk.select("o_orderkey", F.round(F.col("o_totalprice") * 2, 2).alias("doubled"))
+    broken = F.when(F.pmod(F.xxhash64("o_orderkey"), F.lit(8)).isin(2, 5), F.raise_error(F.lit("broken off")).cast("double")).otherwise(F.col("o_totalprice"))
+    commits.run_chunks(rows, "o_orderkey", 8, lambda chunk: work(chunk.withColumn("o_totalprice", broken)), folder, attempts=1)
+    commits.run_chunks(rows, "o_orderkey", 8, work, folder)
+    return commits.results(t.spark, folder, 8)
+
+
 @query("SELECT n.n_name AS name, r.r_name AS structure FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey % 4 <> 3")
 def parse_named_lines(t: Tables) -> DataFrame:
     """A list of name and structure, with comments, blank lines and lines of one part only."""
@@ -103,23 +180,23 @@ def artifact_id_check(t: Tables) -> DataFrame:
     return text_lists.ids_in_artifact(orders, ids).union(text_lists.ids_in_artifact(notes, ids)).distinct()
 
 
-@query("SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+@query("SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, event_type, n FROM (SELECT time_bucket(INTERVAL '5 minutes', ts) AS w, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2) c WHERE w + INTERVAL '5 minutes' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM events)")
 def stream_event_rates(t: Tables) -> DataFrame:
-    """The events table as a stream: windowed counts under a watermark, read from its sink."""
-    name, checkpoint = "rates_" + new_folder(t.spark, "x").rpartition("-")[2], new_folder(t.spark, "checkpoint")
+    """The events table as a stream: counts of the windows that the watermark has passed, each written once and its state dropped."""
+    out, checkpoint = new_folder(t.spark, "rates"), new_folder(t.spark, "checkpoint")
     schema = t.read("events").schema
     arriving = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    scoring.event_rates(arriving).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
+    scoring.rates_stream(arriving, out, checkpoint).awaitTermination()
+    return scoring.batches(t.spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
 
 
 @query(f"SELECT query_id, neighbour_id, sim, rank FROM {NEIGHBOURS} n")
 def stream_scores(t: Tables) -> DataFrame:
-    """Vectors as a stream: each micro-batch gets its neighbours, which are appended to a table; the same rows as cosine_topk."""
+    """Vectors as a stream: each micro-batch gets its neighbours, in a folder of its own; the same rows as cosine_topk."""
     out, checkpoint = new_folder(t.spark, "scores"), new_folder(t.spark, "checkpoint")
     arriving = t.spark.readStream.schema(t.vectors.schema).parquet(f"{t.sf_dir}/embeddings*.parquet").filter("vec_id % 100 = 0")
-    scoring.score_stream(arriving, t.vectors, lambda rows, number: rows.write.mode("append").parquet(out), checkpoint).awaitTermination()
-    return t.spark.read.parquet(out)
+    scoring.score_stream(arriving, t.vectors, scoring.batch_folder(out), checkpoint).awaitTermination()
+    return scoring.batches(t.spark, out).drop("batch")
 
 
 # Contracts -------------------------------------------------------------------------------------

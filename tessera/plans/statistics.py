@@ -49,6 +49,14 @@ def ks_statistic(t: Tables) -> DataFrame:
     return _tested(t).select("feature", "train", r6(F.col("ks")).alias("ks"), "ks_at", r6(F.col("ks_p")).alias("ks_p"))
 
 
+@query()
+def ks_p_values(t: Tables) -> DataFrame:
+    """The p-value of the gap and the form it has: exact where both classes are small enough, else asymptotic."""
+    found = _tested(t).withColumn("exact", stats.ks_p_value(F.col("ks"), F.col("n1"), F.col("n0")))
+    method = F.when(F.col("exact").isNotNull(), "exact").otherwise("asymptotic")
+    return found.select("feature", "train", "n1", "n0", "ks", F.coalesce("exact", "ks_p").alias("p"), method.alias("method"))
+
+
 @query(f"SELECT feature, v, round(sum(n) OVER (PARTITION BY feature ORDER BY v) * 1e0 / sum(n) OVER (PARTITION BY feature), 6) AS share FROM (SELECT feature, v, count(*) AS n FROM {LONG} l GROUP BY 1, 2) c")
 def ecdf(t: Tables) -> DataFrame:
     counts = t.features.groupBy("feature", "v").agg(n_rows().alias("n")).withColumn("at", F.col("v"))
