@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import n_rows
-from tessera.operators import contracts
+from tessera.operators import contracts, features
 from tessera.plans.registry import ASSOC, NEIGHBOURS, TARGETS, Tables, query
 from tessera.session import materialise, new_folder
 from tessera.sources import arrays, commits, inferred, line_files, text_lists
@@ -202,49 +202,64 @@ def stream_scores(t: Tables) -> DataFrame:
 # Contracts -------------------------------------------------------------------------------------
 
 
-def _catalog(table: str) -> str:
-    return f"(SELECT column_name, data_type, column_index FROM duckdb_columns() WHERE table_name = '{table}')"
+def _customer_file(t: Tables, header: list[str]) -> DataFrame:
+    """Four columns of customers, written as a tab-separated file with that header and read by it, all strings."""
+    path = new_folder(t.spark, "customers")
+    text_lists.write_tsv(t.read("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").toDF(*header), path)
+    return t.spark.read.csv(path, sep="\t", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-@query(f"SELECT column_name AS \"column\", CAST(column_index - 1 AS INTEGER) AS place FROM {_catalog('customer')} c")
+_HEADER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer")
 def trimmed_headers(t: Tables) -> DataFrame:
-    padded = t.read("customer")
-    padded = padded.toDF(*[f"  {c}\t" for c in padded.columns])
-    found = contracts.trim_headers(padded)
-    return t.spark.createDataFrame(list(enumerate(found.columns)), "place int, column string")
+    """The rows of a file whose header is padded, by the trimmed names."""
+    return contracts.trim_headers(_customer_file(t, ["  c_custkey", "c_name  ", " c_nationkey ", "c_mktsegment"])).select(*_HEADER)
 
 
-@query(f"SELECT column_name AS \"column\", CAST(row_number() OVER (ORDER BY CASE column_name WHEN 'c_name' THEN 0 WHEN 'c_acctbal' THEN 1 ELSE 2 END, column_index) - 1 AS INTEGER) AS place FROM {_catalog('customer')} c")
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name || '|' || c_nationkey || '|' || c_custkey || '|' || c_mktsegment AS line FROM customer")
 def priority_order(t: Tables) -> DataFrame:
-    found = contracts.priority_columns(t.read("customer"), ["c_name", "nowhere", "c_acctbal"])
-    return t.spark.createDataFrame(list(enumerate(found.columns)), "place int, column string")
+    """The fields of a file's rows with the named columns first; a name that is not there is passed over."""
+    found = contracts.priority_columns(_customer_file(t, _HEADER), ["c_name", "nowhere", "c_nationkey"])
+    return found.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.concat_ws("|", *found.columns).alias("line"))
 
 
-@query(f"SELECT wanted FROM (SELECT unnest(['c_custkey', 'c_phone', 'c_name', 'c_comment']) AS wanted) w WHERE wanted NOT IN (SELECT column_name FROM {_catalog('customer')} c)")
+@query("SELECT wanted, (SELECT CAST(count(*) AS BIGINT) FROM customer) AS n_rows FROM (VALUES ('c_phone'), ('c_comment')) AS v(wanted)")
 def missing_columns(t: Tables) -> DataFrame:
-    """What a required-column contract finds missing; require_columns() raises with these."""
-    return t.spark.createDataFrame([(c,) for c in contracts.missing_columns(t.read("customer"), ["c_custkey", "c_phone", "c_name", "c_comment"])], "wanted string")
+    """What a required-column contract finds missing in a file, and how many rows lack it; require_columns() raises with these."""
+    rows = _customer_file(t, _HEADER)
+    wanted = contracts.missing_columns(rows, ["c_custkey", "c_phone", "c_name", "c_comment"])
+    return rows.agg(n_rows().alias("n_rows")).select(F.explode(F.array(*map(F.lit, wanted))).alias("wanted"), "n_rows")
 
 
-@query(f"""SELECT wanted, (SELECT column_name FROM {_catalog('customer')} c WHERE column_name = wanted OR lower(column_name) = lower(wanted) OR contains(column_name, lower(wanted)) ORDER BY (column_name = wanted) DESC, (lower(column_name) = lower(wanted)) DESC, column_index LIMIT 1) AS found FROM (SELECT unnest(['c_name', 'C_ACCTBAL', 'segment', 'price']) AS wanted) w""")
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment FROM customer")
 def resolved_columns(t: Tables) -> DataFrame:
-    """Columns by exact name, by name in any case, by containing the words, or not at all."""
-    columns = t.read("customer").columns
-    return t.spark.createDataFrame([(w, contracts.find_column(columns, [w], required=False)) for w in ("c_name", "C_ACCTBAL", "segment", "price")], "wanted string, found string")
+    """The rows of a file by columns found by their exact name, by name in any case, and by containing the words; a price is nowhere."""
+    rows = _customer_file(t, ["C_CustKey", "c_name", "customer nation key", "mkt_segment"])
+    at = lambda *names: F.col(f"`{contracts.find_column(rows.columns, list(names))}`")
+    none = contracts.find_column(rows.columns, ["price"], required=False)
+    found = rows.select(at("c_custkey").cast("long").alias("id"), at("label", "c_name").alias("name"), at("nation_key").cast("long").alias("nation"), at("segment").alias("segment"))
+    return found.filter(F.lit(none).isNull())
+
+
+_NUMERIC = {"l_linenumber": "l_linenumber", "l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "l_discount", "l_tax": "l_tax"}
 
 
-@query(f"SELECT column_name AS predictor FROM {_catalog('lineitem')} c WHERE data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') AND column_name NOT IN ('l_orderkey', 'l_partkey', 'l_suppkey')")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS predictor, round(avg({c}), 4) AS mean FROM lineitem" for c in _NUMERIC))
 def allowed_predictors(t: Tables) -> DataFrame:
-    """Numeric columns with a finite value that are neither identifiers nor forbidden by name."""
+    """Numeric columns with a finite value that are neither identifiers nor forbidden by name, and their means."""
     rows = t.read("lineitem").withColumn("empty", F.lit(None).cast("double")).withColumn("broken", F.lit(float("nan")))
-    return t.spark.createDataFrame([(c,) for c in contracts.usable_predictors(rows, ["L_OrderKey", "l_partkey", "l_suppkey"])], "predictor string")
+    kept = contracts.usable_predictors(rows, ["L_OrderKey", "l_partkey", "l_suppkey"])
+    return features.column_summary(rows, kept, mean=lambda c: F.round(F.avg(c), 4)).select(F.col("feature").alias("predictor"), "mean")
 
 
-@query(f"SELECT column_name AS \"column\", CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS expected, CASE column_name WHEN 'c_acctbal' THEN 'TYPE' WHEN 'c_name' THEN 'MISSING' ELSE 'OK' END AS state FROM {_catalog('customer')} c")
+@query("SELECT * FROM (VALUES ('c_custkey', 'bigint', 'OK'), ('c_name', 'string', 'MISSING'), ('c_nationkey', 'bigint', 'TYPE'), ('c_mktsegment', 'string', 'OK'), ('extra', NULL, 'EXTRA')) AS v(\"column\", expected, state), (SELECT CAST(count(*) AS BIGINT) AS n_rows FROM customer) n")
 def locked_schema(t: Tables) -> DataFrame:
-    """A table against its locked schema: one column is missing, one has another type."""
-    locked = dict(t.read("customer").dtypes)
-    return contracts.schema_differences(t.read("customer").drop("c_name").withColumn("c_acctbal", F.col("c_acctbal").cast("string")), locked)
+    """A file against its locked schema: one column is missing, one has another type, one is more; and the rows that this concerns."""
+    rows = _customer_file(t, ["c_custkey", "extra", "c_nationkey", "c_mktsegment"]).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+    found = contracts.schema_differences(rows, {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "bigint", "c_mktsegment": "string"})
+    return found.join(F.broadcast(rows.agg(n_rows().alias("n_rows"))))
 
 
 @query("SELECT CAST(count(*) FILTER (WHERE s = 'PASS') AS BIGINT) AS n_pass, CAST(count(*) FILTER (WHERE s = 'REVIEW') AS BIGINT) AS n_review, CAST(count(*) FILTER (WHERE s = 'FAIL') AS BIGINT) AS n_fail, CASE WHEN count(*) FILTER (WHERE s = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE s = 'REVIEW') > 0 THEN 'PASS_WITH_REVIEW' ELSE 'PASS' END AS verdict FROM (SELECT CASE WHEN avg(l_discount) > .051 THEN 'REVIEW' ELSE 'PASS' END AS s FROM lineitem GROUP BY l_suppkey) k")
