@@ -71,11 +71,15 @@ class Tables:
     def predictions(self) -> DataFrame:
         return self.read("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), "l_suppkey", "l_partkey", F.round(F.col("l_discount") * 8 + F.col("l_tax"), 6).alias("p"), (F.col("l_quantity") > 25).cast("int").alias("y"))
 
+    @cached_property
+    def wide_features(self) -> DataFrame:
+        """y, train and a column a feature."""
+        return self.read("lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp")).alias("train"), F.col("l_quantity").alias("quantity"), F.round("l_extendedprice", 0).alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+
     @cached_property
     def features(self) -> DataFrame:
         """Long form: feature, v, y, train."""
-        wide = self.read("lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp")).alias("train"), F.col("l_quantity").alias("quantity"), F.round("l_extendedprice", 0).alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-        return wide.unpivot(["y", "train"], list(FEATURES), "feature", "v")
+        return self.wide_features.unpivot(["y", "train"], list(FEATURES), "feature", "v")
 
     @cached_property
     def vectors(self) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import finite, n_rows
-from tessera.operators import contracts, features, structures
-from tessera.plans.registry import LONG, Tables, query
+from tessera.operators import contracts, features, heavy, structures
+from tessera.plans.registry import FEATURES, LONG, Tables, query
 
 r6 = lambda c: F.round(c, 6)
 
@@ -97,18 +97,25 @@ def correlation_screen(t: Tables) -> DataFrame:
 _DOMINANT = f"""(SELECT feature, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_distinct, max(CASE WHEN place = 1 THEN n END) AS n1, max(CASE WHEN place = 2 THEN n END) AS n2 FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, v) AS place FROM (SELECT feature, v, count(*) AS n FROM {LONG} l WHERE train GROUP BY 1, 2) c) p GROUP BY 1)"""
 
 
-@query(f"SELECT feature, n_distinct, round(n1 * 1e0 / n, 6) AS dominant_share, round(n1 * 1e0 / n2, 6) AS frequency_ratio, n1 * 1e0 / n >= .95 AND n1 * 1e0 / n2 >= 19 AS near_zero_variance FROM {_DOMINANT} d")
+def _shares(t: Tables) -> DataFrame:
+    """The most common values of the wide features' train rows, their share and its ratio to the next."""
+    found = heavy.dominant_values(t.wide_features.filter("train"), list(FEATURES))
+    n = F.col("n_first").cast("double")
+    return found.withColumns({"dominant_share": n / F.col("n"), "frequency_ratio": F.try_divide(n, F.col("n_second").cast("double"))})
+
+
+@query(f"SELECT feature, CASE WHEN n_distinct <= 64 THEN n_distinct END AS n_distinct, round(n1 * 1e0 / n, 6) AS dominant_share, round(n1 * 1e0 / n2, 6) AS frequency_ratio, n1 * 1e0 / n >= .95 AND n1 * 1e0 / n2 >= 19 AS near_zero_variance FROM {_DOMINANT} d")
 def near_zero_variance(t: Tables) -> DataFrame:
-    found = features.dominance(t.features.filter("train").select("feature", "v"))
+    """Distinct values are counted as far as they matter, to 64."""
     flag = (F.col("dominant_share") >= 0.95) & (F.col("frequency_ratio") >= 19)
-    return found.select("feature", "n_distinct", r6(F.col("dominant_share")).alias("dominant_share"), r6(F.col("frequency_ratio")).alias("frequency_ratio"), flag.alias("near_zero_variance"))
+    return _shares(t).select("feature", "n_distinct", r6(F.col("dominant_share")).alias("dominant_share"), r6(F.col("frequency_ratio")).alias("frequency_ratio"), flag.alias("near_zero_variance"))
 
 
 @query(f"SELECT feature, CASE WHEN n_distinct = 1 OR n1 * 1e0 / n >= .999 THEN 'REMOVE' WHEN n1 * 1e0 / n >= .1 THEN 'REVIEW' ELSE 'KEEP' END AS decision FROM {_DOMINANT} d")
 def nzv_decision(t: Tables) -> DataFrame:
     share = F.col("dominant_share")
     decision = F.when((F.col("n_distinct") == 1) | (share >= 0.999), "REMOVE").when(share >= 0.1, "REVIEW").otherwise("KEEP")
-    return features.dominance(t.features.filter("train").select("feature", "v")).select("feature", decision.alias("decision"))
+    return _shares(t).select("feature", decision.alias("decision"))
 
 
 @query(f"SELECT v, CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS n_active, round(avg(y), 6) AS active_share FROM {LONG} l WHERE feature = 'discount' AND train GROUP BY 1")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators import contracts, correlation, extra_trees, features, fingerprints, models, neighbour_index, ordered, resampling, similarity, stats, structures
+from tessera.operators import contracts, correlation, extra_trees, features, fingerprints, heavy, models, neighbour_index, ordered, resampling, similarity, stats, structures
 from tessera.sources import arrays, text_lists
 from tessera.streaming import scoring
 
@@ -561,3 +561,36 @@ def test_similar_fingerprint_pairs(spark, least):
     df = spark.createDataFrame([(i, [*s, *s]) for i, s in sets.items()] + [(300, None)], "id long, bits array<int>")
     wanted = sorted(((a, b, plain_tanimoto(sets[a], sets[b])) for a in sets for b in sets if a < b and sets[a] and sets[b] and plain_tanimoto(sets[a], sets[b]) >= least), key=repr)
     assert wanted and values(fingerprints.similar_pairs(df, least)) == wanted
+
+
+@pytest.mark.parametrize(("counters", "candidates"), [(64, 32), (4, 3), (1, 1)])
+def test_dominant_values_of_many_columns(spark, monkeypatch, counters, candidates):
+    """Against exact counts: few values, many, ties, missing and not finite ones, and columns that can't be told by counters."""
+    monkeypatch.setattr(heavy, "COUNTERS", counters)
+    monkeypatch.setattr(heavy, "CANDIDATES", candidates)
+    rng = random.Random(counters)
+    nan, inf = float("nan"), float("inf")
+    makers = {
+        "one": lambda: 3.0, "two": lambda: float(rng.random() < 0.3), "most": lambda: 0.0 if rng.random() < 0.97 else rng.random(), "flat": rng.random, "tie": lambda: float(rng.randint(0, 1)), "gone": lambda: rng.choice([None, None, nan, inf, 1.0]), "none": lambda: None,
+        "many": lambda: float(int(rng.paretovariate(0.7))), "zero": lambda: rng.choice([0.0, -0.0, 1.0]),
+    }
+    rows = [tuple(m() for m in makers.values()) for _ in range(700)]
+    rows += [(*r[:4], 1.0 - r[4], *r[5:]) for r in rows]  # both values of tie are there equally often
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in makers)).repartition(5)
+    got = {r["feature"]: r for r in heavy.dominant_values(df, list(makers)).collect()}
+    for i, c in enumerate(makers):
+        counts: dict = {}
+        for r in rows:
+            x = None if r[i] is None or not math.isfinite(r[i]) else r[i] + 0.0
+            counts[x] = counts.get(x, 0) + 1
+        top = sorted(counts.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or 0))
+        r = got[c]
+        assert (r["n"], r["dominant"], r["n_first"], r["n_second"]) == (1400, *top[0], top[1][1] if len(top) > 1 else None), c
+        assert r["n_distinct"] == (len(counts) if len(counts) <= counters else None), c
+
+
+def test_counters_undercount_by_no_more_than_their_error():
+    rng = np.random.default_rng(1)
+    values, counts = np.arange(50.0), rng.integers(1, 100, 50)
+    kept, left, off = heavy.lowered(values, counts, 8)
+    assert len(kept) <= 8 and (counts[kept.astype(int)] - left == off).all() and (np.delete(counts, kept.astype(int)) <= off).all()
