@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Symbols of metals that a status column tells.
+#: Symbols that PlainToolkit's metal flag looks for in a text; molecules.METALS has the whole set, for parsed atoms.
 METALS = ("Li", "Na", "Mg", "Al", "Ca", "Fe", "Co", "Ni", "Cu", "Zn", "Ag", "Pt", "Au", "Hg", "Pb")
 
 

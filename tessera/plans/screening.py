@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import finite, n_rows
-from tessera.operators import contracts, features, heavy, structures
+from tessera.operators import contracts, features, heavy, molecules, structures
 from tessera.plans.registry import FEATURES, LONG, Tables, query
+from tessera.session import materialise
 
 r6 = lambda c: F.round(c, 6)
 
@@ -232,3 +233,53 @@ def structure_overlap(t: Tables) -> DataFrame:
     """Structures on both sides of a split by row: a warning, not an error."""
     rows = t.read("documents").select("doc_id", F.md5("text").alias("structure"))
     return rows.filter("doc_id % 5 <> 0").select("structure").intersect(rows.filter("doc_id % 5 = 0").select("structure"))
+
+
+# Structures as graphs ----------------------------------------------------------------------
+
+#: Structures made from orders: an atom a line, bonds between lines that follow each other, and one from the last to the first of three or more.
+_ATOMS = "(SELECT l_orderkey AS structure, l_linenumber AS atom, min(l_returnflag || l_linestatus) AS label, CASE WHEN min(l_quantity) > 25 THEN '2.0' ELSE '1.0' END AS bond FROM lineitem GROUP BY 1, 2)"
+_BONDS = f"(SELECT structure, atom AS a, nxt AS b, bond FROM (SELECT *, lead(atom) OVER (PARTITION BY structure ORDER BY atom) AS nxt FROM {_ATOMS} a) x WHERE nxt IS NOT NULL UNION ALL SELECT structure, max(atom), min(atom), '1.0' FROM {_ATOMS} a GROUP BY 1 HAVING count(*) > 2)"
+_ROUND = "{new} AS (SELECT c.structure, c.atom, md5(c.colour || ':' || coalesce(string_agg(n.bond || o.colour, ',' ORDER BY n.bond || o.colour), '')) AS colour FROM {old} c LEFT JOIN near n ON n.structure = c.structure AND n.atom = c.atom LEFT JOIN {old} o ON o.structure = n.structure AND o.atom = n.other GROUP BY c.structure, c.atom, c.colour)"
+_COLOURS = f"WITH near AS MATERIALIZED (SELECT structure, a AS atom, b AS other, bond FROM {_BONDS} b UNION ALL SELECT structure, b, a, bond FROM {_BONDS} b), c0 AS MATERIALIZED (SELECT structure, atom, md5(label) AS colour FROM {_ATOMS} a), " + _ROUND.format(new="c1", old="c0") + ", " + _ROUND.format(new="c2", old="c1")
+
+
+def _graphs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    bond = F.when(F.min("l_quantity") > 25, "2.0").otherwise("1.0")
+    atoms = t.read("lineitem").groupBy(F.col("l_orderkey").alias("structure"), F.col("l_linenumber").alias("atom")).agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("label"), bond.alias("bond"))
+    atoms = materialise(atoms, "atoms")
+    row = Window.partitionBy("structure").orderBy("atom")
+    chain = atoms.withColumn("b", F.lead("atom").over(row)).filter("b IS NOT NULL").select("structure", F.col("atom").alias("a"), "b", "bond")
+    ring = atoms.groupBy("structure").agg(F.max("atom").alias("a"), F.min("atom").alias("b"), n_rows().alias("n")).filter("n > 2").select("structure", "a", "b", F.lit("1.0").alias("bond"))
+    return atoms, chain.unionByName(ring)
+
+
+@query(f"{_COLOURS} SELECT structure, CAST(count(*) AS BIGINT) AS n_atoms, md5(string_agg(colour, ',' ORDER BY colour)) AS class FROM c2 GROUP BY 1")
+def structure_classes(t: Tables) -> DataFrame:
+    """Classes of equal structures by two rounds of colour refinement."""
+    return molecules.classes(molecules.refined(*_graphs(t), 2)[-1])
+
+
+@query(f"{_COLOURS} SELECT structure, CAST(count(*) AS BIGINT) AS n_bits, CAST(sum(bit) AS BIGINT) AS bit_sum FROM (SELECT DISTINCT structure, CAST('0x' || substr(colour, 1, 8) AS BIGINT) % 2048 AS bit FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2) u) b GROUP BY 1")
+def circular_fingerprints(t: Tables) -> DataFrame:
+    """Number and sum of the bits of circular fingerprints of radius 2."""
+    found = molecules.circular_bits(molecules.refined(*_graphs(t), 2))
+    return found.select("structure", F.size("bits").cast("long").alias("n_bits"), F.aggregate("bits", F.lit(0).cast("long"), lambda s, b: s + b).alias("bit_sum"))
+
+
+@query(f"SELECT a.structure, n_atoms, coalesce(n_bonds, 0) AS n_bonds, n_ends, most_bonds, coalesce(n_bonds, 0) - n_atoms + 1 AS n_rings FROM (SELECT structure, CAST(count(*) AS BIGINT) AS n_atoms, CAST(count(*) FILTER (WHERE d = 1) AS BIGINT) AS n_ends, CAST(max(d) AS BIGINT) AS most_bonds FROM (SELECT a.structure, a.atom, (SELECT count(*) FROM {_BONDS} b WHERE b.structure = a.structure AND (b.a = a.atom OR b.b = a.atom)) AS d FROM {_ATOMS} a) x GROUP BY 1) a LEFT JOIN (SELECT structure, CAST(count(*) AS BIGINT) AS n_bonds FROM {_BONDS} b GROUP BY 1) n ON n.structure = a.structure")
+def graph_descriptors(t: Tables) -> DataFrame:
+    """Counts of atoms, bonds, ends and rings."""
+    found = molecules.graph_counts(*_graphs(t))
+    return found.withColumn("most_bonds", F.col("most_bonds").cast("long"))
+
+
+@query()
+def parsed_molecules(t: Tables) -> DataFrame:
+    """Line notations made from the parts' keys, a piece a digit, parsed into atoms and bonds; their composition and class."""
+    pieces = F.array(*map(F.lit, ("C", "N", "O", "(C)", "(=O)", "c1ccccc1", "C(N)", "S", "[Na+].C", "F")))
+    digits = F.filter(F.split(F.col("p_partkey").cast("string"), ""), lambda d: d != "")
+    text = F.concat(F.lit("C"), F.array_join(F.transform(digits, lambda d: F.get(pieces, d.cast("int"))), ""))
+    found = materialise(molecules.parsed(t.read("part").select(F.col("p_partkey").alias("id"), text.alias("structure"))), "parsed")
+    atoms, bonds = molecules.tables(found)
+    return found.select("structure", "error").join(molecules.composition(atoms), "structure", "left").join(molecules.classes(molecules.refined(atoms, bonds, 3)[-1]), "structure", "left")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators import contracts, correlation, extra_trees, features, fingerprints, heavy, models, neighbour_index, ordered, resampling, similarity, stats, structures
+from tessera.operators import contracts, correlation, extra_trees, features, fingerprints, heavy, models, molecules, neighbour_index, ordered, resampling, similarity, stats, structures
 from tessera.sources import arrays, text_lists
 from tessera.streaming import scoring
 
@@ -594,3 +594,51 @@ def test_counters_undercount_by_no_more_than_their_error():
     values, counts = np.arange(50.0), rng.integers(1, 100, 50)
     kept, left, off = heavy.lowered(values, counts, 8)
     assert len(kept) <= 8 and (counts[kept.astype(int)] - left == off).all() and (np.delete(counts, kept.astype(int)) <= off).all()
+
+
+def test_line_notations_are_parsed():
+    atoms, bonds = molecules.parse("CC(=O)Oc1ccccc1C(=O)O")
+    assert len(atoms) == 13 and len(bonds) == 13 and sum(a[3] for a in atoms) == 8  # C9H8O4
+    assert sum(b[2] == 1.5 for b in bonds) == 6 and sum(b[2] == 2.0 for b in bonds) == 2
+    assert molecules.parse("[13CH3][N+](=O)[O-]")[0] == [("C", False, 0, 3, 13), ("N", False, 1, 0, 0), ("O", False, 0, 0, 0), ("O", False, -1, 0, 0)]
+    assert molecules.parse("[Na+].[Cl-]")[1] == [] and molecules.parse("[Fe+++]")[0][0][2] == molecules.parse("[Fe+3]")[0][0][2] == 3
+    assert molecules.parse("C%12CC%12")[1] == [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0)] and molecules.parse("N[C@@H](C)C(=O)O")[0][1][:4] == ("C", False, 0, 1)
+    for bad in ("", "C(", "C)", "C1CC", "C==C", "=C", "X", "[Xx]", "C(C.C)C", "C11", "C-", "(C)"):
+        with pytest.raises(ValueError):
+            molecules.parse(bad)
+    assert len(molecules.METALS) == 2 + 3 + 13 + 14 + 29 and {"K", "Mn", "Cr", "Sn", "Bi"} <= set(molecules.METALS) and "Si" not in molecules.METALS
+
+
+def test_two_spellings_of_a_structure_meet(spark):
+    spellings = [
+        ("CCO", "OCC", "C(O)C", "[CH3][CH2][OH]"), ("CC(=O)Oc1ccccc1C(=O)O", "OC(=O)c1ccccc1OC(C)=O"), ("c1ccc2ccccc2c1", "c1cccc2c1cccc2"), ("C1CCCCC1C", "CC1CCCCC1"), ("COC",), ("CCN",), ("[Na+].[Cl-]", "[Cl-].[Na+]"), ("C1CC1", "C2CC2"), ("CCCC",), ("CC(C)C",), ("[Sn]",), ("not one",), (None,),
+    ]
+    rows = [(10 * i + k, text) for i, group in enumerate(spellings) for k, text in enumerate(group)]
+    found = molecules.parsed(spark.createDataFrame(rows, "id long, structure string"))
+    assert {r["structure"] for r in found.filter("error IS NOT NULL").collect()} == {110, 120}
+    atoms, bonds = molecules.tables(found)
+    colours = molecules.refined(atoms, bonds, 4)
+    of = {r["structure"]: r["class"] for r in molecules.classes(colours[-1]).collect()}
+    prints = {r["structure"]: tuple(r["bits"]) for r in molecules.circular_bits(colours[:3]).collect()}
+    for i, group in enumerate(spellings[:11]):
+        assert len({of[10 * i + k] for k in range(len(group))}) == len({prints[10 * i + k] for k in range(len(group))}) == 1
+    assert len(set(of.values())) == 11 == len(set(prints.values()))
+    made = {r["structure"]: r for r in molecules.composition(atoms).collect()}
+    assert made[0]["n_hetero"] == 1 and made[0]["hydrogens"] == 6 and made[60]["metal"] and made[100]["metal"] and not made[10]["metal"] and made[20]["n_aromatic"] == 10
+    counted = {r["structure"]: r for r in molecules.graph_counts(atoms, bonds, spark.createDataFrame([(60, 2), (61, 2)], "structure long, n_parts int")).collect()}
+    assert [counted[k]["n_rings"] for k in (0, 10, 20, 30, 60, 70, 100)] == [0, 1, 2, 1, 0, 1, 0] and counted[90]["most_bonds"] == 3 and counted[90]["n_ends"] == 3
+
+
+def test_groups_of_a_union_come_out_once(spark):
+    """Sides that are dealt alike, one of them much smaller, and a join after it: a group must not be in two rows."""
+    from tessera.session import materialise
+
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    rows = materialise(spark.range(3000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v")), "rows")
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+    from pyspark.sql import Window
+
+    chain = rows.withColumn("n", F.lead("v").over(Window.partitionBy("k").orderBy("v"))).filter("n IS NOT NULL").select("k", "v", "n")
+    ends = rows.groupBy("k").agg(F.max("v").alias("v"), F.min("v").alias("n"), F.count(F.lit(1)).alias("c")).filter("c > 2").select("k", "v", "n")
+    counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).join(chain.unionByName(ends).groupBy("k").agg(F.count(F.lit(1)).alias("links")), "k", "left")
+    assert counted.count() == len(counted.collect()) == 700
