@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tessera.llm import cotraining, decontaminate, mixing, pieces, pii, prefix_trie, quality_rules, resampling, sst, substring_dedup, suffix_tree, whole_token
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.oracles import ORACLE_SQL  # noqa: F401  (read by __spark_entry__)
+from tessera.session import plain_unions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return plain_unions(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer_file(name: str) -> str:
