@@ -19,10 +19,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.filters import contains, member_filter, pack, unpack
+from tessera.llm.filters import contains, filter_bits, member_filter, pack, unpack
 from tessera.llm.graph import components, spread_join
-from tessera.llm.plan import KEY, KEY_TYPE, bucket_count, forget, join_blobs, key_arrays, keyed, materialise, record, release
-from tessera.llm.text import Words, chunks, column_bytes, mix, shingles
+from tessera.llm.plan import KEY, KEY_TYPE, bucket_count, forget, join_blobs, key_arrays, keyed, materialise, record, release, text_bytes
+from tessera.llm.text import Words, chunks, column_bytes, mix, no_wider, shingles
 
 #: Slots of the table that orders shingles by how common they are, and rows it travels in.
 SLOT_BITS, SLOT_ROWS = 22, 64
@@ -282,6 +282,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     Shingles are held as 64-bit hashes, equal sets are told by 128 bits. Other columns of
     docs are not read.
     """
+    no_wider(width)
     spark = docs.sparkSession
     rows = keyed(docs)
     buckets = bucket_count(docs)
@@ -302,7 +303,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     crowded = groups.filter("size > 1").select("gkey")
 
     wanted = classes.join(lists.select("gkey").union(crowded).distinct(), "gkey", "left_semi").select("cid")
-    bits = member_filter(wanted)
+    bits = member_filter(wanted, filter_bits(text_bytes(docs)))
     sets = materialise(rows.mapInArrow(lambda it: _sets_task(it, bits, width), "cid long, cid2 long, members binary"), "sets").dropDuplicates(["cid", "cid2"])
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -29,11 +29,17 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(size))
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """Buckets of a packed exchange: in proportion to the input up to EVEN_BUCKETS (160 GB), then to its root (400 MB of input a bucket at 100 TB)."""
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of the input: Catalyst's estimate, or where there is none the bytes of its texts."""
     size = estimated_bytes(docs)
     if size >= UNKNOWN_BYTES:  # not a plain scan: Catalyst can't tell
         size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    return size
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets of a packed exchange: in proportion to the input up to EVEN_BUCKETS (160 GB), then to its root (400 MB of input a bucket at 100 TB)."""
+    size = text_bytes(docs)
     by_size = math.ceil(size / BUCKET_BYTES)
     if by_size > EVEN_BUCKETS:
         by_size = math.ceil(math.sqrt(by_size * EVEN_BUCKETS))

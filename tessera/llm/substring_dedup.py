@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.filters import pack, partners, unpack
-from tessera.llm.plan import KEY, KEY_TYPE, bucket_count, forget, key_arrays, key_column, keyed, materialise, record, release
-from tessera.llm.text import Words, chunks, column_bytes
+from tessera.llm.filters import filter_bits, pack, partners, unpack
+from tessera.llm.plan import KEY, KEY_TYPE, bucket_count, forget, key_arrays, key_column, keyed, materialise, record, release, text_bytes
+from tessera.llm.text import Words, chunks, column_bytes, no_wider
 
 #: Words of a gram. A window of 35 words then holds 20 grams and picks one of them.
 GRAM = 16
@@ -268,17 +268,18 @@ def repeated_passages(docs: DataFrame, window: int = 35, gram: int = GRAM) -> Da
     doc_id is kept; an empty table gives no rows. Windows are held as 128-bit hashes.
     Other columns of docs are not read.
     """
-    rows, buckets = keyed(docs), bucket_count(docs)
+    no_wider(window)
+    rows, buckets, bits = keyed(docs), bucket_count(docs), filter_bits(text_bytes(docs))
     meet = lambda d, name, halves: materialise(d.groupBy("bucket").applyInArrow(lambda t: _repeats(t, buckets, halves), _MIXED), name)
     first = meet(rows.mapInArrow(lambda it: _seed_task(it, window, gram, buckets), _MIXED), "seeds", 1)
     gathered = lambda d: d.filter("kind = 2").select("bucket", "keys", "runs", "places").groupBy("bucket").applyInArrow(_by_document, f"key {KEY}, places binary")
     forget(docs.sparkSession)
     documents = first.filter("kind = 0").select("key", "doc_id", "n_words", "sha")
     seeds = gathered(first)
-    second = meet(partners(rows, seeds).mapInArrow(lambda it: _extend_task(it, window, gram, buckets), _MIXED), "windows", 2)
+    second = meet(partners(rows, seeds, bits).mapInArrow(lambda it: _extend_task(it, window, gram, buckets), _MIXED), "windows", 2)
     forget(docs.sparkSession)
     repeats = gathered(second)
-    removed = partners(rows, repeats).mapInArrow(lambda it: _remove_task(it, window), _REMOVED).dropDuplicates(["key"])
+    removed = partners(rows, repeats, bits).mapInArrow(lambda it: _remove_task(it, window), _REMOVED).dropDuplicates(["key"])
     joined = documents.alias("d").join(removed.alias("r"), "key", "left")
     return joined.select("key", "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("r.sha", "d.sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")).alias("spans"))
 

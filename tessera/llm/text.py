@@ -150,6 +150,15 @@ class Words:
         return mix((total[starts + width] - total[starts]) * powers(back, m)[starts] + np.asarray(width, np.uint64))
 
 
+#: Words of the widest run whose hash counts for it: longer ones of a certain make-up (Thue-Morse) would share both hashes.
+WIDEST = 256
+
+
+def no_wider(width: int) -> None:
+    if width > WIDEST:
+        raise ValueError(f"runs of {width} words are wider than {WIDEST}")
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18):
     """Row ranges of a batch with about limit bytes of text each, never less than a row."""
     _, at = column_bytes(batch.column(batch.schema.get_field_index(column)))

@@ -623,3 +623,25 @@ def test_cotraining_against_brute_force(spark, rounds):
         for name, value in zip(("text_probability", "meta_probability", "probability"), expected):
             assert math.isclose(found[name], value, rel_tol=1e-6, abs_tol=1e-9), (row[0], name)
         assert found["kept"] == (found["probability"] >= cotraining.REJECT_BELOW)
+
+
+def test_filters_grow_with_the_input_and_lose_nothing(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.llm import filters
+
+    assert [filters.filter_bits(n) for n in (0, 1 << 20, 1 << 30, 64 << 30, 100 << 40)] == [20, 20, 24, 30, 30]
+    ids = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 40_000)
+    others = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 20_000)
+    df = spark.createDataFrame([(int(x),) for x in ids], "a long").repartition(3)
+    for bits, most in ((20, 0.01), (22, 0.001)):
+        wanted = filters.member_filter(df, bits)
+        assert len(wanted.value) == 1 << bits - 3 and filters.contains(wanted, ids).all() and filters.contains(wanted, others).mean() < most
+    assert not filters.contains(filters.member_filter(df.limit(0), 20), ids).any()
+
+
+def test_wide_runs_are_refused(docs):
+    with pytest.raises(ValueError):
+        substring_dedup.repeated_passages(docs, window=257)
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_components(docs, width=300)
