@@ -645,3 +645,70 @@ def test_wide_runs_are_refused(docs):
         substring_dedup.repeated_passages(docs, window=257)
     with pytest.raises(ValueError):
         jaccard_join.jaccard_components(docs, width=300)
+
+
+def plain_span_model(texts):
+    """The whole weak-supervision model in plain Python: votes of all candidates one by one, EM in loops, logistic fit by gradient ascent."""
+    from collections import Counter
+
+    spans = [(kind, pii.votes(kind, t, a, b), pii.features(kind, t, a, b)) for t in texts if t for kind, a, b in pii.candidates(t, pii.base_spans(t))]
+    usual, model = ((0.65, 0.25, 0.1), (0.1, 0.25, 0.65)), {}
+    for kind in pii.ADDED:
+        rows = list(Counter(s[1:] for s in spans if s[0] == kind).items())
+        if not rows:
+            continue
+        total = sum(n for _, n in rows)
+        prior = [[[p / sum(side) * max(2.0, total / 100) for p in side] for side in pii.PRIORS.get(kind, {}).get(k, usual)] for k in range(5)]
+        rates = [[[p / sum(side) for p in side] for side in both] for both in prior]
+        share, posterior = 0.3, {}
+        for _ in range(100):
+            for key, _n in rows:
+                odds = math.log(share / (1 - share)) + sum(math.log(rates[k][1][v] / rates[k][0][v]) for k, v in enumerate(key[0]))
+                posterior[key] = 1 / (1 + math.exp(-max(-30, min(30, odds)))) if pii.YES in key[0] else 0.0
+            for k in range(5):
+                for truth in (0, 1):
+                    seen = [prior[k][truth][v] + sum(n * (posterior[key] if truth else 1 - posterior[key]) for key, n in rows if key[0][k] == v) for v in range(3)]
+                    rates[k][truth] = [x / sum(seen) for x in seen]
+            share = (sum(n * posterior[key] for key, n in rows) + 1) / (total + 2)
+        row = lambda key: [float(key[0][k] == v) for k in range(5) for v in (pii.NO, pii.YES)] + [float(key[1] // 8 == s) for s in range(8)] + [float(key[1] >> b & 1) for b in range(3)] + [1.0]
+        x, w = {key: row(key) for key, _ in rows}, [0.0] * 22
+        rate = 1 / (pii.RIDGE + 0.25 * sum(n * sum(a * a for a in x[key]) for key, n in rows))
+        speed, ahead = [0.0] * 22, w
+        for step in range(6000):  # accelerated ascent
+            slope = [-pii.RIDGE * a for a in ahead]
+            for key, n in rows:
+                p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x[key], ahead))))
+                for i, a in enumerate(x[key]):
+                    slope[i] += n * (posterior[key] - p) * a
+            new = [a + rate * g for a, g in zip(ahead, slope)]
+            speed, w = [b - a for a, b in zip(w, new)], new
+            ahead = [a + step / (step + 3) * v for a, v in zip(w, speed)]
+        model[kind] = lambda key, x=x, w=w: 1 / (1 + math.exp(-sum(a * b for a, b in zip(x[key], w)))) if pii.YES in key[0] else 0.0
+    return model
+
+
+def test_added_spans_against_a_plain_model(spark):
+    rng = random.Random(12)
+    texts = [data.prose(rng, 30) for _ in range(40)]
+    for i in range(0, 40, 2):
+        name = rng.choice(["Maria Lopez", "John Smith", "Anna Kramer", "Quentin Zabor"])
+        texts[i] += rng.choice([f" Mr. {name} came", f" call (212) 555-{i:02d}34 now", " call 115 911-1234", f" ssn 123-45-67{i:02d}", " part 078-05-1120", ' token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"', " IBAN GB29 NWBK 6016 1331 9268 19", " serial XX12 3456 7890 1234", f" {name} went", " http://x/abcdefghijklmnopqrstuvwxyz0123"])
+    model = plain_span_model(texts)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    added = 0
+    for i, text in rows:
+        base = pii.base_spans(text)
+        sure = [(k, a, b) for k, a, b in pii.candidates(text, base) if model[k]((pii.votes(k, text, a, b), pii.features(k, text, a, b))) > 0.5]
+        wanted = sorted([*base, *sure], key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in wanted), text
+        added += len(sure)
+    assert added >= 10
+
+
+def test_gazetteers_of_all_kinds():
+    vote = lambda kind, text: pii.votes(kind, text, 0, len(text))[2]
+    assert [vote("bank_account", x) for x in ("GB29 NWBK 6016 1331 9268 19", "GB29 NWBK 6016 1331 9268", "XX29 NWBK 6016 1331 9268 19")] == [pii.YES, pii.NO, pii.NO]
+    assert [vote("national_id", x) for x in ("123-45-6789", "078-05-1120", "880-45-6789")] == [pii.YES, pii.NO, pii.ABSTAIN]
+    assert [vote("local_phone", x) for x in ("(212) 555-1234", "800 555-1234", "211 555-1234", "295 555-1234")] == [pii.YES, pii.ABSTAIN, pii.NO, pii.NO]
+    assert [vote("person", x) for x in ("Maria Lopez", "Quentin Zabor")] == [pii.YES, pii.NO] and vote("secret", "ghp_abcdefghij0123456789") == pii.YES
