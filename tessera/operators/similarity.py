@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordered import top_per_key
-from tessera.session import new_folder
+from tessera.session import materialise, new_folder
 from tessera.sources.arrays import place
 
 #: Query vectors to a block, reference vectors that a task compares at a time, and queries to a tile of their product.
@@ -69,7 +69,8 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, key: str = "vec_id
     match nothing. The packing runs at once.
     """
     spark = queries.sparkSession
-    folder, rows = new_folder(spark, "queries"), queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    folder = new_folder(spark, "queries")
+    rows = materialise(queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL"), "asked")  # counted and packed
     blocks = max(1, math.ceil(1.1 * rows.count() / BLOCK))  # hashing fills blocks unevenly
     packed = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"), "id", "v").groupBy("block").applyInArrow(_pack, "block long, ids binary, vectors binary")
     packed.write.parquet(folder)

@@ -76,13 +76,18 @@ class Tables:
     @cached_property
     def wide_features(self) -> DataFrame:
         """y, train and a column a feature."""
-        return self.read("lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp")).alias("train"), F.col("l_quantity").alias("quantity"), F.round("l_extendedprice", 0).alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+        return self.read("lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp")).alias("train"), F.col("l_quantity").alias("quantity"), F.round("l_extendedprice", 0).alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_linenumber").alias("line"))
 
     @cached_property
     def features(self) -> DataFrame:
         """Long form: feature, v, y, train."""
         return self.wide_features.unpivot(["y", "train"], list(FEATURES), "feature", "v")
 
+    @cached_property
+    def line_features(self) -> DataFrame:
+        """Long form with a feature a line number."""
+        return self.wide_features.unpivot(["y", "train", "line"], list(FEATURES), "feature", "v").withColumn("feature", F.concat_ws("_", "feature", "line")).drop("line")
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self.read("embeddings")

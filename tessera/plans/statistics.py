@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import n_rows
+from tessera.functions.registered import register
 from tessera.operators import resampling, stats
 from tessera.operators.ordered import benjamini_hochberg, quantiles, running_sums, score_ranks, top_per_key
 from tessera.plans.registry import LONG, PREDICTIONS, Tables, query
@@ -177,12 +178,19 @@ def top_features_per_group(t: Tables) -> DataFrame:
     return top_per_key(t.read("part"), ["p_brand"], [F.desc("p_retailprice"), F.asc("p_partkey")], 25).select("p_brand", "p_partkey", "rank")
 
 
-@query("""SELECT DISTINCT p_partkey, p_brand FROM (SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_size % 3 <> 0) k WHERE r <= 10 UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size >= 48) u""")
+#: The same features, apart for each line number, so that a family has several.
+_LINES = LONG.replace("AS feature", "|| '_' || l_linenumber AS feature")
+_TESTED_LINES = f"(SELECT feature, split_part(feature, '_', 1) AS family, q, abs(2 * auc - 1) AS effect FROM {_Q.replace(LONG, _LINES)} q WHERE train)"
+
+
+@query(f"SELECT DISTINCT feature, family FROM (SELECT feature, family FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY round(effect, 9) DESC, feature) AS r FROM {_TESTED_LINES} s WHERE q <= .9) k WHERE r <= 3 UNION ALL SELECT feature, family FROM {_TESTED_LINES} s WHERE round(effect, 9) >= .02) u")
 def feature_shortlist(t: Tables) -> DataFrame:
-    """The ten best significant ones of each family, and all that are large enough, once each."""
-    part = t.read("part")
-    best = top_per_key(part.filter("p_size % 3 <> 0"), ["p_brand"], [F.desc("p_retailprice"), F.asc("p_partkey")], 10).select("p_partkey", "p_brand")
-    return best.unionByName(part.filter("p_size >= 48").select("p_partkey", "p_brand")).distinct()
+    """The three largest effects of each family that are significant (at a level that these features, nearly independent of the label, reach), and all that are large enough, once each."""
+    rows = t.line_features.filter("train").drop("train")
+    tested = stats.rank_statistics(rows, ["feature"]).withColumn("p", stats.two_sided_p(F.when(F.least("n1", "n0") >= stats.LEAST_CLASS, F.col("z"))))
+    found = benjamini_hochberg(tested, "p", "q").select("feature", F.split_part("feature", F.lit("_"), F.lit(1)).alias("family"), "q", F.round(F.abs("cliffs_delta"), 9).alias("effect"))
+    best = top_per_key(found.filter("q <= 0.9"), ["family"], [F.desc("effect"), F.asc("feature")], 3).select("feature", "family")
+    return best.unionByName(found.filter("effect >= 0.02").select("feature", "family")).distinct()
 
 
 @query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
@@ -213,3 +221,11 @@ _GRID = (0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1)
 def quantile_grid(t: Tables) -> DataFrame:
     grid = quantiles(t.read("lineitem").select("l_extendedprice"), [], "l_extendedprice", list(map(float, _GRID)))
     return grid.select(F.posexplode("q").alias("place", "value")).select("place", r6(F.col("value")).alias("value"))
+
+
+@query(f"SELECT l_linenumber AS half_steps, CAST(count(*) AS BIGINT) AS n, round({_ERFC.format(x='(l_linenumber / 2e0 / sqrt(2e0))')}, 6) AS p FROM lineitem GROUP BY 1")
+def sql_functions(t: Tables) -> DataFrame:
+    """A registered function called from SQL text, over a view of the rows."""
+    register(t.spark)
+    t.read("lineitem").groupBy("l_linenumber").agg(n_rows().alias("n")).createOrReplaceTempView("tessera_lines")
+    return t.spark.sql("SELECT l_linenumber AS half_steps, n, round(two_sided_p(l_linenumber / 2e0), 6) AS p FROM tessera_lines")

@@ -113,15 +113,14 @@ def ids_as_tokens(lines: DataFrame, ids: DataFrame, signs: str = LINE_SIGNS) ->
     a run of the line; an id with other characters inside is first met by its longest run,
     then looked for as a whole. No line meets all ids.
     """
-    rows = lines.withColumn("__line", F.monotonically_increasing_id())
-    tokens = rows.select("*", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"([{signs}]+)"), F.lit(1)))).alias("__token"))
+    tokens = lines.select("*", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"([{signs}]+)"), F.lit(1)))).alias("__token"))
     runs = F.regexp_extract_all("id", F.lit(f"([{signs}]+)"), F.lit(1))
     wanted = ids.select(F.trim("id").alias("id")).filter("id <> ''").distinct()
     longest = F.try_element_at(F.array_sort(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))), F.lit(-1))["r"]
     wanted = wanted.withColumn("__token", longest).filter("__token IS NOT NULL")
     quoted = F.concat(F.lit(f"(?<![{signs}])\\Q"), F.col("id"), F.lit(f"\\E(?![{signs}])"))
     met = tokens.join(wanted, "__token").filter((F.col("id") == F.col("__token")) | F.regexp_like("line", quoted))
-    return met.drop("__token", "__line")
+    return met.drop("__token")
 
 
 def source_scan(files: DataFrame, ids: DataFrame, origin: str) -> DataFrame:

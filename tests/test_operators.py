@@ -642,3 +642,13 @@ def test_groups_of_a_union_come_out_once(spark):
     ends = rows.groupBy("k").agg(F.max("v").alias("v"), F.min("v").alias("n"), F.count(F.lit(1)).alias("c")).filter("c > 2").select("k", "v", "n")
     counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).join(chain.unionByName(ends).groupBy("k").agg(F.count(F.lit(1)).alias("links")), "k", "left")
     assert counted.count() == len(counted.collect()) == 700
+
+
+def test_functions_for_sql(spark):
+    from tessera.functions import registered
+
+    assert registered.register(spark) == ["two_sided_p", "ks_exact_p", "structure_facts"]
+    one = spark.sql("SELECT two_sided_p(1.959963984540054D) AS p, two_sided_p(CAST(NULL AS DOUBLE)) AS none, ks_exact_p(1D, 3, 3) AS ks, ks_exact_p(1D, 20000, 3) AS large").first()
+    assert one["p"] == pytest.approx(0.05) and one["none"] is None and one["ks"] == pytest.approx(0.1) and one["large"] is None
+    facts = spark.sql("SELECT s.* FROM (SELECT structure_facts(x) AS s FROM VALUES ('[Na+].c1ccccc1'), ('no such'), (NULL) AS t(x))").collect()
+    assert [tuple(r) for r in facts] == [(7, 6, 1, 1, True), (None,) * 5, (None,) * 5]
