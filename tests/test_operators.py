@@ -633,7 +633,7 @@ def test_groups_of_a_union_come_out_once(spark):
     """Sides that are dealt alike, one of them much smaller, and a join after it: a group must not be in two rows."""
     from tessera.session import materialise
 
-    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    spark.conf.unset("spark.sql.unionOutputPartitioning")  # on, as Spark has it
     rows = materialise(spark.range(3000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v")), "rows")
     assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
     from pyspark.sql import Window
