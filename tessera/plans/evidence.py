@@ -403,6 +403,7 @@ _WANTED = f"(SELECT DISTINCT CASE WHEN target_id % 5 = 1 THEN ' ' || target_id |
 _KNOWN_IDS = f"(SELECT CAST(target_id AS VARCHAR) || CASE WHEN target_id % 5 = 1 THEN 'a' ELSE '' END AS id FROM {TARGETS} t UNION SELECT target_id || 'A' FROM {TARGETS} t WHERE target_id % 20 = 1)"
 
 
+#: The names of the five states of a resolution, below and in its SQL.
 @query(f"""SELECT w.raw_id, CASE WHEN e.id IS NOT NULL THEN 'MAPPED_IN_TARGET_TABLE' WHEN n.k = 1 THEN 'NORMALIZATION_ONLY_MATCH' WHEN n.k > 1 THEN 'UNMAPPED_NO_UNIQUE_ANNOTATION' WHEN s.id IS NOT NULL THEN 'UNMAPPED_BUT_FOUND_IN_OTHER_FILE' ELSE 'UNMAPPED_NO_ANNOTATION' END AS status, CASE WHEN e.id IS NOT NULL THEN e.id WHEN n.k = 1 THEN n.only_id END AS resolved_id
   FROM (SELECT DISTINCT raw_id FROM {_WANTED} x) w LEFT JOIN {_KNOWN_IDS} e ON w.raw_id = e.id LEFT JOIN (SELECT lower(trim(id)) AS norm, count(*) AS k, min(id) AS only_id FROM {_KNOWN_IDS} d GROUP BY 1) n ON lower(trim(w.raw_id)) = n.norm LEFT JOIN {_ELSEWHERE} s ON w.raw_id = s.id""")
 def resolution_ladder(t: Tables) -> DataFrame:

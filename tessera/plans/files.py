@@ -136,6 +136,21 @@ def resume_run(t: Tables) -> DataFrame:
     return done.unionByName(text_lists.resume(keys, done, "o_orderkey").withColumn("run", F.lit(2)))
 
 
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer WHERE c_custkey % 2 = 1")
+def replaced_output(t: Tables) -> DataFrame:
+    """An output that is written, replaced by another, and kept when a third write breaks off."""
+    path, rows = new_folder(t.spark, "output"), t.read("customer").select("c_custkey", "c_name")
+    put = lambda keep: commits.replace_output(t.spark, path, lambda folder: text_lists.write_tsv(rows.filter(keep), folder))
+    put("c_custkey % 2 = 0")
+    put("c_custkey % 2 = 1")
+    try:
+        put(F.raise_error(F.lit("broken off")).cast("boolean"))
+    except Exception as error:
+        if "broken off" not in str(error):
+            raise
+    return text_lists.read_tsv(t.spark, path, rows.columns).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
 @query("SELECT o_orderkey, round(o_totalprice * 2, 2) AS doubled FROM orders")
 def chunked_run(t: Tables) -> DataFrame:
     """Work in eight committed chunks, two of which fail at first; a second run does these alone, and all rows are there once."""

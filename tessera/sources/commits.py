@@ -64,3 +64,28 @@ def results(spark: SparkSession, folder: str, chunks: int) -> DataFrame:
     if missing:
         raise RuntimeError(f"{len(missing)} of {chunks} chunks are not committed: {missing[:20]}")
     return spark.read.parquet(*[f"{folder}/done/chunk-{n}" for n in range(chunks)])
+
+
+def replace_output(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Puts what write(folder) writes in the place of path: a reader finds the old output or the new one, whole.
+
+    It is written aside in the shared folder first; if that fails, the old output stays as
+    it is. Then the old one is moved away, the new one moved in, and the old one removed. A
+    process that ends between the moves leaves the old output beside path, ending in .before,
+    which the next call puts back or removes.
+    """
+    files, name = place(path)
+    before = f"{name}.before"
+    there = lambda n: files.get_file_info(n).type != pafs.FileType.NotFound
+    if there(before):
+        if there(name):
+            files.delete_dir(before)
+        else:
+            files.move(before, name)
+    aside = new_folder(spark, "aside")
+    write(aside)
+    if there(name):
+        files.move(name, before)
+    files.move(place(aside)[1], name)
+    if there(before):
+        files.delete_dir(before)

@@ -167,3 +167,25 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert arrive("2024-01-01 10:03:00", "2024-01-01 11:01:00", "2024-01-01 12:00:00") == 1  # 10:03 is too late
     found = scoring.batches(spark, out).select(F.date_format("window_start", "HH:mm"), "n")
     assert values(found) == [("10:00", 2), ("11:00", 2)]
+
+
+def test_outputs_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "out")
+    put = lambda n: commits.replace_output(spark, path, lambda folder: spark.range(n).write.parquet(folder))
+    put(3)
+    put(5)
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "out.before").exists()
+
+    def broken(folder):
+        spark.range(2).write.parquet(folder)
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        commits.replace_output(spark, path, broken)
+    assert spark.read.parquet(path).count() == 5
+    (tmp_path / "out").rename(tmp_path / "out.before")  # a process ended between the moves
+    with pytest.raises(ValueError):
+        commits.replace_output(spark, path, broken)
+    assert spark.read.parquet(path).count() == 5
+    put(1)
+    assert spark.read.parquet(path).count() == 1 and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
