@@ -16,8 +16,9 @@ from tessera.operators.ordered import top_per_key
 from tessera.session import materialise, new_folder
 from tessera.sources.arrays import place
 
-#: Query vectors to a block, reference vectors that a task compares at a time, and queries to a tile of their product.
-BLOCK, SLAB, TILE = 4096, 16_384, 256
+#: Query vectors to a block; bytes of reference vectors that a task compares at a time, each time going through all blocks; similarities
+#: to a tile of their product.
+BLOCK, SLAB_BYTES, TILE = 4096, 64 << 20, 4 << 20
 
 
 def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,9 +43,10 @@ def _pack(table: pa.Table) -> pa.Table:
 def _best(ids: np.ndarray, block: np.ndarray, own: np.ndarray, unit: np.ndarray, k: int, exclude_self: bool, digits: int) -> pa.RecordBatch:
     """The k best of some reference vectors for each query of a block, tile by tile."""
     out: list[list[np.ndarray]] = [[], [], []]
-    for low in range(0, len(ids), TILE):
-        sim = np.round(block[low : low + TILE] @ unit.T, digits)
-        mine = ids[low : low + TILE]
+    step = max(1, TILE // max(1, len(own)))
+    for low in range(0, len(ids), step):
+        sim = np.round(block[low : low + step] @ unit.T, digits)
+        mine = ids[low : low + step]
         if exclude_self:
             sim[mine[:, None] == own[None, :]] = -np.inf
         least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(sim), -np.inf)
@@ -63,7 +65,7 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, key: str = "vec_id
     """(query_id, neighbour_id, sim, rank): the k most similar reference vectors of every query.
 
     Queries are packed in blocks, which lie in the shared folder; a task goes through them for
-    each slab of its reference rows, a tile at a time, and sends on the k best of the slab, so
+    each slab of 64 MB of its reference vectors, a tile at a time, and sends on the k best of the slab, so
     that neither side passes the driver and memory depends on neither's size. Vectors have
     one dimension; ties in the rounded similarity go to the lower id; zero and null vectors
     match nothing. The packing runs at once.
@@ -93,7 +95,7 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, key: str = "vec_id
             kept, unit = _units(batch.column(1))
             if len(kept):
                 held.append((batch.column(0).to_numpy(zero_copy_only=False)[kept].astype(np.int64), unit))
-            if sum(len(h[0]) for h in held) >= SLAB:
+            if sum(h[1].nbytes for h in held) >= SLAB_BYTES:
                 yield from search()
                 held = []
         if held:

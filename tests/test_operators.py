@@ -349,7 +349,10 @@ def test_folds_are_stratified(spark):
     assert {(r["y"], r["n"]) for r in counts} == {(0, 37), (0, 36), (1, 5), (1, 4)}
 
 
-def test_nearest_in_blocks_and_slabs(spark):
+@pytest.mark.parametrize(("slab", "tile"), [(64 << 20, 4 << 20), (300, 50)])
+def test_nearest_in_blocks_and_slabs(spark, monkeypatch, slab, tile):
+    monkeypatch.setattr(similarity, "SLAB_BYTES", slab)
+    monkeypatch.setattr(similarity, "TILE", tile)
     rng = np.random.default_rng(3)
     rows = [(i, rng.integers(0, 3, 4).astype(float).tolist()) for i in range(180)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
