@@ -17,6 +17,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import n_rows
+
 #: Counters of a column in a task, and candidates of a column that are counted exactly.
 COUNTERS, CANDIDATES = 64, 32
 
@@ -70,6 +72,20 @@ def _exact_task(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterato
         yield pa.record_batch({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate((("c", pa.int32()), ("i", pa.int32()), ("n", pa.int64())))})
 
 
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, v): a row a cell; missing and not finite values are null, -0 is 0."""
+    return df.select(*[F.when(F.abs(F.col(f"`{c}`").cast("double")) < float("inf"), F.col(f"`{c}`").cast("double") + 0.0).alias(c) for c in columns]).unpivot([], [F.col(f"`{c}`") for c in columns], "feature", "v")
+
+
+def with_distinct(found: DataFrame, df: DataFrame) -> DataFrame:
+    """dominant_values() of df with all of n_distinct: columns of more than COUNTERS values are counted exactly, value by value. A name a column comes to the driver."""
+    open_ = [r["feature"] for r in found.filter("n_distinct IS NULL").select("feature").collect()]
+    if not open_:
+        return found
+    exact = _cells(df, open_).distinct().groupBy("feature").agg(n_rows().alias("__exact"))
+    return found.join(exact, "feature", "left").withColumn("n_distinct", F.coalesce("n_distinct", "__exact")).drop("__exact")
+
+
 def dominant_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, n, n_distinct, dominant, n_first, n_second) of numeric columns: the rows, the most common value (of equals the
     least, missing before all) and how often it and the next are there.
@@ -104,7 +120,7 @@ def dominant_values(df: DataFrame, columns: list[str]) -> DataFrame:
     settled = spark.createDataFrame(done, schema)
     if not open_:
         return settled
-    long = df.select(*[F.when(F.abs(F.col(f"`{c}`").cast("double")) < float("inf"), F.col(f"`{c}`").cast("double") + 0.0).alias(c) for c in open_]).unpivot([], [F.col(f"`{c}`") for c in open_], "feature", "v")
+    long = _cells(df, open_)
     others = dominance(long).select("feature", "n", F.when(F.col("n_distinct") <= COUNTERS, F.col("n_distinct")).alias("n_distinct"), "dominant", "n_first", "n_second")
     return settled.unionByName(others)
 

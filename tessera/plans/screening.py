@@ -105,11 +105,12 @@ def _shares(t: Tables) -> DataFrame:
     return found.withColumns({"dominant_share": n / F.col("n"), "frequency_ratio": F.try_divide(n, F.col("n_second").cast("double"))})
 
 
-@query(f"SELECT feature, CASE WHEN n_distinct <= 64 THEN n_distinct END AS n_distinct, round(n1 * 1e0 / n, 6) AS dominant_share, round(n1 * 1e0 / n2, 6) AS frequency_ratio, n1 * 1e0 / n >= .95 AND n1 * 1e0 / n2 >= 19 AS near_zero_variance FROM {_DOMINANT} d")
+@query(f"SELECT feature, n_distinct, round(n1 * 1e0 / n, 6) AS dominant_share, round(n1 * 1e0 / n2, 6) AS frequency_ratio, n1 * 1e0 / n >= .95 AND n1 * 1e0 / n2 >= 19 AS near_zero_variance FROM {_DOMINANT} d")
 def near_zero_variance(t: Tables) -> DataFrame:
-    """Distinct values are counted as far as they matter, to 64."""
+    """All distinct values are counted."""
     flag = (F.col("dominant_share") >= 0.95) & (F.col("frequency_ratio") >= 19)
-    return _shares(t).select("feature", "n_distinct", r6(F.col("dominant_share")).alias("dominant_share"), r6(F.col("frequency_ratio")).alias("frequency_ratio"), flag.alias("near_zero_variance"))
+    shares = heavy.with_distinct(_shares(t), t.wide_features.filter("train"))
+    return shares.select("feature", "n_distinct", r6(F.col("dominant_share")).alias("dominant_share"), r6(F.col("frequency_ratio")).alias("frequency_ratio"), flag.alias("near_zero_variance"))
 
 
 @query(f"SELECT feature, CASE WHEN n_distinct = 1 OR n1 * 1e0 / n >= .999 THEN 'REMOVE' WHEN n1 * 1e0 / n >= .1 THEN 'REVIEW' ELSE 'KEEP' END AS decision FROM {_DOMINANT} d")
