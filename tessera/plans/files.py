@@ -195,14 +195,17 @@ def artifact_id_check(t: Tables) -> DataFrame:
     return text_lists.ids_in_artifact(orders, ids).union(text_lists.ids_in_artifact(notes, ids)).distinct()
 
 
-@query("SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, event_type, n FROM (SELECT time_bucket(INTERVAL '5 minutes', ts) AS w, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2) c WHERE w + INTERVAL '5 minutes' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM events)")
+@query("SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def stream_event_rates(t: Tables) -> DataFrame:
-    """The events table as a stream: counts of the windows that the watermark has passed, each written once and its state dropped."""
+    """The events table as a stream: counts of all windows, those that the watermark has not passed too; a row that comes too late to be counted is an error."""
     out, checkpoint = new_folder(t.spark, "rates"), new_folder(t.spark, "checkpoint")
     schema = t.read("events").schema
     arriving = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    scoring.rates_stream(arriving, out, checkpoint).awaitTermination()
-    return scoring.batches(t.spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
+    query = scoring.rates_stream(arriving, out, checkpoint, mode="update")
+    query.awaitTermination()
+    if late := scoring.dropped_late(query):
+        raise contracts.ContractError(f"{late} rows came after the watermark had passed their window")
+    return scoring.latest_rates(t.spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
 
 
 @query(f"SELECT query_id, neighbour_id, sim, rank FROM {NEIGHBOURS} n")

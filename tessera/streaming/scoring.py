@@ -39,10 +39,15 @@ def event_rates(events: DataFrame, late: str = "10 minutes", width: str = "5 min
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rates_stream(events: DataFrame, folder: str, checkpoint: str, late: str = "10 minutes", width: str = "5 minutes") -> StreamingQuery:
-    """event_rates() in append mode into batch_folder(): a window is written once, when the watermark has passed it, and its state is dropped."""
+def rates_stream(events: DataFrame, folder: str, checkpoint: str, late: str = "10 minutes", width: str = "5 minutes", mode: str = "append") -> StreamingQuery:
+    """event_rates() into batch_folder(). In append mode a window is written once, when the watermark has passed it; in update mode with every batch that adds to it. Its state is dropped when the watermark has passed it."""
     rates = event_rates(events, late, width).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "event_type", "n")
-    return rates.writeStream.outputMode("append").foreachBatch(batch_folder(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rates.writeStream.outputMode(mode).foreachBatch(batch_folder(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """(window_start, window_end, event_type, n) of all windows that rates_stream() has written in update mode, open ones too: the count of the last batch that added to it."""
+    return batches(spark, folder).groupBy("window_start", "window_end", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 def dropped_late(query: StreamingQuery) -> int:
