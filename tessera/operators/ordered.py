@@ -57,7 +57,12 @@ def score_ranks(df: DataFrame, score: str, alias: str = "rank") -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, alias: str = "q_value") -> DataFrame:
-    """df with adjusted p-values; null p-values have none and don't count."""
+    """df with adjusted p-values; null p-values have none and don't count.
+
+    df is written down: its p-values meet their adjusted ones by equality, and sums of doubles
+    that are taken again may differ in their last bit.
+    """
+    df = materialise(df, "tested")
     counts = df.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running_sums(counts, [], p, {"__i": "__n"})
     total = counts.agg(F.sum("__n").alias("__m"))
