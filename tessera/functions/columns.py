@@ -123,6 +123,12 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.try_divide(ones(both).cast("double"), ones(either).cast("double"))
 
 
+def common_bits(a: list[Column], b: list[Column]) -> Column:
+    """Bits set in both of two rows of 64-bit words, which are columns; for joins that meet many pairs."""
+    each = [F.bit_count(x.bitwiseAND(y)) for x, y in zip(a, b, strict=True)]
+    return sum(each[1:], each[0])
+
+
 def packed_bits(places: Column, bits: int) -> Column:
     """Places of set bits (from 0, below bits) as 64-bit words, the lowest first; places beyond are ignored."""
     one = F.lit(1).cast("long")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import cosine, dimension, finite, n_rows, norm, packed_bits, similarity_band, tanimoto, unit, unpacked_bits
+from tessera.functions.columns import common_bits, cosine, dimension, finite, n_rows, norm, packed_bits, similarity_band, unit, unpacked_bits
 from tessera.operators import contracts, fingerprints, neighbour_index
 from tessera.operators.features import standardised
 from tessera.operators.ordered import top_per_key
@@ -137,10 +137,15 @@ _WORDS = "(SELECT p_partkey, p_brand, p_size, p_partkey * 2654435761 % 109951162
 @query(f"SELECT a.p_partkey AS a, b.p_partkey AS b, round((bit_count(a.w & b.w) + bit_count(a.u & b.u)) * 1e0 / (bit_count(a.w | b.w) + bit_count(a.u | b.u)), 6) AS tanimoto, CAST(bit_count(a.w) + bit_count(a.u) AS BIGINT) AS n_bits FROM {_WORDS} a JOIN {_WORDS} b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def tanimoto_bits(t: Tables) -> DataFrame:
     """Bit sets of two words, for all pairs of a group."""
-    bits = t.read("part").select("p_partkey", "p_brand", "p_size", F.array(F.expr("p_partkey * 2654435761 % 1099511627776 + 1"), F.expr("p_partkey * 40503 % 65536 * 97")).alias("w"))
-    one, two = bits.toDF("a", "p_brand", "p_size", "wa"), bits.toDF("b", "p_brand", "p_size", "wb")
-    ones = F.aggregate("wa", F.lit(0), lambda s, w: s + F.bit_count(w)).cast("long")
-    return one.join(two, ["p_brand", "p_size"]).filter("a < b").select("a", "b", r6(tanimoto(F.col("wa"), F.col("wb"))).alias("tanimoto"), ones.alias("n_bits"))
+    words = [F.expr("p_partkey * 2654435761 % 1099511627776 + 1"), F.expr("p_partkey * 40503 % 65536 * 97")]
+    bits = t.read("part").select("p_partkey", "p_brand", "p_size", *[w.alias(f"w{i}") for i, w in enumerate(words)])
+    bits = bits.withColumn("n", sum((F.bit_count(f"w{i}") for i in range(1, len(words))), F.bit_count("w0")))
+    # Few rows make very many pairs: the groups are dealt to all tasks, and a pair costs a few operations on numbers.
+    parts = max(200, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    one, two = (bits.toDF(x, "p_brand", "p_size", *[f"{x}{i}" for i in range(len(words))], f"n{x}").repartition(parts, "p_brand", "p_size") for x in "ab")
+    both = common_bits(*([F.col(f"{x}{i}") for i in range(len(words))] for x in "ab"))
+    pairs = one.join(two.hint("merge"), ["p_brand", "p_size"]).filter("a < b").select("a", "b", "na", "nb", both.cast("double").alias("both"))
+    return pairs.select("a", "b", r6(F.try_divide("both", F.col("na") + F.col("nb") - F.col("both"))).alias("tanimoto"), F.col("na").cast("long").alias("n_bits"))
 
 
 @query("SELECT p_partkey, CAST(p_size % 7 AS INTEGER) AS first_bit, CAST(64 + p_size AS INTEGER) AS last_bit FROM part")
