@@ -281,6 +281,10 @@ def parsed_molecules(t: Tables) -> DataFrame:
     pieces = F.array(*map(F.lit, ("C", "N", "O", "(C)", "(=O)", "c1ccccc1", "C(N)", "S", "[Na+].C", "F")))
     digits = F.filter(F.split(F.col("p_partkey").cast("string"), ""), lambda d: d != "")
     text = F.concat(F.lit("C"), F.array_join(F.transform(digits, lambda d: F.get(pieces, d.cast("int"))), ""))
-    found = materialise(molecules.parsed(t.read("part").select(F.col("p_partkey").alias("id"), text.alias("structure"))), "parsed")
+    # A small file of parts makes much work: its rows are dealt to all tasks.
+    dealt = t.read("part").select("p_partkey").repartition(max(200, int(t.spark.conf.get("spark.sql.shuffle.partitions"))), "p_partkey")
+    found = materialise(molecules.parsed(dealt.select(F.col("p_partkey").alias("id"), text.alias("structure"))), "parsed")
     atoms, bonds = molecules.tables(found)
-    return found.select("structure", "error").join(molecules.composition(atoms), "structure", "left").join(molecules.classes(molecules.refined(atoms, bonds, 3)[-1]), "structure", "left")
+    # Few kinds of atoms make small files of many rows: no side is broadcast.
+    made, of = molecules.composition(atoms).hint("merge"), molecules.classes(molecules.refined(atoms, bonds, 3)[-1]).hint("merge")
+    return found.select("structure", "error").join(made, "structure", "left").join(of, "structure", "left")
