@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 
 from tessera.operators import extra_trees, features, stats
 from tessera.operators.contracts import ContractError, require_columns
+from tessera.session import materialise
 
 #: Fixed value: the decision threshold on calibrated probabilities.
 LOCKED_THRESHOLD = 0.046126477738876355
 
 
+#: Rows of a training table to a partition, where there are more partitions than cores: every iteration of a fit sends a result and a record of its task from each to the driver.
+FIT_ROWS = 500_000
+
+
+def compact(df: DataFrame, name: str) -> DataFrame:
+    """df, written down and read again in as many partitions as there are cores or FIT_ROWS of rows, whichever is more."""
+    rows = materialise(df, name)
+    return rows.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FIT_ROWS)))
+
+
 def balanced(df: DataFrame, label: str = "y") -> DataFrame:
     """df with weight: rows over twice the rows of the class."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
@@ -71,7 +82,7 @@ class Calibrated:
 
 def fit_calibrated(df: DataFrame, kind: str, columns: list[str], folds: int = 3, fold: str = "__inner", **settings) -> Calibrated:
     """Calibrated over stratified folds of df (id, y and the columns)."""
-    dealt = features.stratified_folds(df, "y", F.col("id"), folds, seed=7, fold=fold)
+    dealt = compact(features.stratified_folds(df, "y", F.col("id"), folds, seed=7, fold=fold), "inner-folds")
     members = []
     for k in range(folds):
         model = fitted(dealt.filter(F.col(fold) != k), kind, columns, **settings)

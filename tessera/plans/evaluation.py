@@ -10,7 +10,7 @@ from tessera.operators import features, models, stats
 from tessera.operators.ordered import quantiles, running_sums
 from tessera.operators.stats import confusion_metrics
 from tessera.plans.registry import PREDICTIONS, Tables, query
-from tessera.session import materialise, new_folder
+from tessera.session import new_folder
 
 r6 = lambda c: F.round(c, 6)
 
@@ -194,7 +194,7 @@ def _training(t: Tables) -> DataFrame:
     """Labelled documents with four surface features and a stratified fold, written down: every fit reads them again."""
     joined = t.read("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("size"), (F.length(F.regexp_replace("text", "[^|!*$%&#]", "")) / (F.length("text") + 1)).alias("symbols"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / (F.length("text") + 1)).alias("capitals"), F.size(F.split("text", " ")).cast("double").alias("words"))
     rows = joined.join(t.read("labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y")), "id")
-    return materialise(features.stratified_folds(rows, "y", F.col("id"), 5), "training")
+    return models.compact(features.stratified_folds(rows, "y", F.col("id"), 5), "training")
 
 
 @query()
@@ -206,7 +206,7 @@ def out_of_fold_models(t: Tables) -> DataFrame:
 @query()
 def forest_model(t: Tables) -> DataFrame:
     """A random forest of 500 trees, out of fold, calibrated by the other folds' scores; the locked threshold is one on calibrated probabilities."""
-    oof = materialise(models.out_of_fold(_training(t), "forest", _COLUMNS), "scores")
+    oof = models.compact(models.out_of_fold(_training(t), "forest", _COLUMNS), "scores")
     return models.cross_calibrated(oof).withColumn("positive", F.col("p") >= models.LOCKED_THRESHOLD)
 
 
