@@ -22,8 +22,8 @@ from tessera.functions.columns import n_rows
 from tessera.session import materialise, new_folder
 from tessera.sources.arrays import place
 
-#: Rows of a node from which on down one task grows it, and rows that are scored at a time.
-LOCAL, SLAB = 4096, 16_384
+#: Rows of a node from which on down one task grows it, if their values have LOCAL_BYTES at most, and rows that are scored at a time.
+LOCAL, LOCAL_BYTES, SLAB = 1 << 17, 64 << 20, 16_384
 ROOT = 1
 
 _NODE = "tree long, node long, feature int, threshold double, left long, right long, p double, n long"
@@ -239,18 +239,19 @@ def fit(df: DataFrame, columns: list[str], label: str = "y", trees: int = 500, l
 
     Every tree sees all rows. Equal rows of both classes end in one leaf; there is no limit
     of depth; a leaf has least rows at least. Growing takes rows x trees of state, which is
-    written down once a level as long as a node has over LOCAL rows.
+    written down once a level as long as a node has over LOCAL rows or LOCAL_BYTES.
     """
     d, k = len(columns), tried or max(1, int(len(columns) ** 0.5))
     given = materialise(df.select(F.col(label).cast("long").alias("y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")), "rows")
     sizes = {int(r["y"]): int(r["n"]) for r in given.groupBy("y").agg(n_rows().alias("n")).collect()}
     total = sum(sizes.values())
     weights = tuple(total / (len(sizes) * sizes[c]) if sizes.get(c) else 0.0 for c in (0, 1))
+    local = max(1, min(LOCAL, LOCAL_BYTES // (8 * d)))
     state = given.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))).alias("tree"), F.lit(ROOT).cast("long").alias("node"), "y", "x")
     model, ready, at = [], [], ["tree", "node"]
     while True:
         sizes_now = state.groupBy(*at).agg(n_rows().alias("n"))
-        big = materialise(sizes_now.filter(F.col("n") > LOCAL).select(*at), "big") if total > LOCAL else None
+        big = materialise(sizes_now.filter(F.col("n") > local).select(*at), "big") if total > local else None
         if big is None or not big.head(1):
             ready.append(state)
             break
