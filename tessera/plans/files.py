@@ -68,9 +68,9 @@ def discover_files(t: Tables) -> DataFrame:
 
 
 def _written_lines(t: Tables, rows: DataFrame, group: str, order: str) -> str:
-    """A folder with a text file for each value of group, its lines in the order of a column."""
+    """A folder with a folder for each value of group: a text file in parts, by their names in the order of a column, so that no task sorts a whole file."""
     folder = new_folder(t.spark, "lines")
-    rows.repartition(group).sortWithinPartitions(group, order).select(group, "line").write.partitionBy(group).text(folder)
+    rows.repartitionByRange(group, order).sortWithinPartitions(group, order).select(group, "line").write.partitionBy(group).text(folder)
     return folder
 
 
@@ -82,7 +82,7 @@ _NUMBERED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY event_type ORDER B
 def labelled_files(t: Tables) -> DataFrame:
     """Lists of label and structure in a file an event type, read with line numbers, and the lines that are none."""
     rows = t.read("events").select(F.col("event_type").alias("g"), "event_id", F.expr(_EVENT_LINE.format(a="user_id % 3")).alias("line"))
-    good, bad = line_files.labelled_list(t.spark, _written_lines(t, rows, "g", "event_id"))
+    good, bad = line_files.labelled_list(t.spark, _written_lines(t, rows, "g", "event_id"), parts=True)
     both = good.withColumn("error", F.lit(None).cast("string")).unionByName(bad.drop("line"), allowMissingColumns=True)
     return both.select(F.regexp_extract("file", "g=([^/]+)/", 1).alias("file"), "line_no", "label", "structure", "error")
 
@@ -94,7 +94,7 @@ def atom_files(t: Tables) -> DataFrame:
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     line = F.concat(F.when(key % 2 == 0, "ATOM  ").otherwise("REMARK"), F.rpad(key.cast("string"), 24, " "), number8("l_quantity"), number8("l_tax"), number8("l_discount"))
     rows = t.read("lineitem").select((F.col("l_suppkey") % 5).alias("g"), F.struct(key.alias("key"), "l_quantity", "l_tax", "l_discount").alias("at"), line.alias("line"))
-    found = line_files.atom_records(t.spark, _written_lines(t, rows, "g", "at"))
+    found = line_files.atom_records(t.spark, _written_lines(t, rows, "g", "at"), parts=True)
     return found.select(F.regexp_extract("file", "g=([^/]+)/", 1).alias("file"), "line_no", "x", "y", "z")
 
 
@@ -105,7 +105,7 @@ def id_file_scan(t: Tables) -> DataFrame:
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     rows = t.read("lineitem").select((F.col("l_suppkey") % 7).alias("g"), F.struct(key.alias("key"), "l_partkey").alias("at"), F.concat(F.lit("see ["), "l_partkey", F.lit("], not x"), "l_partkey").alias("line"))
     folder = _written_lines(t, rows, "g", "at")
-    found = line_files.id_scan(t.spark, folder, missing).filter(~F.col("file").contains("/g=3/"))
+    found = line_files.id_scan(t.spark, folder, missing, parts=True).filter(~F.col("file").contains("/g=3/"))
     return found.groupBy("id").agg(n_rows().alias("n_lines"), F.min("line_no").alias("first_line"))
 
 
