@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import plain_unions
+from tessera.session import plain_unions, small_splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,7 +46,7 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = plain_unions(spark), sf_dir
+        self.spark, self.sf_dir = small_splits(plain_unions(spark)), sf_dir
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -39,6 +39,17 @@ def plain_unions(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of a table's file that a task reads at most: what it groups before a shuffle is in proportion.
+SPLIT_BYTES = 32 << 20
+
+
+def small_splits(spark: SparkSession) -> SparkSession:
+    """The session, in which a task reads SPLIT_BYTES of a file at most; one that has set less keeps it."""
+    if spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() > SPLIT_BYTES:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only in local mode and if the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
