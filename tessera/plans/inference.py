@@ -114,7 +114,9 @@ def _fingerprints(t: Tables) -> DataFrame:
     larger = lambda i: F.transform(F.filter(F.sequence(i + 1, F.lit(63)), lambda j: F.get("e", i) - F.get("e", j) > 0.35), lambda j: F.floor(i * (127 - i) / 2).cast("int") + j - i - 1)
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), larger))
     single = F.transform(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.get("e", i) > 0.25), lambda i: i + 2016)
-    bits = t.vectors.select("vec_id", e.alias("e")).select(F.col("vec_id").alias("id"), F.concat(pairs, single).alias("bits"))
+    # A row costs thousands of comparisons: however few files there are, all tasks get some.
+    vectors = t.vectors.select("vec_id", "embedding").repartition(max(64, int(t.spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id")
+    bits = vectors.select("vec_id", e.alias("e")).select(F.col("vec_id").alias("id"), F.concat(pairs, single).alias("bits"))
     return bits.withColumn("words", packed_bits(F.col("bits"), 2048))
 
 
