@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import extra_trees, features, stats
+from tessera.operators import extra_trees, features, random_forest, stats
 from tessera.operators.contracts import ContractError, require_columns
 from tessera.session import materialise
 
@@ -37,22 +37,19 @@ def balanced(df: DataFrame, label: str = "y") -> DataFrame:
     return df.join(F.broadcast(weights), label)
 
 
-def pipeline(kind: str, columns: list[str], trees: int = 500, seed: int = 42, penalty: float = 0.0, depth: int = 12) -> Pipeline:
-    """logistic (scaled, with an L2 penalty) or forest, weighted by the column weight."""
+def pipeline(columns: list[str], penalty: float = 0.0) -> Pipeline:
+    """Logistic regression (scaled, with an L2 penalty), weighted by the column weight."""
     assemble = VectorAssembler(inputCols=columns, outputCol="raw_features", handleInvalid="error")
-    if kind == "logistic":
-        return Pipeline(stages=[assemble, StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=penalty, standardization=False, maxIter=100)])
-    forest = RandomForestClassifier(featuresCol="raw_features", labelCol="y", weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[assemble, forest])
+    return Pipeline(stages=[assemble, StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=penalty, standardization=False, maxIter=100)])
 
 
 def fitted(df: DataFrame, kind: str, columns: list[str], **settings) -> PipelineModel | extra_trees.Forest:
     """A model of balanced rows (logistic, forest or extra_trees); the logistic penalty is that of C = 1, half the squared weights against the summed loss."""
-    if kind == "extra_trees":
-        return extra_trees.fit(df, columns, **settings)
-    if kind == "logistic" and "penalty" not in settings:
+    if kind != "logistic":
+        return {"extra_trees": extra_trees, "forest": random_forest}[kind].fit(df, columns, **settings)
+    if "penalty" not in settings:
         settings["penalty"] = 1.0 / max(df.count(), 1)
-    return pipeline(kind, columns, **settings).fit(balanced(df))
+    return pipeline(columns, **settings).fit(balanced(df))
 
 
 def scored(model: PipelineModel | extra_trees.Forest | Calibrated, df: DataFrame) -> DataFrame:
@@ -98,7 +95,9 @@ def out_of_fold(df: DataFrame, kind: str, columns: list[str], folds: int = 5, in
         if inner:
             out = fit_calibrated(rest, kind, columns, inner, **settings).transform(own)
         else:
-            out = scored(fitted(rest, kind, columns, **settings), own)
+            # Hundreds of trees for each row: all tasks get some, however few partitions the rows are in.
+            dealt = own.repartition(own.sparkSession.sparkContext.defaultParallelism, "id") if kind != "logistic" else own
+            out = scored(fitted(rest, kind, columns, **settings), dealt)
         parts.append(out.select("id", "y", "fold", "p"))
     out = parts[0]
     for part in parts[1:]:
