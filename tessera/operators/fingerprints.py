@@ -201,8 +201,9 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "id", bits: str = "b
     The blocks are written at once.
     """
     spark = rows.sparkSession
-    given = rows.select(F.col(key).cast("long").alias("id"), F.array_distinct(bits).alias("bits")).filter("id IS NOT NULL AND size(bits) > 0")
-    given = materialise(given.withColumns({"n": F.size("bits"), "row": F.monotonically_increasing_id()}), "sets")
+    # Written before they are filtered: a filter would go below the work on the bits and repeat it.
+    given = materialise(rows.select(F.col(key).cast("long").alias("id"), F.array_distinct(bits).alias("bits")), "sets").filter("id IS NOT NULL AND size(bits) > 0")
+    given = given.withColumns({"n": F.size("bits"), "row": F.monotonically_increasing_id()})
     sums = given.agg(n_rows().alias("rows"), F.avg("n").alias("mean")).first()
     mean = float(sums["mean"] or 1)
     width = 1 << min(12, max(6, math.ceil(math.log2(8 * mean))))
