@@ -285,8 +285,10 @@ def locked_schema(t: Tables) -> DataFrame:
 @query("SELECT CAST(count(*) FILTER (WHERE s = 'PASS') AS BIGINT) AS n_pass, CAST(count(*) FILTER (WHERE s = 'REVIEW') AS BIGINT) AS n_review, CAST(count(*) FILTER (WHERE s = 'FAIL') AS BIGINT) AS n_fail, CASE WHEN count(*) FILTER (WHERE s = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE s = 'REVIEW') > 0 THEN 'PASS_WITH_REVIEW' ELSE 'PASS' END AS verdict FROM (SELECT CASE WHEN avg(l_discount) > .051 THEN 'REVIEW' ELSE 'PASS' END AS s FROM lineitem GROUP BY l_suppkey) k")
 def final_gate(t: Tables) -> DataFrame:
     """The verdict over a ledger with a row a supplier."""
-    # Exact sums: a mean of doubles that lies at the limit falls to either side of it by the order of its rows.
-    over = F.sum(F.col("l_discount").cast("decimal(18,9)")) > n_rows() * F.lit(Decimal("0.051"))
+    # Exact sums: a mean of doubles that lies at the limit falls to either side of it by the order of its rows. Missing
+    # values count for nothing; where one is no decimal (NaN, infinite or huge) the mean can't be at the limit.
+    exact = F.col("l_discount").try_cast("decimal(28,15)")
+    over = F.when(F.count(exact) == F.count("l_discount"), F.sum(exact) > F.count(exact) * F.lit(Decimal("0.051"))).otherwise(F.avg("l_discount") > 0.051)
     rows = t.read("lineitem").groupBy("l_suppkey").agg(F.when(over, "REVIEW").otherwise("PASS").alias("status"))
     return contracts.gate(rows)
 
