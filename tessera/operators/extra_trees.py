@@ -2,9 +2,11 @@
 
 Each node looks at a few features, chosen by a hash of (seed, tree, node, feature), with one
 threshold each, drawn between the node's least and largest value; the best split by Gini
-impurity is kept. All trees grow at once: a level takes an aggregation for the ranges and one
-for the class counts of both sides. From LOCAL rows on down a task grows the rest of a node.
-Draws are hashes, so the trees are the same wherever that begins.
+impurity is kept. Up to LOCAL rows a task grows whole trees over the rows in the shared folder.
+Beyond that all trees grow at once: a level takes an aggregation for the ranges and one for the
+class counts of both sides, and from LOCAL rows on down a task grows the rest of a node. Draws
+are hashes, so the trees are the same wherever they grow. A task works on ranks of values:
+the rows of LARGE nodes each by themselves, those of all smaller ones of some trees together.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import n_rows
-from tessera.session import materialise, new_folder
+from tessera.session import materialise, new_folder, plain_unions
 from tessera.sources.arrays import place
 
 #: Rows of a node from which on down one task grows it, if their values have LOCAL_BYTES at most, and rows that are scored at a time.
-LOCAL, LOCAL_BYTES, SLAB = 1 << 17, 64 << 20, 16_384
+LOCAL, LOCAL_BYTES, SLAB = 1 << 20, 64 << 20, 16_384
+#: Rows of a node from which on it is split by itself, rows times trees that a task splits together, and trees that it grows at most.
+LARGE, TOGETHER, TREES = 1_024, 1 << 20, 16
 ROOT = 1
 
 _NODE = "tree long, node long, feature int, threshold double, left long, right long, p double, n long"
@@ -91,33 +95,145 @@ def _rows(tree, node, at, feature, threshold, n, n1, weights) -> tuple[pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NODE_SCHEMA, strict=True)], schema=_NODE_SCHEMA), left, right
 
 
-def grown(tree: int, node: int, x: np.ndarray, y: np.ndarray, seed: int, k: int, least: int, weights: tuple[float, float]) -> list[pa.RecordBatch]:
-    """The model rows of a node and all below it, a level of them at a time."""
-    out, of_row = [], np.full(len(y), node, np.int64)
-    while len(y):
-        order = np.argsort(of_row, kind="stable")
-        x, y, of_row = x[order], y[order], of_row[order]
-        nodes, start = np.unique(of_row, return_index=True)
-        size = np.diff(np.append(start, len(y)))
-        trees, n1 = np.full(len(nodes), tree, np.int64), np.add.reduceat(y, start)
-        feature, threshold = drawn(seed, trees, nodes, np.minimum.reduceat(x, start), np.maximum.reduceat(x, start), k)
-        owner = np.repeat(np.arange(len(nodes)), size)
-        goes = x[np.arange(len(y))[:, None], np.maximum(feature, 0)[owner]] <= threshold[owner]
-        left = np.add.reduceat(goes.astype(np.int64), start)
-        left1 = np.add.reduceat(goes * y[:, None], start)
-        at = best(feature, size, n1, left, left1, weights, least)
-        batch, down_left, down_right = _rows(trees, nodes, at, feature, threshold, size, n1, weights)
-        out.append(batch)
-        stays = (at >= 0)[owner]
-        side = goes[np.arange(len(y)), np.maximum(at, 0)[owner]]
-        of_row = np.where(side, down_left[owner], down_right[owner])[stays]
-        x, y = x[stays], y[stays]
-    return out
+class _Rows:
+    """Rows as ranks (features, rows) of the values of each feature, and whether they are of class 1."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        found = [np.unique(x[:, j], return_inverse=True) for j in range(x.shape[1])]
+        self.values = [v for v, _ in found]
+        kind = np.uint16 if max(map(len, self.values)) < 1 << 16 else np.int32
+        self.ranks, self.ones = np.stack([r.astype(kind) for _, r in found]), y == 1
+
+    def drawn(self, seed: int, tree: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """drawn() for ranges of ranks, and the first rank (nodes, k) on the right."""
+        of = lambda r: np.stack([v[r[:, j]] for j, v in enumerate(self.values)], 1)
+        feature, threshold = drawn(seed, tree, node, of(low), of(high), k)
+        cut = np.zeros(feature.shape, self.ranks.dtype)
+        for j, v in enumerate(self.values):
+            here = feature == j
+            cut[here] = np.searchsorted(v, threshold[here], "right")
+        return feature, threshold, cut
+
+
+#: Nodes whose rows are still to be split.
+_Open = tuple[int, int, np.ndarray, np.ndarray]
+
+
+class _Grower:
+    """Grows nodes of trees in one task; rows() gives the model rows of those that are whole."""
+
+    def __init__(self, rows: _Rows, seed: int, k: int, least: int, weights: tuple[float, float]):
+        self.of, self.seed, self.k, self.least, self.weights = rows, seed, k, least, weights
+        self.out: list[pa.RecordBatch] = []
+        self.small: list[_Open] = []
+
+    def open_(self, n: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        """Whether nodes can be split at all."""
+        return (n >= 2 * self.least) & (n1 > 0) & (n1 < n)
+
+    def split(self, tree: np.ndarray, node: np.ndarray, n: np.ndarray, n1: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, left1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Writes the nodes and those of their children that stay leaves: the split taken, and the children (2, nodes) and whether they are open."""
+        at = best(feature, n, n1, left, left1, self.weights, self.least)
+        batch, *sides = _rows(tree, node, at, feature, threshold, n, n1, self.weights)
+        self.out.append(batch)
+        pick, child = (np.arange(len(at)), np.maximum(at, 0)), np.stack(sides)
+        size, ones = np.stack([left[pick], n - left[pick]]), np.stack([left1[pick], n1 - left1[pick]])
+        open_ = self.open_(size, ones) & (at >= 0)
+        self.leaves(np.stack([tree, tree]), child, size, ones, ~open_ & (at >= 0))
+        return at, child, open_
+
+    def leaves(self, tree: np.ndarray, node: np.ndarray, n: np.ndarray, n1: np.ndarray, which: np.ndarray) -> None:
+        none = np.full(which.sum(), -1)
+        self.out.append(_rows(tree[which], node[which], none, none[:, None], none[:, None], n[which], n1[which], self.weights)[0])
+
+    def grow(self, trees: list[int], node: int) -> None:
+        """Splits a node of each tree over all rows, and those below it that are large, a level at a time."""
+        ranks, ones = self.of.ranks, self.of.ones
+        n, n1 = np.full(len(trees), len(ones)), np.full(len(trees), np.count_nonzero(ones))
+        level: list[_Open] = [(t, node, ranks, ones) for t in trees]
+        if not self.open_(n, n1)[0]:
+            self.leaves(np.array(trees), np.full(len(trees), node), n, n1, np.full(len(trees), True))
+            return
+        while level:
+            self.small += [x for x in level if len(x[3]) < LARGE]
+            level = [x for x in level if len(x[3]) >= LARGE]
+            if not level:
+                return
+            of, nodes = np.array([x[0] for x in level]), np.array([x[1] for x in level])
+            low, high = (np.stack([f(x[2], axis=1) for x in level]) for f in (np.min, np.max))
+            feature, threshold, cut = self.of.drawn(self.seed, of, nodes, low, high, self.k)
+            goes = [[r[max(f, 0)] < c for f, c in zip(fs, cs, strict=True)] for (_, _, r, _), fs, cs in zip(level, feature, cut, strict=True)]
+            n, n1 = np.array([len(x[3]) for x in level]), np.array([np.count_nonzero(x[3]) for x in level])
+            left = np.array([[np.count_nonzero(g) for g in gs] for gs in goes])
+            left1 = np.array([[np.count_nonzero(g & x[3]) for g in gs] for gs, x in zip(goes, level, strict=True)])
+            at, child, open_ = self.split(of, nodes, n, n1, feature, threshold, left, left1)
+            below: list[_Open] = []
+            for i, (tree, _, r, o) in enumerate(level):
+                for side in (0, 1):
+                    if open_[side, i]:
+                        take = np.flatnonzero(goes[i][at[i]] == (side == 0))
+                        below.append((tree, int(child[side, i]), r.take(take, axis=1), o.take(take)))
+            level = below
+
+    def rows(self) -> pa.Table:
+        """Splits all small nodes to the end, a level of them at a time: the model rows of all nodes so far."""
+        if self.small:
+            tree, node, ranks, ones = (f([x[i] for x in self.small]) for i, f in enumerate((np.array, np.array, np.hstack, np.concatenate)))
+            n, n1 = (np.array([f(x[3]) for x in self.small]) for f in (len, np.count_nonzero))
+            self.small = []
+            while len(tree):
+                start, rows = np.cumsum(n) - n, np.arange(len(ones))
+                low, high = (f.reduceat(ranks, start, axis=1).T for f in (np.minimum, np.maximum))
+                feature, threshold, cut = self.of.drawn(self.seed, tree, node, low, high, self.k)
+                flat = ranks.ravel()
+                goes = np.stack([flat[np.repeat(np.maximum(f, 0) * len(ones), n) + rows] < np.repeat(c, n) for f, c in zip(feature.T.astype(np.int64), cut.T, strict=True)])
+                left, left1 = (np.add.reduceat(g, start, axis=1, dtype=np.int64).T for g in (goes, goes & ones))
+                at, child, open_ = self.split(tree, node, n, n1, feature, threshold, left, left1)
+                side = goes.ravel()[np.repeat(np.maximum(at, 0) * len(ones), n) + rows]
+                slots = open_.sum()
+                slot = np.full(open_.shape, slots)
+                slot[open_] = np.arange(slots)
+                slot = np.where(side, np.repeat(slot[0], n), np.repeat(slot[1], n)).astype(np.uint16 if slots < 1 << 16 else np.int64)  # the former are sorted by their digits
+                order = np.argsort(slot, kind="stable")[: np.count_nonzero(slot < slots)]
+                ranks, ones = ranks.take(order, axis=1), ones.take(order)
+                pick = (np.arange(len(at)), np.maximum(at, 0))
+                n, n1 = (np.stack([a[pick], b - a[pick]])[open_] for a, b in ((left, n), (left1, n1)))
+                tree, node = np.stack([tree, tree])[open_], child[open_]
+        done, self.out = pa.Table.from_batches(self.out, schema=_NODE_SCHEMA), []
+        return done
 
 
 def _grow_group(table: pa.Table, seed: int, k: int, least: int, weights: tuple[float, float]) -> pa.Table:
-    x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-    return pa.Table.from_batches(grown(table["tree"][0].as_py(), table["node"][0].as_py(), x, table["y"].to_numpy(), seed, k, least, weights), schema=_NODE_SCHEMA)
+    """The model rows of a node and all below it."""
+    grower = _Grower(_Rows(_matrix(table["x"].combine_chunks()), table["y"].to_numpy()), seed, k, least, weights)
+    grower.grow([table["tree"][0].as_py()], table["node"][0].as_py())
+    return grower.rows()
+
+
+def _grow_task(batches: Iterator[pa.RecordBatch], folder: str, seed: int, k: int, least: int, weights: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+    """Whole trees over the rows in folder, each as one row."""
+    trees = [t for b in batches for t in b.column(0).to_pylist()]
+    if trees:
+        table = pa.concat_tables(_parts(folder, ["y", "x"]))
+        grower = _Grower(_Rows(_matrix(table["x"].combine_chunks()), table["y"].to_numpy()), seed, k, least, weights)
+        step = max(1, TOGETHER // table.num_rows)
+        for low in range(0, len(trees), step):
+            grower.grow(trees[low : low + step], ROOT)
+            yield from _by_tree(grower.rows())
+
+
+def _by_tree(nodes: pa.Table) -> Iterator[pa.RecordBatch]:
+    nodes = nodes.sort_by("tree")
+    starts = [*np.flatnonzero(np.diff(nodes["tree"].to_numpy(), prepend=-1)).tolist(), nodes.num_rows]
+    for low, high in zip(starts, starts[1:]):
+        yield from _pack(nodes.slice(low, high - low)).to_batches()
+
+
+def _parts(folder: str, columns: list[str]) -> Iterator[pa.Table]:
+    files, name = place(folder)
+    for path in sorted(i.path for i in files.get_file_info(pafs.FileSelector(name)) if i.path.endswith(".parquet")):
+        with files.open_input_file(path) as f:
+            yield pq.ParquetFile(f).read(columns=columns)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -156,7 +272,7 @@ def _level(state: DataFrame, big: DataFrame, d: int, k: int, seed: int, least: i
 
 
 class Forest:
-    """A fitted forest: nodes in a table, and in folder a row a tree, its nodes as arrays (32 bytes each)."""
+    """A fitted forest: nodes in a table, and in folder a row a tree, its nodes as arrays (36 bytes each)."""
 
     def __init__(self, nodes: DataFrame, columns: list[str], folder: str):
         self.nodes, self.columns, self.folder = nodes, columns, folder
@@ -173,11 +289,12 @@ class Forest:
 
             def emit() -> Iterator[pa.RecordBatch]:
                 x = np.concatenate([_matrix(b.column(at)) for b in held])
-                total, n = np.zeros(len(x)), 0
+                x = np.ascontiguousarray(np.where(np.isnan(x), np.inf, x).T)  # neither is on the left of a threshold
+                total, n = np.zeros(x.shape[1]), 0
                 for path in paths:
                     with files.open_input_file(path) as f:
-                        for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
-                            total += _walk(x, *(np.frombuffer(c[0].as_buffer(), kind) for c, kind in zip(batch.columns[1:], ("<i4", "<f8", "<i4", "<i4", "<f8"), strict=True)))
+                        for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=list(_WALKED)):
+                            total += _walk(x, *(np.frombuffer(batch.column(c)[0].as_buffer(), _PACKED[c]) for c in _WALKED))
                             n += 1
                 low = 0
                 for b in held:
@@ -200,33 +317,64 @@ class Forest:
         self.nodes.write.mode("overwrite").parquet(path)
 
 
-def _walk(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The leaf's share for each row; node 0 is the root."""
-    at = np.zeros(len(x), np.int64)
-    open_ = np.flatnonzero(feature[at] >= 0)
-    while len(open_):
-        node = at[open_]
-        at[open_] = np.where(x[open_, feature[node]] <= threshold[node], left[node], right[node])
-        open_ = open_[feature[at[open_]] >= 0]
-    return p[at]
+def _walk(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The leaf's share for each row of x (features, rows), which has no NaN; node 0 is the root, a right child follows its left one."""
+    out, rows = np.empty(x.shape[1]), np.arange(x.shape[1])
+    flat, leaf = x.ravel(), feature < 0
+    # A leaf leads to itself, so that rows which are through are left out only now and then.
+    where, most, to = np.where(leaf, 0, feature).astype(np.int64) * x.shape[1], np.where(leaf, np.inf, threshold), np.where(leaf, np.arange(len(left)), left)
+    node = np.zeros(len(rows), np.int64)
+    while len(rows):
+        for _ in range(4):
+            node = to.take(node) + (flat.take(where.take(node) + rows) > most.take(node))
+        through = leaf.take(node)
+        if through.any():
+            out[rows[through]] = p[node[through]]
+            rows, node = rows[~through], node[~through]
+    return out
 
 
-_TREE_SCHEMA = pa.schema([("tree", pa.int64()), *((n, pa.binary()) for n in ("feature", "threshold", "left", "right", "p"))])
+_PACKED = {"feature": "<i4", "threshold": "<f8", "left": "<i4", "p": "<f8", "n": "<i8"}
+_WALKED = ("feature", "threshold", "left", "p")
+_TREE = "tree long, " + ", ".join(f"{c} binary" for c in _PACKED)
+_TREE_SCHEMA = pa.schema([("tree", pa.int64()), *((c, pa.binary()) for c in _PACKED)])
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    """The nodes of a tree as arrays in which children are places; the root is the first."""
+    """The nodes of a tree as arrays in which left is a place, 0 at a leaf; the root is the first, children stand side by side."""
     node = table["node"].to_numpy()
-    order = np.concatenate((np.flatnonzero(node == ROOT), np.flatnonzero(node != ROOT)[np.argsort(node[node != ROOT])]))
-    ids = node[order][1:]
-    where = lambda c: np.where(table[c].to_numpy()[order] == 0, 0, 1 + np.searchsorted(ids, table[c].to_numpy()[order])).astype("<i4")
-    arrays = [table["feature"].to_numpy()[order].astype("<i4"), table["threshold"].to_numpy()[order].astype("<f8"), where("left"), where("right"), table["p"].to_numpy()[order].astype("<f8")]
-    return pa.table([pa.array([table["tree"][0].as_py()], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], schema=_TREE_SCHEMA)
+    order = np.argsort(node)
+    left, right = (order[np.minimum(np.searchsorted(node[order], table[c].to_numpy()), len(node) - 1)] for c in ("left", "right"))
+    inner = table["feature"].to_numpy() >= 0
+    level, levels = np.flatnonzero(node == ROOT), []
+    while len(level):
+        levels.append(level)
+        level = level[inner[level]]
+        level = np.stack([left[level], right[level]], 1).ravel()
+    order = np.concatenate(levels)
+    arrays = {c: table[c].to_numpy()[order] for c in _PACKED}
+    arrays["left"] = np.where(inner[order], 2 * np.cumsum(inner[order]) - 1, 0)
+    return pa.table([pa.array([table["tree"][0].as_py()], pa.int64()), *(pa.array([arrays[c].astype(kind).tobytes()], pa.binary()) for c, kind in _PACKED.items())], schema=_TREE_SCHEMA)
+
+
+def _unpack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of packed trees."""
+    for b in batches:
+        for i in range(b.num_rows):
+            feature, threshold, at, p, n = (np.frombuffer(b.column(c)[i].as_buffer(), kind) for c, kind in _PACKED.items())
+            tree, node = np.full(len(at), b.column("tree")[i].as_py()), np.zeros(len(at), np.int64)
+            node[0], left, right = ROOT, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            level = np.array([0])
+            while len(level := level[feature[level] >= 0]):
+                left[level], right[level] = children(tree[level], node[level])
+                node[at[level]], node[at[level] + 1] = left[level], right[level]
+                level = np.concatenate([at[level], at[level] + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((tree, node, feature, threshold, left, right, p, n), _NODE_SCHEMA, strict=True)], schema=_NODE_SCHEMA)
 
 
 def _packed(nodes: DataFrame, columns: list[str]) -> Forest:
     folder = new_folder(nodes.sparkSession, "forest")
-    nodes.groupBy("tree").applyInArrow(_pack, "tree long, feature binary, threshold binary, left binary, right binary, p binary").write.parquet(folder)
+    nodes.groupBy("tree").applyInArrow(_pack, _TREE).write.option("compression", "zstd").parquet(folder)
     return Forest(nodes, columns, folder)
 
 
@@ -238,15 +386,22 @@ def fit(df: DataFrame, columns: list[str], label: str = "y", trees: int = 500, l
     """A forest of df (label 0 or 1 and numeric columns without nulls); classes weigh the same, a node tries the root of the number of columns.
 
     Every tree sees all rows. Equal rows of both classes end in one leaf; there is no limit
-    of depth; a leaf has least rows at least. Growing takes rows x trees of state, which is
-    written down once a level as long as a node has over LOCAL rows or LOCAL_BYTES.
+    of depth; a leaf has least rows at least. Up to LOCAL rows (or LOCAL_BYTES) a task grows
+    whole trees and only these are written; beyond that growing takes rows x trees of state,
+    which is written down once a level as long as a node has more.
     """
-    d, k = len(columns), tried or max(1, int(len(columns) ** 0.5))
-    given = materialise(df.select(F.col(label).cast("long").alias("y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")), "rows")
+    spark, d, k = df.sparkSession, len(columns), tried or max(1, int(len(columns) ** 0.5))
+    given, folder = df.select(F.col(label).cast("long").alias("y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")), new_folder(plain_unions(spark), "rows")
+    given.write.option("compression", "zstd").parquet(folder)
+    given = spark.read.schema(given.schema).parquet(folder)
     sizes = {int(r["y"]): int(r["n"]) for r in given.groupBy("y").agg(n_rows().alias("n")).collect()}
     total = sum(sizes.values())
     weights = tuple(total / (len(sizes) * sizes[c]) if sizes.get(c) else 0.0 for c in (0, 1))
     local = max(1, min(LOCAL, LOCAL_BYTES // (8 * d)))
+    if 0 < total <= local:
+        forest, tasks = new_folder(spark, "forest"), min(trees, max(4 * spark.sparkContext.defaultParallelism, -(-trees // TREES)))
+        spark.range(0, trees, 1, tasks).mapInArrow(lambda it: _grow_task(it, folder, seed, k, least, weights), _TREE).write.option("compression", "zstd").parquet(forest)
+        return Forest(spark.read.schema(_TREE).parquet(forest).mapInArrow(_unpack_task, _NODE), columns, forest)
     state = given.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))).alias("tree"), F.lit(ROOT).cast("long").alias("node"), "y", "x")
     model, ready, at = [], [], ["tree", "node"]
     while True:

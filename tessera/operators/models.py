@@ -77,13 +77,20 @@ class Calibrated:
         return df.withColumn("p", total / len(names)).drop(*names)
 
 
+def spread(df: DataFrame, kind: str) -> DataFrame:
+    """df to be scored by a model of that kind: where hundreds of trees see each row all tasks get some, however few partitions the rows are in."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "id") if kind != "logistic" else df
+
+
 def fit_calibrated(df: DataFrame, kind: str, columns: list[str], folds: int = 3, fold: str = "__inner", **settings) -> Calibrated:
     """Calibrated over stratified folds of df (id, y and the columns)."""
     dealt = compact(features.stratified_folds(df, "y", F.col("id"), folds, seed=7, fold=fold), "inner-folds")
     members = []
     for k in range(folds):
         model = fitted(dealt.filter(F.col(fold) != k), kind, columns, **settings)
-        members.append((model, *platt(scored(model, dealt.filter(F.col(fold) == k)))))
+        scores = scored(model, spread(dealt.filter(F.col(fold) == k), kind)).select("y", "p")
+        # Calibration reads them several times; hundreds of trees a row are gone through once.
+        members.append((model, *platt(materialise(scores, "scores") if kind != "logistic" else scores)))
     return Calibrated(members, columns)
 
 
@@ -91,13 +98,11 @@ def out_of_fold(df: DataFrame, kind: str, columns: list[str], folds: int = 5, in
     """Every row scored by the model of the other folds, calibrated within them over inner folds if that is not 0; df has id, y, fold and the columns."""
     parts = []
     for k in range(folds):
-        rest, own = df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)
+        rest, own = df.filter(F.col("fold") != k), spread(df.filter(F.col("fold") == k), kind)
         if inner:
             out = fit_calibrated(rest, kind, columns, inner, **settings).transform(own)
         else:
-            # Hundreds of trees for each row: all tasks get some, however few partitions the rows are in.
-            dealt = own.repartition(own.sparkSession.sparkContext.defaultParallelism, "id") if kind != "logistic" else own
-            out = scored(fitted(rest, kind, columns, **settings), dealt)
+            out = scored(fitted(rest, kind, columns, **settings), own)
         parts.append(out.select("id", "y", "fold", "p"))
     out = parts[0]
     for part in parts[1:]:

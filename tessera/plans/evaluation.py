@@ -192,7 +192,7 @@ _COLUMNS = ["size", "symbols", "capitals", "words"]
 
 def _training(t: Tables) -> DataFrame:
     """Labelled documents with four surface features and a stratified fold, written down: every fit reads them again."""
-    joined = t.read("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("size"), (F.length(F.regexp_replace("text", "[^|!*$%&#]", "")) / (F.length("text") + 1)).alias("symbols"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / (F.length("text") + 1)).alias("capitals"), F.size(F.split("text", " ")).cast("double").alias("words"))
+    joined = t.read("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("size"), (F.length(F.regexp_replace("text", "[^|!*$%&#]+", "")) / (F.length("text") + 1)).alias("symbols"), (F.length(F.regexp_replace("text", "[^A-Z]+", "")) / (F.length("text") + 1)).alias("capitals"), F.size(F.split("text", " ")).cast("double").alias("words"))
     rows = joined.join(t.read("labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y")), "id")
     return models.compact(features.stratified_folds(rows, "y", F.col("id"), 5), "training")
 
